@@ -18,6 +18,8 @@ INK = np.ones(256, bool)
 INK[list(SPACES)] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+SIGN = np.zeros(256, bool)
+SIGN[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 SLICE = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -88,25 +90,42 @@ class Scan:
         self.start, self.end = edges[::2], edges[1::2]
         self.first = np.searchsorted(self.start, self.base)
 
-    def hashes(self, start=None, end=None, lower: bool = True) -> np.ndarray:
-        """64-bit hashes of the byte ranges (the words), A-Z lower-cased if ``lower``."""
+    def hashes(self, start=None, end=None, lower: bool = True):
+        """64-bit hashes of the byte ranges (the words), A-Z lower-cased if ``lower``.
+        A list of ends gives a list of hashes, from one pass over the bytes."""
         start = self.start if start is None else start
-        end = self.end if end is None else end
-        out = np.empty(len(start), U64)
+        many = isinstance(end, list)
+        ends = end if many else [self.end if end is None else end]
+        outs = [np.empty(len(start), U64) for _ in ends]
         table = WEIGHT_LOWER if lower else WEIGHT
         lo, n = 0, len(start)
         with np.errstate(over="ignore"):
             while lo < n:  # a text of any length passes in pieces that end at words
                 at = int(start[lo])
                 hi = max(lo + 1, int(np.searchsorted(start, at + 2 * SLICE)))
-                stop = int(end[lo:hi].max())
+                stop = max(int(e[lo:hi].max()) for e in ends)
                 power, inverse = _powers(stop - at + 1)
                 total = np.zeros(stop - at + 1, U64)
                 np.cumsum(table[self.buf[at:stop]] * power[: stop - at], out=total[1:])
-                s, e = start[lo:hi] - at, end[lo:hi] - at
-                out[lo:hi] = (total[e] - total[s]) * inverse[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93)
+                s = start[lo:hi] - at
+                for out, stops in zip(outs, ends, strict=True):
+                    e = stops[lo:hi] - at
+                    out[lo:hi] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
                 lo = hi
-            return mix(out)
+        return outs if many else outs[0]
+
+    def cores(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words' bytes without ASCII signs at either end (a word of signs stays as it is)."""
+        s, e = self.start.copy(), self.end.copy()
+        for at, step in ((e, -1), (s, 1)):
+            live = np.flatnonzero(SIGN[self.buf[at - 1 if step < 0 else at]]) if len(s) else s
+            while len(live):
+                at[live] += step
+                live = live[e[live] > s[live]]
+                live = live[SIGN[self.buf[at[live] - 1 if step < 0 else at[live]]]]
+        bare = e <= s
+        s[bare], e[bare] = self.start[bare], self.end[bare]
+        return s, e
 
     def text(self, i: int, start=None, end=None) -> bytes:
         s = self.start if start is None else start
