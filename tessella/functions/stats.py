@@ -50,5 +50,5 @@ def log_interval_distance(value: Column, low: Column, high: Column) -> Column:
 
 
 def round6(df, *skip: str):
-    """Every double column rounded to 6 decimals, for comparisons across engines (-0 becomes 0)."""
-    return df.select(*[(F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if t in ("double", "float") and c not in skip else F.col(c) for c, t in df.dtypes])
+    """Every double column rounded to 6 decimals, for comparisons across engines: halves go up, -0 becomes 0."""
+    return df.select(*[(F.round(F.col(c) + F.lit(1e-9), 6) + F.lit(0.0)).alias(c) if t in ("double", "float") and c not in skip else F.col(c) for c, t in df.dtypes])
