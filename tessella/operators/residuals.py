@@ -14,14 +14,17 @@ from tessella.functions import geometry as G
 from tessella.functions.stats import array_median
 
 TRACK = ["video_id", "point_id"]
-_BY = Window.partitionBy(*TRACK).orderBy("frame_index")
+
+
+def _by():
+    return Window.partitionBy(*TRACK).orderBy("frame_index")
 
 
 def velocity_prediction(tracks: DataFrame) -> DataFrame:
     """Constant velocity from the two rows before: p2 + (p2 - p1) dt / dh, and its distance from what was seen."""
     out = tracks
     for i in (1, 2):
-        out = out.withColumn(f"_p{i}", F.lag("p", i).over(_BY)).withColumn(f"_f{i}", F.lag("frame_index", i).over(_BY))
+        out = out.withColumn(f"_p{i}", F.lag("p", i).over(_by())).withColumn(f"_f{i}", F.lag("frame_index", i).over(_by()))
     r = (F.col("frame_index") - F.col("_f1")) / (F.col("_f1") - F.col("_f2"))
     ahead = lambda c: F.col(f"_p1.{c}") + (F.col(f"_p1.{c}") - F.col(f"_p2.{c}")) * r
     predicted = F.when(F.col("_p2").isNotNull(), G.point(ahead("x"), ahead("y"), ahead("z")))
@@ -31,7 +34,7 @@ def velocity_prediction(tracks: DataFrame) -> DataFrame:
 
 def continuity(tracks: DataFrame) -> DataFrame:
     """Second difference |x_t - 2 x_{t-1} + x_{t-2}| and its ratio to the object's scale; rows before the third are missing."""
-    a, b = F.lag("p", 1).over(_BY), F.lag("p", 2).over(_BY)
+    a, b = F.lag("p", 1).over(_by()), F.lag("p", 2).over(_by())
     out = tracks.withColumn("_a", a).withColumn("_b", b)
     second = lambda c: F.col(f"p.{c}") - 2 * F.col(f"_a.{c}") + F.col(f"_b.{c}")
     raw = F.when(F.col("_b").isNotNull(), F.sqrt(second("x") ** 2 + second("y") ** 2 + second("z") ** 2))
@@ -39,7 +42,7 @@ def continuity(tracks: DataFrame) -> DataFrame:
 
 
 def _steps(tracks: DataFrame) -> DataFrame:
-    out = tracks.withColumn("_q", F.lag("p").over(_BY)).withColumn("dt", F.col("frame_index") - F.lag("frame_index").over(_BY))
+    out = tracks.withColumn("_q", F.lag("p").over(_by())).withColumn("dt", F.col("frame_index") - F.lag("frame_index").over(_by()))
     for c in "xyz":
         out = out.withColumn(f"d{c}", F.col(f"p.{c}") - F.col(f"_q.{c}"))
     return out.withColumn("step", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2)).drop("_q")
@@ -48,7 +51,7 @@ def _steps(tracks: DataFrame) -> DataFrame:
 def direction_change(tracks: DataFrame, least: float = 1e-6) -> DataFrame:
     """1 - cos between a step and the one before; missing when either is nearly still."""
     s = _steps(tracks)
-    before = {c: F.lag(c).over(_BY) for c in ("dx", "dy", "dz", "step")}
+    before = {c: F.lag(c).over(_by()) for c in ("dx", "dy", "dz", "step")}
     out = s.select("*", *[v.alias(f"_{k}") for k, v in before.items()])
     cos = (F.col("dx") * F.col("_dx") + F.col("dy") * F.col("_dy") + F.col("dz") * F.col("_dz")) / (F.col("step") * F.col("_step"))
     cos = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos))
@@ -59,7 +62,7 @@ def direction_change(tracks: DataFrame, least: float = 1e-6) -> DataFrame:
 def speed_change(tracks: DataFrame) -> DataFrame:
     """Speed in scales a frame, its change, and its distance from the median of the other points of the object."""
     s = _steps(tracks).withColumn("speed", F.when((F.col("scale") > 0) & (F.col("dt") > 0), F.col("step") / (F.col("dt") * F.col("scale"))))
-    s = s.withColumn("speed_change", F.abs(F.col("speed") - F.lag("speed").over(_BY)))
+    s = s.withColumn("speed_change", F.abs(F.col("speed") - F.lag("speed").over(_by())))
     peers = s.groupBy("video_id", "frame_index").agg(F.collect_list(F.struct("point_id", "speed")).alias("all"))
     joined = s.join(peers, ["video_id", "frame_index"])
     others = F.transform(F.filter("all", lambda x: x["point_id"] != F.col("point_id")), lambda x: x["speed"])
