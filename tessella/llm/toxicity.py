@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .labels import training_sample
 from .langid import held_out
-from .textkernel import Scan, as_bytes, slices
+from .textkernel import Scan, as_bytes, mix, slices
 
-PER_CLASS = 3000
-SAMPLE_CHARS = 16384
+PER_CLASS = 2000
+SAMPLE_CHARS = 8192
 MIN_DOCS = 4
 MIN_Z = 3.0
 MOST_FEATURES = 20_000
@@ -93,9 +93,9 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
         doc = lo + np.repeat(np.arange(len(scan.first) - 1), np.diff(scan.first))
         for row in keys:
             with np.errstate(over="ignore"):
-                both = np.unique(np.stack([row, doc.astype(np.uint64)]), axis=1) if len(row) else np.zeros((2, 0), np.uint64)
-            seen_key.append(both[0])
-            seen_toxic.append(y[both[1].astype(np.int64)])
+                once = np.unique(mix(row ^ (doc + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+            seen_key.append(row[once])
+            seen_toxic.append(y[doc[once]].astype(np.int8))
     key, back = np.unique(np.concatenate(seen_key), return_inverse=True)
     toxic = np.concatenate(seen_toxic)
     a, b = np.bincount(back, toxic, len(key)), np.bincount(back, 1 - toxic, len(key))
