@@ -17,7 +17,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     Rows whose label is neither 0 nor 1, or without text, are left out; a document with several
     labels or rows counts as often as it appears. The order is fixed by a hash of doc_id.
     """
-    fold = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("_y"))
+    fold = labels.select("doc_id", label).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("_y"))
     counts = {int(y): int(n) for y, n in fold.groupBy("_y").count().collect()}
     drawn = uniform(F.lit(label), F.col("doc_id").cast("string"))
     cut = F.lit(0.0)
@@ -25,5 +25,5 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         cut = F.when(F.col("_y") == y, F.lit(min(1.0, per_class / n))).otherwise(cut)
     picked = fold.withColumn("_u", drawn).where(F.col("_u") < cut)
     few = picked.orderBy("_u", "doc_id").limit(4 * per_class)
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("_u", "_y", F.substring("text", 1, max_chars).alias("text")).orderBy("_u", "text").limit(8 * per_class).collect()
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("_u", "_y", F.substring("text", 1, max_chars).alias("text")).orderBy("_u", "text").limit(8 * per_class).collect()
     return [(r["text"], int(r["_y"])) for r in rows], counts

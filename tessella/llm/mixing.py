@@ -11,7 +11,8 @@ partition and place that MD5 of (seed, doc_id, copy) names: a shuffle of all row
 Cases: a null source is a source; a null or empty text has size 0, and a source of
 size 0 gets rate 0 (it can't change the mix), or 1 if the whole corpus is empty. Rows that share a doc_id share
 counts. A source that ``weights`` doesn't name gets weight 0. Further columns pass
-through; names beginning with ``_mix_`` are ours. An empty table stays empty.
+through; columns named mix_rate, mix_copy or mix_order give way to ours, but for :func:`mix_documents`,
+which returns the input's columns only. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -68,34 +69,55 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
     return sizes.withColumn("rate", rate).withColumn("pieces", pieces).withColumn("cdf", _terms(F.col("rate") / F.col("pieces")))
 
 
-def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
-    """Every document once for each copy: all its columns, ``mix_rate`` and ``mix_copy`` (from 0)."""
-    held = rates.select(F.col("source").alias("_mix_source"), F.col("rate").alias("mix_rate"), F.col("pieces").alias("_mix_pieces"), F.col("cdf").alias("_mix_cdf"))
+OURS = ("mix_rate", "mix_copy", "mix_order")
+
+
+def _copies(docs: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """Every document once for each copy: its row as a struct, its id and source, our columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
+    held = rates.select(F.col("source").alias("_name"), F.col("rate").alias("mix_rate"), F.col("pieces").alias("_pieces"), F.col("cdf").alias("_cdf"))
     if rates.select("source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(held), docs["source"].eqNullSafe(held["_mix_source"]))
+        joined = rows.join(F.broadcast(held), F.col("_source").eqNullSafe(F.col("_name")))
     else:  # a hot source is dealt over SALTS tasks
-        salted = held.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("_mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, (dealt["_mix_salt"] == salted["_mix_salt"]) & dealt["source"].eqNullSafe(salted["_mix_source"])).drop(salted["_mix_salt"])
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    # The first draw decides alone unless the rate is above PIECE.
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.col("_mix_pieces")),
-        F.lit(0),
-        lambda n, j: n + F.size(F.filter(F.col("_mix_cdf"), lambda c: c <= uniform(F.lit(str(seed)), key, j.cast("string")))),
-    )
-    drawn = uniform(F.lit(str(seed)), key, F.lit("1"))
-    one = F.size(F.filter(F.col("_mix_cdf"), lambda c: c <= F.col("_mix_u")))
-    copies = joined.withColumn("_mix_u", drawn).withColumn("_mix_n", F.when(F.col("_mix_pieces") == 1, one).otherwise(count))
-    copies = copies.where("_mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
-    return copies.drop("_mix_source", "_mix_pieces", "_mix_cdf", "_mix_u", "_mix_n", "_mix_salt")
+        salted = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, (F.col("_deal") == F.col("_salt")) & F.col("_source").eqNullSafe(F.col("_name")))
+    key = F.coalesce(F.col("_id").cast("string"), F.lit("null"))
+    below = lambda u: F.size(F.filter(F.col("_cdf"), lambda c: c <= u))
+    # One draw decides unless the rate is above PIECE.
+    several = F.aggregate(F.sequence(F.lit(1), F.col("_pieces")), F.lit(0), lambda n, j: n + below(uniform(F.lit(str(seed)), key, j.cast("string"))))
+    drawn = joined.withColumn("_u", uniform(F.lit(str(seed)), key, F.lit("1")))
+    count = drawn.withColumn("_n", F.when(F.col("_pieces") == 1, below(F.col("_u"))).otherwise(several))
+    copies = count.where("_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    order = uniform(F.lit(str(seed)), F.lit("order"), key, F.col("mix_copy").cast("string"))
+    return copies.select("_row", "_id", *OURS[:2], order.alias("mix_order"))
+
+
+def _plain(copies: DataFrame, columns: list[str]) -> list[Column]:
+    return [F.col(f"_row.`{c}`").alias(c) for c in columns]
+
+
+def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
+    """Every document once for each copy, with mix_rate, mix_copy (from 0) and mix_order; not shuffled."""
+    copies = _copies(docs, rates, seed)
+    return copies.select(*_plain(copies, [c for c in docs.columns if c not in OURS]), *OURS)
+
+
+def _shuffled(docs: DataFrame, weights, alpha: float, target_chars: float | None, seed: int) -> DataFrame:
+    copies = _copies(docs, source_rates(docs, weights, alpha, target_chars), seed)
+    return copies.repartition("mix_order").sortWithinPartitions("mix_order", "_id")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, target_chars: float | None = None, seed: int = SEED) -> DataFrame:
     """Replicated documents, shuffled over all partitions; ``mix_order`` is their order inside one."""
-    copies = replicate(docs, source_rates(docs, weights, alpha, target_chars), seed)
-    order = uniform(F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("mix_copy").cast("string"))
-    return copies.withColumn("mix_order", order).repartition("mix_order").sortWithinPartitions("mix_order", "doc_id")
+    copies = _shuffled(docs, weights, alpha, target_chars, seed)
+    return copies.select(*_plain(copies, [c for c in docs.columns if c not in OURS]), *OURS)
+
+
+def mix_documents(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, target_chars: float | None = None, seed: int = SEED) -> DataFrame:
+    """:func:`mix`, with the input's columns only."""
+    copies = _shuffled(docs, weights, alpha, target_chars, seed)
+    return copies.select(*_plain(copies, docs.columns))
 
 
 #: DuckDB: the same counts and order for weights by size to the power ALPHA.
