@@ -11,17 +11,21 @@ share min(l_X, l_Y) prefix shingles before it is verified.
    sets are one class from here on) and counts all shingles into a table of
    ``BUCKETS`` counters: bounded, summed over all documents. Shingles are ordered
    by (counter, hash), rare first.
-2. *Prefixes*: each class emits its l-prefix; rows meet by shingle, sorted. Shingles
-   whose counter is far above the mean are salted.
-3. *Runs* of one shingle: up to ``RUN_PAIRS`` classes give all pairs of fitting size;
-   a longer run links every class to its first one only (a star), so its output
+2. *Prefixes*: each class emits its l-prefix, l being at least 1 + LEAST_MATCH |X| and up to three
+   times that where the counters promise costly company; rows meet by shingle, sorted.
+   Shingles whose counter is far above the mean are salted.
+3. *Shared shingles*: a class whose prefix shares fewer shingles with others than the smallest l that any
+   set it could link to may ask for has no link and leaves. Passages that many documents
+   share thus cost one row each, not pairs.
+4. *Runs* of one shingle among the rest: up to ``RUN_PAIRS`` classes give all pairs of fitting
+   size; a longer run links every class to its first one only (a star), so its output
    stays linear. A pair of short runs stands if it shares enough prefix shingles;
    stars always stand. Every link lies inside a component of these edges: a family.
-4. *Verification* compares whole sets inside each family, exactly. A family above
+5. *Verification* compares whole sets inside each family, exactly. A family above
    ``BLOCK_DOCS`` is dealt into blocks by hash: blocks are compared within, delegates
    of all blocks with each other, and then every class outside the family's largest
    component with every block. Pairs inside one component need no comparison.
-5. Components of the links.
+6. Components of the links.
 
 Hashes are 64 bits (shingles) and 128 bits (sets). Cases: null, empty and blank
 texts have the empty set, link with nothing and are their own component; a null
@@ -36,17 +40,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import discard, materialize
+from .reducer import bits_of, maybe
+from .storage import discard, document_batches, materialize
 from .textkernel import Scan, as_bytes, mix, seeded, shingles, slices
 
 BUCKETS = 1 << 18
 COUNT_BLOCK = 1024
-RUN_PAIRS = 16
-MAX_MATCH = 4
+RUN_PAIRS = 32
+LEAST_MATCH = 0.05
+MOST_STEPS = 3
 SALT_ROWS = 8192
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 1 << 21
 
+#: A prefix row's info: set size << 24 | l.
+MATCH = (1 << 24) - 1
 _BUCKET_SHIFT = np.uint64(64 - (BUCKETS.bit_length() - 1))
 
 
@@ -104,16 +112,27 @@ def _digest(k: int):
     return run
 
 
-def choose_match(excess: np.ndarray, n: int, least: int) -> int:
-    """The l of a set of n: ``excess`` estimates, in prefix order, the candidates each
-    shingle brings. A further required match is taken to cut them to a quarter; l
-    grows until they cost less than the prefix itself."""
-    most = max(1, min(MAX_MATCH, least))
-    for match in range(1, most):
+def least_match(n: int, threshold: int) -> int:
+    """The smallest l of a set of n."""
+    return min(need(n, threshold), 1 + int(LEAST_MATCH * n))
+
+
+def asked_match(n: int, threshold: int) -> int:
+    """The smallest l of any set that a set of n may link to (none is smaller than need(n))."""
+    return least_match(need(n, threshold), threshold)
+
+
+def choose_match(excess: np.ndarray, n: int, threshold: int) -> int:
+    """The l of a set of n: ``excess`` estimates, in prefix order, the candidates that each
+    shingle brings. Each step by the least l is taken to cut them to a quarter; l grows
+    until they cost less than the prefix itself."""
+    least, base = need(n, threshold), least_match(n, threshold)
+    for step in range(1, MOST_STEPS):
+        match = min(least, step * base)
         prefix = n - least + match
-        if excess[:prefix].sum() <= prefix * 4 ** (match - 1):
+        if excess[:prefix].sum() <= prefix * 4 ** (step - 1):
             return match
-    return most
+    return min(least, MOST_STEPS * base)
 
 
 def _prefixes(k: int, threshold: int, counts):
@@ -137,13 +156,13 @@ def _prefixes(k: int, threshold: int, counts):
                     seen.add(fp)
                     rate = table[(s >> _BUCKET_SHIFT).astype(np.int64)]
                     least = need(n, threshold)
-                    order = np.lexsort((s, rate))[: n - least + min(MAX_MATCH, least)]
+                    order = np.lexsort((s, rate))[: n - least + min(least, MOST_STEPS * least_match(n, threshold))]
                     excess = np.maximum(rate[order] - floor, 0.0)
-                    match = choose_match(excess, n, least)
+                    match = choose_match(excess, n, threshold)
                     take = order[: n - least + match]
                     token.append(s[take])
                     node.append(np.full(len(take), fp, np.int64))
-                    info.append(np.full(len(take), n << 3 | match, np.int64))
+                    info.append(np.full(len(take), n << 24 | match, np.int64))
                     salts = (excess[: len(take)] / SALT_ROWS).astype(np.int64) + 1
                     salt.append(np.where(salts > 1, 1 + (fp & 0x7FFFFFFF) % salts, 0).astype(np.int32))
                 if token:
@@ -152,6 +171,37 @@ def _prefixes(k: int, threshold: int, counts):
     return run
 
 
+def _shared(batches):
+    """Of rows sorted by (token, salt, node), those whose token another node has too. Salted
+    rows all stay: their company may be in another salt."""
+    import pyarrow as pa
+
+    names = ["token", "node", "info", "salt"]
+    held, told = None, True  # the last row so far, and whether it went out
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if not len(rows[0]):
+            continue
+        if held is not None:
+            rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
+        token, node, _, salt = rows
+        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = ~(same & (node[1:] == node[:-1]))
+        rows = [x[fresh] for x in rows]
+        token, node, _, salt = rows
+        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+        out = salt > 0
+        out[1:] |= same
+        out[:-1] |= same
+        if held is not None and told:
+            out[0] = False
+        told = bool(out[-1]) or (len(out) == 1 and held is not None and told)
+        held = [x[-1:] for x in rows]
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in rows], names=names)
+
+
 def run_edges(token, salt, node, info, threshold: int):
     """Edges of whole runs, rows sorted by (token, salt, node) without repeats:
     (a, b, match, hot) arrays, and (token, first node) of the salted runs."""
@@ -161,7 +211,7 @@ def run_edges(token, salt, node, info, threshold: int):
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, n))
     run = np.repeat(np.arange(len(begin)), length)
-    size, match = info >> 3, info & 7
+    size, match = info >> 24, info & MATCH
     parts = []
     short = length[run] <= RUN_PAIRS
     for d in range(1, RUN_PAIRS):
@@ -206,7 +256,7 @@ def _runs(threshold: int):
             if long_run:  # row 0 is the first of a long run; its members get their star here
                 same = (token == token[0]) & (salt == salt[0])
                 stop = len(same) if same.all() else int(np.argmin(same))
-                yield from out([np.full(stop - 1, node[0]), node[1:stop], info[1:stop] & 7, np.ones(stop - 1, bool)], (empty, empty))
+                yield from out([np.full(stop - 1, node[0]), node[1:stop], info[1:stop] & MATCH, np.ones(stop - 1, bool)], (empty, empty))
                 if stop == len(same):
                     held = [x[:1] for x in rows]
                     # keep the last node, so that its repeats in the next batch are dropped
@@ -223,7 +273,7 @@ def _runs(threshold: int):
                 yield from out(*run_edges(token[:last], salt[:last], node[:last], info[:last], threshold))
             held = [x[last:] for x in rows]
             if len(held[0]) > RUN_PAIRS:
-                yield from out([np.full(len(held[0]) - 1, held[2][0]), held[2][1:], held[3][1:] & 7, np.ones(len(held[0]) - 1, bool)], (empty, empty))
+                yield from out([np.full(len(held[0]) - 1, held[2][0]), held[2][1:], held[3][1:] & MATCH, np.ones(len(held[0]) - 1, bool)], (empty, empty))
                 held = [np.concatenate([x[:1], x[-1:]]) for x in held]
                 long_run = True
         if len(held[0]):
@@ -323,7 +373,7 @@ def _verify(k: int, threshold: int):
 
 def _compare(groups: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """Exact links (spanning) of groups (family, block, other, node, doc_id)."""
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    texts = maybe(docs, "doc_id", bits_of(groups.select("doc_id"), "doc_id")).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     rows = groups.join(texts, groups["doc_id"].eqNullSafe(texts["_id"])).select("family", "block", "other", "node", "_text")
     rows = rows.repartition("family", "block", "other").sortWithinPartitions("family", "block", "other", "node")
     return rows.mapInArrow(_verify(k, threshold), "a long, b long")
@@ -331,6 +381,7 @@ def _compare(groups: DataFrame, docs: DataFrame, k: int, threshold: int) -> Data
 
 def join(docs: DataFrame, shingle: int = 4, threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    document_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     scanned = materialize(docs.mapInArrow(_digest(shingle), DIGEST), "jaccard-digest")
@@ -342,9 +393,18 @@ def join(docs: DataFrame, shingle: int = 4, threshold: int = 85) -> DataFrame:
         table[bucket] = c
     counts = spark.sparkContext.broadcast(table)
 
-    rows = docs.select("text").mapInArrow(_prefixes(shingle, threshold, counts), "token long, node long, info long, salt int")
+    prefix = "token long, node long, info long, salt int"
+    rows = docs.select("text").mapInArrow(_prefixes(shingle, threshold, counts), prefix)
+    rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
+    shared = materialize(rows.mapInArrow(_shared, prefix), "jaccard-shared")
+    n = F.expr("info >> 24")
+    least = lambda c: F.ceil(F.lit(threshold) * c / 100)  # noqa: E731  need(), and asked_match() below
+    asked = F.least(least(least(n)), 1 + F.floor(F.lit(LEAST_MATCH) * least(n)))
+    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("have"), F.max("info").alias("info")).where(F.col("have") >= asked)
+    rows = shared.join(able.select(F.col("node").alias("_able")), F.col("node") == F.col("_able"), "left_semi")
     rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
     found = materialize(rows.mapInArrow(_runs(threshold), "a long, b long, match long, hot boolean, salted boolean"), "jaccard-runs")
+    discard(shared)
     pairs = found.where("NOT salted").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("match").alias("match"), F.max("hot").alias("hot"))
     pairs = pairs.where("hot OR shared >= match").select("a", "b")
     heads = found.where("salted").select(F.col("a").alias("token"), F.col("b").alias("head"))
@@ -390,6 +450,13 @@ def join(docs: DataFrame, shingle: int = 4, threshold: int = 85) -> DataFrame:
 def deduplicate(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id. Texts
     without words stay; of rows equal in doc_id and text one stays."""
-    found = join(docs, shingle, threshold)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = materialize(join(docs, shingle, threshold), "jaccard-found")
+    by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count(F.lit(1)).alias("rows"))
+    special = materialize(by_id.where("NOT kept OR rows > 1").select(F.col("doc_id").alias("_id"), "kept"), "jaccard-special")
+    bits = bits_of(special, "_id")
+    # Most rows are neither dropped nor repeated, and never move.
+    plain = maybe(docs, "doc_id", bits, member=False)
+    rest = maybe(docs, "doc_id", bits)
+    dropped = special.where("NOT kept")
+    rest = rest.join(dropped, rest["doc_id"].eqNullSafe(dropped["_id"]), "left_anti").dropDuplicates(["doc_id", "text"])
+    return plain.unionByName(rest)
