@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .mixing import uniform
+from .storage import document_batches
 from .textkernel import as_bytes
 
 SAMPLE_DOCS = 200
@@ -135,6 +136,7 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin, accepted of every row (doc_id, text)."""
+    document_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches):
@@ -151,6 +153,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """The documents whose language is sure, with all their columns."""
+    document_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
     at = docs.columns.index("text")
 

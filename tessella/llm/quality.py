@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .labels import training_sample
 from .langid import held_out
+from .storage import document_batches
 from .textkernel import Scan, as_bytes, slices
 
 PER_CLASS = 1500
@@ -207,6 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row (doc_id, text)."""
+    document_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import document_batches, materialize
 from .textkernel import Scan, as_bytes, mix, seeded, slices
 
 BITS = 256
@@ -138,6 +138,7 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     every part also goes, as a guest, to the end of the part before it (that of the
     first part to the last), so that each text meets its next in one shuffle.
     """
+    document_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

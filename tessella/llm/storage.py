@@ -25,6 +25,18 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="tessella-"))
 
 
+#: Bytes of a batch between the JVM and a Python worker: whole documents are large rows.
+BATCH_BYTES = 8 << 20
+
+
+def document_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session, unless it asks for still smaller ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.rstrip("b").lstrip("-").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 

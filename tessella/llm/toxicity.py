@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .labels import training_sample
 from .langid import held_out
+from .storage import document_batches
 from .textkernel import Scan, as_bytes, mix, slices
 
 PER_CLASS = 2000
@@ -180,6 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending sentences of every row (doc_id, text)."""
+    document_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -199,6 +201,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
+    document_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

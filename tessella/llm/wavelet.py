@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .storage import materialize
+from .storage import document_batches, materialize
 from .tokens import END_ID, encoder
 
 MAGIC = b"TWM1"
@@ -224,6 +224,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, sha
         if ids:
             yield flush()
 
+    document_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return materialize(ordered.mapInArrow(build, SHARD_SCHEMA), "wavelet", compression="none", maxRecordsPerFile=1)
 
