@@ -25,7 +25,8 @@ def s(p):
     return f"((event_id * {p}) % 100 / 100.0::DOUBLE)"
 
 
-K = F.col("event_id")
+def K():  # noqa: N802  a column needs a session, so none is made at import
+    return F.col("event_id")
 
 
 @query("semantic_gate", f"""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'instance_mask_unavailable' WHEN event_id % 13 = 0 THEN 'mask_support_invalid' WHEN {s(3)} > 0.5 THEN 'severe_object_occlusion'
@@ -36,8 +37,8 @@ def semantic_gate(spark, sf):
 
 def _gate_rows(spark, sf):
     return _e(spark, sf).select(
-        "event_id", (K % 11 != 0).alias("has_mask"), (K % 13 != 0).alias("mask_support"), m(3).alias("occlusion"), m(7).alias("mask_quality"), (K % 17 != 0).alias("track_stable"), (K % 19 != 0).alias("surface_valid"), m(11).alias("depth_coverage"),
-        F.when(K % 5 == 0, "person").otherwise("bottle").alias("category"), (K % 4 != 0).alias("has_prior"), (K % 8 == 0).alias("unsupported"), F.lit(0.6).alias("minimum_observability"),
+        "event_id", (K() % 11 != 0).alias("has_mask"), (K() % 13 != 0).alias("mask_support"), m(3).alias("occlusion"), m(7).alias("mask_quality"), (K() % 17 != 0).alias("track_stable"), (K() % 19 != 0).alias("surface_valid"), m(11).alias("depth_coverage"),
+        F.when(K() % 5 == 0, "person").otherwise("bottle").alias("category"), (K() % 4 != 0).alias("has_prior"), (K() % 8 == 0).alias("unsupported"), F.lit(0.6).alias("minimum_observability"),
     )
 
 
@@ -52,8 +53,8 @@ def prior_gate(spark, sf):
 @query("reprojection_gate", """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'track_identity_mismatch' WHEN event_id % 13 = 0 THEN 'observation_not_independent' WHEN event_id % 2 = 1 AND event_id % 4 < 2 THEN 'insufficient_history'
   WHEN event_id % 9 >= event_id % 10 THEN 'future_frame_in_history' WHEN event_id % 2 = 0 AND event_id % 3 = 0 AND event_id % 5 <> 0 THEN 'relative_pose_unavailable' WHEN event_id % 5 > 2 THEN 'unsupported_geometry_mode' ELSE '' END AS reason FROM events""")
 def reprojection_gate(spark, sf):
-    mode = F.when(K % 5 == 0, "static").when(K % 5 == 1, "rotation").when(K % 5 == 2, "se3").otherwise("unknown")
-    rows = _e(spark, sf).select("event_id", (K % 11 != 0).alias("same_track"), (K % 13 != 0).alias("independent"), (K % 4).alias("history"), (K % 9).alias("newest_history"), (K % 10).alias("frame_index"), mode.alias("mode"), (K % 3 != 0).alias("has_pose"), (K % 2 == 0).alias("background"))
+    mode = F.when(K() % 5 == 0, "static").when(K() % 5 == 1, "rotation").when(K() % 5 == 2, "se3").otherwise("unknown")
+    rows = _e(spark, sf).select("event_id", (K() % 11 != 0).alias("same_track"), (K() % 13 != 0).alias("independent"), (K() % 4).alias("history"), (K() % 9).alias("newest_history"), (K() % 10).alias("frame_index"), mode.alias("mode"), (K() % 3 != 0).alias("has_pose"), (K() % 2 == 0).alias("background"))
     return gates.reprojection_gate(rows).select("event_id", "reason")
 
 
@@ -76,18 +77,18 @@ def physical_gate(spark, sf):
 @query("size_observability", f"""WITH x AS (SELECT *, event_id % 23 = 0 OR {s(3)} / 5 > 0.1 AS cut, event_id % 4 IN (0, 1) AS sideways, event_id % 4 IN (0, 2) AS vertical, event_id % 5 = 0 AS turned, event_id % 3 = 0 AND event_id % 7 = 1 AS bent FROM events)
   SELECT event_id, NOT cut AND NOT vertical AND NOT bent AS height_ok, NOT cut AND NOT sideways AND NOT turned AS width_ok, NOT cut AND NOT sideways AND NOT turned AS length_ok, NOT cut AND {s(7)} <= 0.5 AND event_id % 2 = 0 AS depth_ok FROM x""")
 def size_observability(spark, sf):
-    contacts = F.filter(F.array(F.when(K % 4 <= 1, "left"), F.when((K % 4).isin(0, 2), "top")), lambda x: x.isNotNull())
-    pose = F.when(K % 5 == 0, "oblique").when(K % 7 == 1, "sitting").otherwise("upright")
-    rows = _e(spark, sf).select("event_id", (K % 23 == 0).alias("truncated"), (m(3) / 5).alias("out_of_frame"), contacts.alias("contacts"), F.when(K % 3 == 0, "person").otherwise("cup").alias("category"), pose.alias("pose"), m(7).alias("occlusion"), (K % 2 == 0).alias("pointcloud"), (K % 5 != 0).alias("_p"))
+    contacts = F.filter(F.array(F.when(K() % 4 <= 1, "left"), F.when((K() % 4).isin(0, 2), "top")), lambda x: x.isNotNull())
+    pose = F.when(K() % 5 == 0, "oblique").when(K() % 7 == 1, "sitting").otherwise("upright")
+    rows = _e(spark, sf).select("event_id", (K() % 23 == 0).alias("truncated"), (m(3) / 5).alias("out_of_frame"), contacts.alias("contacts"), F.when(K() % 3 == 0, "person").otherwise("cup").alias("category"), pose.alias("pose"), m(7).alias("occlusion"), (K() % 2 == 0).alias("pointcloud"), (K() % 5 != 0).alias("_p"))
     out = gates.size_observability(rows)
     # A pose column holds one value: an oblique person isn't also sitting.
-    return out.select("event_id", (F.col("height_ok") & ~((K % 5 == 0) & (K % 3 == 0) & (K % 7 == 1))).alias("height_ok"), "width_ok", "length_ok", "depth_ok")
+    return out.select("event_id", (F.col("height_ok") & ~((K() % 5 == 0) & (K() % 3 == 0) & (K() % 7 == 1))).alias("height_ok"), "width_ok", "length_ok", "depth_ok")
 
 
 @query("motion_regime", f"""SELECT event_id, CASE WHEN event_id % 41 = 0 THEN 'scene_cut' WHEN event_id % 60 < 12 THEN 'low_texture' WHEN event_id % 45 < 12 THEN 'insufficient_background' WHEN event_id % 30 < 8 THEN 'insufficient_background'
   WHEN {s(3)} <= 0.5 AND {s(7)} * 2 <= 1 THEN 'static_camera' WHEN {s(11)} >= 0.65 AND (event_id % 3 = 0 OR {s(13)} * 3 <= 1.5 OR {s(17)} < 0.5) THEN 'rotation_dominant' WHEN {s(17)} >= 0.5 THEN 'general_se3' ELSE 'degenerate_geometry' END AS regime FROM events""")
 def motion_regime(spark, sf):
-    rows = _e(spark, sf).select("event_id", (K % 41 == 0).alias("scene_cut"), (K % 60).alias("candidates"), (K % 45).alias("background"), (K % 30).alias("matched"), m(3).alias("flow"), (m(7) * 2).alias("flow_p90"), m(11).alias("homography"), m(17).alias("essential"), F.when(K % 3 != 0, m(13) * 3).alias("parallax"))
+    rows = _e(spark, sf).select("event_id", (K() % 41 == 0).alias("scene_cut"), (K() % 60).alias("candidates"), (K() % 45).alias("background"), (K() % 30).alias("matched"), m(3).alias("flow"), (m(7) * 2).alias("flow_p90"), m(11).alias("homography"), m(17).alias("essential"), F.when(K() % 3 != 0, m(13) * 3).alias("parallax"))
     return gates.motion_regime(rows).select("event_id", "regime")
 
 
@@ -98,7 +99,7 @@ OBS = f"""WITH o AS (SELECT event_id, event_id % 37 = 0 AS pf, event_id % 41 = 0
 
 
 def _modes(spark, sf):
-    rows = _e(spark, sf).select("event_id", (K % 37 == 0).alias("provider_failed"), (K % 41 == 0).alias("scene_cut"), (m(3) * 2).alias("quality"), F.when(K % 6 != 0, m(7) * 4).alias("background_motion"), F.when(K % 9 != 0, m(11) * 4).alias("object_motion"), (K % 3 != 0).alias("has_pose"), (K % 4 == 0).alias("event"))
+    rows = _e(spark, sf).select("event_id", (K() % 37 == 0).alias("provider_failed"), (K() % 41 == 0).alias("scene_cut"), (m(3) * 2).alias("quality"), F.when(K() % 6 != 0, m(7) * 4).alias("background_motion"), F.when(K() % 9 != 0, m(11) * 4).alias("object_motion"), (K() % 3 != 0).alias("has_pose"), (K() % 4 == 0).alias("event"))
     return gates.clip_observability(rows)
 
 
@@ -121,7 +122,7 @@ def branch_routing(spark, sf):
   c AS (SELECT *, CASE WHEN a < 0.6 THEN 'insufficient_sequence_depth_alignment' WHEN t < 0.5 OR mo IS NULL THEN 'insufficient_independent_point_tracking' WHEN mo <= 1.5 THEN 'static_camera_3d' WHEN mo <= 20 AND i >= 0.65 THEN 'rotation_compensated' ELSE 'full_se3_not_observationally_supported' END AS geometry FROM h)
   SELECT event_id, geometry, {r("CASE geometry WHEN 'static_camera_3d' THEN least(a, t, greatest(0, 1 - mo / 1.5)) WHEN 'rotation_compensated' THEN least(a, t, i) ELSE 0 END")} AS geometry_quality FROM c""")
 def clip_geometry(spark, sf):
-    rows = _e(spark, sf).select("event_id", F.when(K % 31 != 0, m(3) * 30).alias("motion"), (m(7) * 1.2).alias("tracked"), (m(11) * 1.2).alias("inliers"), (m(13) * 1.2).alias("aligned"))
+    rows = _e(spark, sf).select("event_id", F.when(K() % 31 != 0, m(3) * 30).alias("motion"), (m(7) * 1.2).alias("tracked"), (m(11) * 1.2).alias("inliers"), (m(13) * 1.2).alias("aligned"))
     return gates.clip_geometry(rows).select("event_id", "geometry", "geometry_quality")
 
 
@@ -129,8 +130,8 @@ def clip_geometry(spark, sf):
   p AS (SELECT event_id, min_by(v, k) AS pair FROM (SELECT event_id, CASE WHEN (event_id + k) % 3 <> 0 THEN {s(11)} + k END AS v, k FROM events, (SELECT unnest([0, 1, 2]) AS k) WHERE event_id % 5 <> 0) WHERE v IS NOT NULL AND event_id % 3 <> 0 AND event_id % 4 <> 0 GROUP BY ALL)
   SELECT event_id, CASE WHEN me IS NOT NULL THEN 'metric' WHEN te IS NOT NULL THEN 'temporal' WHEN pair IS NOT NULL THEN 'pair' ELSE 'none' END AS branch, {r('coalesce(me, te, pair)')} AS scale FROM o LEFT JOIN p USING (event_id)""")
 def scale_router(spark, sf):
-    o = _e(spark, sf).select("event_id", F.when(K % 3 == 0, m(3)).alias("metric"), F.when(K % 4 == 0, m(7)).alias("temporal"))
-    p = _e(spark, sf).where(K % 5 != 0).select("event_id", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("ord")).withColumn("value", F.when((K + F.col("ord")) % 3 != 0, m(11) + F.col("ord")))
+    o = _e(spark, sf).select("event_id", F.when(K() % 3 == 0, m(3)).alias("metric"), F.when(K() % 4 == 0, m(7)).alias("temporal"))
+    p = _e(spark, sf).where(K() % 5 != 0).select("event_id", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("ord")).withColumn("value", F.when((K() + F.col("ord")) % 3 != 0, m(11) + F.col("ord")))
     return gates.route_scale(o, p, "event_id").select("event_id", "branch", "scale")
 
 
@@ -138,13 +139,13 @@ def scale_router(spark, sf):
     CASE WHEN event_id % 41 = 0 THEN 'no_scene_cut' END, CASE WHEN {s(3)} < 0.5 THEN 'tracking_quality' END], lambda x: x IS NOT NULL) AS l FROM events)
   SELECT event_id, array_to_string(l, ',') AS failed, CASE WHEN len(l) = 0 THEN 'available' WHEN list_has_any(l, ['formal_instance_mask', 'history_prediction', 'tracking_quality']) THEN 'observation_missing' ELSE 'not_applicable' END AS status FROM f""")
 def event_validation(spark, sf):
-    rows = _e(spark, sf).select("event_id", (K % 7 != 0).alias("formal_mask"), (K % 5 != 0).alias("history"), (K % 3 != 0).alias("area_change"), (K % 11 != 0).alias("occluder"), (K % 4 != 0).alias("depth_order"), (K % 41 == 0).alias("scene_cut"), m(3).alias("quality"))
+    rows = _e(spark, sf).select("event_id", (K() % 7 != 0).alias("formal_mask"), (K() % 5 != 0).alias("history"), (K() % 3 != 0).alias("area_change"), (K() % 11 != 0).alias("occluder"), (K() % 4 != 0).alias("depth_order"), (K() % 41 == 0).alias("scene_cut"), m(3).alias("quality"))
     return gates.validate_event(rows).select("event_id", F.array_join("failed", ",").alias("failed"), "status")
 
 
 @query("evidence_use", "SELECT event_type, count(*) FILTER (event_id % 4 = 0) AS training, count(*) FILTER (event_id % 4 IN (0, 1)) AS evaluation, count(*) FILTER (event_id % 4 IN (0, 1, 2)) AS quality FROM events GROUP BY ALL")
 def evidence_use(spark, sf):
-    e = F.when(K % 4 == 0, "eligible").when(K % 4 == 1, "partial").when(K % 4 == 2, "provider_failure").otherwise("excluded")
+    e = F.when(K() % 4 == 0, "eligible").when(K() % 4 == 1, "partial").when(K() % 4 == 2, "provider_failure").otherwise("excluded")
     out = gates.evidence_use(_e(spark, sf).withColumn("eligibility", e))
     return out.groupBy("event_type").agg(F.count_if("for_training").alias("training"), F.count_if("for_evaluation").alias("evaluation"), F.count_if("for_quality").alias("quality"))
 
@@ -205,7 +206,7 @@ def relation_distances(spark, sf):
   y AS (SELECT *, CASE WHEN NOT ev THEN 'not_applicable_no_event' WHEN least(d0, d1) <= 0 THEN 'reappearance_measurement_unavailable' WHEN least(s0, s1) <= 0 THEN 'reappearance_physical_scale_unavailable' WHEN NOT sid THEN 'reappearance_identity_inconsistent' ELSE '' END AS reason FROM x)
   SELECT event_id, {r("CASE WHEN reason = '' THEN (greatest(0, pe) + abs(ln((d1 + 1e-9) / (d0 + 1e-9))) + abs(ln((s1 + 1e-9) / (s0 + 1e-9))) + greatest(0, st) + greatest(0, mo)) / 6 END")} AS residual, reason FROM y""")
 def reappearance_cues(spark, sf):
-    rows = _e(spark, sf).select("event_id", (m(3) - 0.1).alias("position_error"), m(7).alias("depth0"), (m(11) + 0.1).alias("depth1"), (m(13) + 0.1).alias("scale0"), (m(17) + 0.1).alias("scale1"), (m(19) - 0.2).alias("structure"), (m(23) - 0.2).alias("motion"), (K % 9 != 0).alias("same_id"), (K % 4 != 0).alias("event"))
+    rows = _e(spark, sf).select("event_id", (m(3) - 0.1).alias("position_error"), m(7).alias("depth0"), (m(11) + 0.1).alias("depth1"), (m(13) + 0.1).alias("scale0"), (m(17) + 0.1).alias("scale1"), (m(19) - 0.2).alias("structure"), (m(23) - 0.2).alias("motion"), (K() % 9 != 0).alias("same_id"), (K() % 4 != 0).alias("event"))
     return pooling.reappearance_cues(rows).select("event_id", "residual", "reason")
 
 
@@ -358,7 +359,7 @@ def path_relocation(spark, sf):
 @query("retry_plan", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'keep' WHEN 'signup' THEN 'resume' WHEN 'click' THEN 'verify' WHEN 'error' THEN CASE WHEN event_id % 2 = 0 AND event_id % 5 < 3 THEN 'retry' WHEN event_id % 5 >= 3 THEN 'give_up' ELSE 'inspect' END ELSE 'start' END AS action FROM events")
 def retry_plan(spark, sf):
     status = F.create_map(*[F.lit(x) for kv in {"purchase": "completed", "signup": "interrupted", "click": "running", "error": "failed", "view": "ready"}.items() for x in kv])[F.col("event_type")]
-    rows = _e(spark, sf).select("event_id", status.alias("status"), (K % 5).alias("attempts"), (K % 2 == 0).alias("transient"))
+    rows = _e(spark, sf).select("event_id", status.alias("status"), (K() % 5).alias("attempts"), (K() % 2 == 0).alias("transient"))
     return lineage.retry_plan(rows).select("event_id", "action")
 
 
@@ -370,7 +371,7 @@ def exclusion_summary(spark, sf):
 
 @query("availability_summary", f"WITH x AS (SELECT 'mask' AS modality, event_id % 3 AS n FROM events UNION ALL SELECT 'depth', event_id % 4 FROM events) SELECT modality, count(*) AS samples, count(*) FILTER (n > 0) AS available, {r('count(*) FILTER (n > 0) / count(*)')} AS ratio, sum(n)::BIGINT AS observations FROM x GROUP BY ALL")
 def availability_summary(spark, sf):
-    return lineage.availability_summary(_e(spark, sf).select((K % 3).alias("mask"), (K % 4).alias("depth")), ["mask", "depth"])
+    return lineage.availability_summary(_e(spark, sf).select((K() % 3).alias("mask"), (K() % 4).alias("depth")), ["mask", "depth"])
 
 
 @query("pose_candidates", EV + ", f AS (SELECT video_id, row_idx, row_idx // 10 AS s FROM ev) SELECT a.video_id, a.row_idx AS source, b.row_idx AS target FROM f a JOIN f b ON a.video_id = b.video_id AND a.s = b.s AND b.row_idx - a.row_idx IN (1, 2, 4)")
@@ -387,7 +388,7 @@ def pose_graph(spark, sf):
 
 @query("endpoint_chains")
 def endpoint_chains(spark, sf):
-    seg = _e(spark, sf).select(F.col("user_id").alias("video_id"), (K % 12).cast("int").alias("frame_index"), m(3).alias("u0"), m(7).alias("v0")).dropDuplicates(["video_id", "frame_index", "u0", "v0"])
+    seg = _e(spark, sf).select(F.col("user_id").alias("video_id"), (K() % 12).cast("int").alias("frame_index"), m(3).alias("u0"), m(7).alias("v0")).dropDuplicates(["video_id", "frame_index", "u0", "v0"])
     seg = seg.select("video_id", "frame_index", (F.col("u0") * 20).alias("u0"), (F.col("v0") * 20).alias("v0"), (F.col("u0") * 20 + 0.5).alias("u1"), (F.col("v0") * 20).alias("v1"))
     return lineage.link_endpoints(seg)
 
