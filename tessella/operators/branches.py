@@ -24,38 +24,46 @@ BRANCHES = [  # fixed values
 
 
 def branch_scores(rows: DataFrame, keys: list[str], top_k: int = 3) -> DataFrame:
-    """Half median, half quality-weighted top-k of each branch's usable rows, and its mean effective confidence."""
-    good = rows.where("valid AND applicable AND provider_ok")
+    """Of every branch: half median, half quality-weighted top-k of its usable rows, their mean
+    effective confidence and number, and whether any row applies."""
+    good = F.col("_good")
+    rows = rows.withColumn("_good", F.coalesce(F.col("valid") & F.col("applicable") & F.col("provider_ok"), F.lit(False)))
     by = Window.partitionBy(*keys, "branch")
-    good = good.withColumn("_up", F.row_number().over(by.orderBy((F.col("value") * F.col("quality")).asc(), "ord"))).withColumn("_n", F.count(F.lit(1)).over(by))
+    rows = rows.withColumn("_n", F.sum(good.cast("long")).over(by))
+    rows = rows.withColumn("_up", F.row_number().over(by.orderBy("_good", (F.col("value") * F.col("quality")).asc(), "ord")) - F.count(F.lit(1)).over(by) + F.col("_n"))
     w = F.greatest(F.col("quality"), F.lit(1e-12))
-    top = F.col("_up") > F.col("_n") - F.least(F.col("_n"), F.lit(top_k))
+    top = good & (F.col("_up") > F.col("_n") - F.least(F.col("_n"), F.lit(top_k)))
     head = F.sum(F.when(top, F.col("value") * w)) / F.sum(F.when(top, w))
-    return good.groupBy(*keys, "branch").agg((0.5 * F.median("value") + 0.5 * head).alias("residual"), F.avg(F.col("quality") / (1 + F.col("uncertainty"))).alias("confidence"))
+    return rows.groupBy(*keys, "branch").agg(
+        (0.5 * F.median(F.when(good, F.col("value"))) + 0.5 * head).alias("residual"),
+        F.avg(F.when(good, F.col("quality") / (1 + F.col("uncertainty")))).alias("confidence"),
+        F.count_if(good).alias("usable"),
+        F.max("applicable").alias("applies"),
+    )
 
 
 def fuse(rows: DataFrame, keys: list[str], weights: dict[str, float] | None = None, top_k: int = 3) -> DataFrame:
-    """risk, confidence, branches and available share of every group."""
+    """risk, confidence, branches and available share of every group, by one exchange."""
     weight = F.lit(1.0)
     for branch, w in (weights or {}).items():
         weight = F.when(F.col("branch") == branch, F.lit(float(w))).otherwise(weight)
-    wanted = rows.groupBy(*keys, "branch").agg(F.max(F.col("applicable").cast("int")).alias("any")).groupBy(*keys).agg(F.sum(F.when(F.col("any") == 1, weight).otherwise(0.0)).alias("wanted"))
-    scored = branch_scores(rows, keys, top_k).withColumn("w", weight).withColumn("b", bounded("residual"))
-    mixed = scored.groupBy(*keys).agg(
-        F.sum("w").alias("have"),
-        F.sum(F.col("w") * F.col("confidence")).alias("wc"),
-        F.sum(F.col("w") * F.col("confidence") * F.col("b")).alias("wcb"),
-        F.max(F.col("b") * F.col("confidence")).alias("most"),
-        F.count(F.lit(1)).alias("n"),
+    scored = branch_scores(rows.repartition(*keys), keys, top_k).withColumn("w", weight).withColumn("b", bounded("residual"))
+    live = F.col("usable") > 0
+    out = scored.groupBy(*keys).agg(
+        F.sum(F.when(F.col("applies"), F.col("w")).otherwise(0.0)).alias("wanted"),
+        F.coalesce(F.sum(F.when(live, F.col("w"))), F.lit(0.0)).alias("have"),
+        F.sum(F.when(live, F.col("w") * F.col("confidence"))).alias("wc"),
+        F.sum(F.when(live, F.col("w") * F.col("confidence") * F.col("b"))).alias("wcb"),
+        F.max(F.when(live, F.col("b") * F.col("confidence"))).alias("most"),
+        F.count_if(live).alias("n"),
     )
-    out = wanted.join(mixed, keys, "left")
-    share = F.when(F.col("wanted") > 0, F.coalesce("have", F.lit(0.0)) / F.col("wanted")).otherwise(F.lit(0.0))
-    live = F.coalesce(F.col("wc") > 0, F.lit(False))
+    share = F.when(F.col("wanted") > 0, F.col("have") / F.col("wanted")).otherwise(F.lit(0.0))
+    active = F.coalesce(F.col("wc") > 0, F.lit(False))
     return out.select(
         *keys,
-        F.when(live, 0.5 * F.col("wcb") / F.col("wc") + 0.5 * F.col("most")).alias("risk"),
-        F.when(live, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("wc") / F.col("have") * share))).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(live, F.col("n")).otherwise(F.lit(0)).cast("long").alias("active_branches"),
+        F.when(active, 0.5 * F.col("wcb") / F.col("wc") + 0.5 * F.col("most")).alias("risk"),
+        F.when(active, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("wc") / F.col("have") * share))).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(active, F.col("n")).otherwise(F.lit(0)).cast("long").alias("active_branches"),
         share.alias("available_share"),
     )
 

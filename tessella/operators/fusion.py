@@ -36,19 +36,25 @@ def entity_columns(df: DataFrame) -> DataFrame:
     return df.withColumn("entity", F.coalesce(blank("object_id"), blank("track_id"), F.col("name"))).withColumn("frame", F.coalesce("frame_index", F.lit(-1)))
 
 
-def _levels(evidence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    valid = entity_columns(evidence.where("valid"))
-    entities = valid.groupBy(*CLIP, "frame", "level", "entity").agg(weighted("normalized_value", "confidence").alias("score"), F.avg("confidence").alias("conf"))
-    frames = entities.groupBy(*CLIP, "frame").agg(weighted("score", "conf").alias("score"), F.avg("conf").alias("conf"))
-    return valid, entities, frames
+def _by_clip(evidence: DataFrame) -> DataFrame:
+    """One exchange by clip; every roll-up, window and join below keeps to it."""
+    return evidence.repartition(*CLIP)
 
 
 def fuse_clips(evidence: DataFrame) -> DataFrame:
-    """risk_score, coverage, confidence of every clip; NULL risk and confidence 0 without valid rows."""
-    _, _, frames = _levels(evidence)
-    scored = frames.groupBy(*CLIP).agg(weighted("score", "conf").alias("risk_score"), F.avg("conf").alias("conf"))
-    rows = evidence.groupBy(*CLIP).agg(F.count(F.lit(1)).alias("rows"), F.count_if("valid").alias("valid_rows"))
-    return rows.join(scored, CLIP, "left").select(*CLIP, "risk_score", (F.col("valid_rows") / F.col("rows")).alias("coverage"), F.coalesce(F.col("conf") * F.col("valid_rows") / F.col("rows"), F.lit(0.0)).alias("confidence"))
+    """risk_score, coverage, confidence of every clip; NULL risk and confidence 0 without valid rows.
+
+    Invalid rows travel along as counts, so values and coverage come from one pass.
+    """
+    ok = F.col("valid")
+    entities = (
+        entity_columns(_by_clip(evidence))
+        .groupBy(*CLIP, "frame", "level", "entity")
+        .agg(weighted(F.when(ok, F.col("normalized_value")), "confidence").alias("score"), F.avg(F.when(ok, F.col("confidence"))).alias("conf"), F.count(F.lit(1)).alias("rows"), F.count_if("valid").alias("valid_rows"))
+    )
+    up = [weighted("score", "conf").alias("score"), F.avg("conf").alias("conf"), F.sum("rows").alias("rows"), F.sum("valid_rows").alias("valid_rows")]
+    clips = entities.groupBy(*CLIP, "frame").agg(*up).groupBy(*CLIP).agg(*up)
+    return clips.select(*CLIP, F.col("score").alias("risk_score"), (F.col("valid_rows") / F.col("rows")).alias("coverage"), F.coalesce(F.col("conf") * F.col("valid_rows") / F.col("rows"), F.lit(0.0)).alias("confidence"))
 
 
 def fuse_videos(clips: DataFrame) -> DataFrame:
@@ -57,15 +63,20 @@ def fuse_videos(clips: DataFrame) -> DataFrame:
 
 
 def contributions(evidence: DataFrame) -> DataFrame:
-    """Each valid row's share of its clip's risk; shares of a clip add up to the risk."""
-    valid, entities, frames = _levels(evidence)
-    floor = lambda c: F.greatest(F.col(c), F.lit(TINY))
-    share = lambda c, by: floor(c) / F.sum(floor(c)).over(Window.partitionBy(*by))
-    rows = valid.withColumn("w_row", share("confidence", [*CLIP, "frame", "level", "entity"]))
-    entities = entities.withColumn("w_entity", share("conf", [*CLIP, "frame"])).select(*CLIP, "frame", "level", "entity", "w_entity")
-    frames = frames.withColumn("w_frame", share("conf", CLIP)).select(*CLIP, "frame", "w_frame")
-    joined = rows.join(entities, [*CLIP, "frame", "level", "entity"]).join(frames, [*CLIP, "frame"])
-    return joined.select(*CLIP, "row_idx", "name", (F.col("normalized_value") * F.col("w_row") * F.col("w_entity") * F.col("w_frame")).alias("contribution"))
+    """Each valid row's share of its clip's risk; shares of a clip add up to the risk.
+
+    Entity and frame weights come from windows instead of joins: an entity of n rows
+    adds 1/n of its weight with each of them, so sums over rows are sums over entities.
+    """
+    rows = entity_columns(_by_clip(evidence).where("valid"))
+    floor = lambda c: F.greatest(c, F.lit(TINY))
+    entity, frame, clip = Window.partitionBy(*CLIP, "frame", "level", "entity"), Window.partitionBy(*CLIP, "frame"), Window.partitionBy(*CLIP)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(entity)).withColumn("_c", F.avg("confidence").over(entity)).withColumn("_w", floor(F.col("confidence")) / F.sum(floor(F.col("confidence"))).over(entity))
+    each = lambda c: F.col(c) / F.col("_n")
+    rows = rows.withColumn("_e", floor(F.col("_c"))).withColumn("_es", F.sum(each("_e")).over(frame)).withColumn("_fn", F.count(F.lit(1)).over(frame)).withColumn("_fc", F.sum(each("_c")).over(frame) / F.sum(F.lit(1.0) / F.col("_n")).over(frame))
+    rows = rows.withColumn("_f", floor(F.col("_fc"))).withColumn("_fs", F.sum(F.col("_f") / F.col("_fn")).over(clip))
+    share = F.col("normalized_value") * F.col("_w") * F.col("_e") / F.col("_es") * F.col("_f") / F.col("_fs")
+    return rows.select(*CLIP, "row_idx", "name", share.alias("contribution"))
 
 
 def dominant(shares: DataFrame) -> DataFrame:
@@ -83,13 +94,12 @@ def entity_scores(evidence: DataFrame, key: str) -> DataFrame:
 
 def channel_matrix(evidence: DataFrame, channels: list[str] = CHANNELS) -> DataFrame:
     """A row for each clip: mean value (NULL if absent), availability and mean confidence (0 if absent) of every channel."""
-    cells = evidence.where("valid").groupBy(*CLIP).pivot("name", channels).agg(F.avg("normalized_value").alias("value"), F.avg("confidence").alias("confidence"))
-    every = evidence.select(*CLIP).distinct()
-    out = every.join(cells, CLIP, "left")
+    here = lambda c: F.col("valid") & (F.col("name") == c)
     columns: list[Column] = []
     for c in channels:
-        columns += [F.col(f"{c}_value"), F.col(f"{c}_value").isNotNull().alias(f"{c}_available"), F.coalesce(f"{c}_confidence", F.lit(0.0)).alias(f"{c}_confidence")]
-    return out.select(*CLIP, *columns)
+        value = F.avg(F.when(here(c), F.col("normalized_value")))
+        columns += [value.alias(f"{c}_value"), (F.count_if(here(c)) > 0).alias(f"{c}_available"), F.coalesce(F.avg(F.when(here(c), F.col("confidence"))), F.lit(0.0)).alias(f"{c}_confidence")]
+    return evidence.groupBy(*CLIP).agg(*columns)
 
 
 def video_risk_mix(clips: DataFrame, w_mean: float = 0.5, w_max: float = 0.3, w_top: float = 0.2, top: int = 3) -> DataFrame:

@@ -53,14 +53,15 @@ def threshold_curve(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def auc(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Trapezoids under both curves; NULL unless both labels occur."""
-    roc = roc_curve(rows, keys)
-    by = Window.partitionBy(*keys).orderBy(F.desc_nulls_first("threshold"))
-    pr = pr_curve(rows, keys).select(*keys, F.col("threshold"), "recall", "precision")
-    roc = roc.withColumn("a", (F.col("false_positive_rate") - F.lag("false_positive_rate").over(by)) * (F.col("true_positive_rate") + F.lag("true_positive_rate").over(by)) / 2)
-    pr = pr.withColumn("a", (F.col("recall") - F.lag("recall").over(by)) * (F.col("precision") + F.lag("precision").over(by)) / 2)
-    both = rows.groupBy(*keys).agg((F.count_if(F.col("label") == 1) > 0).alias("p"), (F.count_if(F.col("label") == 0) > 0).alias("n"))
-    x = roc.groupBy(*keys).agg(F.sum("a").alias("roc_auc"))
-    y = pr.groupBy(*keys).agg(F.sum("a").alias("pr_auc"))
-    keep = lambda c: F.when(F.col("p") & F.col("n"), F.col(c)).alias(c)
-    return both.join(x, keys).join(y, keys).select(*keys, keep("roc_auc"), keep("pr_auc"))
+    """Trapezoids under both curves; NULL unless both labels occur.
+
+    The point before the first score is (0, 0), with precision 1, so no row is added for it.
+    """
+    c = _cumulative(rows, keys)
+    x, y = F.col("fp") / F.greatest("neg", F.lit(1)), F.col("tp") / F.greatest("pos", F.lit(1))
+    c = c.select(*keys, "score", "pos", "neg", x.alias("x"), y.alias("y"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("q")).where("x + y > 0")
+    by = Window.partitionBy(*keys).orderBy(F.desc("score"))
+    before = lambda n, default: F.lag(n, 1, default).over(by)
+    c = c.withColumn("roc", (F.col("x") - before("x", 0.0)) * (F.col("y") + before("y", 0.0)) / 2).withColumn("pr", (F.col("y") - before("y", 0.0)) * (F.col("q") + before("q", 1.0)) / 2)
+    out = c.groupBy(*keys).agg(F.sum("roc").alias("roc"), F.sum("pr").alias("pr"), ((F.max("pos") > 0) & (F.max("neg") > 0)).alias("both"))
+    return out.select(*keys, F.when(F.col("both"), F.col("roc")).alias("roc_auc"), F.when(F.col("both"), F.col("pr")).alias("pr_auc"))
