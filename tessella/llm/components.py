@@ -9,7 +9,6 @@ end. Rounds end when no edge is left; their tables lie in the shared folder.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,25 +41,27 @@ class UnionFind:
         return True
 
 
-def spanning(edges: np.ndarray) -> list[tuple[int, int]]:
-    """(node, root) of every node of the edges, roots included."""
-    uf = UnionFind()
-    for a, b in edges.tolist():
-        uf.union(a, b)
-    return [(x, uf.find(x)) for x in list(uf.up)]
+#: Nodes a task holds at once; beyond them it begins anew, and a later round joins the parts.
+NODES = 500_000
 
 
 def _local(batches):
     import pyarrow as pa
 
+    def stars(uf):
+        nodes = list(uf.up)
+        for lo in range(0, len(nodes), 65536):
+            part = nodes[lo : lo + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([uf.find(x) for x in part], pa.int64())], names=["node", "root"])
+
     uf = UnionFind()
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             uf.union(a, b)
-    nodes = list(uf.up)
-    for lo in range(0, len(nodes), 65536):
-        part = nodes[lo : lo + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([uf.find(x) for x in part], pa.int64())], names=["node", "root"])
+        if len(uf.up) > NODES:
+            yield from stars(uf)
+            uf = UnionFind()
+    yield from stars(uf)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -440,7 +440,9 @@ def join(docs: DataFrame, shingle: int = 4, threshold: int = 85) -> DataFrame:
 
     keyed = digest.join(roots, digest["fp1"] == roots["node"], "left")
     keyed = keyed.select("doc_id", "n", F.coalesce("component", "fp1").alias("k1"), F.when(F.col("component").isNull(), F.col("fp2")).otherwise(F.lit(0)).alias("k2"))
+    # Both sides of the last join come by an exchange of their own, so that a hot component can be split.
     least = keyed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least")).select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "least")
+    least = materialize(least, "jaccard-least")
     out = keyed.join(least, (keyed["k1"] == least["_1"]) & (keyed["k2"] == least["_2"]) & (keyed["n"] > 0), "left")
     result = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
     discard(found, members, placed)
