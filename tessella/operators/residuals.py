@@ -100,36 +100,40 @@ def size_history(rows: DataFrame, keep: int = 5) -> DataFrame:
     Rows: video_id, track_id, frame_index, size, axis, confidence. Without comparable
     history the reason says whether any earlier row exists.
     """
-    by = Window.partitionBy("video_id", "track_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, -1)
-    # One collected window per track: histories are short next to a video.
-    out = rows.withColumn("_all", F.collect_list(F.struct("axis", "size", "confidence")).over(by))
-    same = F.filter("_all", lambda x: x["axis"] == F.col("axis"))
-    out = out.withColumn("_h", F.reverse(F.slice(F.reverse(same), 1, keep)))
-    middle = array_median(F.transform("_h", lambda x: x["size"]))
-    conf = array_median(F.transform("_h", lambda x: x["confidence"]))
-    have = F.size("_h") > 0
+    track = Window.partitionBy("video_id", "track_id").orderBy("frame_index")
+    # Earlier rows of the same axis are a window of their own, so no frame holds more than ``keep`` of them.
+    axis = Window.partitionBy("video_id", "track_id", "axis").orderBy("frame_index").rowsBetween(-keep, -1)
+    out = rows.withColumn("_i", F.row_number().over(track)).withColumn("_sizes", F.collect_list("size").over(axis)).withColumn("_confs", F.collect_list("confidence").over(axis))
+    have = F.size("_sizes") > 0
     return out.select(
         "video_id",
         "track_id",
         "frame_index",
-        F.when(have, F.abs(F.ln("size") - F.ln(middle))).alias("residual"),
-        F.when(have, F.least("confidence", conf)).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(have, "").when(F.size("_all") > 0, "no_comparable_axis_history").otherwise("no_track_history").alias("reason"),
+        F.when(have, F.abs(F.ln("size") - F.ln(array_median(F.col("_sizes"))))).alias("residual"),
+        F.when(have, F.least("confidence", array_median(F.col("_confs")))).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(have, "").when(F.col("_i") > 1, "no_comparable_axis_history").otherwise("no_track_history").alias("reason"),
     )
 
 
 def prefix_poses(poses: DataFrame) -> DataFrame:
     """Product of all poses of a clip up to each frame, NULL from the first missing one on; confidence is the running minimum.
 
-    Rows: video_id, frame_index, pose (16 doubles), confidence. A clip's poses are folded
-    in order by a higher-order function, on the JVM.
+    Rows: video_id, frame_index, pose (16 doubles), confidence; video_id may be a clip's id. Each
+    group's poses are collected once and folded in order by a higher-order function, on the JVM.
     """
-    by = Window.partitionBy("video_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
     unit = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
-    # collect_list drops NULL, so poses travel inside structs.
-    rows = poses.withColumn("_all", F.collect_list(F.struct("pose")).over(by)).withColumn("_broken", F.max(F.col("pose").isNull().cast("int")).over(by))
-    chain = F.aggregate("_all", unit, lambda acc, x: G.matmul4(x["pose"], acc))
-    return rows.withColumn("pose_to_first", F.when(F.col("_broken") == 0, chain)).withColumn("chain_confidence", F.when(F.col("_broken") == 0, F.min("confidence").over(by)).otherwise(F.lit(0.0))).drop("_all", "_broken")
+    frames = F.array_sort(F.collect_list(F.struct("frame_index", "pose", "confidence")))
+    step = "struct<frame_index:%s,pose_to_first:array<double>,chain_confidence:double>" % dict(poses.dtypes)["frame_index"]
+    start = F.struct(unit.alias("chain"), F.lit(1.0).alias("least"), F.array().cast(f"array<{step}>").alias("out"))
+
+    def fold(acc, x):
+        chain = F.when(acc["chain"].isNotNull() & x["pose"].isNotNull(), G.matmul4(x["pose"], acc["chain"]))
+        least = F.least(acc["least"], x["confidence"])
+        row = F.struct(x["frame_index"].alias("frame_index"), chain.alias("pose_to_first"), F.when(chain.isNotNull(), least).otherwise(F.lit(0.0)).alias("chain_confidence"))
+        return F.struct(chain.alias("chain"), least.alias("least"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    folded = poses.groupBy("video_id").agg(frames.alias("_all"))
+    return folded.select("video_id", F.explode(F.aggregate("_all", start, fold, lambda acc: acc["out"])).alias("r")).select("video_id", "r.*")
 
 
 def d2_reprojection(rows: DataFrame) -> DataFrame:

@@ -174,3 +174,26 @@ def test_priors(spark):
     objects = spark.createDataFrame([("car",), ("auto",), ("cup",)], "label string")
     got = {r["label"]: (r["min_m"], r["prior_reason"]) for r in records.resolve_priors(objects, records.load_priors(priors, sources)).collect()}
     assert got == {"car": (2.9, ""), "auto": (2.9, ""), "cup": (None, "missing_category")}
+
+
+def test_prefix_products_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    poses = []
+    for _ in range(6):
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        t = np.eye(4)
+        t[:3, :3], t[:3, 3] = q, rng.normal(size=3)
+        poses.append(t)
+    rows = [("v", i, [float(x) for x in p.ravel()], 1 - i / 10) for i, p in enumerate(poses)]
+    got = residuals.prefix_poses(spark.createDataFrame(rows[::-1], "video_id string, frame_index int, pose array<double>, confidence double")).orderBy("frame_index").collect()
+    chain = np.eye(4)
+    for i, (p, r) in enumerate(zip(poses, got, strict=True)):
+        chain = p @ chain
+        assert np.allclose(np.array(r["pose_to_first"]).reshape(4, 4), chain) and r["chain_confidence"] == pytest.approx(1 - i / 10)
+
+
+def test_size_history_uses_the_last_five_of_the_axis(spark):
+    rows = [("v", "t", i, float(i + 1), "x" if i != 3 else "y", 0.5) for i in range(8)]
+    got = residuals.size_history(spark.createDataFrame(rows, "video_id string, track_id string, frame_index int, size double, axis string, confidence double")).orderBy("frame_index").collect()
+    assert got[0]["reason"] == "no_track_history" and got[3]["reason"] == "no_comparable_axis_history"
+    assert got[7]["residual"] == pytest.approx(abs(math.log(8) - math.log(np.median([2, 3, 5, 6, 7]))))
