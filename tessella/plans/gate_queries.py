@@ -127,11 +127,11 @@ def clip_geometry(spark, sf):
 
 
 @query("scale_router", f"""WITH o AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN {s(3)} END AS me, CASE WHEN event_id % 4 = 0 THEN {s(7)} END AS te FROM events),
-  p AS (SELECT event_id, min_by(v, k) AS pair FROM (SELECT event_id, CASE WHEN (event_id + k) % 3 <> 0 THEN {s(11)} + k END AS v, k FROM events, (SELECT unnest([0, 1, 2]) AS k) WHERE event_id % 5 <> 0) WHERE v IS NOT NULL AND event_id % 3 <> 0 AND event_id % 4 <> 0 GROUP BY ALL)
+  p AS (SELECT event_id, min_by(v, k) AS pair FROM (SELECT event_id, CASE WHEN (event_id + k) % 3 <> 0 AND event_id % 5 <> 0 THEN {s(11)} + k END AS v, k FROM events, (SELECT unnest([0, 1, 2]) AS k)) WHERE v IS NOT NULL AND event_id % 3 <> 0 AND event_id % 4 <> 0 GROUP BY ALL)
   SELECT event_id, CASE WHEN me IS NOT NULL THEN 'metric' WHEN te IS NOT NULL THEN 'temporal' WHEN pair IS NOT NULL THEN 'pair' ELSE 'none' END AS branch, {r('coalesce(me, te, pair)')} AS scale FROM o LEFT JOIN p USING (event_id)""")
 def scale_router(spark, sf):
     o = _e(spark, sf).select("event_id", F.when(K() % 3 == 0, m(3)).alias("metric"), F.when(K() % 4 == 0, m(7)).alias("temporal"))
-    p = _e(spark, sf).where(K() % 5 != 0).select("event_id", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("ord")).withColumn("value", F.when((K() + F.col("ord")) % 3 != 0, m(11) + F.col("ord")))
+    p = _e(spark, sf).select("event_id", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("ord")).withColumn("value", F.when(((K() + F.col("ord")) % 3 != 0) & (K() % 5 != 0), m(11) + F.col("ord")))
     return gates.route_scale(o, p, "event_id").select("event_id", "branch", "scale")
 
 
@@ -332,10 +332,10 @@ def protocol_leakage(spark, sf):
     return lineage.protocol_leakage(records(spark, sf), ["group_id", "content_hash"])
 
 
-@query("eligibility_matrix", EV + f", g AS (SELECT DISTINCT video_id AS entity_id, b AS branch FROM ev, (SELECT unnest({BRANCHES!r}) AS b)), a AS (SELECT video_id AS entity_id, branch, count(*) AS rows, count(*) FILTER (valid) AS valid_rows FROM ev WHERE ord % 7 = 0 GROUP BY ALL) SELECT entity_id, branch, coalesce(rows, 0) AS rows, coalesce(valid_rows, 0) AS valid_rows, CASE WHEN coalesce(rows, 0) = 0 THEN 'no_observation' WHEN valid_rows < 1 THEN 'no_valid_evidence' ELSE 'eligible' END AS status FROM g LEFT JOIN a USING (entity_id, branch)")
+@query("eligibility_matrix", EV + f", g AS (SELECT DISTINCT video_id AS entity_id, b AS branch FROM ev, (SELECT unnest({BRANCHES!r}) AS b)), a AS (SELECT video_id AS entity_id, branch, count(*) AS rows, count(*) FILTER (valid) AS valid_rows FROM ev GROUP BY ALL) SELECT entity_id, branch, coalesce(rows, 0) AS rows, coalesce(valid_rows, 0) AS valid_rows, CASE WHEN coalesce(rows, 0) = 0 THEN 'no_observation' WHEN valid_rows < 1 THEN 'no_valid_evidence' ELSE 'eligible' END AS status FROM g LEFT JOIN a USING (entity_id, branch)")
 def eligibility_matrix(spark, sf):
     e = evidence(spark, sf)
-    rows = e.where("ord % 7 = 0").select(F.col("video_id").alias("entity_id"), "branch", "valid", "reason")
+    rows = e.select(F.col("video_id").alias("entity_id"), "branch", "valid", "reason")
     return lineage.eligibility_matrix(e.select(F.col("video_id").alias("entity_id")).distinct(), rows, BRANCHES)
 
 
@@ -348,11 +348,11 @@ def inventory_join(spark, sf):
     return lineage.inventory(videos, labels, groups)
 
 
-@query("path_relocation", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/data/' || page_id ELSE url END AS url, url AS original_url FROM pages")
+@query("path_relocation", "WITH m AS (SELECT url, min(page_id) AS p FROM pages GROUP BY ALL) SELECT page_id, CASE WHEN p % 3 = 0 THEN '/data/' || p ELSE pages.url END AS url, pages.url AS original_url FROM pages JOIN m ON pages.url = m.url")
 def path_relocation(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     # A mapping has one row for each original path.
-    mapping = pages.where("page_id % 3 = 0").groupBy(F.col("url").alias("original")).agg(F.concat(F.lit("/data/"), F.min("page_id").cast("string")).alias("relocated"))
+    mapping = pages.groupBy(F.col("url").alias("original")).agg(F.min("page_id").alias("p")).select("original", F.when(F.col("p") % 3 == 0, F.concat(F.lit("/data/"), F.col("p").cast("string"))).alias("relocated"))
     return lineage.relocate(pages, mapping, "url").select("page_id", "url", "original_url")
 
 
