@@ -14,8 +14,10 @@ none of them at most 1 %. The projection and rotations are fitted on at most abo
 ``SAMPLE`` vectors (a bounded, documented sample); every vector is indexed.
 
 Equal vectors of a label are one class first. A key with many classes is dealt in blocks of
-``GROUP``; tasks hold two blocks. Links become counts and spanning edges where they are
-found; pairs are never written. A pair is counted only in the first table it shares.
+``GROUP``; tasks hold two blocks. Tables carry codes only: a class goes on, with its vector,
+to those blocks in which some other code is within the radius that a pair at the threshold
+exceeds with four standard deviations. There links become counts and spanning edges;
+pairs are never written. A pair is counted only in the first table it shares.
 
 Cases: vectors that are null, zero, of another length than most of the sample, or hold null or non-finite
 components, and null labels, link with nothing (their component is their own vec_id); rows that share a vec_id are vectors
@@ -34,7 +36,6 @@ from pyspark.sql import functions as F
 from .components import components
 from .mixing import uniform
 from .storage import discard, materialize
-from .textkernel import mix, seeded
 
 SAMPLE = 8192
 ITERATIONS = 30
@@ -74,7 +75,10 @@ def codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 def table_keys(bits: np.ndarray, substring: int, tables: int) -> np.ndarray:
     """(vectors, tables) substring values."""
     power = 1 << np.arange(substring, dtype=np.int64)
-    return np.stack([bits[:, t * substring : (t + 1) * substring] @ power for t in range(tables)], axis=1)
+    out = np.zeros((len(bits), tables), np.int64)
+    for t in range(tables):
+        out[:, t] = bits[:, t * substring : (t + 1) * substring] @ power
+    return out
 
 
 def _unit(batch_column, dim: int | None):
@@ -158,24 +162,68 @@ def links(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.float64).reshape(-1, dim)
-            keys = table_keys(codes(v, held.value), substring, tables)
+            bits = codes(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, dim), held.value)
+            keys, packed = table_keys(bits, substring, tables), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(keys[:, t]), batch.column(0), batch.column(1), batch.column(2), batch.column(3)], names=["table", "key", "label", "k1", "size", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), batch.column(0), batch.column(1), packed], names=["table", "key", "label", "k1", "code"])
 
-    keyed = classes.select("label", "k1", "size", "vector").mapInArrow(index, "table int, key long, label string, k1 long, size long, vector binary")
-    sizes = classes.select("label", "k1", "size", "vector").mapInArrow(index, "table int, key long, label string, k1 long, size long, vector binary").groupBy("label", "table", "key").agg(F.count(F.lit(1)).alias("n"))
+    keyed = materialize(classes.select("label", "k1", "vector").mapInArrow(index, "table int, key long, label string, k1 long, code binary"), "itq-keyed")
+    sizes = keyed.groupBy("label", "table", "key").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.where("n > 1").select(F.col("label").alias("_l"), F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
     dealt = keyed.join(sizes, (keyed["label"] == sizes["_l"]) & (keyed["table"] == sizes["_t"]) & (keyed["key"] == sizes["_k"]))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "table", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k1", "size", "vector")
-    order = ["label", "table", "key", "lo", "hi"]
-    dealt = dealt.repartition(*order).sortWithinPartitions(*order, "k1")
+    place = ["label", "table", "key", "lo", "hi"]
+    dealt = dealt.select("label", "table", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k1", "code")
+    dealt = dealt.repartition(*place).sortWithinPartitions(*place, "k1")
+    n_bits = substring * tables
+    p = math.acos(threshold) / math.pi
+    radius = math.ceil(n_bits * p + 4 * math.sqrt(n_bits * p * (1 - p)))
+
+    def groups(batches):
+        """Rows of each (label, table, key, lo, hi), as columns."""
+        now, rows = None, None
+        for batch in batches:
+            for first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first[:5] != now:
+                    if now is not None:
+                        yield now, rows
+                    now, rows = first[:5], [[] for _ in first[5:]]
+                for column, x in zip(rows, first[5:], strict=True):
+                    column.append(x)
+        if now is not None:
+            yield now, rows
+
+    def near(batches):
+        import pyarrow as pa
+
+        for now, (block, k1, code) in groups(batches):
+            if len(k1) < 2:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(k1), -1), axis=1)[:, :n_bits]
+            sign = bits.astype(np.float32) * 2 - 1
+            close = sign @ sign.T >= n_bits - 2 * radius
+            np.fill_diagonal(close, False)
+            if now[3] != now[4]:
+                b = np.array(block)
+                close &= b[:, None] != b[None, :]
+            keys = table_keys(bits, substring, now[1]) if now[1] else None
+            if keys is not None:  # an earlier table has the pair
+                for t in range(now[1]):
+                    close &= keys[:, t][:, None] != keys[:, t][None, :]
+            at = np.flatnonzero(close.any(axis=1))
+            if len(at):
+                m = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * m, pa.string()), *(pa.array([x] * m, t) for x, t in zip(now[1:], (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array([block[i] for i in at], pa.int32()), pa.array([k1[i] for i in at], pa.int64()), pa.array([code[i] for i in at], pa.binary())], names=[*place, "block", "k1", "code"])
+
+    going = materialize(dealt.mapInArrow(near, "label string, table int, key long, lo int, hi int, block int, k1 long, code binary"), "itq-near")
+    vectors_of = classes.select(F.col("k1").alias("_c1"), "size", "vector")
+    dealt = going.join(vectors_of, going["k1"] == vectors_of["_c1"]).select(*place, "block", "k1", "code", "size", "vector")
+    dealt = dealt.repartition(*place).sortWithinPartitions(*place, "k1")
 
     def meet(batches):
         import pyarrow as pa
 
-        def flush(now, block, k1, size, vector):
+        def flush(now, block, k1, code, size, vector):
             if len(k1) < 2:
                 return None
             v = np.frombuffer(b"".join(vector), np.float64).reshape(-1, dim)
@@ -187,7 +235,8 @@ def links(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             i, j = np.nonzero(np.triu(close))
             if not len(i):
                 return None
-            keys = table_keys(codes(v, held.value), substring, tables)[:, : now[1]]
+            bits = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(k1), -1), axis=1)
+            keys = table_keys(bits, substring, now[1])
             first = ~(keys[i] == keys[j]).any(axis=1)  # else an earlier table has counted the pair
             i, j = i[first], j[first]
             weight = np.array(size)
@@ -206,18 +255,9 @@ def links(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             ids = np.array(k1, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[near[at]]), pa.array(count[at].astype(np.int64))], names=["k1", "head", "links"])
 
-        now, held_rows = None, ([], [], [], [])
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for label, table, key, lo, hi, *rest in zip(*columns, strict=True):
-                if (label, table, key, lo, hi) != now:
-                    if (out := flush(now, *held_rows)) is not None:
-                        yield out
-                    now, held_rows = (label, table, key, lo, hi), ([], [], [], [])
-                for column, x in zip(held_rows, rest, strict=True):
-                    column.append(x)
-        if (out := flush(now, *held_rows)) is not None:
-            yield out
+        for now, rows in groups(batches):
+            if (out := flush(now, *rows)) is not None:
+                yield out
 
     found = materialize(dealt.mapInArrow(meet, "k1 long, head long, links long"), "itq-links")
     counts = found.groupBy("k1").agg(F.sum("links").alias("links")).select(F.col("k1").alias("_c"), "links")
@@ -229,5 +269,5 @@ def links(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     named = named.join(smallest, named["g"] == smallest["_g"]).select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "n_links", "component_id")
     out = rows.select("vec_id", "k1", "k2").join(named, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left")
     component = F.when(F.col("_1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    discard(found)
+    discard(found, keyed, going)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
