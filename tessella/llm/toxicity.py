@@ -66,13 +66,13 @@ def sentences(scan: Scan) -> np.ndarray:
 
 
 def features(scan: Scan) -> np.ndarray:
-    """Feature keys of every word: (1 + len(PREFIXES), words)."""
+    """Feature keys of every word: (1 + len(PREFIXES), words). Keys are even; 0 is none."""
     s, e = scan.cores()
     out = scan.hashes(s, [e, *(np.minimum(e, s + p) for p in PREFIXES)])
     with np.errstate(over="ignore"):
         for i, p in enumerate(PREFIXES, 1):
             out[i] = np.where(e - s >= p, out[i] * np.uint64(2 * i + 1), np.uint64(0))
-    return np.stack(out)
+    return np.stack(out) & ~np.uint64(1)
 
 
 def _bags(texts: list[bytes]):
@@ -89,17 +89,23 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     if len(y) == 0 or y.min() == y.max():
         return none
     bags = list(_bags(texts))
-    seen_key, seen_toxic = [], []
+    seen = []
     for lo, _, scan, keys, _ in bags:
         doc = lo + np.repeat(np.arange(len(scan.first) - 1), np.diff(scan.first))
         for row in keys:
             with np.errstate(over="ignore"):
                 once = np.unique(mix(row ^ (doc + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-            seen_key.append(row[once])
-            seen_toxic.append(y[doc[once]].astype(np.int8))
-    key, back = np.unique(np.concatenate(seen_key), return_inverse=True)
-    toxic = np.concatenate(seen_toxic)
-    a, b = np.bincount(back, toxic, len(key)), np.bincount(back, 1 - toxic, len(key))
+            seen.append(row[once] | y[doc[once]].astype(np.uint64))  # the free bit holds the label
+    flat = np.concatenate(seen)
+    del seen
+    flat.sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] >> np.uint64(1) != flat[:-1] >> np.uint64(1)
+    begin = np.flatnonzero(new)
+    key = flat[begin] & ~np.uint64(1)
+    a = np.add.reduceat((flat & np.uint64(1)).astype(np.int32), begin).astype(float) if len(begin) else np.zeros(0)
+    b = np.diff(np.append(begin, len(flat))) - a
+    del flat, new
     na, nb = float(y.sum()), float((1 - y).sum())
     pool = np.minimum(1.0, (a + b) / (na + nb))  # key 0 stands for several features
     z = (a / na - b / nb) / np.sqrt(pool * (1 - pool) * (1 / na + 1 / nb) + 1e-12)
