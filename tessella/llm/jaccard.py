@@ -19,8 +19,9 @@ share min(l_X, l_Y) prefix shingles before it is verified.
    share thus cost one row each, not pairs.
 4. *Runs* of one shingle among the rest: up to ``RUN_PAIRS`` classes give all pairs of fitting
    size; a longer run links every class to its first one only (a star), so its output
-   stays linear. A pair of short runs stands if it shares enough prefix shingles;
-   stars always stand. Every link lies inside a component of these edges: a family.
+   stays linear, and so does every salted run, whose first ones are linked too. A pair of
+   short runs stands if it shares enough prefix shingles; stars always stand. Every link
+   lies inside a component of these edges: a family.
 5. *Verification* compares whole sets inside each family, exactly. A family above
    ``BLOCK_DOCS`` is dealt into blocks by hash: blocks are compared within, delegates
    of all blocks with each other, and then every class outside the family's largest
@@ -221,7 +222,8 @@ def run_edges(token, salt, node, info, threshold: int):
         small, large = np.minimum(size[i], size[i + d]), np.maximum(size[i], size[i + d])
         i = i[100 * small >= threshold * large]
         parts.append((node[i], node[i + d], np.minimum(match[i], match[i + d]), np.zeros(len(i), bool)))
-    hot = np.flatnonzero(~short & ~new)
+    # Rows of a salted run miss their partners in other salts, so a short one gets a star too.
+    hot = np.flatnonzero((~short | (salt > 0)) & ~new)
     parts.append((node[begin[run[hot]]], node[hot], match[hot], np.ones(len(hot), bool)))
     salted = begin[salt[begin] > 0]
     return [np.concatenate(x) for x in zip(*parts, strict=True)], (token[salted], node[salted])

@@ -66,6 +66,19 @@ def test_op3_wide_families(spark, monkeypatch):
     assert Counter(tuple(r) for r in got) == brute_jaccard(rows, 4, 85)
 
 
+def test_op3_short_salted_runs(spark, monkeypatch):
+    """Linked texts that share only common shingles, and lie in different salts of them."""
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 4)
+    rng = random.Random(9)
+    rows = []
+    for i in range(100):
+        w = rng.sample([f"w{j}" for j in range(60)], 30)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[1:], f"w{60 + i % 3}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.join(df, 1, 85).collect()
+    assert Counter(tuple(r) for r in got) == brute_jaccard(rows, 1, 85)
+
+
 def test_op3_empty(empty, clashing, rows):
     assert jaccard.join(empty).count() == 0
     assert Counter(tuple(r) for r in jaccard.join(clashing).collect()) == brute_jaccard(rows, 4, 85)
