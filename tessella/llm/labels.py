@@ -9,9 +9,9 @@ from .langid import held_out
 from .mixing import uniform
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int | None = None) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """About ``per_class`` documents of each label (at most twice that), the first
-    ``max_chars`` of each text, from the training fold only, and the fold's count of
+    ``max_chars`` of each text (all without it), from the training fold only, and the fold's count of
     each label. The sample's size doesn't grow with the tables, so its join is broadcast.
 
     Rows whose label is neither 0 nor 1, or without text, are left out; a document with several
@@ -25,5 +25,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         cut = F.when(F.col("_y") == y, F.lit(min(1.0, per_class / n))).otherwise(cut)
     picked = fold.withColumn("_u", drawn).where(F.col("_u") < cut)
     few = picked.orderBy("_u", "doc_id").limit(4 * per_class)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("_u", "_y", F.substring("text", 1, max_chars).alias("text")).orderBy("_u", "text").limit(8 * per_class).collect()
+    text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars).alias("text")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("_u", "_y", text).orderBy("_u", "text").limit(8 * per_class).collect()
     return [(r["text"], int(r["_y"])) for r in rows], counts

@@ -5,13 +5,17 @@ weights of its words' features); the document's is the noisy-or 1 - prod(1 - p).
 document labels train it: with S = sum softplus(z_s), the loss of a clean document
 is S and of a toxic one -log(1 - exp(-S)). The sentences with p >= 0.5 are the offending ones.
 
+In a score the sentences above a learned floor count each: the floor is the highest z of the
+clean sampled documents' sentences, 0 at most. Of the others only the highest counts, so
+what clean documents hold adds nothing by repetition; an offending sentence always counts.
+
 Features of a word, without signs at its ends and with A-Z lower-cased: itself and its
 first 4, 5 and 6 bytes. Of these the training keeps those in at least ``MIN_DOCS`` sampled
 documents that lean to toxic documents by ``MIN_Z`` standard errors (at most ``MOST_FEATURES``).
 
 A sentence ends at a word that ends in . ! or ?, at a line break, and after ``LONGEST``
-words. Training reads at most about ``PER_CLASS`` documents of each label, ``SAMPLE_CHARS``
-of each: a bounded, documented sample. Scores read whole texts and nothing else.
+words. Training reads the whole texts of at most about ``PER_CLASS`` documents of each label:
+a bounded, documented sample. Scores read whole texts and nothing else.
 
 Cases: null, empty and blank texts have no sentence and score 0; without labels of
 both kinds every score is 0; rows that share a doc_id are scored each by its own
@@ -32,7 +36,6 @@ from .storage import document_batches
 from .textkernel import Scan, as_bytes, mix, slices
 
 PER_CLASS = 2000
-SAMPLE_CHARS = 8192
 MIN_DOCS = 4
 MIN_Z = 3.0
 MOST_FEATURES = 20_000
@@ -48,6 +51,7 @@ class Model:
     keys: np.ndarray
     weights: np.ndarray
     bias: float
+    floor: float = 0.0
 
 
 def sentences(scan: Scan) -> np.ndarray:
@@ -88,9 +92,8 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
     if len(y) == 0 or y.min() == y.max():
         return none
-    bags = list(_bags(texts))
     seen = []
-    for lo, _, scan, keys, _ in bags:
+    for lo, _, scan, keys, _ in _bags(texts):
         doc = lo + np.repeat(np.arange(len(scan.first) - 1), np.diff(scan.first))
         for row in keys:
             with np.errstate(over="ignore"):
@@ -117,7 +120,7 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
 
     owner, feature, bag_of = [], [], []
     total = 0
-    for lo, _, scan, rows, begin in bags:
+    for lo, _, scan, rows, begin in _bags(texts):  # again, so that only one slice is held
         sentence = np.searchsorted(begin, np.arange(rows.shape[1]), side="right") - 1
         for row in rows:
             at = np.minimum(np.searchsorted(keys, row), len(keys) - 1)
@@ -139,14 +142,17 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
         zs = bias + np.bincount(owner, w[feature], len(live))
         p, soft, p0, soft0 = 1 / (1 + np.exp(-zs)), np.logaddexp(0, zs), 1 / (1 + np.exp(-bias)), np.logaddexp(0, bias)
         s = np.bincount(bag_of, soft, len(y)) + plain * soft0
-        pull = np.where(y == 1, -1 / np.expm1(np.maximum(s, 1e-9)), 1.0) * weight
+        pull = np.where(y == 1, -1 / np.expm1(np.clip(s, 1e-9, 700.0)), 1.0) * weight
         gz = p * pull[bag_of]
         g = np.append(np.bincount(feature, gz[owner], len(keys)) + 0.05 * w, gz.sum() + (plain * p0 * pull).sum())
         m[0] = 0.9 * m[0] + 0.1 * g
         m[1] = 0.99 * m[1] + 0.01 * g * g
         step = 0.1 * (m[0] / (1 - 0.9**epoch)) / (np.sqrt(m[1] / (1 - 0.99**epoch)) + 1e-8)
         w, bias = np.maximum(w - step[:-1], 0.0), min(bias - step[-1], -3.0)
-    return Model(keys, w, float(bias))
+    clean = y[bag_of] == 0
+    z = bias + np.bincount(owner, w[feature], len(live))
+    floor = max(bias, z[clean].max()) if clean.any() else bias
+    return Model(keys, w, float(bias), float(min(floor, 0.0)))
 
 
 def sentence_scores(model: Model, texts: list[bytes]):
@@ -166,7 +172,10 @@ def score(model: Model, texts: list[bytes], spans: bool = True):
     out, found = np.zeros(len(texts)), [[] for _ in texts]
     for lo, scan, begin, owner, z in sentence_scores(model, texts):
         docs = len(scan.first) - 1
-        s = np.bincount(owner, np.logaddexp(0, z), docs)
+        soft, above = np.logaddexp(0, z), (z > model.floor) | (z >= 0)
+        weak = np.zeros(docs)
+        np.maximum.at(weak, owner[~above], soft[~above])
+        s = np.bincount(owner, np.where(above, soft, 0.0), docs) + weak
         out[lo : lo + docs] = -np.expm1(-s) if len(model.keys) else 0.0
         if spans:
             stop = np.append(begin[1:], len(scan.start)) - 1
@@ -182,7 +191,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_offendin
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    return train(*training_sample(docs, labels, "toxic", per_class, SAMPLE_CHARS))
+    return train(*training_sample(docs, labels, "toxic", per_class))
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -120,6 +120,31 @@ def test_offending_sentences():
     assert [text[a:b] for a, b, _ in spans[0]] == ["É you awful badword1, go."] and not spans[1]
 
 
+def test_toxicity_does_not_grow_with_length():
+    clean = "The sky is blue today. We walk home.\nAll is well."
+    sample = [(clean + f" Note {i}.", 0) for i in range(40)] + [(clean + f" You are an awful badword{i % 2}! Bye {i}.", 1) for i in range(40)]
+    model = toxicity.train(sample, {0: 40, 1: 40})
+    p, _ = toxicity.score(model, [("All is well. " * 20_000).encode(), ("All is well. " * 20_000 + "You are an awful badword1!").encode()])
+    assert p[0] < 0.5 < p[1]
+
+
+def test_toxicity_floor():
+    """A weakly weighted sentence that clean documents hold too adds nothing by repetition."""
+    sample = [("All is well." + " Some mildly words." * (i % 4 == 0), 0) for i in range(80)] + [("All is well. Some mildly words. You awful badword!", 1) for _ in range(80)]
+    model = toxicity.train(sample, {0: 80, 1: 80})
+    p, _ = toxicity.score(model, [("Some mildly words. " * 20_000).encode(), b"All is well. You awful badword!"])
+    assert p[0] < 0.5 < p[1]
+
+
+def test_toxicity_reads_whole_texts(spark):
+    filler = "The sky is blue today. We walk home.\n" * 300
+    rows = [(i, filler + (f"You are an awful badword{i % 3}!" if i % 2 else "All is well.")) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    p, _ = toxicity.score(model, [t.encode() for _, t in rows], spans=False)
+    assert ((p >= 0.5) == np.array([i % 2 == 1 for i, _ in rows])).all()
+
+
 def test_pipeline(spark):
     docs = table(spark, "documents")
     columns = docs.columns
