@@ -1,22 +1,23 @@
 """Embedding near-duplicates: iterative quantisation and multi-index Hamming tables.
 
-Unit vectors are centred, projected on their principal axes and turned by a learned
-rotation that brings them close to the corners of the cube (alternating: codes =
-signs, rotation = orthogonal Procrustes). Several rotations from different starts
-give as many bits as the tables need. A table's key is a substring of the code; pairs
-that share a key in any table, and the label, are compared by cosine in double
-precision with their original vectors.
+Unit vectors are projected on their principal axes and turned by a learned rotation that
+brings them close to the corners of the cube (alternating: codes = signs, rotation =
+orthogonal Procrustes). They are not centred, which would widen the angles of pairs. Several
+rotations from different starts give as many bits as the tables need. A table's key is a
+substring of the code; pairs that share a key in any table, and the label, are compared by
+cosine in double precision with their original vectors.
 
 Substring length follows the largest label's size n: log2(n / 32) bits (8 to 24), so
-random company in a key stays at some dozens. A pair at the threshold differs in a
-bit with probability p = arccos(t) / pi; the number of tables makes the chance to share
-none of them at most 1 %. The projection and rotations are fitted on at most about
-``SAMPLE`` vectors (a bounded, documented sample); every vector is indexed.
+random company in a key stays at some dozens, and at more where the vectors are all alike. The
+number of tables comes from the codes themselves: at most 1 % of pairs made at the threshold, from
+sampled vectors and random or sampled directions, share no table. The projection and rotations are
+fitted on at most about ``SAMPLE`` vectors (a bounded, documented sample); every vector is indexed.
 
 Equal vectors of a label are one class first. A key with many classes is dealt in blocks of
-``GROUP``; tasks hold two blocks. Tables carry codes only: a class goes on, with its vector,
-to those blocks in which some other code is within the radius that a pair at the threshold
-exceeds with four standard deviations. There links become counts and spanning edges;
+``GROUP``; tasks hold two blocks. Tables carry codes and sketches only: a class goes on, with its
+vector, to those blocks in which some other sketch may be within the threshold. A sketch is the
+vector in bytes, with the length of what that leaves out, so the bound on a cosine is proven and
+drops no link. There links become counts and spanning edges;
 pairs are never written. A pair is counted only in the first table it shares.
 
 Cases: vectors that are null, zero, of another length than most of the sample, or hold null or non-finite
@@ -40,6 +41,7 @@ from .storage import discard, materialize
 SAMPLE = 8192
 ITERATIONS = 30
 MISS = 0.01
+PAIRS = 4096
 GROUP = 1024
 
 
@@ -48,28 +50,76 @@ def tables_for(threshold: float, substring: int) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log(1 - (1 - p) ** substring)))
 
 
-def fit(vectors: np.ndarray, bits: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) of unit vectors: signs of (x - mean) @ projection are the code."""
-    n, d = vectors.shape
-    mean = vectors.mean(axis=0)
-    x = vectors - mean
-    _, _, axes = np.linalg.svd(x.T @ x)
+def fit(vectors: np.ndarray, bits: int, learned: int, seed: int = 3) -> np.ndarray:
+    """Projection of unit vectors: signs of x @ projection are the code. More bits only add
+    columns. From the ``learned``-th on, rotations are random ones."""
+    d = vectors.shape[1]
+    _, _, axes = np.linalg.svd(vectors.T @ vectors)
     rng = np.random.default_rng(seed)
+    v = vectors @ axes.T
     parts = []
-    for _ in range(-(-bits // d)):
-        v = x @ axes.T
+    for part in range(-(-bits // d)):
         r, _ = np.linalg.qr(rng.normal(size=(d, d)))
-        for _ in range(ITERATIONS):
+        for _ in range(ITERATIONS if part < learned else 0):
             code = np.where(v @ r >= 0, 1.0, -1.0)
             u, _, w = np.linalg.svd(v.T @ code)
             r = u @ w
         parts.append(axes.T @ r)
-    return mean, np.concatenate(parts, axis=1)[:, :bits]
+    return np.concatenate(parts, axis=1)[:, :bits]
 
 
-def codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def codes(vectors: np.ndarray, projection: np.ndarray) -> np.ndarray:
     """Bits of unit vectors."""
-    return (vectors - model[0]) @ model[1] >= 0
+    return vectors @ projection >= 0
+
+
+def partners(vectors: np.ndarray, threshold: float, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at the threshold's cosine: from sampled vectors in random directions, and towards others."""
+    rng = np.random.default_rng(seed)
+    x = vectors[rng.integers(0, len(vectors), PAIRS)]
+    out = []
+    for way in (rng.normal(size=x.shape), vectors[rng.integers(0, len(vectors), PAIRS)]):
+        way = way - (way * x).sum(axis=1)[:, None] * x
+        norm = np.linalg.norm(way, axis=1)
+        ok = norm > 1e-6
+        if ok.any():
+            out.append((x[ok], threshold * x[ok] + math.sqrt(1 - threshold**2) * way[ok] / norm[ok, None]))
+    return out
+
+
+def fit_tables(vectors: np.ndarray, threshold: float, substring: int) -> tuple[np.ndarray, int]:
+    """(projection, tables): as many tables as made pairs need to miss all with at most ``MISS``."""
+    pairs = partners(vectors, threshold)
+    most = 2 * tables_for(threshold, substring)
+    learned = -(-most * substring // vectors.shape[1])
+    while True:
+        projection = fit(vectors, most * substring, learned)
+        tables = 1
+        for a, b in pairs:
+            same = table_keys(codes(a, projection), substring, most) == table_keys(codes(b, projection), substring, most)
+            missed = 1 - np.logical_or.accumulate(same, axis=1).mean(axis=0)
+            enough = np.flatnonzero(missed <= MISS)
+            tables = max(tables, int(enough[0]) + 1 if len(enough) else most + 1)
+        if tables <= most:
+            return projection[:, : tables * substring], tables
+        most *= 2
+
+
+def sketches(vectors: np.ndarray) -> np.ndarray:
+    """Each unit vector in bytes: its scale and the length of the rest (4 each), one byte a component."""
+    scale = (np.abs(vectors).max(axis=1) / 127).astype(np.float32)
+    q = np.rint(vectors / scale[:, None].astype(np.float64)).clip(-127, 127).astype(np.int8)
+    rest = np.linalg.norm(vectors - q * scale[:, None].astype(np.float64), axis=1).astype(np.float32)
+    return np.concatenate([scale[:, None].view(np.uint8), rest[:, None].view(np.uint8), q.view(np.uint8)], axis=1)
+
+
+def may_link(held: np.ndarray, threshold: float) -> np.ndarray:
+    """Matrix of the pairs of sketches whose cosine can reach the threshold: with rests r and s
+    the product of sketches is short of it by r + s + r s at most."""
+    number = np.ascontiguousarray(held[:, :8]).view(np.float32)
+    v = held[:, 8:].view(np.int8) * number[:, :1]
+    rest = 1 + number[:, 1]
+    return v @ v.T + rest[:, None] * rest[None, :] - 1 >= threshold - 1e-5 - 1e-6 * v.shape[1]
 
 
 def table_keys(bits: np.ndarray, substring: int, tables: int) -> np.ndarray:
@@ -131,8 +181,8 @@ def links(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         return alone
     dim = sample.shape[1]
     substring = min(24, max(8, math.ceil(math.log2(max(2, most / 32)))))
-    tables = tables_for(threshold, substring)
-    held = spark.sparkContext.broadcast(fit(sample, substring * tables))
+    projection, tables = fit_tables(sample, threshold, substring)
+    held = spark.sparkContext.broadcast(projection)
 
     def classify(batches):
         import pyarrow as pa
@@ -162,22 +212,21 @@ def links(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = codes(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, dim), held.value)
+            unit = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, dim)
+            bits, sketch = codes(unit, held.value), pa.array([x.tobytes() for x in sketches(unit)], pa.binary())
             keys, packed = table_keys(bits, substring, tables), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), batch.column(0), batch.column(1), packed], names=["table", "key", "label", "k1", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), batch.column(0), batch.column(1), packed, sketch], names=["table", "key", "label", "k1", "code", "sketch"])
 
-    keyed = materialize(classes.select("label", "k1", "vector").mapInArrow(index, "table int, key long, label string, k1 long, code binary"), "itq-keyed")
+    keyed = materialize(classes.select("label", "k1", "vector").mapInArrow(index, "table int, key long, label string, k1 long, code binary, sketch binary"), "itq-keyed")
     sizes = keyed.groupBy("label", "table", "key").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.where("n > 1").select(F.col("label").alias("_l"), F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
     dealt = keyed.join(sizes, (keyed["label"] == sizes["_l"]) & (keyed["table"] == sizes["_t"]) & (keyed["key"] == sizes["_k"]))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = ["label", "table", "key", "lo", "hi"]
-    dealt = dealt.select("label", "table", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k1", "code")
+    dealt = dealt.select("label", "table", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k1", "code", "sketch")
     dealt = dealt.repartition(*place).sortWithinPartitions(*place, "k1")
     n_bits = substring * tables
-    p = math.acos(threshold) / math.pi
-    radius = math.ceil(n_bits * p + 4 * math.sqrt(n_bits * p * (1 - p)))
 
     def groups(batches):
         """Rows of each (label, table, key, lo, hi), as columns."""
@@ -196,12 +245,11 @@ def links(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     def near(batches):
         import pyarrow as pa
 
-        for now, (block, k1, code) in groups(batches):
+        for now, (block, k1, code, sketch) in groups(batches):
             if len(k1) < 2:
                 continue
             bits = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(k1), -1), axis=1)[:, :n_bits]
-            sign = bits.astype(np.float32) * 2 - 1
-            close = sign @ sign.T >= n_bits - 2 * radius
+            close = may_link(np.frombuffer(b"".join(sketch), np.uint8).reshape(len(k1), -1), threshold)
             np.fill_diagonal(close, False)
             if now[3] != now[4]:
                 b = np.array(block)

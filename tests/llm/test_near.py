@@ -1,6 +1,7 @@
 """op3, op5, op9, components and the reducer against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -246,6 +247,30 @@ def test_op9(spark, group, monkeypatch):
     assert sum(got[k] == want[k] for k in want) >= 0.9 * len(want)
 
 
+def test_op9_common_component(spark):
+    """Vectors around a large mean: pairs at the threshold still meet."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(500, 64))
+    x = 0.85 * np.eye(64)[0] + math.sqrt(1 - 0.85**2) * x / np.linalg.norm(x, axis=1)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = [b for _, b in itq.partners(x, 0.9301)]
+    v = np.concatenate([x, y[0][:1500], y[1][:1500]])
+    df = spark.createDataFrame([(i, e.tolist(), 0) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = itq.links(df).agg(F.sum("n_links")).first()[0]
+    true = int((v @ v.T >= 0.93).sum() - len(v))
+    assert 0.98 * true <= got <= true
+
+
+def test_sketches_drop_no_link():
+    rng = np.random.default_rng(14)
+    for d in (1, 3, 64, 700):
+        x = rng.normal(size=(200, d)) * rng.exponential(size=d)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        v = np.concatenate([x, *[b for _, b in itq.partners(x, 0.93)]])[:600]
+        close = itq.may_link(itq.sketches(v), 0.93)
+        assert not ((v @ v.T >= 0.93) & ~close).any() and (d < 64 or close.mean() < 0.2)
+
+
 def test_op9_empty(spark):
     schema = "vec_id long, embedding array<float>, label int, key long, size long"
     assert itq.links(spark.createDataFrame([], schema)).count() == 0
