@@ -20,9 +20,9 @@ vector in bytes, with the length of what that leaves out, so the bound on a cosi
 drops no link. There links become counts and spanning edges;
 pairs are never written. A pair is counted only in the first table it shares.
 
-Cases: vectors that are null, zero, of another length than most of the sample, or hold null or non-finite
+Cases: vectors that are null, zero or empty, or hold null or non-finite
 components, and null labels, link with nothing (their component is their own vec_id); rows that share a vec_id are vectors
-of their own; further columns are ignored; an empty table gives no rows.
+of their own; vectors of several lengths are indexed length by length and never link across; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -173,6 +173,19 @@ def _sample(vectors: DataFrame) -> tuple[np.ndarray, int]:
 
 def links(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row (vec_id, embedding, label)."""
+    length = F.coalesce(F.size("embedding"), F.lit(0))
+    rows = vectors.where(F.col("label").isNotNull()).groupBy(length.alias("d")).count().where("d > 0").orderBy("d").collect()
+    lengths = [r["d"] for r in rows]
+    if len(lengths) < 2:
+        return _links(vectors, threshold)
+    out = _links(vectors.where(~length.isin(lengths)), threshold)
+    for d in lengths:
+        out = out.unionByName(_links(vectors.where(length == d), threshold))
+    return out
+
+
+def _links(vectors: DataFrame, threshold: float) -> DataFrame:
+    """links() of vectors of one length."""
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("string"))
     sample, most = _sample(vectors)

@@ -261,6 +261,22 @@ def test_op9_common_component(spark):
     assert 0.98 * true <= got <= true
 
 
+def test_op9_lengths(spark):
+    rng = np.random.default_rng(15)
+    rows = []
+    for d, n in ((16, 20), (5, 3), (2, 1)):
+        for v in rng.normal(size=(n, d)):
+            rows += [(len(rows) + i, e.tolist(), 1) for i, e in enumerate((v, v, v + rng.normal(0, 0.01, d)))]
+    rows += [(500, None, 1), (501, [], 1), (502, rows[0][1], None), (503, [1.0, 2.0, 3.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: (r["vec_id"], r["n_links"], r["component_id"]) for r in itq.links(df).collect()}
+    want = {r[0]: (r[0], 0, r[0]) for r in rows}
+    for d in (16, 5, 2):
+        part = [r for r in rows if r[1] and len(r[1]) == d]
+        want.update({v[0]: v for v in brute_links(part).values()})
+    assert got == want
+
+
 def test_sketches_drop_no_link():
     rng = np.random.default_rng(14)
     for d in (1, 3, 64, 700):
