@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tessella.llm import components, itq, jaccard, reducer, simhash
 
 
+def words(rng, n, vocabulary=400):
+    return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(vocabulary)}" for _ in range(n))
+
+
 def brute_components(n, edges):
     up = list(range(n))
 
@@ -113,40 +117,114 @@ def test_runs_over_batches(size, monkeypatch):
         if t == 5:
             want_stars.add(("head", t, nodes[0]))
     assert pairs == want_pairs and stars == want_stars
-    shared = Counter()
-    for b in jaccard._shared(batches(rows, size)):
-        shared.update(zip(b.column("token").to_pylist(), b.column("node").to_pylist(), strict=True))
-    count = Counter(t for t, n in {(r[0], r[2]) for r in rows})
-    assert shared == Counter({(r[0], r[2]): 1 for r in rows if count[r[0]] > 1 or r[1]})
 
 
 def test_prefixes_keep_every_link():
-    """min(l) shared prefix shingles for every linked pair, and enough for the first filter."""
+    """Every linked pair shares min(l) prefix shingles, whatever their frequencies."""
     rng = np.random.default_rng(4)
-    for _ in range(300):
+    tested = 0
+    for _ in range(400):
         n = int(rng.integers(1, 60))
         x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
         y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.08], rng.integers(0, 1 << 62, rng.integers(0, 5)).astype(np.uint64)]))
         inter = len(np.intersect1d(x, y))
         if not inter or 100 * inter < 85 * (len(x) + len(y) - inter):
             continue
-        match = {}
-        for name, s in (("x", x), ("y", y)):
-            extra = np.full(len(s), float(rng.choice([0, 5, 500])))
-            match[name] = jaccard.choose_match(extra, len(s), 85)
-        px, py = (s[: len(s) - jaccard.need(len(s), 85) + match[name]] for name, s in (("x", x), ("y", y)))
-        shared = len(np.intersect1d(px, py))
-        assert shared >= min(match.values()) >= max(min(jaccard.asked_match(len(x), 85), match["x"], match["y"]), 1)
-        assert min(match.values()) >= jaccard.asked_match(len(x), 85) and min(match.values()) >= jaccard.asked_match(len(y), 85)
+        tested += 1
+        df = {int(t): 1 for t in np.union1d(x, y)}
+        for t in np.intersect1d(x, y).tolist():
+            df[t] = int(rng.choice([2, 5, 500, jaccard.SALT_ROWS * 3, jaccard.HOT + jaccard.SALT_ROWS * 2]))
+        for t in df:
+            if df[t] == 1 and rng.random() < 0.3:
+                df[t] = 4  # a third class has it
+        got = []
+        for node, s in ((1, x), (2, y)):
+            f = np.array([df[int(t)] for t in s], np.int64)
+            more = f > 1
+            order = np.lexsort((s[more], f[more]))
+            got.append(jaccard.prefix(s[more][order], f[more][order], node, len(s), 85))
+        shared = len(np.intersect1d(got[0][0], got[1][0]))
+        least = min(got[0][1], got[1][1])
+        assert shared >= least >= max(jaccard.asked_match(len(x), 85), jaccard.asked_match(len(y), 85), 1)
+    assert tested > 100
+
+
+@pytest.mark.parametrize("salt", [1, 4, 16])
+def test_op3_forced_salting(spark, monkeypatch, salt):
+    """Texts of shared passages, with every common shingle salted or hot."""
+    monkeypatch.setattr(jaccard, "SALT_ROWS", salt)
+    monkeypatch.setattr(jaccard, "RUN_PAIRS", 4)
+    monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 500)
+    monkeypatch.setattr(jaccard, "SEND_SHINGLES", 300)
+    rng = random.Random(salt)
+    passages = [words(rng, 12, 90) for _ in range(25)]
+    rows = []
+    for i in range(150):
+        picked = rng.sample(passages, rng.randrange(3, 7))
+        rows.append((2 * i, " ".join(picked)))
+        if i % 3 == 0:
+            w = " ".join(picked).split()
+            w[rng.randrange(len(w))] = "changed"
+            rows.append((2 * i + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in jaccard.join(df, 4, 85).collect()) == brute_jaccard(rows, 4, 85)
+
+
+def test_op3_one_id(spark):
+    """A thousand texts under one id, and as many without: each is a class of its own, none meets all others."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(1000):
+        t = words(rng, 30)
+        rows += [(7 if i % 2 else None, t), (7 if i % 2 else None, t + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in jaccard.join(df, 4, 85).collect()) == brute_jaccard(rows, 4, 85)
+
+
+def brute_kept(rows, k, threshold):
+    """Groups of rows (positions) that one row each must stay of."""
+    sets = [shingle_set(r[1], k) for r in rows]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])]
+    root = brute_components(len(rows), edges)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(root[i] if sets[i] else (r[0], r[1]), []).append(i)
+    return list(groups.values())
+
+
+def check_kept(kept, rows, k, threshold):
+    left = Counter((r["doc_id"], r["text"]) for r in kept)
+    for group in brute_kept(rows, k, threshold):
+        members = {(rows[i][0], rows[i][1]) for i in group}
+        stayed = [m for m in members if left.get(m)]
+        assert len(stayed) == 1 and left.pop(stayed[0]) == 1
+        ids = [i for i, _ in members if i is not None]
+        assert stayed[0][0] == (min(ids) if ids else None)
+    assert not left
 
 
 def test_deduplicate(docs, rows):
     kept = jaccard.deduplicate(docs).collect()
-    want = {k[0] for k in brute_jaccard(rows, 5, 80) if k[0] == k[2]}
-    assert {r["doc_id"] for r in kept} == want and len({(r["doc_id"], r["text"]) for r in kept}) == len(kept)
+    check_kept(kept, rows, 5, 80)
     assert set(kept[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
+def test_deduplicate_repeated_ids(spark, clashing, rows, empty):
+    """Near copies under repeated and null ids go; clashing columns stay."""
+    rng = random.Random(5)
+    more = []
+    for i in range(40):
+        t = words(rng, 40)
+        more += [(i % 4, t, 1), (None, t + " x", 2), (i % 4, t + " y", 3), (None, t, 4), (None, t, 4)]
+    more += [(None, None, 1), (None, None, 2), (3, "", 1), (3, " ", 1)]
+    df = spark.createDataFrame(more, "doc_id long, text string, extra int").repartition(3)
+    check_kept(jaccard.deduplicate(df).collect(), more, 5, 80)
+    got = jaccard.deduplicate(clashing)
+    assert got.columns == clashing.columns
+    check_kept(got.collect(), rows, 5, 80)
+    assert jaccard.deduplicate(empty).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(8)
     n = 400
