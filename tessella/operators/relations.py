@@ -1,4 +1,4 @@
-"""Pairs, graphs and events: scale-depth residuals, relation graphs, visibility and occlusion.
+"""Pairs, graphs and events: scale-depth residuals, relation graphs and reappearance.
 
 Pair joins always have an equality on the frame (or group), so no pair crosses frames.
 """
@@ -106,23 +106,6 @@ def structure_change(edges: DataFrame, points: DataFrame, group: str, top: float
     return rows.groupBy(group, "frame_index").agg(F.avg("change").alias("mean_change"), F.avg(F.when(F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(top))), F.col("change"))).alias("top_change"), F.count(F.lit(1)).alias("edges"))
 
 
-def visibility_explanation(rows: DataFrame, full: float = 0.8) -> DataFrame:
-    """Why an object isn't wholly seen; only what nothing explains is evidence.
-
-    Rows: visible_ratio, occluded_ratio, in_frame_ratio, scene_cut, history.
-    """
-    state = (
-        F.when(F.col("scene_cut"), "scene_cut")
-        .when(~F.col("history"), "no_history")
-        .when(F.col("visible_ratio") >= full, "visible")
-        .when(F.col("in_frame_ratio") < 0.5, "out_of_frame")
-        .when(F.col("visible_ratio") + F.col("occluded_ratio") >= full, "occluded")
-        .otherwise("unexplained")
-    )
-    out = rows.withColumn("explanation", state)
-    return out.withColumn("residual", F.when(F.col("explanation").isin("scene_cut", "no_history"), F.lit(None).cast("double")).when(F.col("explanation") == "unexplained", 1.0).otherwise(0.0))
-
-
 def reappearance(rows: DataFrame, least: float = 0.60, cross: float = 0.85) -> DataFrame:
     """1 - mean of four similarities; accepted from 0.60, across identities from 0.85.
 
@@ -133,34 +116,6 @@ def reappearance(rows: DataFrame, least: float = 0.60, cross: float = 0.85) -> D
     return rows.withColumn("quality", mean).withColumn("accepted", ok).withColumn("residual", F.when(ok, 1 - mean))
 
 
-def occlusion_events(rows: DataFrame, key: str, confirm: int = 3) -> DataFrame:
-    """Ordered classification by visibility, overlap, the state before and the length of absence.
-
-    Rows: key, frame_index, visible_ratio, overlap, in_frame_ratio, quality, scene_cut.
-    """
-    by = Window.partitionBy(key).orderBy("frame_index")
-    run = by.rowsBetween(Window.unboundedPreceding, 0)
-    absent = F.col("visible_ratio") <= 0.05
-    out = rows.withColumn("_absent", absent).withColumn("_seen", F.sum((~absent).cast("int")).over(run))
-    out = out.withColumn("absence", F.sum(F.col("_absent").cast("int")).over(Window.partitionBy(key, "_seen").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("_before", F.lag("absence").over(by))
-    event = (
-        F.when(F.col("scene_cut"), "scene_cut")
-        .when(F.col("quality") < 0.2, "unreliable_track")
-        .when(F.col("_before").isNull() & F.col("_absent"), "never_seen")
-        .when(F.col("_before").isNull(), "initialized")
-        .when(~F.col("_absent") & (F.col("_before") > 0), "reappeared")
-        .when(F.col("in_frame_ratio") < 0.5, "left_frame")
-        .when(F.col("_absent") & (F.col("overlap") >= 0.8), "fully_occluded")
-        .when(F.col("_absent") & (F.col("absence") >= confirm), "disappeared")
-        .when(F.col("_absent"), "absence_unconfirmed")
-        .when((F.col("visible_ratio") < 0.8) & (F.col("overlap") > 0), "partially_occluded")
-        .when(F.col("visible_ratio") < 0.8, "partial_unexplained")
-        .otherwise("visible")
-    )
-    return out.withColumn("event", event).drop("_absent", "_seen", "_before")
-
-
 def depth_order_violation(rows: DataFrame) -> DataFrame:
     """max(0, front - back + uncertainty) over their mean: the occluder must not lie behind."""
     v = F.greatest(F.lit(0.0), F.col("front_depth") - F.col("back_depth") + F.col("uncertainty")) / ((F.col("front_depth") + F.col("back_depth")) / 2)

@@ -107,38 +107,6 @@ def associate(boxes: DataFrame, max_gap: int = 2) -> DataFrame:
     return boxes.groupBy("video_id").applyInPandas(run, f"video_id {kinds['video_id']}, frame_index {kinds['frame_index']}, box_id {kinds['box_id']}, track long")
 
 
-def visibility_states(rows: DataFrame) -> DataFrame:
-    """Visibility of an object by frame, each state depending on the one before.
-
-    Rows: video_id, object_id, frame_index, ratio (visible share, NULL undetected), cut.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        state, states = "unseen", []
-        for ratio, cut in zip(pdf["ratio"], pdf["cut"], strict=True):
-            seen = ratio is not None and not math.isnan(ratio)
-            if cut:
-                state = "initialized" if seen else "unseen"
-            elif not seen:
-                state = "unseen" if state == "unseen" else "hidden"
-            elif state == "unseen":
-                state = "initialized"
-            elif state == "hidden":
-                state = "reappeared"
-            elif ratio >= 0.8:
-                state = "visible"
-            elif ratio > 0.05:
-                state = "partly_hidden"
-            else:
-                state = "hidden"
-            states.append(state)
-        return pd.DataFrame({"video_id": pdf["video_id"], "object_id": pdf["object_id"], "frame_index": pdf["frame_index"], "state": states})
-
-    kinds = dict(rows.dtypes)
-    return rows.groupBy("video_id", "object_id").applyInPandas(run, f"video_id {kinds['video_id']}, object_id {kinds['object_id']}, frame_index {kinds['frame_index']}, state string")
-
-
 def align_depth(pairs: DataFrame, rounds: int = 8, cut: float = 3.5, least: int = 8) -> DataFrame:
     """Robust line target = scale x source + shift of every frame pair: least squares, then
     points beyond 3.5 x 1.4826 MAD leave, at most eight times.

@@ -382,22 +382,6 @@ def size_history(spark, sf):
     return residuals.size_history(e.select("video_id", "track_id", F.col("row_idx").alias("frame_index"), (F.col("raw_value") + 0.5).alias("size"), (F.col("ord") % 2).alias("axis"), "confidence"))
 
 
-VIS = EV + """, vi AS (SELECT video_id, row_idx, (ord % 100) / 100.0::DOUBLE AS visible_ratio, (ord % 37) / 100.0::DOUBLE AS occluded_ratio, ((ord * 3) % 100) / 100.0::DOUBLE AS in_frame_ratio, ord % 41 = 0 AS scene_cut, row_idx > 0 AS history FROM ev)
-"""
-
-
-def _visibility(spark, sf):
-    k = F.col("ord")
-    return evidence(spark, sf).select("video_id", "row_idx", ((k % 100) / 100.0).alias("visible_ratio"), ((k % 37) / 100.0).alias("occluded_ratio"), (((k * 3) % 100) / 100.0).alias("in_frame_ratio"), (k % 41 == 0).alias("scene_cut"), (F.col("row_idx") > 0).alias("history"))
-
-
-@query("visibility_explanation", VIS + f""", x AS (SELECT *, CASE WHEN scene_cut THEN 'scene_cut' WHEN NOT history THEN 'no_history' WHEN visible_ratio >= 0.8 THEN 'visible' WHEN in_frame_ratio < 0.5 THEN 'out_of_frame'
-    WHEN visible_ratio + occluded_ratio >= 0.8 THEN 'occluded' ELSE 'unexplained' END AS explanation FROM vi)
-  SELECT video_id, row_idx, explanation, CASE WHEN explanation IN ('scene_cut', 'no_history') THEN NULL WHEN explanation = 'unexplained' THEN 1.0::DOUBLE ELSE 0 END AS residual FROM x""")
-def visibility_explanation(spark, sf):
-    return relations.visibility_explanation(_visibility(spark, sf)).select("video_id", "row_idx", "explanation", "residual")
-
-
 @query("reappearance", EV + f""", x AS (SELECT video_id, row_idx, ((ord % 50) + 50) / 100.0::DOUBLE AS a, ((ord % 40) + 60) / 100.0::DOUBLE AS s, ((ord % 30) + 70) / 100.0::DOUBLE AS d, ((ord % 20) + 40) / 100.0::DOUBLE AS m, ord % 2 = 0 AS same_id, ord % 7 <> 0 AS lm, ord % 41 = 0 AS cut FROM ev),
   y AS (SELECT *, (a + s + d + m) / 4 AS q, lm AND NOT cut AND (a + s + d + m) / 4 >= CASE WHEN same_id THEN 0.60::DOUBLE ELSE 0.85::DOUBLE END AS accepted FROM x)
   SELECT video_id, row_idx, {r('q')} AS quality, accepted, {r('CASE WHEN accepted THEN 1 - q END')} AS residual FROM y""")
@@ -407,19 +391,6 @@ def reappearance(spark, sf):
     return relations.reappearance(rows).select("video_id", "row_idx", "quality", "accepted", "residual")
 
 
-@query("occlusion_events", EV + """, x AS (SELECT video_id, row_idx AS frame_index, CASE WHEN ord % 5 < 2 THEN 0.0 ELSE (ord % 100) / 100.0 END::DOUBLE AS v, ((ord * 7) % 100) / 100.0::DOUBLE AS o, ((ord * 3) % 100) / 50.0::DOUBLE AS i, ((ord * 11) % 100) / 100.0::DOUBLE AS q, ord % 41 = 0 AS cut FROM ev),
-  s AS (SELECT *, v <= 0.05 AS ab, sum(CASE WHEN v <= 0.05 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_index) AS seen FROM x),
-  a AS (SELECT *, sum(CASE WHEN ab THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, seen ORDER BY frame_index)::BIGINT AS absence FROM s),
-  b AS (SELECT *, lag(absence) OVER (PARTITION BY video_id ORDER BY frame_index) AS bf FROM a)
-  SELECT video_id, frame_index, absence, CASE WHEN cut THEN 'scene_cut' WHEN q < 0.2 THEN 'unreliable_track' WHEN bf IS NULL AND ab THEN 'never_seen' WHEN bf IS NULL THEN 'initialized'
-    WHEN NOT ab AND bf > 0 THEN 'reappeared' WHEN i < 0.5 THEN 'left_frame' WHEN ab AND o >= 0.8 THEN 'fully_occluded' WHEN ab AND absence >= 3 THEN 'disappeared' WHEN ab THEN 'absence_unconfirmed'
-    WHEN v < 0.8 AND o > 0 THEN 'partially_occluded' WHEN v < 0.8 THEN 'partial_unexplained' ELSE 'visible' END AS event FROM b""")
-def occlusion_events(spark, sf):
-    k = F.col("ord")
-    rows = evidence(spark, sf).select("video_id", F.col("row_idx").alias("frame_index"), F.when(k % 5 < 2, 0.0).otherwise((k % 100) / 100.0).alias("visible_ratio"), ((k * 7 % 100) / 100.0).alias("overlap"), ((k * 3 % 100) / 50.0).alias("in_frame_ratio"), ((k * 11 % 100) / 100.0).alias("quality"), (k % 41 == 0).alias("scene_cut"))
-    return relations.occlusion_events(rows, "video_id").select("video_id", "frame_index", "absence", "event")
-
-
 # --- contract ------------------------------------------------------------------------------------
 
 

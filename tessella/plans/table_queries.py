@@ -293,15 +293,6 @@ def associate_objects(spark, sf):
     return sequential.associate(rows)
 
 
-@query("visibility_state")
-def visibility_state(spark, sf):
-    from .adapters import evidence
-
-    k = F.col("ord")
-    rows = evidence(spark, sf).select("video_id", F.col("event_type").alias("object_id"), F.col("row_idx").alias("frame_index"), F.when(k % 5 > 1, (k % 100) / 100.0).alias("ratio"), (k % 41 == 0).alias("cut"))
-    return sequential.visibility_states(rows)
-
-
 @query("axis_history")
 def axis_history(spark, sf):
     t = tracks(spark, sf)
