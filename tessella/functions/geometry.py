@@ -102,3 +102,19 @@ def normalize_label(c: Column) -> Column:
 
 def stable_id(prefix: str, *parts: Column, length: int = 20) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, length))
+
+
+def source_group_id(dataset: Column, identity: Column) -> Column:
+    """A group's id from its data set and source: a hash of the JSON pair, lower case and trimmed; NULL if either is empty.
+
+    Characters beyond ASCII are escaped as JSON does, so they must come escaped.
+    """
+    clean = lambda c: F.regexp_replace(F.lower(F.trim(c)), '(["\\\\])', "\\\\$1")
+    pair = F.concat(F.lit('["'), clean(dataset), F.lit('","'), clean(identity), F.lit('"]'))
+    return F.when((F.trim(dataset) != "") & (F.trim(identity) != ""), F.concat(F.lit("srcgrp_"), F.substring(F.sha2(pair, 256), 1, 20)))
+
+
+def safe_identity(value: Column) -> Column:
+    """An id that is safe in a file name and can be turned back: URL-safe base64 without padding."""
+    raw = F.base64(F.encode(value, "UTF-8"))
+    return F.concat(F.lit("sid_"), F.rtrim(F.translate(F.regexp_replace(raw, "[\r\n]", ""), "+/", "-_"), F.lit("=")))

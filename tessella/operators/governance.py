@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 SPLITS = ("train", "validation", "test")
 STATUSES = ("missing", "malformed", "schema_error", "no_valid_residual", "partial_missing", "eligible")
-TRANSITIONS = [  # fixed values: (from, to)
-    ("planned", "ready"),
-    ("planned", "blocked"),
-    ("ready", "running"),
-    ("ready", "blocked"),
-    ("running", "verifying"),
-    ("running", "failed"),
-    ("running", "interrupted"),
-    ("interrupted", "running"),
-    ("verifying", "completed"),
-    ("verifying", "failed"),
-    ("failed", "ready"),
-    ("blocked", "ready"),
-    ("completed", "archived"),
+#: States of a batch, and what may follow what.
+BATCH_STATES = ("planned", "downloading", "downloaded", "processing", "validating", "completed", "failed", "cleaned")
+TRANSITIONS = [
+    ("planned", "downloading"),
+    ("planned", "failed"),
+    ("downloading", "downloaded"),
+    ("downloading", "failed"),
+    ("downloaded", "processing"),
+    ("downloaded", "failed"),
+    ("processing", "validating"),
+    ("processing", "failed"),
+    ("validating", "completed"),
+    ("validating", "failed"),
+    ("completed", "cleaned"),
+    ("failed", "downloading"),
+    ("failed", "processing"),
 ]
 
 
@@ -103,17 +105,56 @@ def exact_duplicates(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.groupBy(F.sha2(text, 256).alias("content_hash")).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first")).where("copies > 1")
 
 
-def near_duplicates(items: DataFrame, block: list[str], threshold: float = 0.92) -> DataFrame:
-    """Pairs inside a block with 0.75 x hash likeness + 0.25 x metadata likeness at the threshold or above.
+def word_run_hashes(docs: DataFrame, key: str, text: str, runs: int = 5, bits: int = 60) -> DataFrame:
+    """(key, hashes): a locality-preserving hash of each of ``runs`` equal runs of a text's words, over the whole text.
 
-    Items: item_id, bits (64-bit hash), length and the block columns. Blocks must be narrow: a pair is tested only inside one.
+    Every word votes with its MD5 for or against each bit of its run. Texts with fewer words than runs have no hashes.
     """
-    a = items.select(*block, F.col("item_id").alias("a"), F.col("bits").alias("ba"), F.col("length").alias("la"))
-    b = items.select(*block, F.col("item_id").alias("b"), F.col("bits").alias("bb"), F.col("length").alias("lb"))
-    pairs = a.join(b, block).where("a < b")
-    like = 1 - F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) / 64.0
-    meta = F.least("la", "lb") / F.greatest(F.greatest("la", "lb"), F.lit(1))
-    return pairs.withColumn("similarity", 0.75 * like + 0.25 * meta).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    words = F.filter(F.split(text, "[ \t\n\r]+"), lambda w: w != "")
+    rows = docs.select(key, words.alias("_w")).where(F.size("_w") >= runs).select(key, F.size("_w").alias("_n"), F.posexplode("_w").alias("_i", "_word"))
+    rows = rows.select(key, F.expr(f"_i * {runs} DIV _n").cast("int").alias("_run"), F.conv(F.substring(F.md5(F.col("_word").cast("binary")), 1, bits // 4), 16, 10).cast("long").alias("_h"))
+    votes = [F.sum(F.expr(f"shiftright(_h, {i}) & 1") * 2 - 1).alias(f"_b{i}") for i in range(bits)]
+    tally = rows.groupBy(key, "_run").agg(*votes)
+    value = F.lit(0).cast("long")
+    for i in range(bits):
+        value = value + F.when(F.col(f"_b{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0))
+    runs_of = tally.select(key, F.struct("_run", value.alias("h")).alias("_x")).groupBy(key).agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    return runs_of.select(key, F.transform("_x", lambda x: x["h"]).alias("hashes"))
+
+
+def media_duplicates(items: DataFrame, threshold: float = 0.92, samples: int = 5, bits: int = 64) -> DataFrame:
+    """Exact and near duplicates: 0.75 x mean likeness of the samples' hashes + 0.25 x likeness of the metadata, 1 for equal content.
+
+    Items: item_id, content_hash, hashes (one 64-bit hash a sample), duration, width, height, rate, group_id, split.
+    Items equal in content, hashes and metadata are one class, named by its smallest item. Rows (a, b):
+    a class with each of its other members, and classes with each other at the threshold or above.
+
+    At the threshold the samples together differ in at most d bits, so some sample of a pair differs in at most
+    r = d / samples, and its hash, cut into r + 2 blocks, agrees in two blocks. Pairs meet
+    there only; no block holds all.
+    """
+    c = F.col
+    most = int((1 - (threshold - 0.25) / 0.75) * samples * bits + 1e-9)
+    blocks = most // samples + 2
+    of = ["content_hash", "hashes", "duration", "width", "height", "rate"]
+    classes = items.groupBy(*of).agg(F.min_by(F.struct("item_id", "group_id", "split"), "item_id").alias("who"), F.collect_list(F.struct("item_id", "group_id", "split")).alias("all"))
+    edges = [bits * i // blocks for i in range(blocks + 1)]
+    part = lambda i: F.expr(f"shiftrightunsigned(h, {edges[i]}) & {(1 << (edges[i + 1] - edges[i])) - 1}L")
+    tables = [F.struct(F.lit(i * blocks + j).alias("table"), (part(i) * F.lit(1 << 32) + part(j)).alias("value")) for i in range(blocks) for j in range(i + 1, blocks)]
+    keyed = classes.select("who", *of, F.posexplode("hashes").alias("sample", "h")).withColumn("k", F.explode(F.array(*tables))).select("who", *of, "sample", "k.*")
+    side = lambda s: keyed.select("sample", "table", "value", *[c(x).alias(f"{x}_{s}") for x in ("who", *of)])
+    met = side("a").join(side("b"), ["sample", "table", "value"]).where("who_a.item_id < who_b.item_id")
+    apart = F.aggregate(F.zip_with("hashes_a", "hashes_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    perceptual = 1 - apart / F.lit(float(samples * bits))
+    close = lambda x: F.greatest(F.lit(0.0), 1 - F.abs(c(f"{x}_a") - c(f"{x}_b")) / F.greatest(f"{x}_a", f"{x}_b", F.lit(1e-8)))
+    same_size = ((c("width_a") == c("width_b")) & (c("height_a") == c("height_b"))).cast("double")
+    metadata = (close("duration") + same_size + close("rate")) / 3
+    exact = c("content_hash_a") == c("content_hash_b")
+    pairs = met.select(c("who_a").alias("a"), c("who_b").alias("b"), exact.alias("exact"), perceptual.alias("perceptual"), metadata.alias("metadata")).dropDuplicates(["a", "b"])
+    copies = classes.select(c("who").alias("a"), F.explode("all").alias("b"), F.lit(True).alias("exact"), F.lit(1.0).alias("perceptual"), F.lit(1.0).alias("metadata")).where("a.item_id <> b.item_id")
+    out = pairs.unionByName(copies).withColumn("score", F.when(c("exact"), 1.0).otherwise(0.75 * c("perceptual") + 0.25 * c("metadata"))).where(c("score") >= threshold)
+    same, conflict = c("a.group_id").eqNullSafe(c("b.group_id")), ~c("a.split").eqNullSafe(c("b.split"))
+    return out.select(c("a.item_id").alias("a"), c("b.item_id").alias("b"), "exact", "perceptual", "metadata", "score", same.alias("same_group"), conflict.alias("split_conflict"), (conflict | ~same).alias("review_required"))
 
 
 def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -66,19 +66,39 @@ def relocate(rows: DataFrame, mapping: DataFrame, path: str) -> DataFrame:
     return rows.join(m, rows[path] == m["_o"], "left").withColumn(f"original_{path}", F.col(path)).withColumn(path, F.coalesce("_n", path)).drop("_o", "_n")
 
 
-def retry_plan(jobs: DataFrame, most: int = 3) -> DataFrame:
-    """What to do with a job. Jobs: status, attempts, transient."""
-    c = F.col
+def retry_decisions(batches: DataFrame, most: int = 3) -> DataFrame:
+    """allowed, next_status and reason: only failed batches below the limit go again, from where their download got to.
+
+    Batches: status, attempt, downloaded (whether the state ``downloaded`` was ever reached).
+    """
+    failed, left = F.col("status") == "failed", F.col("attempt") < most
+    out = batches.withColumn("allowed", failed & left)
+    out = out.withColumn("next_status", F.when(~F.col("allowed"), "").when(F.col("downloaded"), "processing").otherwise("downloading"))
+    return out.withColumn("reason", F.when(~failed, "batch_is_not_failed").when(~left, "maximum_retry_attempts_reached").otherwise("retry_requires_explicit_state_transition"))
+
+
+def recovery_actions(history: DataFrame, key: str) -> DataFrame:
+    """status, last_stable_status and action of every batch. History: key, position, status."""
+    stable = F.when(F.col("status").isin("planned", "downloaded", "completed", "cleaned"), F.struct("position", "status"))
+    out = history.groupBy(key).agg(F.max_by("status", "position").alias("status"), F.max(stable).alias("_s"))
     action = (
-        F.when(c("status").isin("completed", "archived"), "keep")
-        .when(c("status") == "interrupted", "resume")
-        .when((c("status") == "failed") & c("transient") & (c("attempts") < most), "retry")
-        .when((c("status") == "failed") & (c("attempts") >= most), "give_up")
-        .when(c("status") == "failed", "inspect")
-        .when(c("status") == "running", "verify")
-        .otherwise("start")
+        F.when(F.col("status") == "failed", "operator_review_then_retry_from_last_stable_state")
+        .when(F.col("status").isin("downloading", "processing", "validating"), "mark_failed_with_interruption_reason_before_retry")
+        .otherwise("no_recovery_required")
     )
-    return jobs.withColumn("action", action)
+    return out.select(key, "status", F.coalesce("_s.status", F.lit("planned")).alias("last_stable_status"), action.alias("action"))
+
+
+def cleanup_plan(batches: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
+    """Whether a batch may be cleaned (completed, artifacts validated), and its distinct paths, sorted; nothing is deleted.
+
+    Batches: key, status, artifacts_validated. Artifacts: key, path (of one batch: bounded).
+    """
+    paths = artifacts.groupBy(key).agg(F.array_sort(F.collect_set("path")).alias("_paths"))
+    allowed = (F.col("status") == "completed") & F.col("artifacts_validated")
+    out = batches.join(paths, key, "left").withColumn("allowed", allowed)
+    none = F.array().cast("array<string>")
+    return out.select(key, "allowed", F.when(F.col("allowed"), F.coalesce("_paths", none)).otherwise(none).alias("candidate_paths"), F.when(F.col("allowed"), "").otherwise("cleanup_forbidden_before_completed_validation").alias("reason"))
 
 
 def exclusion_summary(records: DataFrame) -> DataFrame:

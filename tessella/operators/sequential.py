@@ -138,58 +138,83 @@ def align_depth(pairs: DataFrame, rounds: int = 8, cut: float = 3.5, least: int
     return pairs.groupBy("pair_id").applyInPandas(run, f"pair_id {kind}, scale double, shift double, error double, inliers long, valid boolean")
 
 
-def plan_batches(groups: DataFrame, shard: str, limit: float) -> DataFrame:
-    """Next-fit packing of whole groups, in order of group_id, into batches below a size limit.
+def split_conflicts(rows: DataFrame) -> DataFrame:
+    """(dataset, group_id) that lie in several splits. Rows: dataset, split, group_id."""
+    return rows.groupBy("dataset", "group_id").agg(F.count_distinct("split").alias("splits")).where("splits > 1").select("dataset", "group_id")
 
-    Groups: shard, group_id, size. Packing is sequential inside a shard; shards are independent.
+
+def plan_batches(rows: DataFrame, limit: float, strict: bool = True) -> DataFrame:
+    """Next-fit packing of whole groups, in order of group_id, into batches whose input, temporary and output bytes stay below a limit.
+
+    Rows: dataset, split, group_id, input_bytes, temporary_bytes, output_bytes. Sequential inside a dataset's split; a group in
+    several splits is an error (``strict``), otherwise its parts are packed split by split.
     """
+    if strict and not split_conflicts(rows).isEmpty():
+        raise ValueError("source groups cross splits")
+    size = F.col("input_bytes") + F.col("temporary_bytes") + F.col("output_bytes")
+    groups = rows.groupBy("dataset", "split", "group_id").agg(F.sum(size).cast("double").alias("peak"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("group_id")
-        batch, held, out = 0, 0.0, []
-        for size in pdf["size"]:
-            if held and held + size > limit:
-                batch, held = batch + 1, 0.0
-            held += size
+        batch, held, out = 0, None, []
+        for peak in pdf["peak"]:
+            if held is not None and held + peak > limit:
+                batch, held = batch + 1, None
+            held = peak if held is None else held + peak
             out.append(batch)
-        return pd.DataFrame({shard: pdf[shard], "group_id": pdf["group_id"], "batch": out})
+        return pdf[["dataset", "split", "group_id", "peak"]].assign(batch=out)
 
     kinds = dict(groups.dtypes)
-    return groups.select(shard, "group_id", F.col("size").cast("double").alias("size")).groupBy(shard).applyInPandas(run, f"{shard} {kinds[shard]}, group_id {kinds['group_id']}, batch long")
+    return groups.groupBy("dataset", "split").applyInPandas(run, f"dataset {kinds['dataset']}, split {kinds['split']}, group_id {kinds['group_id']}, peak double, batch long")
 
 
-def plan_split(groups: DataFrame, shard: str, ratios: dict[str, float], seed: int) -> DataFrame:
-    """Splits for whole groups: in order of sha256(seed:group), each goes where the sizes and labels then
-    differ least (squared) from the ratios.
+def plan_split(groups: DataFrame, features: list[str], ratios: dict[str, float], seed: int) -> DataFrame:
+    """(group_id, split, source): whole groups, one after the other in order of sha256(seed:group), go where the squared relative
+    error of their features' totals grows least (ties: the split's name).
 
-    Groups: shard, group_id, rows, positives. Greedy inside a shard of groups.
+    Groups: group_id, official (a split, NULL, or ``official_conflict``), and a count for every feature. Official
+    splits stay and count first. The plan is sequential by definition: one task streams the sorted groups and holds
+    nothing but a counter for each split and feature.
     """
-    names = list(ratios)
-    want = np.array([ratios[n] for n in names])
+    names = sorted(ratios)
+    keyed = groups.withColumn("order_key", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group_id").cast("string")), 256))
+    totals = groups.agg(*[F.sum(f).alias(f) for f in features]).first()
+    target = np.array([[max(ratios[n] * float(totals[f] or 0), 1.0) for f in features] for n in names])
+    fixed = keyed.where("official IS NOT NULL")
+    have = np.zeros((len(names), len(features)))
+    for row in fixed.groupBy("official").agg(*[F.sum(f).alias(f) for f in features]).collect():  # a row for each split
+        if row["official"] in names:
+            have[names.index(row["official"])] = [float(row[f]) for f in features]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order_key", "group_id"])
-        target = np.outer(want, [pdf["rows"].sum(), pdf["positives"].sum()])
-        scale = np.maximum(target.sum(axis=0), 1)
-        have = np.zeros((len(names), 2))
-        out = []
-        for r, p in zip(pdf["rows"], pdf["positives"], strict=True):
-            trial = [(((have + np.outer(np.arange(len(names)) == i, [r, p]) - target) / scale) ** 2).sum() for i in range(len(names))]
-            i = int(np.argmin(trial))
-            have[i] += (r, p)
-            out.append(names[i])
-        return pd.DataFrame({shard: pdf[shard], "group_id": pdf["group_id"], "split": out})
+    def run(batches):
+        now = have.copy()
+        for pdf in batches:
+            out = []
+            for add in pdf[features].to_numpy(float):
+                used = add != 0
+                old, t = now[:, used], target[:, used]
+                before, after = (old - t) / t, (old + add[used] - t) / t
+                i = int(np.argmin((after * after - before * before).cumsum(axis=1)[:, -1])) if used.any() else 0
+                now[i] += add
+                out.append(names[i])
+            yield pd.DataFrame({"group_id": pdf["group_id"], "split": out, "source": "group_aware_planner"})
 
-    kinds = dict(groups.dtypes)
-    keyed = groups.withColumn("order_key", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group_id").cast("string")), 256))
-    return keyed.groupBy(shard).applyInPandas(run, f"{shard} {kinds[shard]}, group_id {kinds['group_id']}, split string")
+    kind = dict(groups.dtypes)["group_id"]
+    free = keyed.where("official IS NULL").select("group_id", "order_key", *features).orderBy("order_key", "group_id").coalesce(1)
+    planned = free.drop("order_key").mapInPandas(run, f"group_id {kind}, split string, source string")
+    kept = fixed.select("group_id", F.col("official").alias("split"), F.when(F.col("official") == "official_conflict", "official_split_conflict").otherwise("official").alias("source"))
+    return planned.unionByName(kept)
+
+
+#: Thresholds of the bottle's axis.
+BOTTLE = {"eigenvalue_ratio": 2.0, "extent_ratio": 1.8, "points": 20, "stability": 0.6, "compatibility": 0.8, "log_delta": 0.4}
 
 
-def bottle_history(rows: DataFrame, cosine: float = 0.8, drift: float = 0.4) -> DataFrame:
-    """Axis gate whose history grows only by accepted rows.
+def bottle_history(rows: DataFrame, limits: dict[str, float] = BOTTLE) -> DataFrame:
+    """accepted, reason, quality of a bottle's axis in every frame; a track's history grows only by accepted rows.
 
-    Rows: video_id, track_id, frame_index, size, ax, ay, az. Accepted if there is no
-    history, or |cos| to the last accepted axis and |ln size ratio| are in bounds.
+    Rows: video_id, track_id, frame_index, dimension_match, axis_valid, points, eigenvalue_ratio, extent_ratio, extent,
+    ax, ay, az (unit axis), point_ratio, depth_quality.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -197,18 +222,31 @@ def bottle_history(rows: DataFrame, cosine: float = 0.8, drift: float = 0.4) ->
         last, out = None, []
         for r in pdf.itertuples(index=False):
             axis = np.array([r.ax, r.ay, r.az])
-            norm = np.linalg.norm(axis)
-            ok = bool(norm > 0 and r.size_value > 0)
-            if ok and last is not None:
-                ok = bool(abs(axis @ last[0]) / norm >= cosine and abs(math.log(r.size_value / last[1])) <= drift)
-            if ok:
-                last = (axis / norm, r.size_value)
-            out.append(ok)
-        return pd.DataFrame({"video_id": pdf["video_id"], "track_id": pdf["track_id"], "frame_index": pdf["frame_index"], "accepted": out})
+            steady = min(r.eigenvalue_ratio / (r.eigenvalue_ratio + 1.0), r.extent_ratio / (r.extent_ratio + 1.0))
+            reason = ""
+            if not r.dimension_match:
+                reason = "BOTTLE_SOURCE_RUNTIME_DIMENSION_MISMATCH"
+            elif not r.axis_valid:
+                reason = "AXIS_INVALID"
+            elif r.points < limits["points"]:
+                reason = "BOTTLE_AXIS_POINT_SUPPORT_INSUFFICIENT"
+            elif r.eigenvalue_ratio < limits["eigenvalue_ratio"] or r.extent_ratio < limits["extent_ratio"]:
+                reason = "BOTTLE_NOT_ELONGATED_IN_3D"
+            elif steady < limits["stability"]:
+                reason = "BOTTLE_AXIS_UNSTABLE"
+            elif last is not None and abs(float(axis @ last[0])) < limits["compatibility"]:
+                reason = "BOTTLE_TRACK_AXIS_INCOMPATIBLE"
+            elif last is not None and abs(math.log(r.extent) - math.log(last[1])) > limits["log_delta"]:
+                reason = "BOTTLE_TRACK_SIZE_INCOMPATIBLE"
+            if not reason:
+                last = (axis, r.extent)
+            out.append((not reason, reason, min(1.0, steady, r.point_ratio, r.depth_quality) if not reason else math.nan))
+        done = pd.DataFrame(out, columns=["accepted", "reason", "quality"])
+        return pd.concat([pdf[["video_id", "track_id", "frame_index"]].reset_index(drop=True), done], axis=1)
 
     kinds = dict(rows.dtypes)
-    rows = rows.withColumnRenamed("size", "size_value")
-    return rows.groupBy("video_id", "track_id").applyInPandas(run, f"video_id {kinds['video_id']}, track_id {kinds['track_id']}, frame_index {kinds['frame_index']}, accepted boolean")
+    out = rows.groupBy("video_id", "track_id").applyInPandas(run, f"video_id {kinds['video_id']}, track_id {kinds['track_id']}, frame_index {kinds['frame_index']}, accepted boolean, reason string, quality double")
+    return out.withColumn("quality", F.when(~F.isnan("quality"), F.col("quality")))
 
 
 def surface_axes(points: DataFrame, key: str) -> DataFrame:

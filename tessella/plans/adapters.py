@@ -15,7 +15,6 @@ from tessella.operators.contract import observe
 from tessella.operators.fusion import CHANNELS
 
 LEVELS = ["object", "object", "point", "track", "track", "track", "point", "boundary", "point", "pair", "object", "object"]
-STATUS = {"view": "planned", "signup": "ready", "click": "running", "purchase": "completed", "error": "failed"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -442,12 +442,3 @@ def eligible_split(spark, sf):
     return governance.eligible(_eligibility(spark, sf), "train")
 
 
-@query("transition_audit", """WITH s AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'planned' WHEN 'signup' THEN 'ready' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status FROM events),
-  p AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM s)
-  SELECT previous, status, count(*) AS changes FROM p WHERE previous IS NOT NULL AND previous <> status AND (previous, status) NOT IN (""" + ", ".join(map(str, governance.TRANSITIONS)) + ") GROUP BY ALL")
-def transition_audit(spark, sf):
-    from .adapters import STATUS, table
-
-    pairs = [x for kv in STATUS.items() for x in kv]
-    e = table(spark, sf, "events").select("user_id", "ts", F.col("event_id").alias("ord"), F.create_map(*[F.lit(x) for x in pairs])[F.col("event_type")].alias("status"))
-    return governance.transition_audit(e, "user_id")

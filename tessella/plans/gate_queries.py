@@ -356,13 +356,6 @@ def path_relocation(spark, sf):
     return lineage.relocate(pages, mapping, "url").select("page_id", "url", "original_url")
 
 
-@query("retry_plan", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'keep' WHEN 'signup' THEN 'resume' WHEN 'click' THEN 'verify' WHEN 'error' THEN CASE WHEN event_id % 2 = 0 AND event_id % 5 < 3 THEN 'retry' WHEN event_id % 5 >= 3 THEN 'give_up' ELSE 'inspect' END ELSE 'start' END AS action FROM events")
-def retry_plan(spark, sf):
-    status = F.create_map(*[F.lit(x) for kv in {"purchase": "completed", "signup": "interrupted", "click": "running", "error": "failed", "view": "ready"}.items() for x in kv])[F.col("event_type")]
-    rows = _e(spark, sf).select("event_id", status.alias("status"), (K() % 5).alias("attempts"), (K() % 2 == 0).alias("transient"))
-    return lineage.retry_plan(rows).select("event_id", "action")
-
-
 @query("exclusion_summary", RE + ", x AS (SELECT unnest([CASE WHEN label IS NULL THEN 'unknown_label' END, CASE WHEN split = 'test' THEN 'held_out' END, CASE WHEN size < 50000 THEN 'too_small' END]) AS reason FROM re) SELECT reason, count(*) AS rows FROM x WHERE reason IS NOT NULL GROUP BY ALL")
 def exclusion_summary(spark, sf):
     rules = {"unknown_label": F.col("label").isNull(), "held_out": F.col("split") == "test", "too_small": F.col("size") < 50000}

@@ -293,13 +293,6 @@ def associate_objects(spark, sf):
     return sequential.associate(rows)
 
 
-@query("axis_history")
-def axis_history(spark, sf):
-    t = tracks(spark, sf)
-    rows = t.select("video_id", F.col("point_id").alias("track_id"), "frame_index", F.col("scale").alias("size"), F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("p.z").alias("az"))
-    return sequential.bottle_history(rows)
-
-
 # --- records -------------------------------------------------------------------------------------
 
 KEYS = ["sample_id", "group_id", "content_hash"]
@@ -353,18 +346,6 @@ def exclusion_reasons(spark, sf):
     return governance.exclusion_reasons(records(spark, sf), rules).select("sample_id", F.concat_ws(",", "reasons").alias("reasons"))
 
 
-@query("group_aware_split")
-def group_aware_split(spark, sf):
-    g = records(spark, sf).groupBy(F.pmod(F.xxhash64("group_id"), F.lit(16)).alias("shard"), "group_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == 1).alias("positives"))
-    return sequential.plan_split(g, "shard", {"train": 0.8, "validation": 0.1, "test": 0.1}, 7)
-
-
-@query("batch_plan")
-def batch_plan(spark, sf):
-    g = records(spark, sf).groupBy("dataset", "group_id").agg(F.sum("size").alias("size"))
-    return sequential.plan_batches(g, "dataset", 5_000_000.0)
-
-
 @query("storage_estimate", RE + f"SELECT dataset, {r('sum(size)')} AS bytes, count(*) AS frames, {r('sum(size) / count(*)')} AS bytes_per_frame, {r('sum(size) / count(*) * 1000')} AS planned_bytes FROM re GROUP BY ALL")
 def storage_estimate(spark, sf):
     return governance.storage_estimate(records(spark, sf).withColumn("one", F.lit(1)), ["dataset"], "size", "one", 1000)
@@ -384,19 +365,6 @@ def duplicates_exact(spark, sf):
     return governance.exact_duplicates(table(spark, sf, "documents"), "text", "doc_id")
 
 
-NEAR_BITS = "('0x' || substr(md5(substr(text, 1, 40)), 1, 15))::BIGINT"
-
-
-@query("duplicates_near", f"""WITH i AS (SELECT doc_id, source, lang, {NEAR_BITS} AS bits, length(text) AS length FROM documents),
-  p AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.75::DOUBLE * (1 - bit_count(xor(a.bits, b.bits)) / 64.0::DOUBLE) + 0.25::DOUBLE * (least(a.length, b.length) / greatest(greatest(a.length, b.length), 1)) AS similarity
-    FROM i a JOIN i b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id)
-  SELECT a, b, round(similarity + 1e-9::DOUBLE, 6) + 0::DOUBLE AS similarity FROM p WHERE similarity >= 0.6""")
-def duplicates_near(spark, sf):
-    bits = F.conv(F.substring(F.md5(F.substring("text", 1, 40).cast("binary")), 1, 15), 16, 10).cast("long")
-    items = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "source", "lang", bits.alias("bits"), F.length("text").alias("length"))
-    return governance.near_duplicates(items, ["source", "lang"], 0.6)
-
-
 @query("pk_violations", "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL")
 def pk_violations(spark, sf):
     return governance.key_violations(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
