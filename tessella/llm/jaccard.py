@@ -10,7 +10,7 @@ share min(l_X, l_Y) prefix shingles before it is verified.
 1. *Digest*: one pass gives each text's set size and 128-bit set fingerprint (equal
    sets are one class from here on) and counts all shingles into ``BUCKETS`` counters,
    which only serve to spot hot shingles: those whose counter is above the median
-   by more than ``SALT_ROWS``.
+   by more than ``HOT_ROWS``.
 2. *Frequencies*: shingles meet in buckets by hash (as many as the corpus needs, so
    that a bucket holds about ``BUCKET_SHINGLES``), which gives each its exact number of classes.
    Those of one class alone go no further; hot ones pass uncounted, as the most frequent.
@@ -51,14 +51,16 @@ COUNT_BLOCK = 1024
 RUN_PAIRS = 32
 LEAST_MATCH = 0.05
 MOST_STEPS = 3
-SALT_ROWS = 8192
+#: Occurrences above the usual counter from which a shingle is hot, and classes of a shingle in one run.
+HOT_ROWS = 8192
+SALT_ROWS = 1024
 BUCKET_SHINGLES = 1 << 20
 #: Shingles that a task holds before it sends them to their buckets.
 SEND_SHINGLES = 1 << 21
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 1 << 21
 
-#: A prefix row's info: set size << 24 | l. A bucket row's: set size << 24 | shingles of the class in it.
+#: A prefix row's info: set size << 24 | l.
 MATCH = (1 << 24) - 1
 #: Frequencies from here on are a hot shingle's counter.
 HOT = 1 << 40
@@ -141,7 +143,7 @@ def choose_match(company: np.ndarray, alone: int, n: int, threshold: int) -> int
     return min(least, MOST_STEPS * base)
 
 
-SENT = "bucket int, hot boolean, tokens binary, nodes binary, infos binary"
+SENT = "bucket int, hot boolean, tokens binary, nodes binary, lengths binary"
 
 
 def _send(k: int, buckets: int, counts):
@@ -152,7 +154,7 @@ def _send(k: int, buckets: int, counts):
         import pyarrow as pa
 
         rate = counts.value
-        hot_bucket = rate > SALT_ROWS
+        hot_bucket = rate > HOT_ROWS
         seen: set[int] = set()
         sets, names, total = [], [], 0
 
@@ -171,7 +173,7 @@ def _send(k: int, buckets: int, counts):
             run_at = np.flatnonzero(new)
             length = np.diff(np.append(run_at, len(home)))
             run_doc, run_home = doc[run_at], home[run_at]
-            info = size[run_doc] << 24 | length
+            length = length.astype(np.uint32)
             cut = np.flatnonzero(np.append(True, run_home[1:] != run_home[:-1]))
             ends = np.append(cut[1:], len(run_home))
             first, nodes = np.append(run_at, len(home)), node[run_doc]
@@ -185,9 +187,9 @@ def _send(k: int, buckets: int, counts):
                         pa.array((where[lo : lo + step] & 1).astype(bool)),
                         pa.array([token[first[a] : first[b]].tobytes() for a, b in spans], pa.binary()),
                         pa.array([nodes[a:b].tobytes() for a, b in spans], pa.binary()),
-                        pa.array([info[a:b].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([length[a:b].tobytes() for a, b in spans], pa.binary()),
                     ],
-                    names=["bucket", "hot", "tokens", "nodes", "infos"],
+                    names=["bucket", "hot", "tokens", "nodes", "lengths"],
                 )
 
         for batch in batches:
@@ -210,11 +212,11 @@ def _send(k: int, buckets: int, counts):
     return run
 
 
-SHARED = "node long, token long, df long, n int"
+SHARED = "node long, token long, df long"
 
 
 def _frequencies(counts):
-    """Rows of :func:`_send` sorted by bucket: (node, token, number of its classes, set size) of the
+    """Rows of :func:`_send` sorted by bucket: (node, token, number of its classes) of the
     shingles that more than one class has, and of the hot ones."""
 
     def run(batches):
@@ -227,14 +229,13 @@ def _frequencies(counts):
                 part = [r for r in rows if r[0] == hot]
                 if not part:
                     continue
-                token, node, info = (np.frombuffer(b"".join(r[i] for r in part), t) for i, t in ((1, np.uint64), (2, np.int64), (3, np.int64)))
-                size = np.repeat(info >> 24, info & MATCH)
-                node = np.repeat(node, info & MATCH)
+                token, node, length = (np.frombuffer(b"".join(r[i] for r in part), t) for i, t in ((1, np.uint64), (2, np.int64), (3, np.uint32)))
+                node = np.repeat(node, length)
                 order = np.lexsort((node, token))
-                token, node, size = token[order], node[order], size[order]
+                token, node = token[order], node[order]
                 fresh = np.ones(len(token), bool)
                 fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-                token, node, size = token[fresh], node[fresh], size[fresh]
+                token, node = token[fresh], node[fresh]
                 if hot:
                     df = HOT + rate[(token >> _BUCKET_SHIFT).astype(np.int64)].astype(np.int64)
                 else:
@@ -242,10 +243,10 @@ def _frequencies(counts):
                     length = np.diff(np.append(begin, len(token)))
                     df = np.repeat(length, length)
                     more = df > 1
-                    token, node, size, df = token[more], node[more], size[more], df[more]
+                    token, node, df = token[more], node[more], df[more]
                 for lo in range(0, len(token), 1 << 16):
                     at = slice(lo, lo + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(token[at].view(np.int64)), pa.array(df[at]), pa.array(size[at].astype(np.int32))], names=["node", "token", "df", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(token[at].view(np.int64)), pa.array(df[at])], names=["node", "token", "df"])
 
         now, rows = None, []
         for batch in batches:
@@ -276,7 +277,7 @@ def prefix(token: np.ndarray, df: np.ndarray, node: int, n: int, threshold: int)
 
 
 def _prefixes(threshold: int):
-    """Rows of :func:`_frequencies` sorted by (node, df, token)."""
+    """Rows of :func:`_frequencies` with the set size n, sorted by (node, df, token)."""
 
     def run(batches):
         import pyarrow as pa
@@ -518,19 +519,23 @@ def _rows(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     for bucket, c in counted.groupBy((F.col("block") * COUNT_BLOCK + F.col("at")).alias("bucket")).agg(F.sum("c").alias("c")).toPandas().itertuples(index=False):
         table[bucket] = c
     usual = float(np.median(table))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(table.sum()) // BUCKET_SHINGLES + 1)
+    # As many as the corpus needs, and enough for all cores.
+    buckets = max(2 * spark.sparkContext.defaultParallelism, int(table.sum()) // BUCKET_SHINGLES + 1)
     counts = spark.sparkContext.broadcast(np.maximum(table - usual - 4 * usual**0.5 - 1, 0.0))
 
+    classes = digest.where("n > 0").groupBy("fp1").agg(F.min("t1").alias("t1"), F.max("n").alias("n"))
     sent = docs.select("text").mapInArrow(_send(shingle, buckets, counts), SENT)
     sent = sent.repartition("bucket").sortWithinPartitions("bucket")
     shared = materialize(sent.mapInArrow(_frequencies(counts), SHARED), "jaccard-shared")
-    held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("have"), F.max("n").alias("n"))
-    able = held.where(F.col("have") >= F.ceil(F.lit(threshold) * F.col("n") / 100)).select(F.col("node").alias("_able"))
-    rows = shared.join(able, F.col("node") == F.col("_able"), "left_semi")
+    held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("have"))
+    able = held.join(classes, held["node"] == classes["fp1"]).where(F.col("have") >= F.ceil(F.lit(threshold) * F.col("n") / 100))
+    able = materialize(able.select(F.col("node").alias("_able"), F.col("n").cast("int").alias("n")), "jaccard-able")
+    few = maybe(shared, "node", bits_of(able, "_able"))
+    rows = few.join(able, F.col("node") == F.col("_able")).select("node", "token", "df", "n")
     rows = rows.repartition("node").sortWithinPartitions("node", "df", "token").mapInArrow(_prefixes(threshold), PREFIX)
     rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
     found = materialize(rows.mapInArrow(_runs(threshold), "a long, b long, match long, hot boolean, salted boolean"), "jaccard-runs")
-    discard(shared)
+    discard(shared, able)
     pairs = found.where("NOT salted").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("match").alias("match"), F.max("hot").alias("hot"))
     pairs = pairs.where("hot OR shared >= match").select("a", "b")
     heads = found.where("salted").select(F.col("a").alias("token"), F.col("b").alias("head"))
@@ -538,7 +543,6 @@ def _rows(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     bridges = heads.join(first, "token").where("head <> first").select(F.col("first").alias("a"), F.col("head").alias("b"))
     families = components(pairs.unionByName(bridges), "jaccard-families").select("node", F.col("component").alias("family"))
 
-    classes = digest.where("n > 0").groupBy("fp1").agg(F.min("t1").alias("t1"), F.max("n").alias("n"))
     members = materialize(families.join(classes, families["node"] == classes["fp1"]).select("family", "node", "t1", "n"), "jaccard-members")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")

@@ -153,6 +153,7 @@ def test_prefixes_keep_every_link():
 def test_op3_forced_salting(spark, monkeypatch, salt):
     """Texts of shared passages, with every common shingle salted or hot."""
     monkeypatch.setattr(jaccard, "SALT_ROWS", salt)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 4 * salt)
     monkeypatch.setattr(jaccard, "RUN_PAIRS", 4)
     monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 500)
     monkeypatch.setattr(jaccard, "SEND_SHINGLES", 300)
