@@ -107,37 +107,6 @@ def associate(boxes: DataFrame, max_gap: int = 2) -> DataFrame:
     return boxes.groupBy("video_id").applyInPandas(run, f"video_id {kinds['video_id']}, frame_index {kinds['frame_index']}, box_id {kinds['box_id']}, track long")
 
 
-def align_depth(pairs: DataFrame, rounds: int = 8, cut: float = 3.5, least: int = 8) -> DataFrame:
-    """Robust line target = scale x source + shift of every frame pair: least squares, then
-    points beyond 3.5 x 1.4826 MAD leave, at most eight times.
-
-    Pairs: pair_id, source, target. A group is the correspondences of two frames.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["source"].to_numpy(float), pdf["target"].to_numpy(float)
-        ok = np.isfinite(x) & np.isfinite(y)
-        x, y = x[ok], y[ok]
-        keep = np.ones(len(x), bool)
-        scale = shift = error = math.nan
-        for _ in range(rounds):
-            if keep.sum() < least or np.ptp(x[keep]) == 0:
-                break
-            scale, shift = np.polyfit(x[keep], y[keep], 1)
-            residual = np.abs(y - scale * x - shift)
-            error = float(np.median(residual[keep]))
-            mad = 1.4826 * np.median(np.abs(residual[keep] - error))
-            new = residual <= error + cut * max(mad, 1e-12)
-            if (new == keep).all():
-                break
-            keep = new
-        valid = not math.isnan(scale) and scale > 0
-        return pd.DataFrame({"pair_id": [pdf["pair_id"].iloc[0]], "scale": [scale if valid else None], "shift": [shift if valid else None], "error": [error if valid else None], "inliers": [int(keep.sum())], "valid": [valid]})
-
-    kind = dict(pairs.dtypes)["pair_id"]
-    return pairs.groupBy("pair_id").applyInPandas(run, f"pair_id {kind}, scale double, shift double, error double, inliers long, valid boolean")
-
-
 def split_conflicts(rows: DataFrame) -> DataFrame:
     """(dataset, group_id) that lie in several splits. Rows: dataset, split, group_id."""
     return rows.groupBy("dataset", "group_id").agg(F.count_distinct("split").alias("splits")).where("splits > 1").select("dataset", "group_id")

@@ -20,7 +20,7 @@ GONE = ("full_occlusion", "out_of_frame", "true_disappearance")
 FULL_VISIBLE, FULL_OCCLUDED, OUT_OF_FRAME, DETECTOR = 0.80, 0.80, 0.20, 0.5
 
 
-def _first(*rules: tuple[Column, Column | str]) -> Column:
+def first_rule(*rules: tuple[Column, Column | str]) -> Column:
     """The value of the first rule that holds (a rule that is NULL doesn't)."""
     out = None
     for cond, value in rules:
@@ -45,7 +45,7 @@ def visibility_states(rows: DataFrame, keys: list[str]) -> DataFrame:
     usable = c("geometry_available") & c("supported")
     ratio = F.least(F.lit(1.0), F.when(c("seen"), c("observed_area")).otherwise(F.lit(0.0)) / F.greatest(c("predicted_area"), F.lit(1.0)))
     covered = c("covered_area") / F.greatest(c("predicted_area"), F.lit(1.0))
-    hidden = _first(
+    hidden = first_rule(
         (c("scene_cut"), F.lit("scene_cut")),
         (~usable | c("seen"), F.lit(None).cast("string")),
         (c("in_frame_ratio") <= OUT_OF_FRAME, "out_of_frame"),
@@ -55,7 +55,7 @@ def visibility_states(rows: DataFrame, keys: list[str]) -> DataFrame:
     out = rows.withColumn("_hidden", hidden).withColumn("_before", before)
     back = F.coalesce(c("_before").isin("fully_occluded", "out_of_frame"), F.lit(False))
     occluded = F.coalesce(c("_before") == "fully_occluded", F.lit(False))
-    state = _first(
+    state = first_rule(
         (c("scene_cut"), "scene_cut"),
         (~c("geometry_available"), "uncertain"),
         (~c("supported") & c("seen") & back, "reappeared"),
@@ -68,7 +68,7 @@ def visibility_states(rows: DataFrame, keys: list[str]) -> DataFrame:
         (c("confirmed_absent") & (c("detector_confidence") >= DETECTOR), "uncertain"),
     ).otherwise("detector_missing")
     legacy = "legacy_bbox_mask_visibility_diagnostic_only"
-    reason = _first(
+    reason = first_rule(
         (c("scene_cut"), "scene_cut_breaks_visibility_history"),
         (~c("geometry_available"), "dynamic_geometry_unavailable"),
         (~c("supported") & c("seen") & back & c("legacy"), legacy),
@@ -81,7 +81,7 @@ def visibility_states(rows: DataFrame, keys: list[str]) -> DataFrame:
     ).otherwise("")
     out = out.withColumn("state", state).withColumn("reason", reason)
     bare = c("scene_cut") | ~c("geometry_available") | (~c("supported") & (c("state") != "reappeared"))
-    quality = _first(
+    quality = first_rule(
         (bare, F.lit(0.0)),
         (~c("supported"), c("observed_confidence")),
         (c("seen"), F.least(c("prediction_quality"), c("observed_confidence"))),
@@ -107,7 +107,7 @@ def visibility_explanation(states: DataFrame) -> DataFrame:
     c = F.col
     judged = c("valid") | (c("legacy") & (c("reason") == "legacy_bbox_mask_visibility_diagnostic_only"))
     missing = c("state") == "detector_missing"
-    explanation = _first(
+    explanation = first_rule(
         (missing, "detector_uncertain"),
         (~judged, "no_visibility_event"),
         ((c("state") == "fully_occluded") & (c("occluders") > 0), "explained_occlusion"),
@@ -143,14 +143,14 @@ def occlusion_events(
     out = rows.withColumn("_sights", F.sum(c("seen").cast("int")).over(run))
     in_absence = Window.partitionBy(*keys, "_sights").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("absence", F.sum((~c("seen")).cast("int")).over(in_absence))
-    blocked = _first(
+    blocked = first_rule(
         (c("provider_failed"), "event_provider_failed"),
         (c("scene_cut"), "scene_cut_breaks_event_history"),
         (~c("has_history"), "history_prediction_unavailable"),
         (c("quality").isNull() | F.isnan("quality") | (c("quality") < least_quality), "track_prediction_quality_insufficient"),
     )
     supported = c("has_mask") & c("depth_order") & c("d2_supported") & (c("occluders") > 0)
-    alone = _first(
+    alone = first_rule(
         (c("candidate") & ~c("identity_consistent"), "track_failure"),
         (c("seen") & supported & (c("visible_ratio") > 0) & (c("visible_ratio") < partial) & (c("overlap") > 0), "partial_occlusion"),
         (c("seen"), "unknown"),
@@ -171,11 +171,11 @@ def occlusion_events(
     out = out.withColumn("_is_gone", F.when(turns % 2 == 0, anchored).otherwise(~anchored))
     was_gone = F.coalesce(F.lag("_is_gone").over(by), F.lit(False))
     out = out.withColumn("event", F.when(c("_same") & was_gone, "reappearance").otherwise(c("_alone")))
-    confidence = _first(
+    confidence = first_rule(
         (c("event") == "unknown", F.lit(0.0)),
         (c("event").isin("partial_occlusion", "full_occlusion"), F.least(c("quality"), c("overlap"))),
     ).otherwise(c("quality"))
-    reason = _first((c("event") != "unknown", F.lit("")), (c("_blocked").isNotNull(), c("_blocked")), (c("seen"), "not_applicable_no_event")).otherwise("event_observation_unresolved")
+    reason = first_rule((c("event") != "unknown", F.lit("")), (c("_blocked").isNotNull(), c("_blocked")), (c("seen"), "not_applicable_no_event")).otherwise("event_observation_unresolved")
     out = out.withColumn("confidence", confidence).withColumn("reason", reason)
-    status = _first((c("event") != "unknown", "executed_valid"), (c("reason") == "event_provider_failed", "provider_failed"), (c("reason").isin("scene_cut_breaks_event_history", "not_applicable_no_event"), "not_applicable")).otherwise("blocked_by_input")
+    status = first_rule((c("event") != "unknown", "executed_valid"), (c("reason") == "event_provider_failed", "provider_failed"), (c("reason").isin("scene_cut_breaks_event_history", "not_applicable_no_event"), "not_applicable")).otherwise("blocked_by_input")
     return out.withColumn("status", status).drop("_sights", "_blocked", "_alone", "_same", "_gone", "_turns", "_anchor", "_is_gone")

@@ -189,16 +189,6 @@ def surface_axes(spark, sf):
     return sequential.surface_axes(tracks(spark, sf).select("video_id", "p.*"), "video_id")
 
 
-@query("depth_alignment")
-def depth_alignment(spark, sf):
-    t = tracks(spark, sf)
-    g = F.get("embedding", F.lit(5)).cast("double")
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("pair_id"), F.abs(F.get("embedding", F.lit(2)).cast("double")).alias("source"), g.alias("noise"))
-    pairs = e.where("pair_id IS NOT NULL").select("pair_id", "source", (2 * F.col("source") + 0.5 + F.when(F.col("vec_id") % 10 == 0, F.col("noise") * 5).otherwise(F.col("noise") * 0.01)).alias("target"))
-    del t
-    return sequential.align_depth(pairs)
-
-
 # --- objects ------------------------------------------------------------------------------------
 
 

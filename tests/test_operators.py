@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
 from tessella.functions import stats
-from tessella.operators import aggregate, branches, contract, fusion, governance, metrics, relations, residuals, sequential, windows
+from tessella.operators import aggregate, alignment, branches, contract, fusion, governance, metrics, relations, residuals, sequential, windows
 from tessella.sources import records
 
 EV = "video_id string, clip_id string, row_idx int, name string, level string, frame_index int, object_id string, track_id string, normalized_value double, confidence double, valid boolean"
@@ -129,10 +129,47 @@ def test_tracks_continue(spark):
     assert len({got[f, 0] for f in range(4)}) == 1 and got[2, 1] != got[2, 0]
 
 
-def test_depth_alignment_ignores_outliers(spark):
-    df = spark.createDataFrame([("p", float(i), 2.0 * i + 1 + (50 if i % 9 == 4 else 0)) for i in range(40)], "pair_id string, source double, target double")
-    got = sequential.align_depth(df).first()
-    assert got["scale"] == pytest.approx(2) and got["shift"] == pytest.approx(1) and got["valid"]
+@pytest.mark.parametrize("mode", alignment.MODES)
+def test_depth_alignment_modes(spark, mode):
+    """Each model finds its own line among outliers; the shared scale only measures."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0.5, 4, 60)
+    y = {"scale_only": 2 * x, "affine_depth": 2 * x + 1, "affine_inverse_depth": 1 / (0.5 / x + 0.25), "provider_shared_scale": x}[mode]
+    y = np.where(np.arange(60) % 9 == 4, y + 50, y)
+    rows = [("p", float(a), float(b)) for a, b in zip(x, y, strict=True)] + [("p", None, 1.0), ("p", -1.0, 1.0), ("q", 1.0, 1.0)]
+    got = {r["pair_id"]: r for r in alignment.align_depth(spark.createDataFrame(rows, "pair_id string, source double, target double"), mode).collect()}
+    assert got["q"]["reason"] == "insufficient_background_depth_support" and got["q"]["scale"] is None
+    p = got["p"]
+    assert p["support"] == 60 and p["reason"] == ""
+    if mode == "provider_shared_scale":
+        error = float(np.sqrt(np.mean((y - x) ** 2)))
+        assert p["error"] == pytest.approx(error) and p["quality"] == pytest.approx(1 / (1 + error / np.median(y)))
+    else:
+        scale, shift = {"scale_only": (2, 0), "affine_depth": (2, 1), "affine_inverse_depth": (0.5, 0.25)}[mode]
+        assert p["scale"] == pytest.approx(scale) and p["shift"] == pytest.approx(shift, abs=1e-9) and p["inlier_ratio"] == pytest.approx(53 / 60)
+
+
+def test_depth_alignment_never_keeps_a_negative_scale(spark):
+    df = spark.createDataFrame([("p", float(i + 1), 100.0 - i) for i in range(40)], "pair_id string, source double, target double")
+    assert alignment.align_depth(df, "affine_depth").first()["reason"] == "robust_depth_alignment_failed"
+
+
+def test_sequence_alignment(spark):
+    """Scales and shifts come back from consistent edges, over a missing one; what no edge reaches has a reason."""
+    rng = np.random.default_rng(5)
+    a, b = rng.uniform(0.5, 2, 8), rng.uniform(-0.2, 0.2, 8)
+    a[0], b[0] = 1.0, 0.0
+    rows = []
+    for i in range(7):
+        for j in (i + 1, i + 2):
+            if j < 7 and (i, j) != (2, 3):
+                rows.append(("v", i, j, "affine_depth", float(a[i] / a[j]), float((b[i] - b[j]) / a[j]), 0.9, 0.01))
+    rows.append(("v", 6, 7, "affine_depth", 1.0, 0.0, 0.1, 0.01))  # too poor
+    rows.append(("v", 0, 1, "scale_only", 1.0, 0.0, 0.9, 0.001))  # reaches fewer frames
+    got = {r["frame_index"]: r for r in alignment.align_sequence(spark.createDataFrame(rows, "video_id string, source long, target long, mode string, scale double, shift double, quality double, holdout double")).collect()}
+    for i in range(7):
+        assert got[i]["scale"] == pytest.approx(a[i]) and got[i]["shift"] == pytest.approx(b[i], abs=1e-9) and got[i]["mode"] == "affine_depth"
+    assert got[7]["reason"] == "depth_alignment_graph_disconnected" and got[7]["scale"] is None
 
 
 def test_broken_pose_breaks_all_later(spark):
