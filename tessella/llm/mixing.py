@@ -3,14 +3,15 @@
 Source s has size S_s (characters), weight w_s and the corpus a target of T
 characters: a document of s is repeated Poisson(r_s) times, r_s = T w_s / S_s.
 The count inverts the distribution function at a uniform number that MD5 draws from
-(seed, doc_id): the same document has the same count in every run, task and retry.
+(seed, doc_id, MD5 of the text): the same document has the same count in every run, task and retry, and
+rows that share a doc_id, or have none, draw each for themselves.
 A rate above ``PIECE`` is a sum of equal rates below it, each with a draw of its
 own, so no term of a distribution function underflows. Copies then go to the
-partition and place that MD5 of (seed, doc_id, copy) names: a shuffle of all rows.
+partition and place that MD5 of (seed, doc_id, MD5 of the text, copy) names: a shuffle of all rows.
 
 Cases: a null source is a source; a null or empty text has size 0, and a source of
-size 0 gets rate 0 (it can't change the mix), or 1 if the whole corpus is empty. Rows that share a doc_id share
-counts. A source that ``weights`` doesn't name gets weight 0. Further columns pass
+size 0 gets rate 0 (it can't change the mix), or 1 if the whole corpus is empty. Rows equal in doc_id and
+text share counts and places; all null doc_ids count as equal, as do a null and an empty text. A source that ``weights`` doesn't name gets weight 0. Further columns pass
 through; columns named mix_rate, mix_copy or mix_order give way to ours, but for :func:`mix_documents`,
 which returns the input's columns only. An empty table stays empty.
 """
@@ -74,15 +75,17 @@ OURS = ("mix_rate", "mix_copy", "mix_order")
 
 def _copies(docs: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
     """Every document once for each copy: its row as a struct, its id and source, our columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), key.alias("_key"))
     held = rates.select(F.col("source").alias("_name"), F.col("rate").alias("mix_rate"), F.col("pieces").alias("_pieces"), F.col("cdf").alias("_cdf"))
     if rates.select("source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(held), F.col("_source").eqNullSafe(F.col("_name")))
     else:  # a hot source is dealt over SALTS tasks
         salted = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int"))
+        dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
         joined = dealt.join(salted, (F.col("_deal") == F.col("_salt")) & F.col("_source").eqNullSafe(F.col("_name")))
-    key = F.coalesce(F.col("_id").cast("string"), F.lit("null"))
+    key = F.col("_key")
     below = lambda u: F.size(F.filter(F.col("_cdf"), lambda c: c <= u))
     # One draw decides unless the rate is above PIECE.
     several = F.aggregate(F.sequence(F.lit(1), F.col("_pieces")), F.lit(0), lambda n, j: n + below(uniform(F.lit(str(seed)), key, j.cast("string"))))
@@ -90,7 +93,7 @@ def _copies(docs: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
     count = drawn.withColumn("_n", F.when(F.col("_pieces") == 1, below(F.col("_u"))).otherwise(several))
     copies = count.where("_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     order = uniform(F.lit(str(seed)), F.lit("order"), key, F.col("mix_copy").cast("string"))
-    return copies.select("_row", "_id", *OURS[:2], order.alias("mix_order"))
+    return copies.select("_row", "_key", *OURS[:2], order.alias("mix_order"))
 
 
 def _plain(copies: DataFrame, columns: list[str]) -> list[Column]:
@@ -105,7 +108,7 @@ def replicate(docs: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
 
 def _shuffled(docs: DataFrame, weights, alpha: float, target_chars: float | None, seed: int) -> DataFrame:
     copies = _copies(docs, source_rates(docs, weights, alpha, target_chars), seed)
-    return copies.repartition("mix_order").sortWithinPartitions("mix_order", "_id")
+    return copies.repartition("mix_order").sortWithinPartitions("mix_order", "_key")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, target_chars: float | None = None, seed: int = SEED) -> DataFrame:
@@ -132,11 +135,11 @@ f AS (SELECT source, k, sum(exp(-rate / pieces + k * CASE WHEN rate > 0 THEN ln(
         * CASE WHEN rate = 0 AND k > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
 draws AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, p.rate, unnest(range(1, p.pieces + 1)) AS j
     FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-u AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM draws),
+u AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM draws),
 n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, u.rate, count(f.k) AS n
     FROM u LEFT JOIN f ON u.source IS NOT DISTINCT FROM f.source AND f.cdf <= u.u GROUP BY ALL),
 c AS (SELECT *, unnest(range(0, n)) AS copy FROM n WHERE n > 0)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS mix_rate, copy::INT AS mix_copy,
-  ('0x' || substr(md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS mix_order
+  ('0x' || substr(md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' || copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS mix_order
 FROM c
 """

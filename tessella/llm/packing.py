@@ -38,12 +38,13 @@ CAPACITY = 4096
 @dataclass(frozen=True)
 class Limits:
     """Capacities of a sequence and the weights of its dimensions. With the default
-    documents and attention the token capacity binds alone."""
+    documents and attention the token capacity binds alone (4096 tokens allow no more of either), but
+    which sequence a piece goes to depends on all three residuals alike."""
 
     tokens: int = CAPACITY
     documents: int = CAPACITY
     attention: int = CAPACITY * CAPACITY
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
 

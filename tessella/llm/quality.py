@@ -1,20 +1,21 @@
 """Quality by a byte-level convolutional network in numpy.
 
-Every byte is a symbol: its value, plus 256 if it lies in a word that repeats the word
-before it. Filters of ``WIDTH`` symbols, ``STRIDE`` apart, are max-pooled over chunks of
-two halves of ``HALF`` bytes; chunks overlap by one half and cover the whole document.
-The chunks' mean and maximum go through one hidden layer to one probability.
+Filters of ``WIDTH`` bytes, ``STRIDE`` apart, are max-pooled over chunks of two halves of ``HALF``
+bytes; chunks overlap by one half and cover the whole document. A hidden layer judges every chunk by
+what its filters found; the mean and the maximum of its units over all chunks
+give one probability. Nothing but the bytes goes in: their embedding, the filters and both layers are learned.
 
-A filter over embedded symbols is a sum of ``WIDTH`` table rows, one for each offset, so
+A filter over embedded bytes is a sum of ``WIDTH`` table rows, one for each offset, so
 scoring is table lookups and sums, without an unfolded input.
 
-Training: Adam on at most about ``PER_CLASS`` documents of each label, ``SAMPLE_CHARS`` of
-each: a bounded, documented sample. Scores read whole texts and nothing else.
+Training: Adam on at most about ``PER_CLASS`` documents of each label, whole texts (a bounded, documented
+sample of rows); every epoch reads one window of each, drawn anew anywhere in the text. Scores read whole
+texts and nothing else.
 
 Cases: a null or empty text is one chunk of padding and gets a score; without labels
 of both kinds the score is the fold's share of label 1 (0.5 without labels); rows that
 share a doc_id are scored each by its own text; further columns are ignored; an empty
-table gives no rows. A chunk's padding behind the text is symbol 0.
+table gives no rows. A chunk's padding behind the text is byte 0.
 """
 
 from __future__ import annotations
@@ -28,24 +29,24 @@ from pyspark.sql import functions as F
 from .labels import training_sample
 from .langid import held_out
 from .storage import document_batches
-from .textkernel import Scan, as_bytes, slices
+from .textkernel import as_bytes, slices
 
 PER_CLASS = 1500
-SAMPLE_CHARS = 4096
+WINDOWS = (256, 2048)
 WIDTH = 8
-STRIDE = 4
-HALF = 256
-FILTERS = 16
+STRIDE = 2
+HALF = 32
+FILTERS = 24
 EMBED = 8
 HIDDEN = 16
-EPOCHS = 24
+EPOCHS = 32
 BATCH = 64
 RATE = 0.01
 
 
 @dataclass
 class Model:
-    tables: np.ndarray  # (WIDTH, 512, FILTERS)
+    tables: np.ndarray  # (WIDTH, 256, FILTERS)
     bias: np.ndarray
     w1: np.ndarray
     b1: np.ndarray
@@ -54,25 +55,13 @@ class Model:
     constant: float | None = None
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' symbols, each text padded to whole halves, and its first half's number."""
-    scan = Scan(texts)
-    code = scan.buf.astype(np.uint16)
-    if len(scan.start):
-        h = scan.hashes()
-        again = np.zeros(len(h), bool)
-        again[1:] = h[1:] == h[:-1]
-        again[scan.first[:-1][scan.first[:-1] < len(h)]] = False
-        edge = np.zeros(len(code) + 1, np.int8)
-        edge[scan.start[again]] += 1
-        edge[scan.end[again]] -= 1
-        code += (np.cumsum(edge[:-1], dtype=np.int8) > 0).astype(np.uint16) << 8
-    size = np.diff(scan.base) - 1
-    halves = np.maximum(1, -(-size // HALF))
-    first = np.concatenate([[0], np.cumsum(halves)])
-    out = np.zeros(int(first[-1]) * HALF + WIDTH, np.uint16)
-    for a, n, f in zip(scan.base.tolist(), size.tolist(), first.tolist(), strict=False):
-        out[f * HALF : f * HALF + n] = code[a : a + n]
+def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes, each text padded to whole halves, and its first half's number."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-size // HALF)))])
+    out = np.zeros(int(first[-1]) * HALF + WIDTH, np.uint8)
+    for text, f in zip(texts, first.tolist(), strict=False):
+        out[f * HALF : f * HALF + len(text)] = np.frombuffer(text, np.uint8)
     return out, first
 
 
@@ -98,12 +87,15 @@ def _pool(half: np.ndarray, first: np.ndarray):
     return chunk, np.flatnonzero(keep)
 
 
-def _documents(chunk: np.ndarray, keep: np.ndarray, first: np.ndarray):
-    act = np.maximum(chunk[keep], 0)
+def _documents(unit: np.ndarray, keep: np.ndarray, first: np.ndarray):
+    """First chunk and number of chunks of each text, mean and maximum of its chunks' units."""
     begin = np.searchsorted(keep, first[:-1])
     count = np.diff(np.append(begin, len(keep)))
-    mean = np.add.reduceat(act, begin, axis=0) / count[:, None]
-    return act, begin, count, mean, np.maximum.reduceat(act, begin, axis=0)
+    return begin, count, np.add.reduceat(unit, begin, axis=0) / count[:, None], np.maximum.reduceat(unit, begin, axis=0)
+
+
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def forward(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -112,39 +104,75 @@ def forward(model: Model, texts: list[bytes]) -> np.ndarray:
         return np.full(len(texts), model.constant)
     out = []
     for lo, hi in slices(texts, 1 << 20):
-        code, first = symbols(texts[lo:hi])
+        code, first = padded(texts[lo:hi])
         half = np.empty((int(first[-1]), FILTERS), np.float32)
-        step = 1 << 10  # halves at a time: temporaries stay small for texts of any length
+        step = 1 << 12  # halves at a time: temporaries stay small for texts of any length
         for a in range(0, len(half), step):
             b = min(len(half), a + step)
             conv = _convolve(code[a * HALF : b * HALF + WIDTH], model.tables)
             half[a:b] = conv.reshape(b - a, HALF // STRIDE, FILTERS).max(axis=1)
         chunk, keep = _pool(half + model.bias, first)
-        _, _, _, mean, most = _documents(chunk, keep, first)
-        hidden = np.tanh(np.concatenate([mean, most], axis=1) @ model.w1 + model.b1)
-        out.append(1 / (1 + np.exp(-np.clip(hidden @ model.w2 + model.b2, -40, 40))))
+        unit = np.tanh(np.maximum(chunk[keep], 0) @ model.w1 + model.b1)
+        _, _, mean, most = _documents(unit, keep, first)
+        out.append(_probability(np.concatenate([mean, most], axis=1) @ model.w2 + model.b2))
     return np.concatenate(out).astype(float) if out else np.zeros(0)
 
 
+def gradients(p: dict[str, np.ndarray], texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Weighted mean log loss of some texts and its derivatives."""
+    code, first = padded(texts)
+    tables = np.einsum("se,jef->jsf", p["e"], p["f"])
+    conv = _convolve(code, tables.astype(np.float32)).reshape(-1, HALF // STRIDE, FILTERS)
+    where = conv.argmax(axis=1)
+    half = np.take_along_axis(conv, where[:, None], axis=1)[:, 0].astype(float) + p["fb"]
+    chunk, keep = _pool(half, first)
+    act = np.maximum(chunk[keep], 0)
+    unit = np.tanh(act @ p["w1"] + p["b1"])
+    begin, count, mean, most = _documents(unit, keep, first)
+    x = np.concatenate([mean, most], axis=1)
+    out = _probability(x @ p["w2"] + p["b2"][0])
+    loss = -float((weight * np.log(np.where(y == 1, out, 1 - out) + 1e-12)).mean())
+    dz = (out - y) * weight / len(y)
+    dx = dz[:, None] * p["w2"]
+    owner = np.repeat(np.arange(len(y)), count)
+    du = (dx[:, :HIDDEN] / count[:, None])[owner] + np.where(unit == most[owner], dx[:, HIDDEN:][owner], 0.0)
+    dh = du * (1 - unit**2)
+    g = {"w2": x.T @ dz, "b2": np.array([dz.sum()]), "w1": act.T @ dh, "b1": dh.sum(axis=0)}
+    da = (dh @ p["w1"].T) * (act > 0)
+    # A chunk's gradient goes to the half that had its maximum, and there to the bytes under the best place.
+    right = np.minimum(keep + 1, len(half) - 1)[:, None]
+    to = np.where(half[keep] >= chunk[keep], keep[:, None], right)
+    column = np.broadcast_to(np.arange(FILTERS), to.shape)
+    dhalf = np.bincount((to * FILTERS + column).ravel(), da.ravel(), half.size).reshape(half.shape)
+    g["fb"] = dhalf.sum(axis=0)
+    n, f = np.nonzero(dhalf)
+    at, value = n * HALF + where[n, f] * STRIDE, dhalf[n, f]
+    dt = np.stack([np.bincount(code[at + j].astype(np.int64) * FILTERS + f, value, 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)])
+    g["e"], g["f"] = np.einsum("jsf,jef->se", dt, p["f"]), np.einsum("jsf,se->jef", dt, p["e"])
+    return loss, g
+
+
+def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
+    return {
+        "e": rng.normal(0, 0.5, (256, EMBED)),
+        "f": rng.normal(0, 1 / np.sqrt(WIDTH * EMBED), (WIDTH, EMBED, FILTERS)),
+        "fb": np.zeros(FILTERS),
+        "w1": rng.normal(0, 0.3, (FILTERS, HIDDEN)),
+        "b1": np.zeros(HIDDEN),
+        "w2": rng.normal(0, 0.3, 2 * HIDDEN),
+        "b2": np.zeros(1),
+    }
+
+
 def train(sample: list[tuple[str, int]], counts: dict[int, int], seed: int = 5) -> Model:
     """Fit on (text, quality) pairs; ``counts`` are the labels' true frequencies."""
     y = np.array([v for _, v in sample], float)
-    shape = (np.zeros((WIDTH, 512, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros((2 * FILTERS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0)
     if len(y) == 0 or y.min() == y.max():
         total = sum(counts.values())
-        return Model(*shape, constant=counts.get(1, 0) / total if total else 0.5)
+        none = (np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros((FILTERS, HIDDEN)), np.zeros(HIDDEN), np.zeros(2 * HIDDEN), 0.0)
+        return Model(*none, constant=counts.get(1, 0) / total if total else 0.5)
     rng = np.random.default_rng(seed)
-    p = {
-        "e": rng.normal(0, 0.5, (512, EMBED)),
-        "f": rng.normal(0, 1 / np.sqrt(WIDTH * EMBED), (WIDTH, EMBED, FILTERS)),
-        "fb": np.zeros(FILTERS),
-        "w1": rng.normal(0, 0.3, (2 * FILTERS, HIDDEN)),
-        "b1": np.zeros(HIDDEN),
-        "w2": rng.normal(0, 0.3, HIDDEN),
-        "b2": np.zeros(1),
-    }
-    # A repeated word begins with its bytes' usual embedding and one common offset.
-    p["e"][256:] = 0.5 * p["e"][:256] + rng.normal(0, 0.7, EMBED)
+    p = initial(rng)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     share = {0: counts.get(0, 1) / (1 - y).sum(), 1: counts.get(1, 1) / y.sum()}
     weight = np.where(y == 1, share[1], share[0])
@@ -154,43 +182,15 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int], seed: int = 5)
     for epoch in range(EPOCHS):
         rate = RATE * (0.1 ** (epoch / EPOCHS))
         order = rng.permutation(len(y))
+        size = rng.integers(*WINDOWS, len(y))
+        begin = (rng.random(len(y)) * np.maximum(1, np.fromiter(map(len, texts), np.int64, len(y)) - size + 1)).astype(np.int64)
         for at in range(0, len(y), BATCH):
             pick = order[at : at + BATCH]
-            code, first = symbols([texts[i] for i in pick])
-            tables = np.einsum("se,jef->jsf", p["e"], p["f"]).astype(np.float32)
-            conv = _convolve(code, tables).reshape(-1, HALF // STRIDE, FILTERS)
-            where = conv.argmax(axis=1)
-            half = np.take_along_axis(conv, where[:, None], axis=1)[:, 0].astype(float) + p["fb"]
-            chunk, keep = _pool(half, first)
-            act, begin, count, mean, most = _documents(chunk, keep, first)
-            x = np.concatenate([mean, most], axis=1)
-            hidden = np.tanh(x @ p["w1"] + p["b1"])
-            out = 1 / (1 + np.exp(-np.clip(hidden @ p["w2"] + p["b2"], -40, 40)))
-            dz = (out - y[pick]) * weight[pick] / len(pick)
-            g = {"w2": hidden.T @ dz + 1e-3 * p["w2"], "b2": np.array([dz.sum()])}
-            dh = dz[:, None] * p["w2"] * (1 - hidden**2)
-            g["w1"], g["b1"] = x.T @ dh + 1e-3 * p["w1"], dh.sum(axis=0)
-            dx = dh @ p["w1"].T
-            owner = np.repeat(np.arange(len(pick)), count)
-            da = (dx[:, :FILTERS] / count[:, None])[owner]
-            top = (act == most[owner]) & (act > 0)
-            da = (da + np.where(top, dx[:, FILTERS:][owner], 0.0)) * (act > 0)
-            dhalf = np.zeros_like(half)
-            for f in range(FILTERS):
-                right = np.minimum(keep + 1, len(half) - 1)
-                left = half[keep, f] >= chunk[keep, f]
-                np.add.at(dhalf[:, f], np.where(left, keep, right), da[:, f])
-            g["fb"] = dhalf.sum(axis=0)
-            n, f = np.nonzero(dhalf)
-            pos = n * HALF + where[n, f] * STRIDE
-            value = dhalf[n, f]
-            dt = np.zeros((WIDTH, 512, FILTERS))
-            for j in range(WIDTH):
-                np.add.at(dt[j], (code[pos + j], f), value)
-            g["e"] = np.einsum("jsf,jef->se", dt, p["f"])
-            g["f"] = np.einsum("jsf,se->jef", dt, p["e"])
+            _, g = gradients(p, [texts[i][begin[i] : begin[i] + size[i]] for i in pick.tolist()], y[pick], weight[pick])
             step += 1
             for k, v in g.items():
+                if k in ("w1", "w2"):
+                    v = v + 1e-3 * p[k]
                 m, s = moment[k]
                 m[:] = 0.9 * m + 0.1 * v
                 s[:] = 0.999 * s + 0.001 * v * v
@@ -203,7 +203,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    return train(*training_sample(docs, labels, "quality", per_class, SAMPLE_CHARS))
+    return train(*training_sample(docs, labels, "quality", per_class))
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -33,7 +33,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.compare_neighbours(_table(spark, sf_dir, "documents"))
+    return simhash.near_groups(simhash.compare_neighbours(_table(spark, sf_dir, "documents")))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ the fingerprint has the bits with a positive sum. Likeness is the share of equal
 Block tables: cut into r + s blocks, two fingerprints within Hamming distance r agree
 wholly on at least s blocks. There is a table for every choice of s blocks, keyed
 by them; every near pair meets in some table, so the search is exact. Equal
-fingerprints are one class first, and a key that many classes share is dealt in
-blocks of rows, so that no task holds more than two of them.
-
-Cases: null and empty texts have the fingerprint of no terms (all zero bits), as have blank ones;
-equal texts have equal fingerprints; a null doc_id comes first in the order of documents,
-rows that share a doc_id follow each other by text; further columns are ignored; a single
-document is its own next; an empty table gives no rows.
+fingerprints are one class first. Only keys that several classes share go on with their fingerprints; a key
+that many share is dealt in blocks of rows, so that no task holds more than two of them. There
+links become counts and spanning edges: pairs are never written. A pair is counted in the first table it shares.
+
+Cases: null and empty texts have the fingerprint of no terms (all zero bits), as have blank ones, and are
+near to nothing; equal texts have equal fingerprints; a null doc_id comes first in the order of documents,
+rows that share a doc_id (or have none) follow each other by a hash of the text, then the text, so no doc_id fills a task; further
+columns are ignored; a single document is its own next; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import document_batches, materialize
+from .reducer import bits_of, maybe
+from .storage import discard, document_batches, materialize
 from .textkernel import Scan, as_bytes, mix, seeded, slices
 
 BITS = 256
 WORD = 0.25
 PAIR = 1.0
 GROUP = 2048
-#: Parts of the order of documents; each has two entries in the plan.
-MOST_PARTS = 4096
+#: Bits in which near fingerprints differ at most.
+RADIUS = 7
 _WORDS = BITS // 64
 _SEED = seeded(_WORDS, 31) | np.uint64(1)
 #: bits of every byte value as votes, most significant first
@@ -87,94 +89,96 @@ def edited(text: str, following: str) -> str:
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def _compared(ids: list, texts: list[str]):
+    """Arrays of all but the last text, each against its next."""
+    import pyarrow as pa
 
+    own = fingerprints(as_bytes(texts))
+    new = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
+    raw = as_bytes(new)
+    other = fingerprints(raw)
+    near, following = 1 - hamming(own[:-1], other) / BITS, 1 - hamming(own[:-1], own[1:]) / BITS
+    return [
+        pa.array(ids[:-1], pa.int64()),
+        pa.array(list(map(len, texts[:-1])), pa.int64()),
+        pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
+        pa.array([x.tobytes().hex() for x in own[:-1]]),
+        pa.array([x.tobytes().hex() for x in other]),
+        pa.array(near),
+        pa.array(following),
+    ]
+
+
+def _inside(batches):
+    """Sorted rows (doc_id, text) of a partition: all but its last against their next. Its first and last text go
+    out too, marked, since their company is in other partitions."""
+    from pyspark import TaskContext
 
-def _compare(batches):
-    """Rows (part, guest, doc_id, text) sorted so: a guest is only the next of the row before it."""
     import pyarrow as pa
 
-    def emit(ids, texts):
-        """All but the last text, each with its next."""
-        own = fingerprints(as_bytes(texts))
-        new = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
-        raw = as_bytes(new)
-        other = fingerprints(raw)
-        near, following = 1 - hamming(own[:-1], other) / BITS, 1 - hamming(own[:-1], own[1:]) / BITS
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids[:-1], pa.int64()),
-                pa.array(list(map(len, texts[:-1])), pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
-                pa.array([x.tobytes().hex() for x in own[:-1]]),
-                pa.array([x.tobytes().hex() for x in other]),
-                pa.array(near),
-                pa.array(following),
-            ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-        )
-
-    part, ids, texts, done, held = None, [], [], False, 0
+    part = TaskContext.get().partitionId()
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = [*COLUMNS, "part", "edge", "text"]
+
+    def edge(which, d, t):
+        return pa.RecordBatch.from_arrays([pa.array([d], kinds[0]), *[pa.nulls(1, k) for k in kinds[1:]], pa.array([part], pa.int32()), pa.array([which], pa.int32()), pa.array([t], pa.string())], names=names)
+
+    def emit():
+        m = len(ids) - 1
+        return pa.RecordBatch.from_arrays([*_compared(ids, texts), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.string())], names=names)
+
+    ids, texts, held, began = [], [], 0, False
     for batch in batches:
-        for p, guest, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            t = t or ""
-            if p != part:
-                part, ids, texts, done, held = p, [], [], False, 0
-            if done:  # further rows with the guest's doc_id
-                continue
+        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not began:
+                yield edge(0, d, t)
+                began = True
             ids.append(d)
             texts.append(t)
             held += len(t)
-            done = bool(guest)
-            if len(ids) > 1 and (done or held >= 1 << 21):
-                yield emit(ids, texts)
+            if len(ids) > 1 and held >= 1 << 21:
+                yield emit()
                 ids, texts = ids[-1:], texts[-1:]
                 held = len(texts[0])
+    if began:
+        if len(ids) > 1:
+            yield emit()
+        yield edge(1, ids[-1], texts[-1])
+
+
+def _across(batches):
+    """Rows (doc_id, text, next text): the last of a partition against the first of the next."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for d, t, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield pa.RecordBatch.from_arrays(_compared([d, None], [t, following]), names=COLUMNS)
 
 
 def compare_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likenesses.
 
-    Documents are cut at quantiles of doc_id into parts. The smallest document of
-    every part also goes, as a guest, to the end of the part before it (that of the
-    first part to the last), so that each text meets its next in one shuffle.
+    One shuffle puts the documents in order of doc_id, range by range. The last text of a
+    range meets the first of the next in a second, small step: two texts a range.
     """
-    document_batches(docs.sparkSession)
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(parts, MOST_PARTS)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # One row for each part on the driver: the part is the number of cuts at or below doc_id.
-    held = F.lit(0) if not cuts else F.coalesce(_bucket(F.col("doc_id"), cuts), F.lit(0))
-    numbered = docs.withColumn("part", held)
-    least = F.struct(F.col("doc_id").isNotNull(), "doc_id")  # nulls come first
-    firsts = {r["part"]: r["first"][1] for r in numbered.groupBy("part").agg(F.min(least).alias("first")).collect()}
-    order = sorted(firsts)
-    # By part: its smallest doc_id, and the part before it.
-    smallest = F.array(*[F.lit(firsts.get(p)).cast("long") for p in range(len(cuts) + 1)])
-    before = F.array(*[F.lit(order[order.index(p) - 1] if p in firsts else None).cast("int") for p in range(len(cuts) + 1)])
-    guest = F.when(F.col("doc_id").eqNullSafe(smallest[F.col("part")]), before[F.col("part")])
-    seats = F.when(guest.isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")))).otherwise(
-        F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")), F.struct(guest.alias("part"), F.lit(1).alias("guest")))
-    )
-    rows = numbered.withColumn("seat", F.explode(seats)).select("seat.part", "seat.guest", "doc_id", "text")
-    rows = rows.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
-    return rows.mapInArrow(_compare, SCHEMA)
-
-
-def _bucket(column, cuts):
-    """Number of cuts at or below the column, by halving: log2(cuts) comparisons a row."""
-    if not cuts:
-        return F.lit(0)
-
-    def build(lo, hi):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column < F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return F.when(column.isNull(), F.lit(0)).otherwise(build(0, len(cuts)))
+    document_batches(spark)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("text")]
+    ranged = docs.repartitionByRange(parts, *order[:2]) if parts else docs.repartitionByRange(*order[:2])
+    rows = ranged.sortWithinPartitions(*order).select("doc_id", "text")
+    found = materialize(rows.mapInArrow(_inside, SCHEMA + ", part int, edge int, text string"), "simhash-compared")
+    edges = found.where("edge IS NOT NULL").select("part", "edge", "doc_id", "text")
+    filled = sorted(r["part"] for r in edges.where("edge = 1").select("part").collect())  # a number for each range
+    follows = spark.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "part int, _next int")
+    first = edges.where("edge = 0").select(F.col("part").alias("_next"), F.col("text").alias("_following"))
+    last = edges.where("edge = 1").join(follows, "part").join(first, "_next").select("doc_id", "text", "_following")
+    joined = materialize(last.mapInArrow(_across, SCHEMA), "simhash-edges")
+    return found.where("edge IS NULL").select(*COLUMNS).unionByName(joined)
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
@@ -200,65 +204,91 @@ def block_keys(value: np.ndarray, radius: int, whole: int) -> list[np.ndarray]:
         return [mix(part[:, list(pick)].sum(axis=1, dtype=np.uint64) + np.uint64(t + 1)) for t, pick in enumerate(combinations(range(radius + whole), whole))]
 
 
-def near_classes(prints: DataFrame, radius: int = 7, whole: int = 1) -> DataFrame:
-    """Pairs (a, b, distance) of different fingerprints (hex strings) within the radius, each once."""
-    distinct = prints.select("fingerprint").distinct()
+def _links(classes: DataFrame, radius: int, whole: int) -> DataFrame:
+    """(name, head, links) of classes (name, size, fp): links counted by rows, and spanning edges, for every table."""
 
     def keys(batches):
         import pyarrow as pa
 
         for batch in batches:
-            hexes = batch.column(0).to_pylist()
-            if not hexes:
+            if not batch.num_rows:
                 continue
-            value = np.frombuffer(bytes.fromhex("".join(hexes)), np.uint8).reshape(len(hexes), -1)
+            value = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             for t, key in enumerate(block_keys(value, radius, whole)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hexes), t, np.int32)), pa.array(key.view(np.int64)), batch.column(0)], names=["table", "key", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key.view(np.int64)), batch.column(0)], names=["table", "key", "name"])
 
-    keyed = materialize(distinct.mapInArrow(keys, "table int, key long, fingerprint string"), "simhash-keys")
-    sizes = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
-    dealt = keyed.join(sizes, (keyed["table"] == sizes["_t"]) & (keyed["key"] == sizes["_k"])).withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    keyed = classes.select("name", "fp").mapInArrow(keys, "table int, key long, name long")
+    sizes = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(sizes.select(F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks")), "simhash-shared")
+    some = maybe(keyed, "key", bits_of(sizes, "_k"))  # most keys have one class and never move again
+    dealt = some.join(sizes, (some["table"] == sizes["_t"]) & (some["key"] == sizes["_k"])).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     # Blocks i <= j of a key meet once: a row goes to the pairs that hold its block.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("table", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "fingerprint")
-    dealt = dealt.repartition("table", "key", "lo", "hi").sortWithinPartitions("table", "key", "lo", "hi", "fingerprint")
+    place = ["table", "key", "lo", "hi"]
+    dealt = dealt.select("table", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("name").alias("_name"))
+    dealt = dealt.join(classes, F.col("_name") == classes["name"]).select(*place, "block", "name", "size", "fp")
+    dealt = dealt.repartition(*place).sortWithinPartitions(*place, "name")
 
     def meet(batches):
         import pyarrow as pa
 
         def flush(now, rows):
             if len(rows) < 2:
-                return
-            value = np.frombuffer(bytes.fromhex("".join(r[1] for r in rows)), np.uint8).reshape(len(rows), -1)
-            block = np.array([r[0] for r in rows])
-            all_keys = block_keys(value, radius, whole)
-            own = np.stack(all_keys, axis=1)
+                return None
+            block, name, size, fp = zip(*rows, strict=True)
+            value = np.frombuffer(b"".join(fp), np.uint8).reshape(len(rows), -1)
+            block, weight, own = np.array(block), np.array(size), np.stack(block_keys(value, radius, whole), axis=1)
+            links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
             for i in range(len(rows) - 1):
-                far = hamming(value[i + 1 :], value[i])
-                j = i + 1 + np.flatnonzero((far <= radius) & ((block[i + 1 :] != block[i]) | (now[2] == now[3])))
-                # Only the first table in which a pair meets reports it.
-                j = j[(own[j] == own[i]).argmax(axis=1) == now[0]] if len(j) else j
-                if len(j):
-                    yield pa.RecordBatch.from_arrays([pa.array([rows[i][1]] * len(j)), pa.array([rows[x][1] for x in j.tolist()]), pa.array(hamming(value[j], value[i]).astype(np.int32))], names=["a", "b", "distance"])
+                j = i + 1 + np.flatnonzero((hamming(value[i + 1 :], value[i]) <= radius) & ((block[i + 1 :] != block[i]) | (now[2] == now[3])))
+                if not len(j):
+                    continue
+                # Only the first table in which a pair meets counts it.
+                j = j[(own[j] == own[i]).argmax(axis=1) == now[0]]
+                if not len(j):
+                    continue
+                links[j] += weight[i]
+                links[i] += int(weight[j].sum())
+                group = np.unique(np.append(root[j], root[i]))
+                root[np.isin(root, group)] = group[0]
+            at = np.flatnonzero(links)
+            if not len(at):
+                return None
+            names = np.array(name, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[root[at]]), pa.array(links[at])], names=["name", "head", "links"])
 
         now, rows = None, []
         for batch in batches:
-            for t, k, lo, hi, block, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for t, k, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (t, k, lo, hi) != now:
-                    yield from flush(now, rows)
+                    if (out := flush(now, rows)) is not None:
+                        yield out
                     now, rows = (t, k, lo, hi), []
-                rows.append((block, x))
-        yield from flush(now, rows)
-
-    return dealt.mapInArrow(meet, "a string, b string, distance int")
-
-
-def near_groups(prints: DataFrame, radius: int = 7, whole: int = 1) -> DataFrame:
-    """(doc_id, fingerprint, group): the smallest doc_id reachable over near fingerprints."""
-    pairs = materialize(near_classes(prints, radius, whole), "simhash-pairs")
-    edges = pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    found = components(edges, "simhash-groups")
-    keyed = prints.withColumn("_h", F.xxhash64("fingerprint")).join(found, F.col("_h") == found["node"], "left")
-    keyed = keyed.select("doc_id", "fingerprint", F.coalesce("component", "_h").alias("_g"))
-    least = keyed.groupBy("_g").agg(F.min("doc_id").alias("group"))
-    return keyed.join(least, "_g").select("doc_id", "fingerprint", "group")
+                rows.append(row)
+        if (out := flush(now, rows)) is not None:
+            yield out
+
+    return materialize(dealt.mapInArrow(meet, "name long, head long, links long"), "simhash-links")
+
+
+def near_groups(prints: DataFrame, radius: int = RADIUS, whole: int = 1) -> DataFrame:
+    """``prints`` (doc_id, fingerprint as hex, more columns) with n_near, the number of other rows within the radius,
+    and near_id, the smallest doc_id reachable over them (the row's own without any)."""
+    blank = "0" * (BITS // 4)
+    classes = prints.where(F.col("fingerprint") != blank).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least"))
+    classes = materialize(classes.select(F.xxhash64("fingerprint").alias("name"), "size", "least", F.unhex("fingerprint").alias("fp")), "simhash-classes")
+    links = _links(classes, radius, whole)
+    counts = links.groupBy("name").agg(F.sum("links").alias("links")).select(F.col("name").alias("_c"), "links")
+    roots = components(links.select(F.col("name").alias("a"), F.col("head").alias("b")), "simhash-groups").select(F.col("node").alias("_n"), "component")
+    named = classes.join(counts, classes["name"] == counts["_c"], "left").where("size > 1 OR links IS NOT NULL").join(roots, F.col("name") == roots["_n"], "left")
+    named = materialize(named.select("name", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_near"), F.coalesce("component", "name").alias("_g")), "simhash-named")
+    # Both sides of a join with a small table of its own, so that a hot group can be split.
+    smallest = materialize(named.groupBy(F.col("_g").alias("_s")).agg(F.min("least").alias("near_id")), "simhash-least")
+    named = materialize(named.join(smallest, F.col("_g") == F.col("_s")).select("name", "n_near", "near_id"), "simhash-near")
+    keyed = prints.withColumn("_name", F.xxhash64("fingerprint"))
+    bits = bits_of(named, "name")
+    alone = maybe(keyed, "_name", bits, member=False).select(*prints.columns, F.lit(0).cast("long").alias("n_near"), F.col("doc_id").alias("near_id"))
+    rest = maybe(keyed, "_name", bits).join(named, F.col("_name") == F.col("name"), "left")
+    rest = rest.select(*prints.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("near_id")).alias("near_id"))
+    discard(classes, links)
+    return alone.unionByName(rest)

@@ -177,13 +177,16 @@ def score(model: Model, texts: list[bytes], spans: bool = True):
         np.maximum.at(weak, owner[~above], soft[~above])
         s = np.bincount(owner, np.where(above, soft, 0.0), docs) + weak
         out[lo : lo + docs] = -np.expm1(-s) if len(model.keys) else 0.0
-        if spans:
+        hits = np.flatnonzero(z >= 0) if spans else ()
+        if len(hits):
+            # Characters begin at all bytes but UTF-8's continuations: one count serves every span of the slice.
+            chars = np.concatenate([[0], np.cumsum((scan.buf & 0xC0) != 0x80)])
             stop = np.append(begin[1:], len(scan.start)) - 1
-            for i in np.flatnonzero(z >= 0).tolist():
-                d = int(owner[i])
-                a, b = int(scan.start[begin[i]] - scan.base[d]), int(scan.end[stop[i]] - scan.base[d])
-                head = len(texts[lo + d][:a].decode("utf-8", "replace"))
-                found[lo + d].append((head, head + len(texts[lo + d][a:b].decode("utf-8", "replace")), float(1 / (1 + np.exp(-z[i])))))
+            d = owner[hits]
+            origin = chars[scan.base[d]]
+            heads, tails = chars[scan.start[begin[hits]]] - origin, chars[scan.end[stop[hits]]] - origin
+            for row in zip(d.tolist(), heads.tolist(), tails.tolist(), (1 / (1 + np.exp(-z[hits]))).tolist(), strict=True):
+                found[lo + row[0]].append(row[1:])
     return out, found
 
 
