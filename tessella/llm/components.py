@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import discard, lean, materialize
 
 
 class UnionFind:
@@ -71,7 +71,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     rest = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     maps: list[DataFrame] = []
     while True:
-        stars = materialize(rest.mapInArrow(_local, "node long, root long"), f"{name}-stars")
+        stars = materialize(rest.mapInArrow(lean(_local), "node long, root long"), f"{name}-stars")
         least = materialize(stars.groupBy("node").agg(F.min("root").alias("up")), f"{name}-least")
         maps.append(least)
         # Local roots of one node are one component: link each with the least.

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .mixing import uniform
-from .storage import discard, materialize
+from .storage import discard, lean, materialize
 
 SAMPLE = 8192
 ITERATIONS = 30
@@ -216,7 +216,7 @@ def _links(vectors: DataFrame, threshold: float) -> DataFrame:
                 one.append(int(digest[0])), two.append(int(digest[1])), vector.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(vector, pa.binary())], names=["vec_id", "label", "k1", "k2", "vector"])
 
-    rows = materialize(vectors.mapInArrow(classify, "vec_id long, label string, k1 long, k2 long, vector binary"), "itq-rows")
+    rows = materialize(vectors.mapInArrow(lean(classify), "vec_id long, label string, k1 long, k2 long, vector binary"), "itq-rows")
     # Copies of one vector meet in a partial aggregate; a class is named by its 64-bit key.
     classes = rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = materialize(classes, "itq-classes")
@@ -233,7 +233,7 @@ def _links(vectors: DataFrame, threshold: float) -> DataFrame:
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), batch.column(0), batch.column(1), packed, sketch], names=["table", "key", "label", "k1", "code", "sketch"])
 
-    keyed = materialize(classes.select("label", "k1", "vector").mapInArrow(index, "table int, key long, label string, k1 long, code binary, sketch binary"), "itq-keyed")
+    keyed = materialize(classes.select("label", "k1", "vector").mapInArrow(lean(index), "table int, key long, label string, k1 long, code binary, sketch binary"), "itq-keyed")
     sizes = keyed.groupBy("label", "table", "key").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.where("n > 1").select(F.col("label").alias("_l"), F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
     dealt = keyed.join(sizes, (keyed["label"] == sizes["_l"]) & (keyed["table"] == sizes["_t"]) & (keyed["key"] == sizes["_k"]))
@@ -278,7 +278,7 @@ def _links(vectors: DataFrame, threshold: float) -> DataFrame:
                 m = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array([now[0]] * m, pa.string()), *(pa.array([x] * m, t) for x, t in zip(now[1:], (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array([block[i] for i in at], pa.int32()), pa.array([k1[i] for i in at], pa.int64()), pa.array([code[i] for i in at], pa.binary())], names=[*place, "block", "k1", "code"])
 
-    going = materialize(dealt.mapInArrow(near, "label string, table int, key long, lo int, hi int, block int, k1 long, code binary"), "itq-near")
+    going = materialize(dealt.mapInArrow(lean(near), "label string, table int, key long, lo int, hi int, block int, k1 long, code binary"), "itq-near")
     vectors_of = classes.select(F.col("k1").alias("_c1"), "size", "vector")
     dealt = going.join(vectors_of, going["k1"] == vectors_of["_c1"]).select(*place, "block", "k1", "code", "size", "vector")
     dealt = dealt.repartition(*place).sortWithinPartitions(*place, "k1")
@@ -322,7 +322,7 @@ def _links(vectors: DataFrame, threshold: float) -> DataFrame:
             if (out := flush(now, *rows)) is not None:
                 yield out
 
-    found = materialize(dealt.mapInArrow(meet, "k1 long, head long, links long"), "itq-links")
+    found = materialize(dealt.mapInArrow(lean(meet), "k1 long, head long, links long"), "itq-links")
     counts = found.groupBy("k1").agg(F.sum("links").alias("links")).select(F.col("k1").alias("_c"), "links")
     roots = components(found.select(F.col("k1").alias("a"), F.col("head").alias("b")), "itq-components").select(F.col("node").alias("_n"), "component")
     named = classes.join(counts, classes["k1"] == counts["_c"], "left").join(roots, classes["k1"] == roots["_n"], "left")

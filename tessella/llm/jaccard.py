@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .reducer import bits_of, maybe
-from .storage import discard, document_batches, materialize
+from .storage import discard, document_batches, lean, materialize
 from .textkernel import Scan, as_bytes, mix, seeded, shingles, slices
 
 BUCKETS = 1 << 18
@@ -56,7 +56,7 @@ HOT_ROWS = 8192
 SALT_ROWS = 1024
 BUCKET_SHINGLES = 1 << 20
 #: Shingles that a task holds before it sends them to their buckets.
-SEND_SHINGLES = 1 << 21
+SEND_SHINGLES = 1 << 19
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 1 << 21
 
@@ -494,7 +494,7 @@ def _texts(members: DataFrame, docs: DataFrame) -> DataFrame:
                 seen.add(t)
             yield batch.filter(pa.array(fresh, pa.bool_()))
 
-    near = near.mapInArrow(once, "_t1 long, text string")  # copies of a text move once a task
+    near = near.mapInArrow(lean(once), "_t1 long, text string")  # copies of a text move once a task
     return materialize(members.join(near, members["t1"] == near["_t1"]).drop("_t1"), "jaccard-texts")
 
 
@@ -502,7 +502,7 @@ def _compare(groups: DataFrame, k: int, threshold: int) -> DataFrame:
     """Exact links (spanning) of groups (family, block, other, node, text)."""
     rows = groups.select("family", "block", "other", "node", "text")
     rows = rows.repartition("family", "block", "other").sortWithinPartitions("family", "block", "other", "node")
-    return rows.mapInArrow(_verify(k, threshold), "a long, b long")
+    return rows.mapInArrow(lean(_verify(k, threshold)), "a long, b long")
 
 
 def _rows(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
@@ -511,7 +511,7 @@ def _rows(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hashed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), "text")
-    scanned = materialize(hashed.mapInArrow(_digest(shingle), DIGEST), "jaccard-digest")
+    scanned = materialize(hashed.mapInArrow(lean(_digest(shingle)), DIGEST), "jaccard-digest")
     digest = scanned.where("block IS NULL").drop("block", "counts")
     counted = scanned.where("block IS NOT NULL").select("block", F.posexplode("counts").alias("at", "c")).where("c > 0")
     table = np.zeros(BUCKETS)
@@ -524,17 +524,17 @@ def _rows(docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     counts = spark.sparkContext.broadcast(np.maximum(table - usual - 4 * usual**0.5 - 1, 0.0))
 
     classes = digest.where("n > 0").groupBy("fp1").agg(F.min("t1").alias("t1"), F.max("n").alias("n"))
-    sent = docs.select("text").mapInArrow(_send(shingle, buckets, counts), SENT)
+    sent = docs.select("text").mapInArrow(lean(_send(shingle, buckets, counts)), SENT)
     sent = sent.repartition("bucket").sortWithinPartitions("bucket")
-    shared = materialize(sent.mapInArrow(_frequencies(counts), SHARED), "jaccard-shared")
+    shared = materialize(sent.mapInArrow(lean(_frequencies(counts)), SHARED), "jaccard-shared")
     held = shared.groupBy("node").agg(F.count(F.lit(1)).alias("have"))
     able = held.join(classes, held["node"] == classes["fp1"]).where(F.col("have") >= F.ceil(F.lit(threshold) * F.col("n") / 100))
     able = materialize(able.select(F.col("node").alias("_able"), F.col("n").cast("int").alias("n")), "jaccard-able")
     few = maybe(shared, "node", bits_of(able, "_able"))
     rows = few.join(able, F.col("node") == F.col("_able")).select("node", "token", "df", "n")
-    rows = rows.repartition("node").sortWithinPartitions("node", "df", "token").mapInArrow(_prefixes(threshold), PREFIX)
+    rows = rows.repartition("node").sortWithinPartitions("node", "df", "token").mapInArrow(lean(_prefixes(threshold)), PREFIX)
     rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-    found = materialize(rows.mapInArrow(_runs(threshold), "a long, b long, match long, hot boolean, salted boolean"), "jaccard-runs")
+    found = materialize(rows.mapInArrow(lean(_runs(threshold)), "a long, b long, match long, hot boolean, salted boolean"), "jaccard-runs")
     discard(shared, able)
     pairs = found.where("NOT salted").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("match").alias("match"), F.max("hot").alias("hot"))
     pairs = pairs.where("hot OR shared >= match").select("a", "b")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .mixing import uniform
-from .storage import document_batches
+from .storage import document_batches, lean
 from .textkernel import as_bytes
 
 SAMPLE_DOCS = 200
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
             ok = [a != UND and m >= margin for a, m in zip(lang, gap, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(ok, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "margin", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA)
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
@@ -165,4 +165,4 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], margin: flo
             got = [coder.judge(t) for t in as_bytes(batch.column(at).to_pylist())]
             yield batch.filter(pa.array([lang != UND and gap >= margin for lang, _, gap in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

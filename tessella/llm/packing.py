@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import document_batches, materialize
+from .storage import document_batches, lean, materialize
 from .tokens import END_ID, encoder
 
 CAPACITY = 4096
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"])
 
     document_batches(docs.sparkSession)
-    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES), "pieces")
+    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES), "pieces")
 
 
 def pack(cut: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -183,7 +183,7 @@ def pack(cut: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     joined = cut.join(base, (cut["_part"] == base["_p"]) & (cut["length"] == base["_l"]))
     joined = joined.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank", "_base")
-    return joined.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return joined.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits()) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .labels import training_sample
 from .langid import held_out
-from .storage import document_batches
+from .storage import document_batches, lean
 from .textkernel import as_bytes, slices
 
 PER_CLASS = 1500
@@ -218,4 +218,4 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             p = forward(held.value, as_bytes(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA)

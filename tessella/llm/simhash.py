@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .reducer import bits_of, maybe
-from .storage import discard, document_batches, materialize
+from .storage import discard, document_batches, lean, materialize
 from .textkernel import Scan, as_bytes, mix, seeded, slices
 
 BITS = 256
@@ -171,13 +171,13 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("text")]
     ranged = docs.repartitionByRange(parts, *order[:2]) if parts else docs.repartitionByRange(*order[:2])
     rows = ranged.sortWithinPartitions(*order).select("doc_id", "text")
-    found = materialize(rows.mapInArrow(_inside, SCHEMA + ", part int, edge int, text string"), "simhash-compared")
+    found = materialize(rows.mapInArrow(lean(_inside), SCHEMA + ", part int, edge int, text string"), "simhash-compared")
     edges = found.where("edge IS NOT NULL").select("part", "edge", "doc_id", "text")
     filled = sorted(r["part"] for r in edges.where("edge = 1").select("part").collect())  # a number for each range
     follows = spark.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "part int, _next int")
     first = edges.where("edge = 0").select(F.col("part").alias("_next"), F.col("text").alias("_following"))
     last = edges.where("edge = 1").join(follows, "part").join(first, "_next").select("doc_id", "text", "_following")
-    joined = materialize(last.mapInArrow(_across, SCHEMA), "simhash-edges")
+    joined = materialize(last.mapInArrow(lean(_across), SCHEMA), "simhash-edges")
     return found.where("edge IS NULL").select(*COLUMNS).unionByName(joined)
 
 
@@ -191,7 +191,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
             got = fingerprints(as_bytes(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes().hex() for x in got], pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fingerprint string")
 
 
 def block_keys(value: np.ndarray, radius: int, whole: int) -> list[np.ndarray]:
@@ -217,7 +217,7 @@ def _links(classes: DataFrame, radius: int, whole: int) -> DataFrame:
             for t, key in enumerate(block_keys(value, radius, whole)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key.view(np.int64)), batch.column(0)], names=["table", "key", "name"])
 
-    keyed = classes.select("name", "fp").mapInArrow(keys, "table int, key long, name long")
+    keyed = classes.select("name", "fp").mapInArrow(lean(keys), "table int, key long, name long")
     sizes = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = materialize(sizes.select(F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks")), "simhash-shared")
     some = maybe(keyed, "key", bits_of(sizes, "_k"))  # most keys have one class and never move again
@@ -268,7 +268,7 @@ def _links(classes: DataFrame, radius: int, whole: int) -> DataFrame:
         if (out := flush(now, rows)) is not None:
             yield out
 
-    return materialize(dealt.mapInArrow(meet, "name long, head long, links long"), "simhash-links")
+    return materialize(dealt.mapInArrow(lean(meet), "name long, head long, links long"), "simhash-links")
 
 
 def near_groups(prints: DataFrame, radius: int = RADIUS, whole: int = 1) -> DataFrame:

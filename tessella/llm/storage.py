@@ -6,8 +6,10 @@ executor costs a re-read, never a recomputation of what was already written.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,8 +39,37 @@ def document_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def _give_back() -> None:
+    """Return what this Python worker has freed to the system: workers are reused, and idle ones keep it else."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, giving its memory back at the end of the task."""
+
+    @functools.wraps(run)
+    def task(batches):
+        yield from run(batches)
+        _give_back()
+
+    return task
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one: all its tables, and nothing else."""
+    return f"{shared_root(spark)}/tessella-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
@@ -51,12 +82,19 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that nothing reads any more."""
     for df in tables:
         path = getattr(df, "source_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            fs = target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf())
-            fs.delete(target, True)
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables of this application. Results read some of them, so this is the caller's to do, when all results are written."""
+    _delete(spark, own_folder(spark))

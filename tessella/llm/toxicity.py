@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .labels import training_sample
 from .langid import held_out
-from .storage import document_batches
+from .storage import document_batches, lean
 from .textkernel import Scan, as_bytes, mix, slices
 
 PER_CLASS = 2000
@@ -214,7 +214,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
                 names=["doc_id", "held_out", "score", "predicted", "n_offending", "offending"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -230,4 +230,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             p, _ = score(held.value, as_bytes(batch.column(at).to_pylist()), spans=False)
             yield batch.filter(pa.array(p < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

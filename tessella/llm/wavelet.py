@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .storage import document_batches, materialize
+from .storage import document_batches, lean, materialize
 from .tokens import END_ID, encoder
 
 MAGIC = b"TWM1"
@@ -226,7 +226,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, sha
 
     document_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return materialize(ordered.mapInArrow(build, SHARD_SCHEMA), "wavelet", compression="none", maxRecordsPerFile=1)
+    return materialize(ordered.mapInArrow(lean(build), SHARD_SCHEMA), "wavelet", compression="none", maxRecordsPerFile=1)
 
 
 DIGEST_SCHEMA = "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long"
@@ -246,7 +246,7 @@ def read_digests(shards: DataFrame) -> DataFrame:
     # One row a shard: the only table in one task, a two-millionth of the ids.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     base = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return shards.select("part", "seq", "payload").mapInArrow(read, DIGEST_SCHEMA).join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
+    return shards.select("part", "seq", "payload").mapInArrow(lean(read), DIGEST_SCHEMA).join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:

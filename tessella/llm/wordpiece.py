@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import document_batches
+from .storage import document_batches, lean
 from .textkernel import LOWER, Scan, as_bytes, slices
 
 END = 256
@@ -196,4 +196,4 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[:, i]) for i in range(3))], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     document_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_words long, n_tokens long, n_unknown long")
