@@ -44,10 +44,15 @@ def branch_scores(rows: DataFrame, keys: list[str], top_k: int = 3) -> DataFrame
 
 def fuse(rows: DataFrame, keys: list[str], weights: dict[str, float] | None = None, top_k: int = 3) -> DataFrame:
     """risk, confidence, branches and available share of every group, by one exchange."""
+    return _combine(branch_scores(rows.repartition(*keys), keys, top_k), keys, weights)
+
+
+def _combine(scores: DataFrame, keys: list[str], weights: dict[str, float] | None = None) -> DataFrame:
+    """Fuse rows of :func:`branch_scores`."""
     weight = F.lit(1.0)
     for branch, w in (weights or {}).items():
         weight = F.when(F.col("branch") == branch, F.lit(float(w))).otherwise(weight)
-    scored = branch_scores(rows.repartition(*keys), keys, top_k).withColumn("w", weight).withColumn("b", bounded("residual"))
+    scored = scores.withColumn("w", weight).withColumn("b", bounded("residual"))
     live = F.col("usable") > 0
     out = scored.groupBy(*keys).agg(
         F.sum(F.when(F.col("applies"), F.col("w")).otherwise(0.0)).alias("wanted"),
@@ -68,13 +73,12 @@ def fuse(rows: DataFrame, keys: list[str], weights: dict[str, float] | None = No
     )
 
 
-def dropout(rows: DataFrame, keys: list[str], branches: list[str] = BRANCHES, **options) -> DataFrame:
-    """:func:`fuse` once for every branch left out, in one pass over replicated rows.
-
-    The branches are a fixed handful, so a row is repeated len(branches) - 1 times at most.
-    """
+def dropout(rows: DataFrame, keys: list[str], branches: list[str] = BRANCHES, weights: dict[str, float] | None = None, top_k: int = 3) -> DataFrame:
+    """:func:`fuse` once for every branch left out. What a branch says doesn't depend on the others, so the evidence is
+    scored once, and only the handful of branch rows of each group is repeated."""
+    scores = branch_scores(rows.repartition(*keys), keys, top_k)
     dropped = F.explode(F.filter(F.array(*[F.lit(b) for b in branches]), lambda b: b != F.col("branch"))).alias("dropped")
-    return fuse(rows.select("*", dropped), [*keys, "dropped"], **options)
+    return _combine(scores.select("*", dropped), [*keys, "dropped"], weights)
 
 
 def frame_fusion(rows: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import pandas as pd
@@ -126,18 +127,25 @@ def pose_graph(edges: DataFrame, reference: int = 0, least: float = 0.2) -> Data
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        usable = [(int(s), int(t), float(q)) for s, t, q in zip(pdf["source"], pdf["target"], pdf["quality"], strict=True) if q >= least]
+        near: dict[int, list[tuple[int, float]]] = {}
+        for s, t, q in zip(pdf["source"].astype(int), pdf["target"].astype(int), pdf["quality"].astype(float), strict=True):
+            if q >= least:
+                near.setdefault(s, []).append((t, q))
+                near.setdefault(t, []).append((s, q))
         best, parent = {reference: math.inf}, {reference: -1}
-        while True:
-            options = []
-            for s, t, q in usable:
-                for a, b in ((s, t), (t, s)):
-                    if a in best and b not in best:
-                        options.append((abs(a - b), -q, a, b))
-            if not options:
-                break
-            _, q, a, b = min(options)
-            best[b], parent[b] = min(best[a], -q), a
+        waiting: list[tuple[int, float, int, int]] = []
+
+        def reach(a: int) -> None:
+            for b, q in near.get(a, ()):
+                if b not in best:
+                    heapq.heappush(waiting, (abs(a - b), -q, a, b))
+
+        reach(reference)
+        while waiting:
+            _, q, a, b = heapq.heappop(waiting)
+            if b not in best:
+                best[b], parent[b] = min(best[a], -q), a
+                reach(b)
         frames = sorted({*pdf["source"].astype(int), *pdf["target"].astype(int), reference})
         return pd.DataFrame({"video_id": [pdf["video_id"].iloc[0]] * len(frames), "frame_index": frames, "parent": [parent.get(f) for f in frames], "quality": [None if f not in best else min(best[f], 1.0) for f in frames]}).astype({"parent": "Int64", "quality": "Float64"})
 
@@ -154,11 +162,22 @@ def link_endpoints(segments: DataFrame, reach: float = 2.0) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_index", "u0", "v0"]).reset_index(drop=True)
         chain, number, ends = [None] * len(pdf), 0, {}
+        cell = lambda u, v: (math.floor(u / reach), math.floor(v / reach))
         for _, rows in pdf.groupby("frame_index", sort=True):
-            near = sorted((math.hypot(r.u0 - e[0], r.v0 - e[1]), i, k) for i, r in zip(rows.index, rows.itertuples(index=False), strict=True) for k, e in ends.items())
+            # Only ends in the nine cells around a start can be within reach.
+            grid: dict[tuple[int, int], list[int]] = {}
+            for k, (u, v) in ends.items():
+                grid.setdefault(cell(u, v), []).append(k)
+            near = []
+            for i, r in zip(rows.index, rows.itertuples(index=False), strict=True):
+                x, y = cell(r.u0, r.v0)
+                for k in (k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in grid.get((x + dx, y + dy), ())):
+                    d = math.hypot(r.u0 - ends[k][0], r.v0 - ends[k][1])
+                    if d <= reach:
+                        near.append((d, i, k))
             used = set()
-            for d, i, k in near:
-                if d <= reach and chain[i] is None and k not in used:
+            for _, i, k in sorted(near):
+                if chain[i] is None and k not in used:
                     chain[i] = k
                     used.add(k)
             ends = {}

@@ -112,21 +112,23 @@ def rank_evidence(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 def greedy_match(pairs: DataFrame, key: str, least: float = 0.35) -> DataFrame:
-    """One-to-one matches of a frame, best score first. Pairs: key, object_id, candidate_id, score."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["score"] >= least].sort_values(["score", "object_id", "candidate_id"], ascending=[False, True, True])
-        objects, candidates, rows = set(), set(), []
-        for r in pdf.itertuples(index=False):
-            if r.object_id not in objects and r.candidate_id not in candidates:
-                objects.add(r.object_id)
-                candidates.add(r.candidate_id)
-                rows.append(tuple(r))
-        return pd.DataFrame(rows, columns=pdf.columns)
+    """One-to-one matches of a frame, best score first. Pairs: key, object_id, candidate_id, score.
 
+    A frame's pairs are collected once and folded in order by a higher-order function, on the JVM.
+    """
     kinds = dict(pairs.dtypes)
-    columns = [key, "object_id", "candidate_id", "score"]
-    return pairs.select(*columns).groupBy(key).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    row = F.struct((-F.col("score")).alias("order"), "object_id", "candidate_id", "score")
+    ranked = pairs.where(F.col("score") >= least).groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    start = F.struct(none(kinds["object_id"]).alias("objects"), none(kinds["candidate_id"]).alias("candidates"), none(f"struct<object_id:{kinds['object_id']},candidate_id:{kinds['candidate_id']},score:{kinds['score']}>").alias("out"))
+
+    def fold(acc, x):
+        taken = F.array_contains(acc["objects"], x["object_id"]) | F.array_contains(acc["candidates"], x["candidate_id"])
+        add = lambda name, value: F.when(taken, acc[name]).otherwise(F.concat(acc[name], F.array(value))).alias(name)
+        match = F.struct(x["object_id"].alias("object_id"), x["candidate_id"].alias("candidate_id"), x["score"].alias("score"))
+        return F.struct(add("objects", x["object_id"]), add("candidates", x["candidate_id"]), add("out", match))
+
+    return ranked.select(key, F.explode(F.aggregate("_all", start, fold, lambda acc: acc["out"])).alias("m")).select(key, "m.*")
 
 
 def align_with_holdout(pairs: DataFrame, least: int = 8, hold: int = 5, most: float = 0.25) -> DataFrame:

@@ -38,10 +38,52 @@ def owned_frames(videos: DataFrame, length: int, stride: int) -> DataFrame:
     return near
 
 
+def scene_clips(scenes: DataFrame, length: int, stride: int) -> DataFrame:
+    """:func:`sliding_clips` inside every scene, so that no clip crosses a cut; ordinals run through the video.
+
+    Scenes: video_id, start_frame, end_frame (both belong to it). Clips below two frames are dropped.
+    """
+    end = F.col("end_frame") + 1
+    last = F.greatest(end - length, F.col("start_frame"))
+    starts = F.array_sort(F.array_distinct(F.concat(F.sequence(F.col("start_frame"), last, F.lit(stride)), F.array(last))))
+    out = scenes.select("video_id", end.alias("_end"), F.explode(starts).alias("start_frame"))
+    out = out.withColumn("end_frame", F.least(F.col("start_frame") + length, F.col("_end")) - 1).where("end_frame > start_frame")
+    ordinal = F.row_number().over(Window.partitionBy("video_id").orderBy("start_frame")) - 1
+    return out.select("video_id", ordinal.alias("clip_ordinal"), "start_frame", "end_frame")
+
+
+def scene_windows(scenes: DataFrame, length: int, stride: int, left: int, right: int, least: int) -> DataFrame:
+    """Windows of every scene of at least ``least`` frames, with context on both sides inside the scene.
+
+    Scenes: video_id, scene, start_frame, end_frame. Gives clip_ordinal (in the video), core and visible frames, the core's middle.
+    """
+    length_of = F.col("end_frame") - F.col("start_frame") + 1
+    last = F.greatest(F.col("end_frame") - length + 1, F.col("start_frame"))
+    starts = F.array_sort(F.array_distinct(F.concat(F.sequence(F.col("start_frame"), last, F.lit(stride)), F.array(last))))
+    out = scenes.where(length_of >= least).select("video_id", "scene", F.col("start_frame").alias("_a"), F.col("end_frame").alias("_b"), F.explode(starts).alias("core_start"))
+    out = out.withColumn("core_end", F.least(F.col("core_start") + length - 1, F.col("_b")))
+    out = out.withColumn("start_frame", F.greatest(F.col("core_start") - left, F.col("_a"))).withColumn("end_frame", F.least(F.col("core_end") + right, F.col("_b")))
+    out = out.withColumn("reference_frame", F.floor((F.col("core_start") + F.col("core_end")) / 2))
+    ordinal = F.row_number().over(Window.partitionBy("video_id").orderBy("core_start")) - 1
+    return out.select("video_id", "scene", ordinal.alias("clip_ordinal"), "core_start", "core_end", "start_frame", "end_frame", "reference_frame")
+
+
+def window_members(windows: DataFrame) -> DataFrame:
+    """Every visible frame of every window, and whether that window owns it: the nearest visible middle, the earlier window on ties."""
+    rows = windows.select("video_id", "scene", "clip_ordinal", F.explode(F.sequence("start_frame", "end_frame")).alias("frame_index"), ((F.col("start_frame") + F.col("end_frame")) / 2).alias("_c"))
+    rank = F.row_number().over(Window.partitionBy("video_id", "frame_index").orderBy(F.abs(F.col("frame_index") - F.col("_c")), "clip_ordinal"))
+    owned = rank == 1
+    return rows.select("video_id", "scene", "clip_ordinal", "frame_index", owned.alias("is_owned"), (~owned).alias("is_context"))
+
+
 def uniform_sample(videos: DataFrame, requested: int) -> DataFrame:
-    """``requested`` frame indices from first to last, evenly: floor(i (n - 1) / (r - 1)); fewer frames than asked give none."""
-    rows = videos.where(F.col("n_frames") >= requested).select("video_id", "n_frames", F.explode(F.sequence(F.lit(0), F.lit(requested - 1))).alias("position"))
-    return rows.select("video_id", "position", F.expr(f"CAST(position * (n_frames - 1) DIV {max(1, requested - 1)} AS INT)").alias("frame_index"))
+    """``requested`` frame indices from first to last, evenly: floor(i (n - 1) / (r - 1)). A video with fewer frames
+    gives one row without a frame, and the reason."""
+    enough = F.col("n_frames") >= requested
+    positions = F.when(enough, F.sequence(F.lit(0), F.lit(requested - 1))).otherwise(F.array(F.lit(None).cast("int")))
+    rows = videos.select("video_id", "n_frames", F.explode(positions).alias("position"))
+    reason = F.when(F.col("position").isNull(), "INSUFFICIENT_UNIQUE_FRAMES").otherwise("")
+    return rows.select("video_id", "position", F.expr(f"CAST(position * (n_frames - 1) DIV {max(1, requested - 1)} AS INT)").alias("frame_index"), reason.alias("reason"))
 
 
 def scene_segments(frames: DataFrame, key: str, threshold: float) -> DataFrame:

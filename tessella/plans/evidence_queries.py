@@ -260,15 +260,50 @@ def clips_owner(spark, sf):
     return windows.owned_frames(_videos(spark, sf), 10, 6)
 
 
-@query("owner_violations", N_FRAMES + "SELECT video_id, n_frames AS frame_index, 0::BIGINT AS owners FROM n WHERE false")
+@query("owner_violations", SLIDING + """, f AS (SELECT video_id, unnest(range(start_frame, end_frame + 1))::INT AS frame_index, clip_ordinal FROM sl WHERE end_frame > start_frame),
+ c AS (SELECT video_id, frame_index, count(*) FILTER ((frame_index + clip_ordinal) % 7 = 0) AS owners FROM f GROUP BY ALL) SELECT * FROM c WHERE owners <> 1""")
 def owner_violations(spark, sf):
-    owned = windows.owned_frames(_videos(spark, sf), 10, 6).withColumn("is_owner", F.col("owner_clip").isNotNull())
-    return governance.owner_violations(owned, ["video_id", "frame_index"])
+    """A wrong rule of ownership, so that frames without an owner and with several turn up."""
+    clips = windows.sliding_clips(_videos(spark, sf), 10, 6)
+    rows = clips.select("video_id", "clip_ordinal", F.explode(F.sequence("start_frame", "end_frame")).alias("frame_index"))
+    return governance.owner_violations(rows.withColumn("is_owner", (F.col("frame_index") + F.col("clip_ordinal")) % 7 == 0), ["video_id", "frame_index"])
 
 
-@query("uniform_sample", N_FRAMES + "SELECT video_id, p::INT AS position, (p * (n_frames - 1) // 15)::INT AS frame_index FROM (SELECT video_id, n_frames, unnest(range(0, 16)) AS p FROM n WHERE n_frames >= 16)")
+@query("uniform_sample", N_FRAMES + """SELECT video_id, p::INT AS position, (p * (n_frames - 1) // 59)::INT AS frame_index, '' AS reason FROM (SELECT video_id, n_frames, unnest(range(0, 60)) AS p FROM n WHERE n_frames >= 60)
+ UNION ALL SELECT video_id, NULL, NULL, 'INSUFFICIENT_UNIQUE_FRAMES' FROM n WHERE n_frames < 60""")
 def uniform_sample(spark, sf):
-    return windows.uniform_sample(_videos(spark, sf), 16)
+    return windows.uniform_sample(_videos(spark, sf), 60)
+
+
+SCENES = EV + ", sc AS (SELECT video_id, row_idx // 23 AS scene, min(row_idx) AS a, max(row_idx) AS b FROM ev GROUP BY ALL)"
+
+
+def _scenes(spark, sf):
+    e = evidence(spark, sf).select("video_id", F.floor(F.col("row_idx") / 23).alias("scene"), "row_idx")
+    return e.groupBy("video_id", "scene").agg(F.min("row_idx").alias("start_frame"), F.max("row_idx").alias("end_frame"))
+
+
+@query("scene_clips", SCENES + """, st AS (SELECT DISTINCT video_id, b, s FROM (SELECT video_id, b, unnest(range(a, greatest(b - 9, a) + 1, 6)) AS s FROM sc UNION ALL SELECT video_id, b, greatest(b - 9, a) FROM sc)),
+ k AS (SELECT video_id, s, least(s + 9, b) AS e FROM st WHERE least(s + 9, b) > s)
+ SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY s) - 1)::INT AS clip_ordinal, s::INT AS start_frame, e::INT AS end_frame FROM k""")
+def scene_clips(spark, sf):
+    return windows.scene_clips(_scenes(spark, sf), 10, 6)
+
+
+WIN = SCENES + """, st AS (SELECT DISTINCT video_id, scene, a, b, s FROM (SELECT video_id, scene, a, b, unnest(range(a, greatest(b - 9, a) + 1, 6)) AS s FROM sc WHERE b - a + 1 >= 4 UNION ALL SELECT video_id, scene, a, b, greatest(b - 9, a) FROM sc WHERE b - a + 1 >= 4)),
+ wi AS (SELECT video_id, scene, (row_number() OVER (PARTITION BY video_id ORDER BY s) - 1)::INT AS clip_ordinal, s AS cs, least(s + 9, b) AS ce, greatest(s - 3, a) AS va, least(least(s + 9, b) + 2, b) AS vb FROM st)
+"""
+
+
+@query("scene_windows", WIN + "SELECT video_id, scene, clip_ordinal, cs::INT AS core_start, ce::INT AS core_end, va::INT AS start_frame, vb::INT AS end_frame, ((cs + ce) // 2)::BIGINT AS reference_frame FROM wi")
+def scene_windows(spark, sf):
+    return windows.scene_windows(_scenes(spark, sf), 10, 6, 3, 2, 4)
+
+
+@query("window_members", WIN + """, f AS (SELECT video_id, scene, clip_ordinal, unnest(range(va, vb + 1))::INT AS frame_index, (va + vb) / 2.0::DOUBLE AS c FROM wi),
+ r AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY abs(frame_index - c), clip_ordinal) = 1 AS own FROM f) SELECT video_id, scene, clip_ordinal, frame_index, own AS is_owned, NOT own AS is_context FROM r""")
+def window_members(spark, sf):
+    return windows.window_members(windows.scene_windows(_scenes(spark, sf), 10, 6, 3, 2, 4))
 
 
 SERIES = EV + ", se AS (SELECT video_id, row_idx AS frame_index, normalized_value AS score, confidence AS quality FROM ev)"
@@ -394,9 +429,19 @@ def reappearance(spark, sf):
 # --- contract ------------------------------------------------------------------------------------
 
 
-@query("contract_violations", EV + "SELECT video_id, row_idx FROM ev WHERE valid AND (raw_value IS NULL OR normalized_value IS NULL OR raw_value < 0 OR reason <> '') OR NOT valid AND (raw_value IS NOT NULL OR confidence <> 0 OR reason = '') OR confidence NOT BETWEEN 0 AND 1")
+BROKEN = EV + """, bk AS (SELECT video_id, row_idx, valid, CASE WHEN ord % 101 = 0 THEN -1.0 WHEN ord % 103 = 0 THEN NULL WHEN ord % 107 = 0 THEN 0.5 ELSE raw_value END AS raw_value, normalized_value,
+   CASE WHEN ord % 109 = 0 THEN 1.5 ELSE confidence END AS confidence, CASE WHEN ord % 113 = 0 THEN '' WHEN ord % 127 = 0 THEN 'odd' ELSE reason END AS reason FROM ev)
+"""
+
+
+@query("contract_violations", BROKEN + "SELECT video_id, row_idx FROM bk WHERE valid AND (raw_value IS NULL OR normalized_value IS NULL OR raw_value < 0 OR reason <> '') OR NOT valid AND (raw_value IS NOT NULL OR confidence <> 0 OR reason = '') OR confidence NOT BETWEEN 0 AND 1")
 def contract_violations(spark, sf):
-    return contract.violations(evidence(spark, sf)).select("video_id", "row_idx")
+    """Evidence with every kind of breach put in."""
+    k = F.col("ord")
+    rows = evidence(spark, sf)
+    rows = rows.withColumn("raw_value", F.when(k % 101 == 0, -1.0).when(k % 103 == 0, F.lit(None)).when(k % 107 == 0, 0.5).otherwise(F.col("raw_value")))
+    rows = rows.withColumn("confidence", F.when(k % 109 == 0, 1.5).otherwise(F.col("confidence"))).withColumn("reason", F.when(k % 113 == 0, "").when(k % 127 == 0, "odd").otherwise(F.col("reason")))
+    return contract.violations(rows).select("video_id", "row_idx")
 
 
 @query("ablation_filter", EV + LEVELS_SQL.replace("FROM ev", f"FROM (SELECT * FROM ev WHERE name IN ({', '.join(map(repr, contract.ABLATIONS['motion_tracks_only']))}))") + f"SELECT video_id, clip_id, {r('risk_score')} AS risk_score, {r('coverage')} AS coverage, {r('confidence')} AS confidence FROM cl")

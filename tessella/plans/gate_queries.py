@@ -291,7 +291,13 @@ def metric_size(spark, sf):
     return pooling.metric_size(rows).select("p_partkey", "size", "residual")
 
 
-@query("heatmap_smooth")
+HEAT = EV + """, h AS (SELECT video_id, clip_no AS frame, round_even(row_idx / 2, 0)::INT AS "row", round_even(raw_value * 3, 0)::INT AS col, max(normalized_value) AS value FROM ev WHERE valid GROUP BY ALL),
+ k AS (SELECT i, j, exp(-(i * i + j * j) / 2.0::DOUBLE) AS w FROM range(-2, 3) a(i), range(-2, 3) b(j)), kn AS (SELECT i, j, w / (SELECT sum(w) FROM k) AS w FROM k),
+ s AS (SELECT video_id, frame, "row" + i AS "row", col + j AS col, sum(value * w) AS value FROM h, kn GROUP BY ALL)
+"""
+
+
+@query("heatmap_smooth", HEAT + f"SELECT video_id, frame, \"row\"::INT AS \"row\", col::INT AS col, {r('CASE WHEN max(value) OVER w > 0 THEN value / max(value) OVER w ELSE 0 END')} AS value FROM s WINDOW w AS (PARTITION BY video_id, frame)")
 def heatmap_smooth(spark, sf):
     e = evidence(spark, sf).where("valid")
     heat = fusion.heatmap(e.select("video_id", F.col("clip_no").alias("frame"), (F.col("raw_value") * 3).alias("x"), (F.col("row_idx") / 2).alias("y"), F.col("normalized_value").alias("value")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import fusion, static
+from tessella.session import new_folder
 from tessella.sources import outputs
 
 from .adapters import EV, OB, evidence, objects, table
@@ -87,7 +88,13 @@ def rank_evidence(spark, sf):
     return static.rank_evidence(one("object", "object_id").unionByName(one("track", "track_id")), ["video_id"])
 
 
-@query("greedy_match")
+GREEDY = """WITH RECURSIVE p AS (SELECT a.l_orderkey AS f, a.l_linenumber AS o, b.l_linenumber AS c, 1 / (1 + abs(a.l_quantity - b.l_quantity - 2)) AS s FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE 1 / (1 + abs(a.l_quantity - b.l_quantity - 2)) >= 0.35::DOUBLE),
+ k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY f ORDER BY s DESC, o, c) AS n FROM p),
+ g AS (SELECT f, n, o, c, s, true AS taken, [o] AS os, [c] AS cs FROM k WHERE n = 1 UNION ALL SELECT f, n, o, c, s, free, CASE WHEN free THEN list_append(os, o) ELSE os END, CASE WHEN free THEN list_append(cs, c) ELSE cs END FROM (SELECT k.*, g.os, g.cs, NOT list_contains(g.os, k.o) AND NOT list_contains(g.cs, k.c) AS free FROM g JOIN k ON k.f = g.f AND k.n = g.n + 1))
+"""
+
+
+@query("greedy_match", GREEDY + f"SELECT f AS frame_id, o AS object_id, c AS candidate_id, {r('s')} AS score FROM g WHERE taken")
 def greedy_match(spark, sf):
     line = table(spark, sf, "lineitem")
     a = line.select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("object_id"), F.col("l_quantity").alias("qa"))
@@ -105,6 +112,11 @@ def depth_alignment_holdout(spark, sf):
     return static.align_with_holdout(e.select(F.col("label").cast("string").alias("pair_id"), F.col("vec_id").alias("ord"), x.alias("source"), model.alias("target")))
 
 
-@query("array_store", "SELECT vec_id, len(embedding) AS length FROM embeddings")
+@query("array_store", f"SELECT vec_id, len(embedding) AS length, {r('list_sum(list_transform(embedding, lambda x: x::DOUBLE))')} AS total, {r('embedding[1]::DOUBLE')} AS first, {r('embedding[-1]::DOUBLE')} AS last FROM embeddings")
 def array_store(spark, sf):
-    return outputs.array_rows(table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", "length")
+    """Arrays written to a store of binary rows, read back, checked by their hash and decoded."""
+    path = new_folder(spark, "arrays")
+    outputs.array_rows(table(spark, sf, "embeddings"), "vec_id", "embedding").write.parquet(path)
+    back = outputs.read_arrays(spark.read.parquet(path), "vec_id")
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return back.select("vec_id", F.size("values").cast("long").alias("length"), total.alias("total"), F.get("values", F.lit(0)).alias("first"), F.element_at("values", -1).alias("last"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tessella.operators import fusion
+from tessella.session import new_folder
 from tessella.streaming import windows as streaming
 
 from .adapters import evidence, table
@@ -21,34 +20,37 @@ def _stream(spark, sf):
 
 @query("stream_windows", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, {r('sum(value)')} AS total FROM events GROUP BY ALL")
 def stream_windows(spark, sf):
-    return streaming.run_complete(spark, streaming.tumbling(_stream(spark, sf), "1 hour"))
+    path = new_folder(spark, "stream-windows")
+    return streaming.run_complete(spark, streaming.tumbling(_stream(spark, sf), "1 hour"), f"{path}/table", f"{path}/state")
 
 
 @query("stream_sessions", """WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
   g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s) SELECT min(ts) AS session_start, user_id, count(*) AS n FROM g GROUP BY user_id, k""")
 def stream_sessions(spark, sf):
-    return streaming.run_complete(spark, streaming.sessions(_stream(spark, sf), "30 minutes"))
+    path = new_folder(spark, "stream-sessions")
+    return streaming.run_complete(spark, streaming.sessions(_stream(spark, sf), "30 minutes"), f"{path}/table", f"{path}/state")
 
 
 @query("stream_dedup", "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ts) = 1")
 def stream_dedup(spark, sf):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-stream-")
-    path = f"{root}/stream-{abs(hash((sf, id(spark))))}-{spark.range(1).select(F.uuid()).first()[0]}"
-    # Events of a file arrive in any order, so lateness covers the table's whole span.
-    out = streaming.deduplicate(_stream(spark, sf), ["event_id"], late="3650 days").select("event_id", "user_id", "event_type")
+    path = new_folder(spark, "stream-dedup")
+    # Events of a file arrive in any order, so lateness covers the table's own span, which bounds the state.
+    span = table(spark, sf, "events").select(F.max("ts").cast("timestamp").cast("long") - F.min("ts").cast("timestamp").cast("long")).first()[0] or 0
+    out = streaming.deduplicate(_stream(spark, sf), ["event_id"], late=f"{span + 60} seconds").select("event_id", "user_id", "event_type")
     return streaming.run_once(spark, out, f"{path}/table", f"{path}/state")
 
 
 @query("risk_head")
 def risk_head(spark, sf):
-    """Logistic head on pooled channels: a video's label is the parity of its number."""
+    """Logistic head on pooled channels; a video is risky if its owner's balance is below zero."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     m = fusion.channel_matrix(evidence(spark, sf))
     pooled = m.groupBy("video_id").agg(*[F.coalesce(f(f"{c}_value"), F.lit(0.0)).alias(f"{c}_{f.__name__}") for c in fusion.CHANNELS for f in (F.avg, F.max)])
-    pooled = pooled.withColumn("label", (F.substring("video_id", 2, 20).cast("int") % 2).cast("double"))
+    owners = table(spark, sf, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("video_id"), (F.col("c_acctbal") < 0).cast("double").alias("label"))
+    pooled = pooled.join(owners, "video_id", "left").na.fill(0.0, ["label"])
     names = [c for c in pooled.columns if c not in ("video_id", "label")]
     data = VectorAssembler(inputCols=names, outputCol="features").transform(pooled)
     model = LogisticRegression(maxIter=20, regParam=0.1).fit(data)

@@ -172,7 +172,14 @@ def principal_axis(spark, sf):
     return residuals.principal_axis2(tracks(spark, sf).select("video_id", "p.*"), ["video_id"])
 
 
-@query("pose_chain")
+CHAIN = """WITH RECURSIVE e AS (SELECT 'v' || (vec_id // 8) AS video_id, (vec_id % 8)::INT AS f, vec_id % 29 <> 28 AS ok, cos(embedding[1]::DOUBLE) AS c, sin(embedding[1]::DOUBLE) AS s, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS y, embedding[4]::DOUBLE AS z, abs(embedding[5]::DOUBLE) / (1 + abs(embedding[5]::DOUBLE)) AS q FROM embeddings),
+ o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY f) AS n FROM e),
+ h AS (SELECT video_id, f, n, ok AS alive, c AS rc, s AS rs, x AS tx, y AS ty, z AS tz, least(1.0, q) AS q FROM o WHERE n = 1
+  UNION ALL SELECT o.video_id, o.f, o.n, alive AND ok, o.c * rc - o.s * rs, o.s * rc + o.c * rs, o.c * tx - o.s * ty + o.x, o.s * tx + o.c * ty + o.y, tz + o.z, least(h.q, o.q) FROM h JOIN o ON o.video_id = h.video_id AND o.n = h.n + 1)
+"""
+
+
+@query("pose_chain", CHAIN + "SELECT video_id, f AS frame_index, " + ", ".join(f"{r(f'CASE WHEN alive THEN {x} END')} AS t{i}" for i, x in ((0, "rc"), (1, "-rs"), (3, "tx"), (4, "rs"), (7, "ty"), (11, "tz"))) + f", {r('CASE WHEN alive THEN q ELSE 0 END')} AS chain_confidence FROM h")
 def pose_chain(spark, sf):
     e = table(spark, sf, "embeddings")
     c, s = F.cos(F.get("embedding", F.lit(0)).cast("double")), F.sin(F.get("embedding", F.lit(0)).cast("double"))
@@ -184,7 +191,17 @@ def pose_chain(spark, sf):
     return out.select("video_id", "frame_index", *[F.get("pose_to_first", F.lit(i)).alias(f"t{i}") for i in (0, 1, 3, 4, 7, 11)], "chain_confidence")
 
 
-@query("surface_axes")
+#: Eigenvalues of a symmetric 3 x 3 matrix by the cosine formula; the first axis is a column of (A - l2)(A - l3).
+AXES = TR + """, m AS (SELECT video_id, var_samp(x) AS a, covar_samp(x, y) AS b, covar_samp(x, z) AS c, var_samp(y) AS d, covar_samp(y, z) AS e, var_samp(z) AS f FROM tr GROUP BY ALL),
+ q AS (SELECT *, (a + d + f) / 3 AS q FROM m), p AS (SELECT *, sqrt((pow(a - q, 2) + pow(d - q, 2) + pow(f - q, 2) + 2 * (b * b + c * c + e * e)) / 6) AS p FROM q),
+ t AS (SELECT *, acos(least(1, greatest(-1, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)) / (2 * p * p * p)))) / 3 AS phi FROM p),
+ l AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM t), v AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM l),
+ k AS (SELECT *, (a - l2) * (a - l3) + b * b + c * c AS kx, b * (a - l3) + (d - l2) * b + e * c AS ky, c * (a - l3) + e * b + (f - l2) * c AS kz FROM v),
+ n AS (SELECT *, sign(kx) * sqrt(kx * kx + ky * ky + kz * kz) AS norm FROM k)
+"""
+
+
+@query("surface_axes", AXES + f"SELECT video_id, {r('l1')} AS l1, {r('l2')} AS l2, {r('l3')} AS l3, {r('kx / norm')} AS ax, {r('ky / norm')} AS ay, {r('kz / norm')} AS az FROM n")
 def surface_axes(spark, sf):
     return sequential.surface_axes(tracks(spark, sf).select("video_id", "p.*"), "video_id")
 
@@ -297,10 +314,11 @@ def leakage_audit_source(spark, sf):
     return governance.leakage(records(spark, sf), KEYS)
 
 
-@query("leakage_audit_clip", RE + """, k AS (SELECT DISTINCT split, 'clip_uid' AS key, sample_id || '::c' || (sample_id % 4) AS value FROM re), o AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS n FROM k)
-  SELECT a.key, a.split AS left_split, b.split AS right_split, count(*) AS shared, '' AS examples FROM o a JOIN o b ON a.key = b.key AND a.value = b.value AND a.n < b.n GROUP BY ALL""")
+@query("leakage_audit_clip", RE + """, k AS (SELECT DISTINCT split, 'clip_uid' AS key, group_id || '::c' || (sample_id % 4) AS value FROM re), o AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS n FROM k),
+  p AS (SELECT a.key, a.split AS left_split, b.split AS right_split, a.value FROM o a JOIN o b ON a.key = b.key AND a.value = b.value AND a.n < b.n), q AS (SELECT *, row_number() OVER (PARTITION BY key, left_split, right_split ORDER BY value) AS rn FROM p)
+  SELECT key, left_split, right_split, count(*) AS shared, string_agg(value, ',' ORDER BY value) FILTER (rn <= 5) AS examples FROM q GROUP BY ALL""")
 def leakage_audit_clip(spark, sf):
-    rows = records(spark, sf).withColumn("clip_uid", F.concat_ws("::c", F.col("sample_id").cast("string"), (F.col("sample_id") % 4).cast("string")))
+    rows = records(spark, sf).withColumn("clip_uid", F.concat_ws("::c", F.col("group_id").cast("string"), (F.col("sample_id") % 4).cast("string")))
     return governance.leakage(rows, ["clip_uid"])
 
 
@@ -341,12 +359,14 @@ def storage_estimate(spark, sf):
     return governance.storage_estimate(records(spark, sf).withColumn("one", F.lit(1)), ["dataset"], "size", "one", 1000)
 
 
-@query("batch_single_equivalence", "SELECT 0.0::DOUBLE AS max_difference, 0::BIGINT AS unmatched, true AS equal")
+@query("batch_single_equivalence", f"""WITH a AS (SELECT user_id, sum(value) AS v FROM events GROUP BY ALL), b AS (SELECT user_id, sum(CASE WHEN event_id % 1000 = 7 THEN value + 0.25 ELSE value END) AS v FROM events WHERE user_id % 50 <> 1 GROUP BY ALL)
+  SELECT {r('max(abs(a.v - b.v))')} AS max_difference, count(*) FILTER (a.user_id IS NULL OR b.user_id IS NULL) AS unmatched, max(abs(a.v - b.v)) <= 1e-6 AND count(*) FILTER (a.user_id IS NULL OR b.user_id IS NULL) = 0 AS equal FROM a FULL JOIN b ON a.user_id = b.user_id""")
 def batch_single_equivalence(spark, sf):
-    """Sums by key from one pass and from a pre-aggregation by week agree."""
+    """Sums by key from one pass against sums by week, of which some values are off and some keys are missing."""
     e = table(spark, sf, "events")
     one = e.groupBy("user_id").agg(F.sum("value").alias("v"))
-    two = e.groupBy("user_id", F.weekofyear("ts").alias("w")).agg(F.sum("value").alias("v")).groupBy("user_id").agg(F.sum("v").alias("v"))
+    off = e.where("user_id % 50 <> 1").withColumn("value", F.when(F.col("event_id") % 1000 == 7, F.col("value") + 0.25).otherwise(F.col("value")))
+    two = off.groupBy("user_id", F.weekofyear("ts").alias("w")).agg(F.sum("value").alias("v")).groupBy("user_id").agg(F.sum("v").alias("v"))
     return governance.max_difference(one, two, ["user_id"], "v")
 
 

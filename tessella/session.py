@@ -1,14 +1,29 @@
-"""Ships this package to the executors of a session, once."""
+"""Ships this package to the executors of a session, and names folders that all of them share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared one (``spark.checkpoint.dir``); in local mode without it, one of our own."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if sc.applicationId not in _OWN:
+            _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="tessella-")
+        root = "file://" + _OWN[sc.applicationId]
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:

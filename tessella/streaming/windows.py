@@ -7,8 +7,6 @@ over files to its end.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +45,15 @@ def run_once(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str,
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_complete(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Drive an aggregate to its end in complete mode; the result is an in-memory table of its groups."""
-    name = "stream_" + uuid.uuid4().hex
-    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+def run_complete(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drive an aggregate to its end in complete mode. Every batch writes the groups as files of their own folder, by the
+    executors; the last folder is the result."""
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        done.append(number)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/{max(done)}") if done else spark.createDataFrame([], stream.schema)
