@@ -128,3 +128,21 @@ def zscore(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def heatmap(points: DataFrame) -> DataFrame:
     """Greatest value of every pixel; points round half to even. Columns video_id, frame, x, y, value."""
     return points.groupBy("video_id", "frame", F.rint("x").cast("int").alias("col"), F.rint("y").cast("int").alias("row")).agg(F.max("value").alias("value"))
+
+
+def video_report(videos: DataFrame, intervals: DataFrame, objects: DataFrame, tracks: DataFrame, top: int = 3) -> DataFrame:
+    """One row for each video: its fused scores, its suspicious intervals in order, and its worst objects and tracks.
+
+    Videos: video_id and more. Intervals: video_id, start_frame, end_frame, risk_score. Objects and tracks: video_id, an id, score.
+    """
+    spans = intervals.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start_frame", "end_frame", "risk_score"))).alias("intervals"))
+
+    def worst(scores: DataFrame, key: str, name: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), key))
+        rows = scores.withColumn("_r", rank).where(F.col("_r") <= top)
+        ranked = F.array_sort(F.collect_list(F.struct("_r", key, "score")))
+        return rows.groupBy("video_id").agg(F.transform(ranked, lambda x: F.struct(x[key].alias("id"), x["score"].alias("score"))).alias(name))
+
+    out = videos.join(spans, "video_id", "left").join(worst(objects, "object_id", "objects"), "video_id", "left").join(worst(tracks, "track_id", "tracks"), "video_id", "left")
+    kinds = dict(out.dtypes)
+    return out.select(*[F.coalesce(c, F.array().cast(kinds[c])).alias(c) if c in ("intervals", "objects", "tracks") else F.col(c) for c in out.columns])

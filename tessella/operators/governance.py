@@ -26,13 +26,24 @@ TRANSITIONS = [
 ]
 
 
-def eligibility(samples: DataFrame, rows: DataFrame) -> DataFrame:
-    """Status of every sample from its evidence rows.
+def eligibility(samples: DataFrame, rows: DataFrame, errors: int = 10) -> DataFrame:
+    """Status of every sample from its evidence rows, and its first schema errors joined by "; ".
 
-    Samples: sample_id, split, label, has_file, well_formed. Rows: sample_id, known_channel, valid, observed, confidence.
+    Samples: sample_id, split, label, has_file, well_formed. Rows: sample_id, position, known_channel, valid, observed, confidence.
     """
-    bad = (~F.col("known_channel")) | (F.col("valid") & ~F.col("observed")) | ~F.col("confidence").between(0, 1)
-    agg = rows.groupBy("sample_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("valid").alias("valid_rows"), F.count_if(bad).alias("schema_errors"))
+    c = F.col
+    problem = (
+        F.when(~c("known_channel"), "unknown channel")
+        .when(c("valid") & ~c("observed"), "valid but not observed")
+        .when(~c("confidence").between(0, 1), "confidence outside [0, 1]")
+    )
+    marked = rows.withColumn("_problem", problem)
+    place = F.row_number().over(Window.partitionBy("sample_id", F.col("_problem").isNull()).orderBy("position"))
+    marked = marked.withColumn("_r", place)
+    first = F.struct("position", F.concat(F.lit("row "), c("position").cast("string"), F.lit(": "), c("_problem")).alias("m"))
+    agg = marked.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("valid").alias("valid_rows"), F.count("_problem").alias("schema_errors"), F.array_sort(F.collect_list(F.when(c("_problem").isNotNull() & (c("_r") <= errors), first))).alias("_first")
+    )
     out = samples.join(agg, "sample_id", "left").na.fill(0, ["rows", "valid_rows", "schema_errors"])
     status = (
         F.when(~F.col("has_file"), "missing")
@@ -42,7 +53,9 @@ def eligibility(samples: DataFrame, rows: DataFrame) -> DataFrame:
         .when(F.col("valid_rows") < F.col("rows"), "partial_missing")
         .otherwise("eligible")
     )
-    return out.withColumn("status", status).select("sample_id", "split", "label", "rows", "valid_rows", "schema_errors", "status")
+    out = out.withColumn("status", status)
+    message = F.when(c("status") == "schema_error", F.concat_ws("; ", F.transform("_first", lambda x: x["m"]))).otherwise("")
+    return out.select("sample_id", "split", "label", "rows", "valid_rows", "schema_errors", "status", message.alias("errors"))
 
 
 def eligibility_summary(audit: DataFrame, splits: tuple[str, ...] = SPLITS) -> DataFrame:

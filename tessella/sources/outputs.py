@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from .records import write_csv, write_json, write_table
 
 
-def write_analysis(root: str, clips: DataFrame, videos: DataFrame, intervals: DataFrame, objects: DataFrame, tracks: DataFrame) -> None:
-    """Timeline and scores as CSV, intervals and results as JSON lines, clips as Parquet; every table in a total order of its keys."""
+def write_analysis(root: str, clips: DataFrame, videos: DataFrame, intervals: DataFrame, objects: DataFrame, tracks: DataFrame, heat: DataFrame | None = None) -> None:
+    """Timeline and scores as CSV, intervals and results as JSON lines, clips and heat maps as Parquet; every table in a total order of its keys."""
     write_table(clips, f"{root}/clips", clips.columns, ["video_id", "clip_id"])
     write_csv(clips.orderBy("video_id", "clip_id"), f"{root}/timeline", ["video_id", "clip_id", "risk_score", "coverage", "confidence"])
     write_csv(objects.orderBy("video_id", "object_id"), f"{root}/object_scores", objects.columns)
     write_csv(tracks.orderBy("video_id", "track_id"), f"{root}/track_scores", tracks.columns)
     write_json(intervals, f"{root}/suspicious")
     write_json(videos, f"{root}/result")
+    if heat is not None:
+        write_table(heat, f"{root}/heatmaps", ["video_id", "frame", "row", "col", "value"], ["video_id", "frame", "row", "col"])
 
 
 def array_rows(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -62,6 +62,27 @@ def evidence_of_results(results: DataFrame) -> DataFrame:
     )
 
 
+#: A clip's observations: frames with their objects.
+OBSERVATION = (
+    "clip_id string, video_id string, frames array<struct<frame_index:int,width:int,height:int,"
+    "objects:array<struct<object_id:string,label:string,mask_area:double,frame_area:double,depth:double,confidence:double,bbox:array<double>>>>>"
+)
+
+
+def read_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Clip observations, JSON lines or a document a file; what doesn't parse stays in ``_corrupt_record``."""
+    reader = spark.read.schema(OBSERVATION + ", _corrupt_record string").option("mode", "PERMISSIVE")
+    return reader.option("multiLine", path.endswith(".json")).json(path)
+
+
+def write_observations(objects: DataFrame, path: str) -> None:
+    """Objects (clip_id, video_id, frame_index, width, height, object columns) as one JSON document a clip."""
+    item = F.struct("object_id", "label", "mask_area", "frame_area", "depth", "confidence", "bbox")
+    frames = objects.groupBy("clip_id", "video_id", "frame_index").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.array_sort(F.collect_list(item)).alias("objects"))
+    clips = frames.groupBy("clip_id", "video_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "width", "height", "objects"))).alias("frames"))
+    write_json(clips, path)
+
+
 def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("mp4", "avi", "mov", "mkv")) -> DataFrame:
     """Path, size and content hash of the files below a folder; contents stay on the executors."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

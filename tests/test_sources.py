@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import gates, lineage, pooling, static
-from tessella.sources import cache, config, outputs, records
+from tessella.sources import cache, config, manifest, outputs, records
 from tessella.streaming import windows as streaming
 
 
@@ -115,3 +115,101 @@ def test_missing_policy(spark):
     assert static.apply_missing_policy(audit).count() == 1 and static.apply_missing_policy(audit, "keep_empty").count() == 2
     with pytest.raises(ValueError):
         static.apply_missing_policy(audit, "error")
+
+
+def test_config_checks_windows_and_resolves_paths(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("video:\n  clip_length: 8\n  clip_stride: 4\npaths:\n  data: sub/x\n  remote: s3://b/x\nprice: 5$ and $HOME\n")
+    got = config.load(str(path), (), {})
+    assert got["paths"] == {"data": str(tmp_path / "sub/x"), "remote": "s3://b/x"} and got["price"] == "5$ and $HOME"
+    for bad in ("clip_length: 1", "clip_stride: 0"):
+        path.write_text(f"video:\n  {bad}\n")
+        with pytest.raises(ValueError):
+            config.load(str(path), (), {})
+
+
+def test_cache_notices_changed_files(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5).coalesce(1)
+
+    args = (spark, str(tmp_path), "stage", {"a": 1}, build, True)
+    assert cache.cached(*args).count() == cache.cached(*args).count() == 5 and len(calls) == 1
+    folder = tmp_path / "stage" / cache.key_of("stage", {"a": 1})
+    part = next(folder.glob("part-*"))
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "other"))
+    part.write_bytes(next((tmp_path / "other").glob("part-*")).read_bytes())
+    (folder / f".{part.name}.crc").unlink(missing_ok=True)
+    assert cache.cached(*args).count() == 5 and len(calls) == 2
+
+
+def test_axis_registry():
+    good = {"schema_version": "paper_core_canonical_axis_v1", "unit_system": "meter", "frozen_before_real_video_run": True, "post_result_threshold_tuning": False, "authenticity_label_used": False, "universal_fallback": False}
+    limits = {k: 0.5 for k in manifest.AXIS_THRESHOLDS} | {"robust_projection_low_quantile": 0.05, "truncation_threshold": 0.0, "bottle_point_support_min": 20}
+    assert manifest.axis_registry(good | {"thresholds": limits})["bottle_point_support_min"] == 20.0
+    for change in ({"unit_system": "foot"}, {"universal_fallback": True}, {"frozen_before_real_video_run": 1}, {"thresholds": limits | {"x": 1}}, {"thresholds": limits | {"occlusion_threshold": 1.5}}, {"thresholds": limits | {"bottle_extent_ratio_min": 0}}, {"thresholds": limits | {"robust_projection_low_quantile": 0.6}}):
+        with pytest.raises(ValueError):
+            manifest.axis_registry({"thresholds": limits} | good | change)
+
+
+def test_prior_registry_must_be_right(spark):
+    sources = spark.createDataFrame([("d1", "approved"), ("d2", "draft")], "derivation_id string, review_status string")
+    entry = {"entry_id": "e", "class_name": "car", "aliases": ["auto"], "supported_dimension": "length", "min_m": 1, "max_m": 2, "derivation_id": "d1"}
+    assert {r["label"] for r in manifest.prior_registry(spark, [entry], sources).collect()} == {"car", "auto"}
+    for bad in ([entry, entry | {"entry_id": "f", "class_name": "auto", "aliases": []}], [entry | {"derivation_id": "d2"}], [entry | {"min_m": 3}]):
+        with pytest.raises(ValueError):
+            manifest.prior_registry(spark, bad, sources)
+
+
+def test_pose_graph_takes_near_then_good_edges(spark):
+    """Against the rule, applied by search over all edges."""
+    rng = np.random.default_rng(2)
+    edges = [("v", i, i + g, float(rng.integers(0, 100)) / 100) for i in range(14) for g in (1, 2, 4)]
+    best, parent = {0: 2.0}, {0: -1}
+    usable = [(a, b, q) for _, s, t, q in edges if q >= 0.2 for a, b in ((s, t), (t, s))]
+    while options := [(abs(a - b), -q, a, b) for a, b, q in usable if a in best and b not in best]:
+        _, q, a, b = min(options)
+        best[b], parent[b] = min(best[a], -q), a
+    got = {r["frame_index"]: (r["parent"], r["quality"]) for r in lineage.pose_graph(spark.createDataFrame(edges, "video_id string, source long, target long, quality double")).collect()}
+    for f, (p, q) in got.items():
+        assert p == parent.get(f) and (q is None if f not in best else q == pytest.approx(min(best[f], 1.0)))
+
+
+def test_endpoint_chains(spark):
+    """Against all pairs of neighbouring frames."""
+    rng = np.random.default_rng(4)
+    rows = [("v", f, *(float(x) for x in rng.uniform(0, 12, 2)), *(float(x) for x in rng.uniform(0, 12, 2))) for f in range(6) for _ in range(25)]
+    got = {(r["frame_index"], r["u0"], r["v0"]): r["chain"] for r in lineage.link_endpoints(spark.createDataFrame(rows, "video_id string, frame_index int, u0 double, v0 double, u1 double, v1 double")).collect()}
+    want, ends, number = {}, {}, 0
+    for f in range(6):
+        frame = sorted(r for r in rows if r[1] == f)
+        near = sorted((float(np.hypot(r[2] - e[0], r[3] - e[1])), i, k) for i, r in enumerate(frame) for k, e in ends.items())
+        chain, used = {}, set()
+        for d, i, k in near:
+            if d <= 2.0 and i not in chain and k not in used:
+                chain[i] = k
+                used.add(k)
+        ends = {}
+        for i, r in enumerate(frame):
+            if i not in chain:
+                chain[i], number = number, number + 1
+            want[r[1], r[2], r[3]] = chain[i]
+            ends[chain[i]] = (r[4], r[5])
+    assert got == want
+
+
+def test_curves_in_ranges(spark, monkeypatch):
+    """Two levels of running sums give what one gives."""
+    from tessella.operators import metrics
+
+    rng = np.random.default_rng(6)
+    rows = [("a", float(s), int(y)) for s, y in zip(rng.random(400).round(2), rng.integers(0, 2, 400), strict=True)] + [(None, 0.5, 1)]
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    want = sorted((r["g"] or "", r["threshold"] or -1.0, r["tp"], r["fp"], r["tn"], r["fn"]) for r in metrics.roc_curve(df, ["g"]).collect())
+    for t in {r[1] for r in want if r[1] >= 0}:
+        hit = [r for r in rows if r[0] == "a" and r[1] >= t]
+        assert ("a", t, sum(r[2] for r in hit), sum(1 - r[2] for r in hit)) in {r[:4] for r in want} or t not in {r[1] for r in rows if r[0] == "a"}
+    monkeypatch.setattr(metrics, "RANGES", 3)
+    assert sorted((r["g"] or "", r["threshold"] or -1.0, r["tp"], r["fp"], r["tn"], r["fn"]) for r in metrics.roc_curve(df, ["g"]).collect()) == want
