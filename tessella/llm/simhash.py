@@ -46,12 +46,14 @@ _VOTES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(
 
 
 def _sums(term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Votes of weighted terms on every bit."""
-    with np.errstate(over="ignore"):
-        wide = mix(term[:, None] * _SEED[None, :])
-    raw = wide.view(np.uint8).reshape(len(term), BITS // 8)
-    place = raw.astype(np.int64) + (np.arange(BITS // 8) * 256)[None, :]
-    tally = np.bincount(place.ravel(), np.repeat(weight, BITS // 8), 256 * (BITS // 8))
+    """Votes of weighted terms on every bit, some thousand terms at a time."""
+    tally = np.zeros(256 * (BITS // 8))
+    place_of = (np.arange(BITS // 8) * 256)[None, :]
+    for at in range(0, len(term), 1 << 13):
+        with np.errstate(over="ignore"):
+            wide = mix(term[at : at + (1 << 13), None] * _SEED[None, :])
+        place = wide.view(np.uint8).reshape(len(wide), BITS // 8) + place_of
+        tally += np.bincount(place.ravel(), np.repeat(weight[at : at + (1 << 13)], BITS // 8), len(tally))
     return (tally.reshape(BITS // 8, 256) @ _VOTES).ravel()
 
 
@@ -169,7 +171,9 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("text")]
-    ranged = docs.repartitionByRange(parts, *order[:2]) if parts else docs.repartitionByRange(*order[:2])
+    # The number is stated, so that small partitions aren't merged into large sorts.
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = docs.repartitionByRange(parts, *order[:2])
     rows = ranged.sortWithinPartitions(*order).select("doc_id", "text")
     found = materialize(rows.mapInArrow(lean(_inside), SCHEMA + ", part int, edge int, text string"), "simhash-compared")
     edges = found.where("edge IS NOT NULL").select("part", "edge", "doc_id", "text")

@@ -66,6 +66,18 @@ def test_op2_cases(docs, empty, clashing, rows):
     assert a.count() == mixing.mix(docs).count()
 
 
+def test_op2_null_and_repeated_ids(spark):
+    """Rows without an id, or with one id, draw each for themselves and spread over the partitions."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 5 > 0, F.col("id") % 2 * 7 + F.when(F.col("id") % 5 == 1, F.col("id")).otherwise(0)).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    got = mixing.mix(docs, {"a": 1.0, "b": 3.0})
+    n = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert n["b"] / n["a"] == pytest.approx(3, rel=0.05)
+    spread = got.where("doc_id IS NULL").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) == 4 and min(r["count"] for r in spread) > 0.15 * sum(r["count"] for r in spread)
+    counts = got.where("doc_id = 7").groupBy("text").count().collect()
+    assert len({r["count"] for r in counts}) > 1
+
+
 def test_op4(spark):
     got = QUERIES["op4_language_id"](spark, SF).join(table(spark, "documents"), "doc_id").toPandas()
     held = got[got.held_out]
@@ -85,6 +97,126 @@ def test_op4_cases(spark, docs, empty, clashing, rows):
     assert set(langid.keep_identified(clashing, d).columns) == set(clashing.columns)
 
 
+def test_op4_by_hand(spark):
+    """Judgements against plain coding of every text with every dictionary."""
+    import regex
+    import zstandard as z
+
+    d = langid.learn(table(spark, "documents"))
+    how = {k: z.ZstdCompressionParameters.from_level(langid.LEVEL, dict_size=len(v), source_size=langid.PIECE, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False) for k, v in d.items()}
+    texts = [r["text"] for r in table(spark, "documents").limit(150).collect()] + ["The", "x y", "ein ein ein", "123", None, "zqx wvk jjh"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), d).orderBy("doc_id").collect()
+    for text, r in zip(texts, got, strict=True):
+        words = regex.findall(r"[\p{L}\p{M}]+", (text or "").lower())
+        words = [w for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
+        raw = " ".join(words).encode()
+        if not raw:
+            assert (r["lang_pred"], r["score"], r["accepted"]) == ("und", 0.0, False)
+            continue
+        size = {}
+        for lang, content in d.items():
+            coder = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=how[lang])
+            size[lang] = sum(len(coder.compress(raw[i : i + langid.PIECE])) for i in range(0, len(raw), langid.PIECE))
+        order = sorted(size, key=size.get)  # ties: the language with more training documents comes first in d
+        assert r["lang_pred"] == order[0]
+        margin = (size[order[1]] - size[order[0]]) / size[order[1]]
+        assert r["margin"] == pytest.approx(margin) and r["accepted"] == (margin >= langid.MARGIN)
+
+
+def test_op4_ties_and_margins():
+    same = {"aa": b"the same words in both " * 50, "bb": b"the same words in both " * 50}
+    lang, score, margin = langid.Coder(same).judge(b"the same words")
+    assert lang == "aa" and margin == 0.0 and score == pytest.approx(0.5)
+
+
+def test_quality_forward_is_a_convolution():
+    """Against filters over embedded bytes, chunk by chunk."""
+    rng = np.random.default_rng(3)
+    p = quality.initial(rng)
+    p["fb"], p["b1"] = rng.normal(0, 0.3, quality.FILTERS), rng.normal(0, 0.3, quality.HIDDEN)
+    tables = np.einsum("se,jef->jsf", p["e"], p["f"]).astype(np.float32)
+    model = quality.Model(tables, p["fb"].astype(np.float32), p["w1"], p["b1"], p["w2"], 0.25)
+    texts = [b"", b"short", bytes(rng.integers(0, 256, 31).tolist()), bytes(rng.integers(0, 256, 32).tolist()), bytes(rng.integers(32, 127, 333).tolist()), "Größe und naïveté. ".encode() * 20]
+    joined, _ = quality.padded(texts)
+    at = 0
+    for text, got in zip(texts, quality.forward(model, texts), strict=True):
+        halves = max(1, -(-len(text) // quality.HALF))
+        code = joined[at : at + halves * quality.HALF + quality.WIDTH]  # a filter at the end of a text sees what follows in the batch
+        at += halves * quality.HALF
+        emb = p["e"][code]
+        conv = np.array([np.einsum("je,jef->f", emb[i : i + quality.WIDTH], p["f"]) for i in range(0, halves * quality.HALF, quality.STRIDE)]) + p["fb"]
+        each = quality.HALF // quality.STRIDE
+        chunks = [conv[each * i : each * (i + 2)] for i in range(max(1, halves - 1))]
+        unit = np.array([np.tanh(np.maximum(c.max(axis=0), 0) @ p["w1"] + p["b1"]) for c in chunks])
+        z = np.concatenate([unit.mean(axis=0), unit.max(axis=0)]) @ p["w2"] + 0.25
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-3, abs=1e-4)
+
+
+def test_quality_gradients():
+    """Derivatives against differences."""
+    rng = np.random.default_rng(4)
+    p = {k: v.astype(float) for k, v in quality.initial(rng).items()}
+    texts = [bytes(rng.integers(97, 123, n).tolist()) for n in (5, 64, 200, 330)]
+    y, weight = np.array([1.0, 0, 1, 0]), np.array([1.0, 2, 0.5, 1])
+    _, g = quality.gradients(p, texts, y, weight)
+    for k in ("f", "e", "fb", "w1", "b1", "w2", "b2"):
+        order = np.argsort(-np.abs(g[k]).ravel())[:4]
+        for i in order.tolist():
+            here = np.unravel_index(i, p[k].shape)
+            was, side = p[k][here], []
+            for step in (1e-4, -1e-4):
+                p[k][here] = was + step
+                side.append(quality.gradients(p, texts, y, weight)[0])
+            p[k][here] = was
+            assert (side[0] - side[1]) / 2e-4 == pytest.approx(g[k][here], rel=0.05, abs=1e-4)
+
+
+def test_toxicity_is_a_noisy_or():
+    """Scores against a loop over sentences and words."""
+    import math
+    import re
+
+    from tessella.llm.textkernel import Scan
+
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(60)] + ["badword", "awful", "damnit"]
+    say = lambda bad: " ".join(rng.choice(vocabulary[:60], 6)) + (f" {rng.choice(vocabulary[60:])}" if bad else "") + rng.choice([".", "!", "?", "\n"])
+    sample = [(" ".join(say(i % 2 and j == 2) for j in range(5)), i % 2) for i in range(300)]
+    model = toxicity.train(sample, {0: 150, 1: 150})
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    texts = [t for t, _ in sample[:60]] + ["", "\n \n", "x", "a b. c d!", "é badword, ü. w1 w2? damnit! (awful)"]
+    got, spans = toxicity.score(model, [t.encode() for t in texts])
+    for text, p, found in zip(texts, got, spans, strict=True):
+        total, weak, want = 0.0, 0.0, []
+        # a sentence ends at a word that ends in . ! ?, and at a line break
+        pieces, now = [], []
+        for m in re.finditer(r"[^\x20\x09-\x0D]+|\n", text):
+            if m.group() == "\n":
+                if now:
+                    pieces.append(now)
+                    now = []
+                continue
+            now.append(m)
+            if m.group()[-1] in ".!?":
+                pieces.append(now)
+                now = []
+        if now:
+            pieces.append(now)
+        for words in pieces:
+            z = model.bias
+            for m in words:
+                for key in toxicity.features(Scan([m.group().encode()])).ravel().tolist():
+                    z += weights.get(key, 0.0) if key else 0.0
+            if z > model.floor or z >= 0:
+                total += math.log1p(math.exp(z))
+            else:
+                weak = max(weak, math.log1p(math.exp(z)))
+            if z >= 0:
+                want.append((words[0].start(), words[-1].end()))
+        assert p == pytest.approx(1 - math.exp(-total - weak), abs=1e-9)
+        assert [x[:2] for x in found] == want
+
+
 @pytest.mark.parametrize("module,label,threshold,least", [(quality, "quality", 0.3, 0.95), (toxicity, "toxic", 0.5, 0.85)])
 def test_classifiers(spark, module, label, threshold, least):
     sf = "/root/testdata/sf0.1"
@@ -106,6 +238,8 @@ def test_classifier_cases(spark, docs, empty, clashing, rows, module):
     got = module.classify(docs, model).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     assert module.classify(empty, model).count() == 0
+    assert module.classify(clashing, model).columns == module.classify(docs, model).columns
+    assert sorted(r["score"] for r in module.classify(clashing, model).collect()) == sorted(r["score"] for r in got)
     none = module.learn(docs, labels.limit(0))
     assert len({r["score"] for r in module.classify(docs, none).collect()}) == 1
 
@@ -167,6 +301,27 @@ def test_pipeline(spark):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_stages_on_empty_tables(spark, empty, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stages_on_ties(spark, tmp_path):
+    """Equal texts, ids and sources: nothing clean goes but copies."""
+    text = [r["text"] for r in table(spark, "documents").where("lang = 'en' AND n_chars > 300").orderBy("doc_id").limit(3).collect()]
+    rows = [(i % 2, text[i % 3], "en", "s", 5) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).count() == 30
+    kept = corpus_pipeline.STAGES[2][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in kept) == sorted(text) and {r["doc_id"] for r in kept} == {0}
+    mixed = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r["piece"] == 0 for r in packed) == 30
+
+
 def test_pipeline_on_odd_documents(spark, clashing, tmp_path):
     clashing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(3, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
