@@ -36,6 +36,25 @@ def matmul4(a: Column, b: Column) -> Column:
     return F.array(*[cell(i, j) for i in range(4) for j in range(4)])
 
 
+def inverse_rigid(t: Column) -> Column:
+    """Inverse of a 4x4 rigid transform: the rotation transposed, the translation turned back."""
+    g = lambda i, j: F.get(t, F.lit(4 * i + j))
+    back = lambda j: -(g(0, j) * g(0, 3) + g(1, j) * g(1, 3) + g(2, j) * g(2, 3))
+    rows = [x for j in range(3) for x in (g(0, j), g(1, j), g(2, j), back(j))]
+    return F.array(*rows, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+
+def camera_center(t_world_from_camera: Column) -> Column:
+    """Where a camera stands: the translation of its pose."""
+    g = lambda i: F.get(t_world_from_camera, F.lit(i))
+    return F.when(t_world_from_camera.isNotNull(), point(g(3), g(7), g(11)))
+
+
+def predict_target(p: Column, t: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
+    """Pixel in the target of a source point under the relative pose; NULL without a pose or behind the camera."""
+    return F.when(t.isNotNull(), project(transform(p, t), fx, fy, cx, cy))
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.sqrt((a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 + (a["z"] - b["z"]) ** 2)
 

@@ -178,6 +178,29 @@ def boundary_reprojection(rows: DataFrame) -> DataFrame:
     return out.withColumn("state", state).withColumnRenamed("pixel_error", "boundary_error").drop("depth_error")
 
 
+def dynamic_reprojection(rows: DataFrame) -> DataFrame:
+    """What a point's distance from its prediction says: evidence_type, diagnostic (error over the diagonal), residual, quality, reason.
+
+    Rows: what :func:`gates.reprojection_gate` judged (with its reason), previous and motion (structs x, y, z), pose (16, current from previous), fx, fy, cx,
+    cy, width, height, seen_u, seen_v, background, previous_quality, tracking_confidence. Only a motion prediction from history makes a
+    residual; background is quality assurance, and a foreground moved by the camera alone a diagnosis.
+    """
+    c = F.col
+    pose = lambda i: F.get("pose", F.lit(i))
+    turned = lambda i: pose(4 * i) * c("previous.x") + pose(4 * i + 1) * c("previous.y") + pose(4 * i + 2) * c("previous.z")
+    by_camera = F.when(c("mode") == "static_camera_3d", c("previous")).when(c("mode") == "rotation_compensated", G.point(turned(0), turned(1), turned(2))).otherwise(G.transform(c("previous"), c("pose")))
+    out = rows.withColumn("_p", F.when(c("reason") == "", F.when(c("predicted"), c("motion")).otherwise(by_camera)))
+    out = out.withColumn("_uv", G.project(c("_p"), c("fx"), c("fy"), c("cx"), c("cy")))
+    out = out.withColumn("reason", F.when((c("reason") == "") & c("_uv").isNull(), "predicted_point_not_projectable").otherwise(c("reason")))
+    ok = c("reason") == ""
+    error = F.sqrt((c("_uv.u") - c("seen_u")) ** 2 + (c("_uv.v") - c("seen_v")) ** 2) / F.sqrt(c("width") ** 2 + c("height") ** 2)
+    kind = F.when(~ok, "missing").when(c("predicted"), "dynamic_reprojection_residual").when(c("background"), "background_reprojection_quality").otherwise("camera_compensated_motion_diagnostic")
+    out = out.withColumn("evidence_type", kind).withColumn("diagnostic", F.when(ok, error))
+    out = out.withColumn("residual", F.when(ok & c("predicted"), c("diagnostic"))).withColumn("quality", F.when(ok, F.least("previous_quality", "tracking_confidence")).otherwise(F.lit(0.0)))
+    why = F.when(c("reason") != "", c("reason")).when(c("predicted"), "").when(c("background"), "background_reprojection_is_geometry_qa").otherwise("foreground_motion_model_unavailable")
+    return out.withColumn("reason", why).drop("_p", "_uv")
+
+
 def _turn(a: Column, b: Column, least: float) -> Column:
     dot = a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
     na, nb = (F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]) for v in (a, b))

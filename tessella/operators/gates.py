@@ -59,24 +59,94 @@ def prior_gate(rows: DataFrame, min_depth_coverage: float = 0.3) -> DataFrame:
     return rows.withColumn("prior_reason", F.when(rule != "", rule).otherwise(late))
 
 
+#: Geometry modes.
+GEOMETRY_MODES = ("static_camera_3d", "rotation_compensated", "full_se3_3d")
+
+
 def reprojection_gate(rows: DataFrame) -> DataFrame:
-    """Columns same_track, independent, history, newest_history, frame_index, mode, has_pose, background -> reason."""
+    """Why a point can't be compared with its prediction, in order ('' if it can).
+
+    Columns mode, same_point, same_track, previous_valid, current_valid, independent, generated, predicted (whether a motion prediction is
+    there), predicted_finite, has_history_model, history (frames), newest_history, model_type, support (how many points), frame_index.
+    A prediction must come from at least two earlier frames and a named model, unless it states nothing of the kind.
+    """
     c = F.col
+    stated = (c("model_type") != "") | (c("history") > 0) | (c("support") > 0)
     return rows.withColumn(
         "reason",
         first_reason(
             [
-                ("track_identity_mismatch", ~c("same_track")),
-                ("observation_not_independent", ~c("independent")),
-                ("insufficient_history", ~c("background") & (c("history") < 2)),
-                ("future_frame_in_history", c("newest_history") >= c("frame_index")),
-                ("relative_pose_unavailable", c("background") & ~c("has_pose") & (c("mode") != "static")),
-                ("unsupported_geometry_mode", ~c("mode").isin("static", "rotation", "se3")),
+                ("dynamic_geometry_unavailable", c("mode") == "unavailable"),
+                ("point_id_mismatch", ~c("same_point")),
+                ("object_track_id_mismatch", ~c("same_track")),
+                ("invalid_previous_3d_point", ~c("previous_valid")),
+                ("missing_current_2d_observation", ~c("current_valid")),
+                ("current_observation_not_independent", ~c("independent")),
+                ("same_source_projection_loop", c("generated")),
+                ("invalid_motion_prediction", c("predicted") & ~c("predicted_finite")),
+                ("motion_prediction_without_history", c("predicted") & ~c("has_history_model")),
+                ("insufficient_motion_history", c("predicted") & stated & (c("history") < 2)),
+                ("motion_prediction_uses_current_frame", c("predicted") & stated & (c("newest_history") >= c("frame_index"))),
+                ("missing_motion_model_type", c("predicted") & stated & (F.trim("model_type") == "")),
+                ("unsupported_geometry_mode", ~c("predicted") & ~c("mode").isin(*GEOMETRY_MODES)),
             ]
         ),
     )
 
 
+#: Joints that a person's height needs.
+JOINTS = tuple(f"{side}_{joint}" for joint in ("shoulder", "hip", "knee", "ankle") for side in ("left", "right"))
+
+
+def person_height(
+    rows: DataFrame, detection: float = 0.30, keypoint: float = 0.35, mean: float = 0.45, margin: float = 0.01, tilt: float = 35.0, leg: float = 0.32, offset: float = 0.30, span: tuple[float, float] = (0.62, 1.20)
+) -> DataFrame:
+    """Whether a box shows a whole upright person, and if not why not (``applicability``), and the torso's tilt in degrees.
+
+    Columns x1, y1, x2, y2, width, height, confidence, provider_ok, points (array of name, x, y, confidence, valid).
+    """
+    c = F.col
+    seen = F.filter("points", lambda p: p["valid"] & (p["confidence"] >= keypoint))
+    out = rows.withColumn("_seen", seen)
+    joints = F.filter("points", lambda p: p["name"].isin(*JOINTS))
+    total = F.aggregate(joints, F.lit(0.0), lambda a, p: a + p["confidence"])
+    out = out.withColumn("_mean", F.when(F.size(joints) > 0, total / F.size(joints)).otherwise(F.lit(0.0)))
+    for name in JOINTS:
+        out = out.withColumn(f"_{name}", F.get(F.filter("_seen", _named(name)), F.lit(0)))
+    there = lambda name: c(f"_{name}").isNotNull()
+    middle = lambda part, x: F.coalesce((c(f"_left_{part}")[x] + c(f"_right_{part}")[x]) / 2, c(f"_left_{part}")[x], c(f"_right_{part}")[x])
+    dx, dy = middle("hip", "x") - middle("shoulder", "x"), middle("hip", "y") - middle("shoulder", "y")
+    out = out.withColumn("torso_tilt", F.when(F.sqrt(dx * dx + dy * dy) > 1e-8, F.degrees(F.atan2(F.abs(dx), F.abs(dy)))))
+    w, h = c("x2") - c("x1"), c("y2") - c("y1")
+
+    def standing(side: str) -> Column:
+        hip, knee, ankle = (c(f"_{side}_{part}") for part in ("hip", "knee", "ankle"))
+        return F.coalesce((hip["y"] < knee["y"]) & (knee["y"] < ankle["y"]) & ((ankle["y"] - hip["y"]) / h >= leg) & (F.abs(ankle["x"] - hip["x"]) / h <= offset), F.lit(False))
+
+    edge = lambda size: F.greatest(F.lit(2.0), size * margin)
+    touch = (c("x1") <= edge(c("width"))) | (c("y1") <= edge(c("height"))) | (c("x2") >= c("width") - edge(c("width"))) | (c("y2") >= c("height") - edge(c("height")))
+    whole_leg = lambda side: there(f"{side}_hip") & there(f"{side}_knee") & there(f"{side}_ankle")
+    enough = (there("left_shoulder") | there("right_shoulder")) & (whole_leg("left") | whole_leg("right"))
+    ys = F.transform("_seen", lambda p: p["y"])
+    reach = (F.array_max(ys) - F.array_min(ys)) / h
+    rules = [
+        ("unresolved_pose", ~F.coalesce((w > 0) & (h > 0) & (c("width") > 0) & (c("height") > 0), F.lit(False))),
+        ("boundary_truncated", touch),
+        ("insufficient_keypoints", ~c("provider_ok") | (F.size("points") < 1)),
+        ("low_keypoint_confidence", c("_mean") < mean),
+        ("insufficient_keypoints", ~enough),
+        ("sitting_or_bending", ~F.coalesce(c("torso_tilt") <= tilt, F.lit(False)) | ~(standing("left") | standing("right"))),
+        ("incomplete_body", ~F.coalesce(reach.between(*span), F.lit(False))),
+    ]
+    out = out.withColumn("applicability", first_reason(rules, "applicable_upright_full_body"))
+    out = out.withColumn("applicable", (c("applicability") == "applicable_upright_full_body") & F.coalesce(c("confidence") >= detection, F.lit(False)))
+    return out.drop("_seen", "_mean", *[f"_{n}" for n in JOINTS])
+
+
+def _named(name: str):
+    return lambda p: p["name"] == name
+
+
 def physical_gate(rows: DataFrame, confidence: float = 0.3, min_side: float = 8.0, aspect: tuple[float, float] = (0.1, 10.0), margin_px: float = 2.0, margin_ratio: float = 0.005, area: tuple[float, float] = (0.0005, 0.9)) -> DataFrame:
     """All failed checks of a box, whether it passes, and the share of passed checks (no probability).
 

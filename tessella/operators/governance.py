@@ -94,6 +94,13 @@ def leakage(records: DataFrame, keys: list[str], examples: int = 5) -> DataFrame
     return rows.groupBy("key", "left_split", "right_split").agg(F.count(F.lit(1)).alias("shared")).join(first, ["key", "left_split", "right_split"])
 
 
+def assert_no_leakage(records: DataFrame, keys: list[str]) -> None:
+    """The strict mode of :func:`leakage`: any shared value is an error that names the keys."""
+    found = leakage(records, keys, 1).select("key", "left_split", "right_split").collect()  # at most three rows a key
+    if found:
+        raise ValueError("splits share values: " + "; ".join(sorted(f"{r['key']} ({r['left_split']}, {r['right_split']})" for r in found)))
+
+
 def groups_across_splits(records: DataFrame, group: str) -> DataFrame:
     """Groups whose rows lie in more than one split."""
     return records.groupBy(group).agg(F.count_distinct("split").alias("splits"), F.count(F.lit(1)).alias("rows")).where("splits > 1")

@@ -24,6 +24,11 @@ def closure(edges: DataFrame, source: str = "stage", target: str = "needs", roun
     raise ValueError("the graph is too deep or has a cycle")
 
 
+def descendants(edges: DataFrame, stage: str) -> DataFrame:
+    """Stages that need a stage, directly or through others."""
+    return closure(edges).where(F.col("ancestor") == stage).select("stage")
+
+
 def execution_plan(edges: DataFrame, stages: DataFrame, wanted: str) -> DataFrame:
     """The stages that ``wanted`` needs, itself last; ``position`` is the number of a stage's own ancestors."""
     all_pairs = closure(edges)

@@ -98,6 +98,22 @@ def pool_points(points: DataFrame, mask: DataFrame, keys: list[str], ratio: floa
     return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * ratio))).groupBy(*keys).agg(F.avg("residual").alias("residual"), F.max("_n").alias("points"))
 
 
+def pool_sources(pixels: DataFrame, maps: DataFrame, points: DataFrame, frame: list[str], keys: list[str], sources: list[str], ratio: float = 0.25) -> DataFrame:
+    """Mean of the greatest quarter of each source's residuals inside an object's mask, and of its track points'; NULL where there are none.
+
+    Pixels: keys (frame and object), row, col. Maps: frame, row, col and a column for each source. Points: frame, u, v, residual, point_id (they
+    round half to even). A source is one column, so one pass over the mask serves all of them.
+    """
+    on = pixels.join(maps, [*frame, "row", "col"])
+    long = on.select(*keys, F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.col(s).alias("v")) for s in sources])).alias("x"), "row", "col").select(*keys, "x.source", "x.v", F.struct("row", "col").alias("_o")).where("v IS NOT NULL")
+    hit = points.select(*frame, F.rint("v").cast("int").alias("row"), F.rint("u").cast("int").alias("col"), "residual", "point_id").join(pixels, [*frame, "row", "col"])
+    long = long.unionByName(hit.select(*keys, F.lit("track").alias("source"), F.col("residual").alias("v"), F.struct(F.col("point_id").cast("int").alias("row"), F.lit(0).alias("col")).alias("_o")))
+    by = Window.partitionBy(*keys, "source")
+    ranked = long.withColumn("_r", F.row_number().over(by.orderBy(F.desc("v"), "_o"))).withColumn("_n", F.count(F.lit(1)).over(by))
+    top = ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * ratio)))
+    return top.groupBy(*keys).agg(*[F.avg(F.when(F.col("source") == s, F.col("v"))).alias(s) for s in (*sources, "track")])
+
+
 def coverage_targets(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """Counts of every target (a small table), the gap to it and whether the minimum is met. Targets: name, minimum, target."""
     out = targets.join(counts, "name", "left")

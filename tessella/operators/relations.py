@@ -64,6 +64,38 @@ def relation_graph(nodes: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def orientation_angles(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Angle between the orientations of every pair of a frame's nodes, over pi. Nodes: keys, node_id, o (struct x, y, z; NULL unknown)."""
+    a, b = (nodes.where("o IS NOT NULL").select(*keys, F.col("node_id").alias(s), F.col("o").alias(f"o{s}")) for s in "ab")
+    length = lambda v: F.sqrt(v["x"] ** 2 + v["y"] ** 2 + v["z"] ** 2)
+    u, v = F.col("oa"), F.col("ob")
+    cos = (u["x"] * v["x"] + u["y"] * v["y"] + u["z"] * v["z"]) / (length(u) * length(v))
+    return a.join(b, keys).where("a < b").select(*keys, "a", "b", (F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos))) / F.pi()).alias("angle"))
+
+
+def boundary_radii(objects: DataFrame, boundary: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and 90th percentile of the distances of an object's boundary points from its centre; objects without a positive median don't appear.
+
+    Objects: keys, p, confidence. Boundary: keys, p, confidence; any number of points.
+    """
+    points = boundary.select(*keys, F.col("p").alias("_q"), F.col("confidence").alias("_c"))
+    rows = objects.join(points, keys).withColumn("_r", G.distance(F.col("p"), F.col("_q")))
+    out = rows.groupBy(*keys).agg(F.median("_r").alias("median_radius"), F.percentile("_r", 0.9).alias("p90_radius"), F.least(F.first("confidence"), F.median("_c")).alias("confidence"), F.count(F.lit(1)).alias("points"))
+    return out.where("median_radius > 0")
+
+
+def structure_edges(points: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Length of every fixed edge in a frame, and over the median length of its object there (rigidity).
+
+    Points: keys, object_id, node_id, p. Edges: object_id, edge_id, a, b. An edge with a missing end or no length doesn't appear.
+    """
+    at = lambda s: points.select(*keys, "object_id", F.col("node_id").alias(s), F.col("p").alias(f"p{s}"))
+    rows = edges.join(at("a"), ["object_id", "a"]).join(at("b"), [*keys, "object_id", "b"])
+    rows = rows.select(*keys, "object_id", "edge_id", G.distance(F.col("pa"), F.col("pb")).alias("length")).where("length > 0")
+    middle = rows.groupBy(*keys, "object_id").agg(F.median("length").alias("_m"))
+    return rows.join(middle, [*keys, "object_id"]).withColumn("rigidity", F.col("length") / F.col("_m")).drop("_m")
+
+
 def relation_diff(graph: DataFrame, key: str, eps: float = 1e-9) -> DataFrame:
     """Relations of each frame against the frame before: |ln distance ratio|, bearing angle / pi and depth-order flip.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import alignment, evidence3d, residuals
+from tessella.functions import geometry as G
+from tessella.operators import alignment, evidence3d, pooling, relations, residuals
 
 from .adapters import EV, OB, TR, evidence, objects, table, tracks
 from .registry import query, r
@@ -271,3 +272,74 @@ def point_budget(spark, sf):
     return tracks(spark, sf).withColumn("_r", F.row_number().over(by)).where("_r <= 2").select("video_id", "frame_index", "point_id")
 
 
+# --- cameras and graphs ----------------------------------------------------------------------------
+
+
+@query("camera_world", TR + f"""SELECT vec_id, {r('CASE WHEN vec_id % 9 <> 0 THEN y + 0.2 END')} AS cx, {r('CASE WHEN vec_id % 9 <> 0 THEN -(x - 0.1) END')} AS cy, {r('CASE WHEN vec_id % 9 <> 0 THEN z - 0.4 END')} AS cz, {r('CASE WHEN vec_id % 9 <> 0 THEN x END')} AS wx, {r('CASE WHEN vec_id % 9 <> 0 THEN y END')} AS wy, {r('CASE WHEN vec_id % 9 <> 0 THEN z END')} AS wz,
+  CASE WHEN vec_id % 9 <> 0 THEN 0.1 END::DOUBLE AS ox, CASE WHEN vec_id % 9 <> 0 THEN -0.2 END::DOUBLE AS oy, CASE WHEN vec_id % 9 <> 0 THEN 0.4 END::DOUBLE AS oz, CASE WHEN vec_id % 9 <> 0 THEN '' ELSE 'no_camera_pose' END AS reason FROM tr""")
+def camera_world(spark, sf):
+    """World points into the camera and back, and where the camera stands."""
+    t = tracks(spark, sf).withColumn("pose", F.when(F.col("vec_id") % 9 != 0, F.array(*[F.lit(v) for v in _POSE])))
+    t = t.withColumn("inverse", F.when(F.col("pose").isNotNull(), G.inverse_rigid(F.col("pose"))))
+    t = t.withColumn("c", F.when(F.col("pose").isNotNull(), G.transform(F.col("p"), F.col("inverse"))))
+    t = t.withColumn("w", F.when(F.col("pose").isNotNull(), G.transform(F.col("c"), F.col("pose")))).withColumn("o", G.camera_center(F.col("pose")))
+    names = [F.col(f"{s}.{x}").alias(f"{s}{x}") for s in "cwo" for x in "xyz"]
+    return t.select("vec_id", *names, F.when(F.col("pose").isNull(), "no_camera_pose").otherwise("").alias("reason"))
+
+
+@query("target_prediction", TR + f", q AS (SELECT vec_id, -y + 0.1 AS x, x - 0.2 AS y, z + 0.4 AS z FROM tr) SELECT vec_id, {r('CASE WHEN z > 0 AND vec_id % 9 <> 0 THEN 20 * x / z + 16 END')} AS u, {r('CASE WHEN z > 0 AND vec_id % 9 <> 0 THEN 20 * y / z + 16 END')} AS v FROM q")
+def target_prediction(spark, sf):
+    pose = F.when(F.col("vec_id") % 9 != 0, F.array(*[F.lit(v) for v in _POSE]))
+    t = tracks(spark, sf).withColumn("uv", G.predict_target(F.col("p"), pose, F.lit(20.0), F.lit(20.0), F.lit(16.0), F.lit(16.0)))
+    return t.select("vec_id", "uv.u", "uv.v")
+
+
+@query("orientation_angles", TR + f""", o AS (SELECT * FROM tr WHERE vec_id % 5 <> 0) SELECT a.video_id, a.frame_index, a.point_id AS a, b.point_id AS b, {r('acos(least(1, greatest(-1, (a.x * b.x + a.y * b.y + a.z * b.z) / (sqrt(a.x * a.x + a.y * a.y + a.z * a.z) * sqrt(b.x * b.x + b.y * b.y + b.z * b.z))))) / pi()')} AS angle
+  FROM o a JOIN o b ON a.video_id = b.video_id AND a.frame_index = b.frame_index AND a.point_id < b.point_id""")
+def orientation_angles(spark, sf):
+    t = tracks(spark, sf).select("video_id", "frame_index", F.col("point_id").alias("node_id"), F.when(F.col("vec_id") % 5 != 0, F.col("p")).alias("o"))
+    return relations.orientation_angles(t, ["video_id", "frame_index"])
+
+
+@query("boundary_radii", TR + f""", c AS (SELECT video_id, frame_index, x, y, z, 0.5 + point_id / 10.0::DOUBLE AS c FROM tr WHERE point_id = 0), b AS (SELECT video_id, frame_index, x, y, z, scale / (1 + scale) AS q FROM tr WHERE point_id > 0),
+  d AS (SELECT c.video_id, c.frame_index, c.c, b.q, sqrt(pow(c.x - b.x, 2) + pow(c.y - b.y, 2) + pow(c.z - b.z, 2)) AS d FROM c JOIN b ON c.video_id = b.video_id AND c.frame_index = b.frame_index)
+  SELECT video_id, frame_index, {r('median(d)')} AS median_radius, {r('quantile_cont(d, 0.9)')} AS p90_radius, {r('least(first(c), median(q))')} AS confidence, count(*) AS points FROM d GROUP BY ALL HAVING median(d) > 0""")
+def boundary_radii(spark, sf):
+    t = tracks(spark, sf)
+    centres = t.where("point_id = 0").select("video_id", "frame_index", "p", (0.5 + F.col("point_id") / 10.0).alias("confidence"))
+    return relations.boundary_radii(centres, t.where("point_id > 0").select("video_id", "frame_index", "p", (F.col("scale") / (1 + F.col("scale"))).alias("confidence")), ["video_id", "frame_index"])
+
+
+@query("structure_edges", TR + f""", ed AS (SELECT * FROM (VALUES (0, 1), (1, 2), (2, 3), (3, 0), (0, 9)) AS e(a, b)), l AS (SELECT p.video_id AS object_id, p.frame_index, ed.a || '-' || ed.b AS edge_id, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) AS length FROM ed JOIN tr p ON p.point_id = ed.a JOIN tr q ON q.point_id = ed.b AND q.video_id = p.video_id AND q.frame_index = p.frame_index)
+  SELECT object_id, frame_index, edge_id, {r('length')} AS length, {r('length / median(length) OVER (PARTITION BY object_id, frame_index)')} AS rigidity FROM l WHERE length > 0""")
+def structure_edges(spark, sf):
+    t = tracks(spark, sf).select(F.col("video_id").alias("object_id"), "frame_index", F.col("point_id").alias("node_id"), "p")
+    fixed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(f"{a}-{b}").alias("edge_id")) for a, b in ((0, 1), (1, 2), (2, 3), (3, 0), (0, 9))])
+    edges = t.select("object_id").distinct().withColumn("_e", F.explode(fixed)).select("object_id", "_e.*")
+    return relations.structure_edges(t, edges, ["frame_index"])
+
+
+@query("object_d2", TR + f", e AS (SELECT video_id, frame_index, CASE WHEN vec_id % 4 <> 0 THEN abs(x) END AS pe, CASE WHEN vec_id % 3 <> 0 THEN abs(y) END AS be FROM tr) SELECT video_id, frame_index, {r('median(coalesce(pe, be))')} AS residual FROM e GROUP BY ALL")
+def object_d2(spark, sf):
+    rows = tracks(spark, sf).select("video_id", "frame_index", F.when(F.col("vec_id") % 4 != 0, F.abs("p.x")).alias("point_error"), F.when(F.col("vec_id") % 3 != 0, F.abs("p.y")).alias("boundary_error"))
+    return residuals.object_d2(rows, ["video_id", "frame_index"])
+
+
+@query("object_source_pooling", """WITH px AS (SELECT DISTINCT l_suppkey AS f, l_linenumber AS o, (l_partkey % 20)::INT AS "row", (l_orderkey % 20)::INT AS col FROM lineitem),
+ mp AS (SELECT s AS f, a::INT AS "row", b::INT AS col, CASE WHEN (a + b + s) % 7 <> 0 THEN ((a * 3 + b * 5 + s) % 100) / 100.0::DOUBLE END AS flow, CASE WHEN (a * b + s) % 5 <> 0 THEN ((a * 7 + b * 2 + s) % 100) / 50.0::DOUBLE END AS depth, ((a + b * 9 + s) % 100) / 25.0::DOUBLE AS corr FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem), range(20) x(a), range(20) y(b)),
+ pt AS (SELECT l_suppkey AS f, (l_partkey % 40) / 2.0::DOUBLE AS u, (l_quantity % 40) / 2.0::DOUBLE AS v, l_discount * 10 AS res, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber))::INT AS id FROM lineitem),
+ l AS (SELECT px.f, px.o, 'flow' AS s, flow AS v, px."row" AS k1, px.col AS k2 FROM px JOIN mp USING (f, "row", col) UNION ALL SELECT px.f, px.o, 'depth', depth, px."row", px.col FROM px JOIN mp USING (f, "row", col) UNION ALL SELECT px.f, px.o, 'corr', corr, px."row", px.col FROM px JOIN mp USING (f, "row", col)
+   UNION ALL SELECT px.f, px.o, 'track', res, id, 0 FROM pt JOIN px ON px.f = pt.f AND px."row" = round_even(pt.v, 0)::INT AND px.col = round_even(pt.u, 0)::INT),
+ k AS (SELECT *, row_number() OVER (PARTITION BY f, o, s ORDER BY v DESC, k1, k2) AS rn, count(*) OVER (PARTITION BY f, o, s) AS n FROM l WHERE v IS NOT NULL)
+ SELECT f AS frame_id, o AS object_id, """ + ", ".join(f"{r(f'avg(v) FILTER (s = {x!r})')} AS {x}" for x in ("flow", "depth", "corr", "track")) + " FROM k WHERE rn <= greatest(1, ceil(n * 0.25::DOUBLE)) GROUP BY ALL")
+def object_source_pooling(spark, sf):
+    c = F.col
+    line = table(spark, sf, "lineitem")
+    px = line.select(c("l_suppkey").alias("frame_id"), c("l_linenumber").alias("object_id"), (c("l_partkey") % 20).cast("int").alias("row"), (c("l_orderkey") % 20).cast("int").alias("col")).distinct()
+    grid = F.sequence(F.lit(0), F.lit(19))
+    mp = line.select(c("l_suppkey").alias("frame_id")).distinct().select("frame_id", F.explode(grid).alias("row")).select("frame_id", "row", F.explode(grid).alias("col"))
+    a, b, s = c("row"), c("col"), c("frame_id")
+    mp = mp.select("*", F.when((a + b + s) % 7 != 0, ((a * 3 + b * 5 + s) % 100) / 100.0).alias("flow"), F.when((a * b + s) % 5 != 0, ((a * 7 + b * 2 + s) % 100) / 50.0).alias("depth"), (((a + b * 9 + s) % 100) / 25.0).alias("corr"))
+    number = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))
+    pt = line.select(c("l_suppkey").alias("frame_id"), ((c("l_partkey") % 40) / 2.0).alias("u"), ((c("l_quantity") % 40) / 2.0).alias("v"), (c("l_discount") * 10).alias("residual"), number.alias("point_id"))
+    return pooling.pool_sources(px, mp, pt, ["frame_id"], ["frame_id", "object_id"], ["flow", "depth", "corr"])

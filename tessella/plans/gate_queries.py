@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions import geometry as G
 from tessella.functions.stats import array_median
-from tessella.operators import fusion, gates, governance, lineage, pooling
+from tessella.operators import evidence3d, fusion, gates, governance, lineage, pooling
 from tessella.operators.branches import BRANCHES
 from tessella.sources import records as sources
 
@@ -50,12 +51,91 @@ def prior_gate(spark, sf):
     return gates.prior_gate(gates.semantic_gate(_gate_rows(spark, sf))).select("event_id", "prior_reason")
 
 
-@query("reprojection_gate", """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'track_identity_mismatch' WHEN event_id % 13 = 0 THEN 'observation_not_independent' WHEN event_id % 2 = 1 AND event_id % 4 < 2 THEN 'insufficient_history'
-  WHEN event_id % 9 >= event_id % 10 THEN 'future_frame_in_history' WHEN event_id % 2 = 0 AND event_id % 3 = 0 AND event_id % 5 <> 0 THEN 'relative_pose_unavailable' WHEN event_id % 5 > 2 THEN 'unsupported_geometry_mode' ELSE '' END AS reason FROM events""")
+#: The same expressions in both engines.
+GATE = {
+    "mode": "CASE event_id % 9 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'odd' WHEN 2 THEN 'rotation_compensated' WHEN 3 THEN 'full_se3_3d' ELSE 'static_camera_3d' END",
+    "same_point": "event_id % 31 <> 0",
+    "same_track": "event_id % 29 <> 0",
+    "previous_valid": "event_id % 23 <> 0",
+    "current_valid": "event_id % 19 <> 0",
+    "independent": "event_id % 17 <> 0",
+    "generated": "event_id % 37 = 0",
+    "predicted": "event_id % 2 = 0",
+    "predicted_finite": "event_id % 41 <> 0",
+    "has_history_model": "event_id % 43 <> 0",
+    "history": "CAST(event_id % 7 AS INT)",
+    "newest_history": "CAST(event_id % 10 AS INT)",
+    "model_type": "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE 'constant_velocity' END",
+    "support": "CAST(event_id % 3 AS INT)",
+    "frame_index": "CAST(event_id % 8 + 2 AS INT)",
+    "background": "event_id % 4 = 1",
+}
+GATE_SQL = f"""WITH g AS (SELECT event_id, {', '.join(f'{x} AS {k}' for k, x in GATE.items())} FROM events), h AS (SELECT *, model_type <> '' OR history > 0 OR support > 0 AS stated FROM g),
+ rr AS (SELECT *, CASE WHEN mode = 'unavailable' THEN 'dynamic_geometry_unavailable' WHEN NOT same_point THEN 'point_id_mismatch' WHEN NOT same_track THEN 'object_track_id_mismatch' WHEN NOT previous_valid THEN 'invalid_previous_3d_point' WHEN NOT current_valid THEN 'missing_current_2d_observation'
+  WHEN NOT independent THEN 'current_observation_not_independent' WHEN generated THEN 'same_source_projection_loop' WHEN predicted THEN CASE WHEN NOT predicted_finite THEN 'invalid_motion_prediction' WHEN NOT has_history_model THEN 'motion_prediction_without_history'
+   WHEN stated AND history < 2 THEN 'insufficient_motion_history' WHEN stated AND newest_history >= frame_index THEN 'motion_prediction_uses_current_frame' WHEN stated AND trim(model_type) = '' THEN 'missing_motion_model_type' ELSE '' END
+  WHEN mode NOT IN ('static_camera_3d', 'rotation_compensated', 'full_se3_3d') THEN 'unsupported_geometry_mode' ELSE '' END AS reason FROM h)
+"""
+
+
+def _gated(spark, sf):
+    return gates.reprojection_gate(_e(spark, sf).select("event_id", *[F.expr(x).alias(k) for k, x in GATE.items()]))
+
+
+@query("reprojection_gate", GATE_SQL + "SELECT event_id, reason FROM rr")
 def reprojection_gate(spark, sf):
-    mode = F.when(K() % 5 == 0, "static").when(K() % 5 == 1, "rotation").when(K() % 5 == 2, "se3").otherwise("unknown")
-    rows = _e(spark, sf).select("event_id", (K() % 11 != 0).alias("same_track"), (K() % 13 != 0).alias("independent"), (K() % 4).alias("history"), (K() % 9).alias("newest_history"), (K() % 10).alias("frame_index"), mode.alias("mode"), (K() % 3 != 0).alias("has_pose"), (K() % 2 == 0).alias("background"))
-    return gates.reprojection_gate(rows).select("event_id", "reason")
+    return _gated(spark, sf).select("event_id", "reason")
+
+
+TURN = [0.0, -1.0, 0.0, 0.1, 1.0, 0.0, 0.0, -0.2, 0.0, 0.0, 1.0, 0.4, 0.0, 0.0, 0.0, 1.0]
+
+
+@query("dynamic_reprojection", GATE_SQL + f""", v AS (SELECT *, {s(3)} - 0.5 AS x, {s(7)} - 0.5 AS y, {s(11)} * 2 - 0.3 AS z, {s(13)} - 0.5 AS mx, {s(17)} - 0.5 AS my, {s(19)} * 3 - 0.2 AS mz, {s(23)} * 32 AS su, {s(29)} * 32 AS sv, {s(31)} AS pq, {s(37)} AS tc FROM rr),
+ p AS (SELECT *, CASE WHEN predicted THEN mx WHEN mode = 'static_camera_3d' THEN x WHEN mode = 'rotation_compensated' THEN -y ELSE -y + 0.1::DOUBLE END AS px, CASE WHEN predicted THEN my WHEN mode = 'static_camera_3d' THEN y WHEN mode = 'rotation_compensated' THEN x ELSE x - 0.2::DOUBLE END AS py, CASE WHEN predicted THEN mz WHEN mode = 'full_se3_3d' THEN z + 0.4::DOUBLE ELSE z END AS pz FROM v),
+ q AS (SELECT *, CASE WHEN reason <> '' THEN reason WHEN pz <= 0 THEN 'predicted_point_not_projectable' ELSE '' END AS r2 FROM p), e AS (SELECT *, sqrt(pow(20 * px / pz + 16 - su, 2) + pow(20 * py / pz + 16 - sv, 2)) / sqrt(2048) AS err FROM q)
+ SELECT event_id, CASE WHEN r2 <> '' THEN 'missing' WHEN predicted THEN 'dynamic_reprojection_residual' WHEN background THEN 'background_reprojection_quality' ELSE 'camera_compensated_motion_diagnostic' END AS evidence_type, {r("CASE WHEN r2 = '' THEN err END")} AS diagnostic, {r("CASE WHEN r2 = '' AND predicted THEN err END")} AS residual,
+  {r("CASE WHEN r2 = '' THEN least(pq, tc) ELSE 0 END")} AS quality, CASE WHEN r2 <> '' THEN r2 WHEN predicted THEN '' WHEN background THEN 'background_reprojection_is_geometry_qa' ELSE 'foreground_motion_model_unavailable' END AS reason FROM e""")
+def dynamic_reprojection(spark, sf):
+    rows = _gated(spark, sf).select(
+        "*", G.point(m(3) - 0.5, m(7) - 0.5, m(11) * 2 - 0.3).alias("previous"), G.point(m(13) - 0.5, m(17) - 0.5, m(19) * 3 - 0.2).alias("motion"), F.array(*[F.lit(x) for x in TURN]).alias("pose"), F.lit(20.0).alias("fx"), F.lit(20.0).alias("fy"), F.lit(16.0).alias("cx"), F.lit(16.0).alias("cy"),
+        F.lit(32.0).alias("width"), F.lit(32.0).alias("height"), (m(23) * 32).alias("seen_u"), (m(29) * 32).alias("seen_v"), m(31).alias("previous_quality"), m(37).alias("tracking_confidence"),
+    )
+    return evidence3d.dynamic_reprojection(rows).select("event_id", "evidence_type", "diagnostic", "residual", "quality", "reason")
+
+
+#: Height of every joint in a standing body, as a share of the box.
+BODY = {"shoulder": 0.15, "hip": 0.5, "knee": 0.72, "ankle": 0.95}
+PERSON = {"x1": "CAST(event_id % 60 AS DOUBLE)", "y1": "CAST(event_id % 21 + 1 AS DOUBLE)", "x2": "CAST(event_id % 60 + 20 + event_id % 30 AS DOUBLE)", "y2": "CAST(event_id % 21 + 40 + event_id % 41 AS DOUBLE)", "confidence": "CAST((event_id * 7) % 100 AS DOUBLE) / 100", "provider_ok": "event_id % 26 <> 0"}
+JOINT = {
+    name: {
+        "x": f"x1 + (x2 - x1) * ({0.4 if name.startswith('left') else 0.6} + CAST((event_id * {i + 3}) % 17 - 8 AS DOUBLE) / {30 if name.endswith('shoulder') else 60})",
+        "y": f"y1 + (y2 - y1) * (CASE WHEN event_id % 9 = 0 THEN 0.55 ELSE {BODY[name.split('_')[1]]} END + CAST((event_id * {i + 5}) % 13 - 6 AS DOUBLE) / 150)",
+        "confidence": f"CAST((event_id * {2 * i + 3}) % 100 AS DOUBLE) / 125 + 0.2",
+        "valid": f"(event_id + {i}) % 15 <> 0",
+    }
+    for i, name in enumerate(gates.JOINTS)
+}
+
+
+def _person_sql() -> str:
+    points = ", ".join(f"{{'name': '{n}', 'x': ({j['x']})::DOUBLE, 'y': ({j['y']})::DOUBLE, 'c': ({j['confidence']})::DOUBLE, 'valid': {j['valid']}}}" for n, j in JOINT.items())
+    pick = ", ".join(f"list_filter(seen, lambda p: p.name = '{n}')[1] AS {n}" for n in JOINT)
+    mid = lambda part, x: f"coalesce((left_{part}.{x} + right_{part}.{x}) / 2, left_{part}.{x}, right_{part}.{x})"
+    stand = lambda d: f"coalesce({d}_hip.y < {d}_knee.y AND {d}_knee.y < {d}_ankle.y AND ({d}_ankle.y - {d}_hip.y) / (y2 - y1) >= 0.32::DOUBLE AND abs({d}_ankle.x - {d}_hip.x) / (y2 - y1) <= 0.30::DOUBLE, false)"
+    return f"""WITH b AS (SELECT event_id, {', '.join(f'{x} AS {k}' for k, x in PERSON.items())} FROM events), k AS (SELECT *, [{points}] AS pts FROM b), v AS (SELECT *, list_filter(pts, lambda p: p.valid AND p.c >= 0.35::DOUBLE) AS seen, list_sum(list_transform(pts, lambda p: p.c)) / 8 AS mc FROM k),
+ j AS (SELECT *, {pick} FROM v), d AS (SELECT *, {mid('hip', 'x')} - {mid('shoulder', 'x')} AS dx, {mid('hip', 'y')} - {mid('shoulder', 'y')} AS dy FROM j), t AS (SELECT *, CASE WHEN sqrt(dx * dx + dy * dy) > 1e-8 THEN degrees(atan2(abs(dx), abs(dy))) END AS tilt, (list_max(list_transform(seen, lambda p: p.y)) - list_min(list_transform(seen, lambda p: p.y))) / (y2 - y1) AS reach FROM d),
+ a AS (SELECT *, CASE WHEN x2 <= x1 OR y2 <= y1 THEN 'unresolved_pose' WHEN x1 <= 2 OR y1 <= 2 OR x2 >= 98 OR y2 >= 98 THEN 'boundary_truncated' WHEN NOT provider_ok THEN 'insufficient_keypoints' WHEN mc < 0.45::DOUBLE THEN 'low_keypoint_confidence'
+  WHEN NOT ((left_shoulder IS NOT NULL OR right_shoulder IS NOT NULL) AND ((left_hip IS NOT NULL AND left_knee IS NOT NULL AND left_ankle IS NOT NULL) OR (right_hip IS NOT NULL AND right_knee IS NOT NULL AND right_ankle IS NOT NULL))) THEN 'insufficient_keypoints'
+  WHEN NOT coalesce(tilt <= 35, false) OR NOT ({stand('left')} OR {stand('right')}) THEN 'sitting_or_bending' WHEN NOT coalesce(reach BETWEEN 0.62::DOUBLE AND 1.2::DOUBLE, false) THEN 'incomplete_body' ELSE 'applicable_upright_full_body' END AS applicability FROM t)
+"""
+
+
+@query("person_height_gate", _person_sql() + f"SELECT event_id, applicability, applicability = 'applicable_upright_full_body' AND confidence >= 0.3::DOUBLE AS applicable, {r('tilt')} AS torso_tilt FROM a")
+def person_height_gate(spark, sf):
+    rows = _e(spark, sf).select("event_id", *[F.expr(x).alias(k) for k, x in PERSON.items()])
+    joint = lambda n, j: F.struct(F.lit(n).alias("name"), *[F.expr(f"CAST({j[x]} AS DOUBLE)").alias(x) for x in ("x", "y", "confidence")], F.expr(j["valid"]).alias("valid"))
+    rows = rows.withColumn("points", F.array(*[joint(n, j) for n, j in JOINT.items()])).withColumn("width", F.lit(100.0)).withColumn("height", F.lit(100.0))
+    return gates.person_height(rows).select("event_id", "applicability", "applicable", "torso_tilt")
 
 
 PHYS = """WITH b AS (SELECT l_orderkey, l_linenumber, l_linenumber <> 5 AS measured, l_tax * 10 AS confidence, l_quantity - 3 AS depth, (l_partkey % 100)::DOUBLE AS x1, (l_suppkey % 50)::DOUBLE AS y1, (l_partkey % 100)::DOUBLE + l_quantity - 2 AS x2, (l_suppkey % 50)::DOUBLE + l_quantity / 2 AS y2, l_extendedprice / 10 AS mask_area FROM lineitem),
@@ -327,6 +407,11 @@ def stage_closure(spark, sf):
     return lineage.closure(spark.createDataFrame(STAGES, "stage string, needs string"))
 
 
+@query("stage_descendants", ST + " SELECT stage FROM c WHERE ancestor = 'frames'")
+def stage_descendants(spark, sf):
+    return lineage.descendants(spark.createDataFrame(STAGES, "stage string, needs string"), "frames")
+
+
 @query("stage_plan", ST + ", n AS (SELECT ancestor AS stage FROM c WHERE stage = 'points' UNION SELECT 'points') SELECT n.stage, count(c.ancestor) AS position FROM n LEFT JOIN c USING (stage) GROUP BY ALL")
 def stage_plan(spark, sf):
     edges = spark.createDataFrame(STAGES, "stage string, needs string")
