@@ -14,8 +14,8 @@ sampled vectors and random or sampled directions, share no table. The projection
 fitted on half of at most about ``SAMPLE`` vectors, the tables on the other half (a bounded, documented sample); every vector is indexed.
 
 Equal vectors of a label are one class first. A key with many classes is dealt in blocks of
-``GROUP``; tasks hold two blocks. Tables carry codes and sketches only: a class goes on, with its
-vector, to those blocks in which some other sketch may be within the threshold. A sketch is the
+``GROUP``; tasks hold two blocks. A table's row is a key and a class; codes and sketches go only where several
+classes share a key. There a class goes on, with its vector, to those blocks in which some other sketch may be within the threshold. A sketch is the
 vector in bytes, with the length of what that leaves out, so the bound on a cosine is proven and
 drops no link. There links become counts and spanning edges;
 pairs are never written. A pair is counted only in the first table it shares.
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .mixing import uniform
+from .reducer import bits_of, maybe
 from .storage import discard, lean, materialize
 
 SAMPLE = 8192
@@ -158,15 +159,17 @@ def _sample(vectors: DataFrame) -> tuple[np.ndarray, int]:
     if not sizes["all"]:
         return np.zeros((0, 1)), 0
     rate = min(1.0, SAMPLE / sizes["all"])
-    drawn = uniform(F.lit("itq"), F.col("vec_id").cast("string"))
-    rows = labelled.where(drawn < rate).select("embedding").limit(4 * SAMPLE)
+    # The draw reads the vector too: rows without a vec_id, or with the same, draw each for themselves.
+    drawn = uniform(F.lit("itq"), F.col("vec_id").cast("string"), F.xxhash64("embedding").cast("string"))
+    good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     dims: dict[int, list[np.ndarray]] = {}
-    for r in rows.toLocalIterator():
-        e = r["embedding"]
-        if e and all(x is not None and math.isfinite(x) for x in e) and any(e):
-            v = np.array(e, np.float64)
+    for chosen in (labelled.where(drawn < rate).where(good).limit(4 * SAMPLE), labelled.where(good).limit(SAMPLE)):
+        for r in chosen.select("embedding").toLocalIterator():
+            v = np.array(r["embedding"], np.float64)
             v /= np.abs(v).max()
             dims.setdefault(len(v), []).append(v / np.sqrt(v @ v))
+        if dims:  # else all valid vectors are copies of few, and the draw missed them
+            break
     if not dims:
         return np.zeros((0, 1)), int(sizes["most"])
     most = max(dims.values(), key=len)
@@ -221,22 +224,38 @@ def _links(vectors: DataFrame, threshold: float) -> DataFrame:
     classes = rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = materialize(classes, "itq-classes")
 
+    def encode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
+            packed = np.packbits(codes(unit, held.value), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array([x.tobytes() for x in sketches(unit)], pa.binary())], names=["k1", "code", "sketch"])
+
+    coded = materialize(classes.select("k1", "vector").mapInArrow(lean(encode), "k1 long, code binary, sketch binary"), "itq-codes")
+
     def index(batches):
         import pyarrow as pa
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, dim)
-            bits, sketch = codes(unit, held.value), pa.array([x.tobytes() for x in sketches(unit)], pa.binary())
-            keys, packed = table_keys(bits, substring, tables), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
+            keys = table_keys(bits, substring, tables)
             for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), batch.column(0), batch.column(1), packed, sketch], names=["table", "key", "label", "k1", "code", "sketch"])
-
-    keyed = materialize(classes.select("label", "k1", "vector").mapInArrow(lean(index), "table int, key long, label string, k1 long, code binary, sketch binary"), "itq-keyed")
-    sizes = keyed.groupBy("label", "table", "key").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.where("n > 1").select(F.col("label").alias("_l"), F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks"))
-    dealt = keyed.join(sizes, (keyed["label"] == sizes["_l"]) & (keyed["table"] == sizes["_t"]) & (keyed["key"] == sizes["_k"]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), batch.column(0), batch.column(1)], names=["table", "key", "label", "k1"])
+
+    labelled = coded.join(classes.select(F.col("k1").alias("_l1"), "label"), F.col("k1") == F.col("_l1")).select("label", "k1", "code")
+    keyed = materialize(labelled.mapInArrow(lean(index), "table int, key long, label string, k1 long"), "itq-keyed")
+    slot = F.xxhash64("label", "table", "key")
+    sizes = keyed.groupBy("label", "table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(sizes.select(slot.alias("_s"), F.col("label").alias("_l"), F.col("table").alias("_t"), F.col("key").alias("_k"), F.ceil(F.col("n") / GROUP).cast("int").alias("blocks")), "itq-sizes")
+    # Codes and sketches go only where several classes share a key.
+    some = maybe(keyed.withColumn("slot", slot), "slot", bits_of(sizes, "_s"))
+    dealt = some.join(sizes, (F.col("label") == F.col("_l")) & (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k"))).select("label", "table", "key", "blocks", F.col("k1").alias("_k1"))
+    dealt = dealt.join(coded, F.col("_k1") == F.col("k1"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     place = ["label", "table", "key", "lo", "hi"]
     dealt = dealt.select("label", "table", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k1", "code", "sketch")
@@ -332,5 +351,5 @@ def _links(vectors: DataFrame, threshold: float) -> DataFrame:
     named = named.join(smallest, named["g"] == smallest["_g"]).select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), "n_links", "component_id")
     out = rows.select("vec_id", "k1", "k2").join(named, (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")), "left")
     component = F.when(F.col("_1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    discard(found, keyed, going)
+    discard(found, keyed, going, coded, sizes)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
