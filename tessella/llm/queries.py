@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, itq, jaccard, langid, mixing, packing, prefixes, quality, simhash, tokens, toxicity, wavelet, wordpiece
+from . import bpe, importance, itq, jaccard, langid, mixing, packing, prefixes, quality, simhash, tokens, toxicity, wavelet, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(_table(spark, sf_dir, "documents"), tokens.vocabulary_path())
 
 
+def op11_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), bpe.vocabulary_path())
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -71,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_wavelet_matrix, op2_mix_sources, op3_ngram_jaccard, op4_language_id, op5_simhash, op6_best_fit_packing, op7_quality, op8_toxicity, op9_embedding_dedup, op10_token_counts,
-        op12_importance_resampling, op13_prefix_trie,
+        op11_bpe_transducer, op12_importance_resampling, op13_prefix_trie,
     )
 }
 ORACLES: dict[str, str] = {"op2_mix_sources": mixing.ORACLE, "op12_importance_resampling": importance.ORACLE, "op13_prefix_trie": prefixes.ORACLE}

@@ -43,7 +43,8 @@ _POW = np.ones(1, U64)
 _INV = np.ones(1, U64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, at least ``n``."""
     global _POW, _INV
     if len(_POW) < n:
         size = 1 << int(n - 1).bit_length()
@@ -104,7 +105,7 @@ class Scan:
                 at = int(start[lo])
                 hi = max(lo + 1, int(np.searchsorted(start, at + 2 * SLICE)))
                 stop = max(int(e[lo:hi].max()) for e in ends)
-                power, inverse = _powers(stop - at + 1)
+                power, inverse = powers(stop - at + 1)
                 total = np.zeros(stop - at + 1, U64)
                 np.cumsum(table[self.buf[at:stop]] * power[: stop - at], out=total[1:])
                 s = start[lo:hi] - at
