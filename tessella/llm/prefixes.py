@@ -6,8 +6,8 @@ gives two rows of a sort, one at its path and one at the path followed by a turn
 all others: the first is its place in lexicographic preorder, the second its subtree's end. What a subtree sums up
 (leaves, saved tokens) is then the difference of two prefix sums over that order.
 
-Paths are ordered by at most ``BLOCK`` turns at a time. Longer ones are ranked in rounds, each doubling the
-block: a block's rank is that of its halves' ranks, so a trie of depth d takes log2(d / BLOCK) rounds, and no row
+Paths are ordered by at most ``BLOCK`` turns at a time. What longer ones have beyond their first block is ranked in rounds, each doubling the
+block: a block's rank is that of its halves' ranks, so a trie of depth d takes log2(d / BLOCK) rounds over its deep nodes only, and no row
 ever holds a whole long conversation. All positions, names and sums come from range sorts with sums
 carried over their parts (``ordered``): a conversation or node with any share of the rows spreads over tasks.
 The digest of a node's members is a chain over their ids: ids are joined to chunks where they are sorted, and only the chunks of nodes that
@@ -198,25 +198,34 @@ def _ranked(rows: DataFrame, kind: str) -> DataFrame:
     return table.join(F.broadcast(more), "_part").withColumn("m", F.col("m") + F.col("_base")).drop("_part", "_base", "k")
 
 
-def intervals(nodes: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """Two rows a node, its begin (close = 0) and its subtree's end (close = 1), and the columns that order them."""
-    fresh = F.col("depth") % BLOCK == 0  # the turn above all others begins a block of its own
-    opens = nodes.select("x1", "x2", F.lit(0).alias("close"), "depth", "a1", "a2", "own", F.col("path").alias("k"))
-    ends = nodes.select("x1", "x2", F.lit(1).alias("close"), (F.col("depth") + 1).alias("depth"), *[F.when(fresh, F.col(f"x{i}")).otherwise(F.col(f"a{i}")).alias(f"a{i}") for i in (1, 2)], F.lit(0).cast("long").alias("own"), F.when(fresh, F.lit(_LAST)).otherwise(F.concat("path", F.lit(_LAST))).alias("k"))
-    rows = opens.unionByName(ends)
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    if deepest + 1 <= BLOCK:
-        return rows, [F.col("k")]
-    rows, length = _ranked(rows, "binary"), BLOCK
-    while length < deepest + 1:
-        # The second half of a block follows the rank of its first half, which ends where a begins.
-        second = F.floor((F.greatest("depth", F.lit(1)) - 1) / length) % 2 == 1
-        firsts = rows.where(f"close = 0 AND depth > 0 AND depth % {length} = 0").select(F.col("x1").alias("_x1"), F.col("x2").alias("_x2"), F.col("m").alias("_m"), F.col("a1").alias("_a1"), F.col("a2").alias("_a2"))
+def _deep_order(deep: DataFrame, deepest: int) -> DataFrame:
+    """Rows beyond the first block with ``m``, the rank of their path behind it, and ``a``, the node where that begins."""
+    rows, length = _ranked(deep, "binary"), BLOCK
+    while length < deepest - BLOCK:
+        # The second half of a doubled block follows the rank of its first half, which ends where a begins.
+        second = F.floor((F.col("depth") - BLOCK - 1) / length) % 2 == 1
+        firsts = rows.where(f"close = 0 AND (depth - {BLOCK}) % {length} = 0").select(F.col("x1").alias("_x1"), F.col("x2").alias("_x2"), F.col("m").alias("_m"), F.col("a1").alias("_a1"), F.col("a2").alias("_a2"))
         late = rows.where(second).join(firsts, (F.col("a1") == F.col("_x1")) & (F.col("a2") == F.col("_x2")))
         late = late.select("x1", "x2", "close", "depth", F.col("_a1").alias("a1"), F.col("_a2").alias("a2"), "own", F.struct(F.col("_m").alias("u"), F.col("m").alias("v")).alias("k"))
         early = rows.where(~second).select("x1", "x2", "close", "depth", "a1", "a2", "own", F.struct(F.col("m").alias("u"), F.lit(-1).cast("long").alias("v")).alias("k"))
         rows, length = _ranked(late.unionByName(early), "struct<u:long,v:long>"), 2 * length
-    return rows, [F.col("m")]
+    return rows
+
+
+def intervals(nodes: DataFrame) -> DataFrame:
+    """Two rows a node, its begin (close = 0) and its subtree's end (close = 1), with the columns (k, m) that order them:
+    the path's first block, and the rank of what follows among all that have more (-1: nothing does)."""
+    fresh = F.col("depth") % BLOCK == 0  # the turn above all others begins a block of its own
+    opens = nodes.select("x1", "x2", F.lit(0).alias("close"), "depth", "a1", "a2", "own", F.col("path").alias("k"))
+    ends = nodes.select("x1", "x2", F.lit(1).alias("close"), (F.col("depth") + 1).alias("depth"), *[F.when(fresh, F.col(f"x{i}")).otherwise(F.col(f"a{i}")).alias(f"a{i}") for i in (1, 2)], F.lit(0).cast("long").alias("own"), F.when(fresh, F.lit(_LAST)).otherwise(F.concat("path", F.lit(_LAST))).alias("k"))
+    rows = opens.unionByName(ends)
+    columns = ["x1", "x2", "close", "own", "k", "m"]
+    shallow = rows.where(F.col("depth") <= BLOCK).withColumn("m", F.lit(-1).cast("long")).select(columns)
+    deepest = (nodes.agg(F.max("depth")).first()[0] or 0) + 1
+    if deepest <= BLOCK:
+        return shallow
+    anchors = nodes.where(F.col("depth") == BLOCK).select(F.col("x1").alias("a1"), F.col("x2").alias("a2"), F.col("path").alias("k"))
+    return _deep_order(rows.where(F.col("depth") > BLOCK), deepest).join(anchors, ["a1", "a2"]).select(columns).unionByName(shallow)
 
 
 _SUMS = "x1 long, x2 long, close int, place long, leaves long, saved long, row long"
@@ -241,8 +250,7 @@ def _running(batches):
 
 def subtree_sums(nodes: DataFrame) -> DataFrame:
     """x, preorder (from 0), subtree_end (the preorder behind the subtree), n_leaves, saved_tokens."""
-    rows, order = intervals(nodes)
-    table = sort_written(rows.select("x1", "x2", "close", "own", *order), "trie-sums", order, scan=_running, schema=_SUMS)
+    table = sort_written(materialize(intervals(nodes), "trie-intervals"), "trie-sums", [F.col("k"), F.col("m")], scan=_running, schema=_SUMS)
     ends = lambda f: f(F.struct("row", "close"))
     summary = table.groupBy("_part").agg(F.max("place").alias("place"), F.max("leaves").alias("leaves"), F.max("saved").alias("saved"), ends(F.min).alias("first"), ends(F.max).alias("last"))
     out, sums, last = [], (0, 0, 0), 1
