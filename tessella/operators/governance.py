@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import stored
+
 SPLITS = ("train", "validation", "test")
 STATUSES = ("missing", "malformed", "schema_error", "no_valid_residual", "partial_missing", "eligible")
 #: States of a batch, and what may follow what.
@@ -142,39 +146,97 @@ def word_run_hashes(docs: DataFrame, key: str, text: str, runs: int = 5, bits: i
     return runs_of.select(key, F.transform("_x", lambda x: x["h"]).alias("hashes"))
 
 
+#: Members of one key that a task compares with each other; more are dealt into blocks that meet two by two.
+KEY_ROWS = 256
+#: Pairs a class that candidate keys may bring together before keys of one more block are tried.
+COMPANY = 4
+
+
+def _block_keys(sampled: DataFrame, bits: int, radius: int, agree: int) -> DataFrame:
+    """(item, key parts) of every sample hash: hashes that differ in at most ``radius`` bits agree in ``agree`` of radius + agree blocks."""
+    blocks = radius + agree
+    edges = [bits * i // blocks for i in range(blocks + 1)]
+    part = F.array(*[F.expr(f"shiftrightunsigned(h, {a}) & {(1 << (b - a)) - 1}L") for a, b in zip(edges, edges[1:], strict=False)])
+    picks = list(combinations(range(blocks), agree))
+    table = F.explode(F.array(*[F.lit(sum(1 << i for i in p)) for p in picks])).alias("blocks")
+    rows = sampled.select("*", part.alias("_p")).select("item_id", "width", "height", "sample", "_p", table)
+    width = -(-bits // blocks)
+    # The chosen blocks one after the other: exact, not a hash, as long as agree x width stays below 64.
+    value = F.lit(0).cast("long")
+    for i in range(blocks):
+        chosen = F.col("blocks").bitwiseAND(F.lit(1 << i)) != 0
+        value = value * F.when(chosen, F.lit(1 << width)).otherwise(F.lit(1)) + F.when(chosen, F.col("_p")[i]).otherwise(F.lit(0))
+    return rows.select("item_id", "width", "height", (F.col("sample") * F.lit(1 << blocks) + F.col("blocks")).cast("int").alias("table"), value.alias("value"))
+
+
+_KEY = ["width", "height", "table", "value"]
+
+
+def _meeting(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of items that share a key; ``sizes`` counts the keys. Large keys are dealt over tasks in blocks."""
+    shared = sizes.where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in _KEY], F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("cuts"))
+    same = [keyed[k] == shared[f"_{k}"] for k in _KEY]
+    dealt = keyed.join(shared, same).select("item_id", *_KEY, "cuts", F.pmod(F.xxhash64("item_id"), F.col("cuts")).cast("int").alias("block"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    cell = [*_KEY, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
+    placed = dealt.select("item_id", "block", *cell)
+    place = [*_KEY, "lo", "hi"]
+    left = placed.select(*place, F.col("item_id").alias("a"), F.col("block").alias("_ba"))
+    right = placed.select(*place, F.col("item_id").alias("b"), F.col("block").alias("_bb"))
+    # Items of one block meet in its own cell alone.
+    return left.join(right, place).where("a < b AND (_ba <> _bb OR lo = hi)").select("a", "b").distinct()
+
+
+def hash_candidates(classes: DataFrame, bits: int, radius: int, samples: int) -> tuple[DataFrame, int]:
+    """(a, b) of all classes with a sample within ``radius`` bits of each other, and others that share a key, and the blocks agreed on.
+
+    Keys of more agreeing blocks bring fewer strangers together, but there are more of them: they lengthen with the
+    input, until keys bring ``COMPANY`` pairs a class or fewer, or no longer bring fewer. No pair within the radius is ever lost.
+    """
+    sampled = stored(classes.select("item_id", "width", "height", F.posexplode("hashes").alias("sample", "h")), "hash-samples")
+    n, agree, last = classes.count(), 2, None
+    while True:
+        keyed = _block_keys(sampled, bits, radius, agree)
+        sizes = stored(keyed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hash-keys")
+        pairs = sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+        if pairs <= COMPANY * n or agree >= 6 or (last is not None and pairs > last / 2):
+            return _meeting(keyed, sizes), agree
+        agree, last = agree + 1, pairs
+
+
 def media_duplicates(items: DataFrame, threshold: float = 0.92, samples: int = 5, bits: int = 64) -> DataFrame:
     """Exact and near duplicates: 0.75 x mean likeness of the samples' hashes + 0.25 x likeness of the metadata, 1 for equal content.
 
-    Items: item_id, content_hash, hashes (one 64-bit hash a sample), duration, width, height, rate, group_id, split.
-    Items equal in content, hashes and metadata are one class, named by its smallest item. Rows (a, b):
-    a class with each of its other members, and classes with each other at the threshold or above.
+    Items: item_id, content_hash, hashes (one 64-bit hash a sample, NULL: none), duration, width, height, rate, group_id, split.
+    Rows (a, b): the smallest item of every content with each other item of that content, whatever else they have; and items of different
+    contents at the threshold or above, where items equal in content, hashes and metadata are one class that its smallest item stands for.
 
-    At the threshold the samples together differ in at most d bits, so some sample of a pair differs in at most
-    r = d / samples, and its hash, cut into r + 2 blocks, agrees in two blocks. Pairs meet
-    there only; no block holds all.
+    At the threshold two sizes (width, height) that differ already cost too much, and the samples together differ in at most d bits, so some
+    sample of a pair differs in at most d / samples: pairs meet by size and by keys of such a sample (:func:`hash_candidates`), ids only.
     """
     c = F.col
+    if threshold <= 0.75 + 0.25 * 2 / 3:
+        raise ValueError("at this threshold items of different sizes could be near duplicates")
     most = int((1 - (threshold - 0.25) / 0.75) * samples * bits + 1e-9)
-    blocks = most // samples + 2
     of = ["content_hash", "hashes", "duration", "width", "height", "rate"]
-    classes = items.groupBy(*of).agg(F.min_by(F.struct("item_id", "group_id", "split"), "item_id").alias("who"), F.collect_list(F.struct("item_id", "group_id", "split")).alias("all"))
-    edges = [bits * i // blocks for i in range(blocks + 1)]
-    part = lambda i: F.expr(f"shiftrightunsigned(h, {edges[i]}) & {(1 << (edges[i + 1] - edges[i])) - 1}L")
-    tables = [F.struct(F.lit(i * blocks + j).alias("table"), (part(i) * F.lit(1 << 32) + part(j)).alias("value")) for i in range(blocks) for j in range(i + 1, blocks)]
-    keyed = classes.select("who", *of, F.posexplode("hashes").alias("sample", "h")).withColumn("k", F.explode(F.array(*tables))).select("who", *of, "sample", "k.*")
-    side = lambda s: keyed.select("sample", "table", "value", *[c(x).alias(f"{x}_{s}") for x in ("who", *of)])
-    met = side("a").join(side("b"), ["sample", "table", "value"]).where("who_a.item_id < who_b.item_id")
+    items = stored(items.select("item_id", *of, "group_id", "split"), "media-items")
+    classes = stored(items.groupBy(*of).agg(F.min(F.struct("item_id", "group_id", "split")).alias("who")).select("who.*", *of), "media-classes")
+    met, _ = hash_candidates(classes.where("hashes IS NOT NULL"), bits, most // samples, samples)
+    side = lambda s: classes.select(*[c(x).alias(f"{x}_{s}") for x in ("item_id", *of, "group_id", "split")])
+    pairs = met.join(side("a"), c("a") == c("item_id_a")).join(side("b"), c("b") == c("item_id_b"))
     apart = F.aggregate(F.zip_with("hashes_a", "hashes_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     perceptual = 1 - apart / F.lit(float(samples * bits))
     close = lambda x: F.greatest(F.lit(0.0), 1 - F.abs(c(f"{x}_a") - c(f"{x}_b")) / F.greatest(f"{x}_a", f"{x}_b", F.lit(1e-8)))
-    same_size = ((c("width_a") == c("width_b")) & (c("height_a") == c("height_b"))).cast("double")
-    metadata = (close("duration") + same_size + close("rate")) / 3
-    exact = c("content_hash_a") == c("content_hash_b")
-    pairs = met.select(c("who_a").alias("a"), c("who_b").alias("b"), exact.alias("exact"), perceptual.alias("perceptual"), metadata.alias("metadata")).dropDuplicates(["a", "b"])
-    copies = classes.select(c("who").alias("a"), F.explode("all").alias("b"), F.lit(True).alias("exact"), F.lit(1.0).alias("perceptual"), F.lit(1.0).alias("metadata")).where("a.item_id <> b.item_id")
-    out = pairs.unionByName(copies).withColumn("score", F.when(c("exact"), 1.0).otherwise(0.75 * c("perceptual") + 0.25 * c("metadata"))).where(c("score") >= threshold)
-    same, conflict = c("a.group_id").eqNullSafe(c("b.group_id")), ~c("a.split").eqNullSafe(c("b.split"))
-    return out.select(c("a.item_id").alias("a"), c("b.item_id").alias("b"), "exact", "perceptual", "metadata", "score", same.alias("same_group"), conflict.alias("split_conflict"), (conflict | ~same).alias("review_required"))
+    metadata = (close("duration") + 1 + close("rate")) / 3
+    near = pairs.where(~c("content_hash_a").eqNullSafe(c("content_hash_b")) | c("content_hash_a").isNull())
+    near = near.select("a", "b", F.lit(False).alias("exact"), perceptual.alias("perceptual"), metadata.alias("metadata"), "group_id_a", "group_id_b", "split_a", "split_b")
+    near = near.withColumn("score", 0.75 * c("perceptual") + 0.25 * c("metadata")).where(c("score") >= threshold)
+    first = items.where("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min(F.struct("item_id", "group_id", "split")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = items.join(first.select("content_hash", "f"), "content_hash").where("item_id <> f.item_id")
+    one = F.lit(1.0)
+    copies = copies.select(c("f.item_id").alias("a"), c("item_id").alias("b"), F.lit(True).alias("exact"), one.alias("perceptual"), one.alias("metadata"), c("f.group_id").alias("group_id_a"), c("group_id").alias("group_id_b"), c("f.split").alias("split_a"), c("split").alias("split_b"), one.alias("score"))
+    same, conflict = c("group_id_a").eqNullSafe(c("group_id_b")), ~c("split_a").eqNullSafe(c("split_b"))
+    return near.unionByName(copies).select("a", "b", "exact", "perceptual", "metadata", "score", same.alias("same_group"), conflict.alias("split_conflict"), (conflict | ~same).alias("review_required"))
 
 
 def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
