@@ -14,6 +14,12 @@ def finite(c) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+def without_nan(df, infinite: bool = False):
+    """``df`` with NULL for NaN in its double and float columns, and for infinities too if ``infinite``: Spark takes NaN for the greatest number."""
+    clean = finite if infinite else (lambda c: F.when(~F.isnan(c), F.col(c)))
+    return df.withColumns({c: clean(c) for c, t in df.dtypes if t in ("double", "float")})
+
+
 def bounded(c) -> Column:
     """1 - exp(-max(0, v)): a residual in [0, 1)."""
     c = F.col(c) if isinstance(c, str) else c

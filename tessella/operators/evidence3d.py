@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
-from tessella.functions.stats import array_median, interval_distance
+from tessella.functions.stats import array_median, interval_distance, without_nan
 
 from .residuals import d2_reprojection
 from .visibility import first_rule
@@ -27,15 +27,15 @@ def temporal_scale(rows: DataFrame, track: list[str], least: int = 2, window: in
     out_of_frame, occlusion, pose, mask_stable, alignment.
 
     An earlier row in another domain (mode and unit, provider, definition, intrinsics) fails the row, the earliest such
-    row naming the reason: it is the track's first row of the dimension, or the first that differs from that.
+    row naming the reason: it is the track's first row of the dimension, or the first that differs from that. NaN and infinities are NULL.
     """
-    c = F.col
+    c, rows = F.col, without_nan(rows, infinite=True)
     heavy = c("occlusion").isin("heavy_occlusion", "fully_occluded")
     gates = first_rule(
-        (~c("observable"), F.coalesce(F.nullif(c("observable_reason"), F.lit("")), F.lit("dimension_not_observable"))),
+        (~c("observable") | c("size").isNull(), F.coalesce(F.nullif(c("observable_reason"), F.lit("")), F.lit("dimension_not_observable"))),
         (c("provider_status") == "provider_failed", "scale_provider_failed"),
         (c("provider_status") != "ok", "scale_provider_not_ready"),
-        (c("quality") < min_quality, "current_scale_quality_below_threshold"),
+        (c("quality").isNull() | (c("quality") < min_quality), "current_scale_quality_below_threshold"),
         (c("scene_cut"), "scene_cut_boundary"),
         (~c("continuity").isin("continuous", "recovered_verified"), "track_interruption_or_id_switch"),
         (c("truncated") | c("out_of_frame"), "current_object_truncated_or_out_of_frame"),
@@ -44,10 +44,10 @@ def temporal_scale(rows: DataFrame, track: list[str], least: int = 2, window: in
         (~c("mask_stable"), "unstable_object_mask"),
         ((c("mode") == "relative_local") & ~c("alignment").isin("aligned", "relative_shared_clip"), "relative_depth_scale_not_locally_aligned"),
     ).otherwise("")
-    usable = c("observable") & (c("provider_status") == "ok") & (c("quality") >= min_quality) & ~c("truncated") & ~c("out_of_frame") & c("mask_stable") & ~heavy & ~c("scene_cut")
+    usable = c("observable") & c("size").isNotNull() & (c("provider_status") == "ok") & (c("quality") >= min_quality) & ~c("truncated") & ~c("out_of_frame") & c("mask_stable") & ~heavy & ~c("scene_cut")
     by = Window.partitionBy(*track, "dimension").orderBy("frame_index")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_gate", gates).withColumn("_domain", F.struct(*DOMAIN)).withColumn("_usable", usable)
+    out = rows.withColumn("_gate", gates).withColumn("_domain", F.struct(*DOMAIN)).withColumn("_usable", F.coalesce(usable, F.lit(False)))
     out = out.withColumn("_first", F.first("_domain").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     odd = F.first(F.when(c("_domain") != c("_first"), c("_domain")), ignorenulls=True)
     out = out.withColumn("_odd", odd.over(before)).withColumn("_has", F.count(F.lit(1)).over(before))

@@ -2,7 +2,8 @@
 
 A gate is a list of (reason, condition). Order is meaning: the first true condition
 names the reason, an empty reason means passed. Conditions are columns, so a gate
-is one CASE inside code generation, and unknown (NULL) conditions don't block.
+is one CASE inside code generation, and unknown (NULL) conditions don't block. NaN is
+no number: a comparison with it is unknown too (infinities compare).
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.stats import without_nan
+
 Rules = list[tuple[str, Column]]
 
 
@@ -27,7 +30,7 @@ def failed_checks(checks: Rules) -> Column:
 
 def semantic_gate(rows: DataFrame, max_occlusion: float = 0.5, min_mask_quality: float = 0.5, min_depth_coverage: float = 0.3) -> DataFrame:
     """Columns has_mask, mask_support, occlusion, mask_quality, track_stable, surface_valid, depth_coverage -> reason."""
-    c = F.col
+    c, rows = F.col, without_nan(rows)
     return rows.withColumn(
         "reason",
         first_reason(
@@ -46,7 +49,7 @@ def semantic_gate(rows: DataFrame, max_occlusion: float = 0.5, min_mask_quality:
 
 def prior_gate(rows: DataFrame, min_depth_coverage: float = 0.3) -> DataFrame:
     """On top of ``reason``: columns category, has_prior, unsupported, minimum_observability, depth_coverage -> prior_reason."""
-    c = F.col
+    c, rows = F.col, without_nan(rows)
     rule = first_reason(
         [
             ("PERSON_POSE_PROVIDER_MISSING", c("has_prior") & (c("category") == "person")),
@@ -105,7 +108,7 @@ def person_height(
 
     Columns x1, y1, x2, y2, width, height, confidence, provider_ok, points (array of name, x, y, confidence, valid).
     """
-    c = F.col
+    c, rows = F.col, without_nan(rows)
     seen = F.filter("points", lambda p: p["valid"] & (p["confidence"] >= keypoint))
     out = rows.withColumn("_seen", seen)
     joints = F.filter("points", lambda p: p["name"].isin(*JOINTS))
@@ -152,7 +155,7 @@ def physical_gate(rows: DataFrame, confidence: float = 0.3, min_side: float = 8.
 
     Columns measured, confidence, depth, x1, y1, x2, y2, width, height, mask_area.
     """
-    c = F.col
+    c, rows = F.col, without_nan(rows)
     w, h = c("x2") - c("x1"), c("y2") - c("y1")
     box = (w > 0) & (h > 0)
     mx, my = F.greatest(F.lit(margin_px), margin_ratio * c("width")), F.greatest(F.lit(margin_px), margin_ratio * c("height"))
@@ -175,7 +178,7 @@ def size_observability(rows: DataFrame) -> DataFrame:
 
     Columns truncated, out_of_frame, contacts (array), category, pose, occlusion, pointcloud.
     """
-    c = F.col
+    c, rows = F.col, without_nan(rows)
     cut = c("truncated") | (c("out_of_frame") > 0.1)
     vertical = F.arrays_overlap("contacts", F.array(F.lit("top"), F.lit("bottom")))
     sideways = F.arrays_overlap("contacts", F.array(F.lit("left"), F.lit("right")))
@@ -189,7 +192,7 @@ def motion_regime(rows: DataFrame, points: int = 12, matches: int = 8, still: fl
 
     Columns scene_cut, candidates, background, matched, flow, flow_p90, homography, essential, parallax.
     """
-    c = F.col
+    c, rows = F.col, without_nan(rows)
     rules = [
         ("scene_cut", c("scene_cut")),
         ("low_texture", c("candidates") < points),
@@ -208,7 +211,7 @@ MODES = ["static", "low_motion", "object_motion", "camera_motion", "mixed_motion
 
 def clip_observability(rows: DataFrame, least_quality: float = 0.5, still: float = 0.5, low: float = 1.5, camera: float = 2.0, objects: float = 2.0) -> DataFrame:
     """Columns provider_failed, scene_cut, quality, background_motion, object_motion (NULL unmeasured) -> mode."""
-    c = F.col
+    c, rows = F.col, without_nan(rows)
     b, o = F.coalesce("background_motion", F.lit(0.0)), F.coalesce("object_motion", F.lit(0.0))
     both = c("background_motion").isNotNull() & c("object_motion").isNotNull()
     rules = [
@@ -224,6 +227,7 @@ def clip_observability(rows: DataFrame, least_quality: float = 0.5, still: float
 
 def clip_geometry(rows: DataFrame, still: float = 1.5, rotation: float = 20.0) -> DataFrame:
     """Columns motion, tracked, inliers, aligned -> geometry and its quality; motion without support stays unavailable."""
+    rows = without_nan(rows)
     clip = lambda n: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(n)))
     t, i, a, m = clip("tracked"), clip("inliers"), clip("aligned"), F.col("motion")
     rules = [
@@ -279,7 +283,7 @@ def route_scale(objects: DataFrame, pairs: DataFrame, key: str, policy: str = "f
 
 def validate_event(rows: DataFrame, least: float = 0.5) -> DataFrame:
     """Columns formal_mask, history, area_change, occluder, depth_order, scene_cut, quality -> failed, status."""
-    c = F.col
+    c, rows = F.col, without_nan(rows)
     checks = [("formal_instance_mask", c("formal_mask")), ("history_prediction", c("history")), ("visible_area_change", c("area_change")), ("candidate_occluder", c("occluder")), ("depth_order", c("depth_order")), ("no_scene_cut", ~c("scene_cut")), ("tracking_quality", c("quality") >= least)]
     out = rows.withColumn("failed", failed_checks(checks))
     seen = F.arrays_overlap("failed", F.array(F.lit("formal_instance_mask"), F.lit("history_prediction"), F.lit("tracking_quality")))
@@ -294,4 +298,5 @@ def evidence_use(rows: DataFrame) -> DataFrame:
 
 def readiness(rows: DataFrame, limits: dict[str, float]) -> DataFrame:
     """A joint gate over ratios: ``blocking`` are those below their limit."""
+    rows = without_nan(rows)
     return rows.withColumn("blocking", failed_checks([(n, F.col(n) >= v) for n, v in limits.items()])).withColumn("ready", F.size("blocking") == 0)

@@ -2,7 +2,7 @@
 
 Absence of a detection is never an occlusion by itself. A state or event depends on its
 predecessor only through a few states that an unseen object alone can have, so a
-window over the track replaces the state machine.
+window over the track replaces the state machine. NaN and infinities are missing values.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.stats import without_nan
+
 #: Names of states, explanations and events.
 STATES = ("fully_visible", "partially_occluded", "fully_occluded", "out_of_frame", "detector_missing", "reappeared", "scene_cut", "uncertain")
 EXPLANATIONS = ("explained_occlusion", "explained_out_of_frame", "unexplained_disappearance", "unexplained_appearance", "detector_uncertain", "no_visibility_event")
@@ -41,7 +43,7 @@ def visibility_states(rows: DataFrame, keys: list[str]) -> DataFrame:
     Only sightings look back, and only for ``fully_occluded`` and ``out_of_frame``, which
     rows without a sighting have whatever came before: one lag suffices.
     """
-    c = F.col
+    c, rows = F.col, without_nan(rows, infinite=True)
     usable = c("geometry_available") & c("supported")
     ratio = F.least(F.lit(1.0), F.when(c("seen"), c("observed_area")).otherwise(F.lit(0.0)) / F.greatest(c("predicted_area"), F.lit(1.0)))
     covered = c("covered_area") / F.greatest(c("predicted_area"), F.lit(1.0))
@@ -104,7 +106,7 @@ def visibility_explanation(states: DataFrame) -> DataFrame:
     Rows: what :func:`visibility_states` gives (previous_state, state, valid, legacy, reason,
     in_frame_ratio, occluders). A row that isn't valid, unless for its box alone, has no diagnostic value.
     """
-    c = F.col
+    c, states = F.col, without_nan(states, infinite=True)
     judged = c("valid") | (c("legacy") & (c("reason") == "legacy_bbox_mask_visibility_diagnostic_only"))
     missing = c("state") == "detector_missing"
     explanation = first_rule(
@@ -137,7 +139,7 @@ def occlusion_events(
     candidate of the same identity turns it into a reappearance, which takes a predecessor that is gone: along
     a run of such rows "gone" alternates, so the parity of the place in the run decides.
     """
-    c = F.col
+    c, rows = F.col, without_nan(rows, infinite=True)
     by = Window.partitionBy(*keys).orderBy("frame_index")
     run = by.rowsBetween(Window.unboundedPreceding, 0)
     out = rows.withColumn("_sights", F.sum(c("seen").cast("int")).over(run))
@@ -147,7 +149,7 @@ def occlusion_events(
         (c("provider_failed"), "event_provider_failed"),
         (c("scene_cut"), "scene_cut_breaks_event_history"),
         (~c("has_history"), "history_prediction_unavailable"),
-        (c("quality").isNull() | F.isnan("quality") | (c("quality") < least_quality), "track_prediction_quality_insufficient"),
+        (c("quality").isNull() | (c("quality") < least_quality), "track_prediction_quality_insufficient"),
     )
     supported = c("has_mask") & c("depth_order") & c("d2_supported") & (c("occluders") > 0)
     alone = first_rule(

@@ -9,7 +9,7 @@ from tessella.functions import geometry as G
 from tessella.operators import alignment, evidence3d, pooling, relations, residuals
 
 from .adapters import EV, OB, TR, evidence, objects, table, tracks
-from .registry import query, r
+from .registry import odd, query, r
 
 # --- scale -----------------------------------------------------------------------------------------
 
@@ -34,12 +34,19 @@ _SCALE = {
     "mask_stable": "ord % 67 <> 0",
     "alignment": "CASE WHEN ord % 4 = 0 THEN 'aligned' ELSE 'unknown' END",
 }
-SCALE = EV + f""", s AS (SELECT video_id, track_id, row_idx AS frame_index, {', '.join(f'{x} AS {k}' for k, x in _SCALE.items())} FROM ev WHERE track_id IS NOT NULL),
- u AS (SELECT *, observable AND provider_status = 'ok' AND quality >= 0.05 AND NOT truncated AND NOT out_of_frame AND mask_stable AND occlusion <> 'heavy_occlusion' AND NOT scene_cut AS usable FROM s),
+
+
+def _scale(sql):
+    """Sizes and qualities are NaN, infinite or NULL in some rows."""
+    return _SCALE | {"size": odd(_SCALE["size"], "(ord + 1)", sql), "quality": odd(_SCALE["quality"], "(ord + 2)", sql)}
+
+
+SCALE = EV + f""", s AS (SELECT video_id, track_id, row_idx AS frame_index, {', '.join(f'{x} AS {k}' for k, x in _scale(True).items())} FROM ev WHERE track_id IS NOT NULL),
+ u AS (SELECT *, coalesce(observable AND size IS NOT NULL AND provider_status = 'ok' AND quality >= 0.05 AND NOT truncated AND NOT out_of_frame AND mask_stable AND occlusion <> 'heavy_occlusion' AND NOT scene_cut, false) AS usable FROM s),
  h AS (SELECT *, list({{'f': frame_index, 's': size, 'q': quality, 'u': usable, 'm': mode || unit, 'p': provider, 'd': definition, 'k': intrinsics}}) OVER (PARTITION BY video_id, track_id, dimension ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS al FROM u),
  b AS (SELECT *, list_filter(coalesce(al, []), lambda x: x.m <> mode || unit OR x.p <> provider OR x.d <> definition OR x.k <> intrinsics)[1] AS bad, list_filter(coalesce(al, []), lambda x: x.u) AS good FROM h),
  l AS (SELECT *, good[greatest(1, len(good) - 4):] AS last FROM b),
- m AS (SELECT *, list_median(list_transform(last, lambda x: x.s)) AS ref, CASE WHEN NOT observable THEN reason0 WHEN provider_status = 'provider_failed' THEN 'scale_provider_failed' WHEN provider_status <> 'ok' THEN 'scale_provider_not_ready' WHEN quality < 0.05 THEN 'current_scale_quality_below_threshold'
+ m AS (SELECT *, list_median(list_transform(last, lambda x: x.s)) AS ref, CASE WHEN NOT observable OR size IS NULL THEN reason0 WHEN provider_status = 'provider_failed' THEN 'scale_provider_failed' WHEN provider_status <> 'ok' THEN 'scale_provider_not_ready' WHEN quality IS NULL OR quality < 0.05 THEN 'current_scale_quality_below_threshold'
    WHEN scene_cut THEN 'scene_cut_boundary' WHEN continuity <> 'continuous' THEN 'track_interruption_or_id_switch' WHEN truncated OR out_of_frame THEN 'current_object_truncated_or_out_of_frame' WHEN occlusion = 'heavy_occlusion' THEN 'current_object_occluded'
    WHEN pose <> 'stable' THEN 'object_pose_change_not_compatible' WHEN NOT mask_stable THEN 'unstable_object_mask' WHEN mode = 'relative_local' AND alignment <> 'aligned' THEN 'relative_depth_scale_not_locally_aligned'
    WHEN bad IS NOT NULL THEN CASE WHEN bad.m <> mode || unit THEN 'scale_domain_or_unit_changed' WHEN bad.p <> provider THEN 'depth_provider_changed' WHEN bad.d <> definition THEN 'depth_definition_changed' ELSE 'camera_intrinsics_changed' END
@@ -49,7 +56,7 @@ SCALE = EV + f""", s AS (SELECT video_id, track_id, row_idx AS frame_index, {',
 
 @query("temporal_scale", SCALE + f"SELECT video_id, track_id, frame_index, reason, {r(chr(67) + 'ASE WHEN reason = ' + repr('') + ' THEN abs(ln(size) - ln(ref)) END')} AS residual, {r(chr(67) + 'ASE WHEN reason = ' + repr('') + ' THEN least(quality, list_median(list_transform(last, lambda x: x.q))) ELSE 0 END')} AS confidence, {r(chr(67) + 'ASE WHEN reason = ' + repr('') + ' THEN list_median(list_transform(last, lambda x: abs(ln(x.s) - ln(ref)))) END')} AS uncertainty, CASE WHEN reason = '' THEN len(good) END AS history FROM m")
 def temporal_scale(spark, sf):
-    rows = evidence(spark, sf).where("track_id IS NOT NULL").select("video_id", "track_id", F.col("row_idx").alias("frame_index"), *[F.expr(x).alias(k) for k, x in _SCALE.items()])
+    rows = evidence(spark, sf).where("track_id IS NOT NULL").select("video_id", "track_id", F.col("row_idx").alias("frame_index"), *[F.expr(x).alias(k) for k, x in _scale(False).items()])
     out = evidence3d.temporal_scale(rows, ["video_id", "track_id"], max_gap=20, min_quality=0.05)
     return out.select("video_id", "track_id", "frame_index", "reason", "residual", "confidence", "uncertainty", "history")
 

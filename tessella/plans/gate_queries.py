@@ -11,7 +11,7 @@ from tessella.operators.branches import BRANCHES
 from tessella.sources import records as sources
 
 from .adapters import EV, RE, evidence, records, table
-from .registry import query, r
+from .registry import odd, query, r
 
 
 def _e(spark, sf):
@@ -26,25 +26,34 @@ def s(p):
     return f"((event_id * {p}) % 100 / 100.0::DOUBLE)"
 
 
+def mo(p):
+    """As :func:`m`, with NaN and NULL in some rows."""
+    return F.expr(odd(f"(event_id * {p} % 100) / 100.0D", f"(event_id + {p})", False, infinite=False))
+
+
+def so(p):
+    return f"({odd(s(p), f'(event_id + {p})', True, infinite=False)})"
+
+
 def K():  # noqa: N802  a column needs a session, so none is made at import
     return F.col("event_id")
 
 
-@query("semantic_gate", f"""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'instance_mask_unavailable' WHEN event_id % 13 = 0 THEN 'mask_support_invalid' WHEN {s(3)} > 0.5 THEN 'severe_object_occlusion'
-  WHEN {s(7)} < 0.5 THEN 'insufficient_mask_quality' WHEN event_id % 17 = 0 THEN 'unstable_track_identity' WHEN event_id % 19 = 0 THEN 'metric_object_surface_unavailable' WHEN {s(11)} < 0.3 THEN 'insufficient_valid_metric_depth_ratio' ELSE '' END AS reason FROM events""")
+@query("semantic_gate", f"""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'instance_mask_unavailable' WHEN event_id % 13 = 0 THEN 'mask_support_invalid' WHEN {so(3)} > 0.5 THEN 'severe_object_occlusion'
+  WHEN {so(7)} < 0.5 THEN 'insufficient_mask_quality' WHEN event_id % 17 = 0 THEN 'unstable_track_identity' WHEN event_id % 19 = 0 THEN 'metric_object_surface_unavailable' WHEN {so(11)} < 0.3 THEN 'insufficient_valid_metric_depth_ratio' ELSE '' END AS reason FROM events""")
 def semantic_gate(spark, sf):
     return gates.semantic_gate(_gate_rows(spark, sf)).select("event_id", "reason")
 
 
 def _gate_rows(spark, sf):
     return _e(spark, sf).select(
-        "event_id", (K() % 11 != 0).alias("has_mask"), (K() % 13 != 0).alias("mask_support"), m(3).alias("occlusion"), m(7).alias("mask_quality"), (K() % 17 != 0).alias("track_stable"), (K() % 19 != 0).alias("surface_valid"), m(11).alias("depth_coverage"),
+        "event_id", (K() % 11 != 0).alias("has_mask"), (K() % 13 != 0).alias("mask_support"), mo(3).alias("occlusion"), mo(7).alias("mask_quality"), (K() % 17 != 0).alias("track_stable"), (K() % 19 != 0).alias("surface_valid"), mo(11).alias("depth_coverage"),
         F.when(K() % 5 == 0, "person").otherwise("bottle").alias("category"), (K() % 4 != 0).alias("has_prior"), (K() % 8 == 0).alias("unsupported"), F.lit(0.6).alias("minimum_observability"),
     )
 
 
-@query("prior_gate", f"""WITH g AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'instance_mask_unavailable' WHEN event_id % 13 = 0 THEN 'mask_support_invalid' WHEN {s(3)} > 0.5 THEN 'severe_object_occlusion'
-  WHEN {s(7)} < 0.5 THEN 'insufficient_mask_quality' WHEN event_id % 17 = 0 THEN 'unstable_track_identity' WHEN event_id % 19 = 0 THEN 'metric_object_surface_unavailable' WHEN {s(11)} < 0.3 THEN 'insufficient_valid_metric_depth_ratio' ELSE '' END AS reason, {s(11)} AS c FROM events)
+@query("prior_gate", f"""WITH g AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'instance_mask_unavailable' WHEN event_id % 13 = 0 THEN 'mask_support_invalid' WHEN {so(3)} > 0.5 THEN 'severe_object_occlusion'
+  WHEN {so(7)} < 0.5 THEN 'insufficient_mask_quality' WHEN event_id % 17 = 0 THEN 'unstable_track_identity' WHEN event_id % 19 = 0 THEN 'metric_object_surface_unavailable' WHEN {so(11)} < 0.3 THEN 'insufficient_valid_metric_depth_ratio' ELSE '' END AS reason, {so(11)} AS c FROM events)
   SELECT event_id, CASE WHEN event_id % 4 <> 0 AND event_id % 5 = 0 THEN 'PERSON_POSE_PROVIDER_MISSING' WHEN event_id % 8 = 0 THEN 'category_too_broad_without_subtype' WHEN event_id % 4 = 0 THEN 'missing_category_metric_prior'
     WHEN reason = '' AND c < 0.6 THEN 'insufficient_valid_metric_depth_ratio' ELSE reason END AS prior_reason FROM g""")
 def prior_gate(spark, sf):
@@ -154,32 +163,32 @@ def physical_gate(spark, sf):
     return gates.physical_gate(rows).select("l_orderkey", "l_linenumber", F.array_join("failed", ",").alias("failed"), "passed", "gate_score")
 
 
-@query("size_observability", f"""WITH x AS (SELECT *, event_id % 23 = 0 OR {s(3)} / 5 > 0.1 AS cut, event_id % 4 IN (0, 1) AS sideways, event_id % 4 IN (0, 2) AS vertical, event_id % 5 = 0 AS turned, event_id % 3 = 0 AND event_id % 7 = 1 AS bent FROM events)
-  SELECT event_id, NOT cut AND NOT vertical AND NOT bent AS height_ok, NOT cut AND NOT sideways AND NOT turned AS width_ok, NOT cut AND NOT sideways AND NOT turned AS length_ok, NOT cut AND {s(7)} <= 0.5 AND event_id % 2 = 0 AS depth_ok FROM x""")
+@query("size_observability", f"""WITH x AS (SELECT *, event_id % 23 = 0 OR {so(3)} / 5 > 0.1 AS cut, event_id % 4 IN (0, 1) AS sideways, event_id % 4 IN (0, 2) AS vertical, event_id % 5 = 0 AS turned, event_id % 3 = 0 AND event_id % 7 = 1 AS bent FROM events)
+  SELECT event_id, NOT cut AND NOT vertical AND NOT bent AS height_ok, NOT cut AND NOT sideways AND NOT turned AS width_ok, NOT cut AND NOT sideways AND NOT turned AS length_ok, NOT cut AND {so(7)} <= 0.5 AND event_id % 2 = 0 AS depth_ok FROM x""")
 def size_observability(spark, sf):
     contacts = F.filter(F.array(F.when(K() % 4 <= 1, "left"), F.when((K() % 4).isin(0, 2), "top")), lambda x: x.isNotNull())
     pose = F.when(K() % 5 == 0, "oblique").when(K() % 7 == 1, "sitting").otherwise("upright")
-    rows = _e(spark, sf).select("event_id", (K() % 23 == 0).alias("truncated"), (m(3) / 5).alias("out_of_frame"), contacts.alias("contacts"), F.when(K() % 3 == 0, "person").otherwise("cup").alias("category"), pose.alias("pose"), m(7).alias("occlusion"), (K() % 2 == 0).alias("pointcloud"), (K() % 5 != 0).alias("_p"))
+    rows = _e(spark, sf).select("event_id", (K() % 23 == 0).alias("truncated"), (mo(3) / 5).alias("out_of_frame"), contacts.alias("contacts"), F.when(K() % 3 == 0, "person").otherwise("cup").alias("category"), pose.alias("pose"), mo(7).alias("occlusion"), (K() % 2 == 0).alias("pointcloud"), (K() % 5 != 0).alias("_p"))
     out = gates.size_observability(rows)
     # A pose column holds one value: an oblique person isn't also sitting.
     return out.select("event_id", (F.col("height_ok") & ~((K() % 5 == 0) & (K() % 3 == 0) & (K() % 7 == 1))).alias("height_ok"), "width_ok", "length_ok", "depth_ok")
 
 
 @query("motion_regime", f"""SELECT event_id, CASE WHEN event_id % 41 = 0 THEN 'scene_cut' WHEN event_id % 60 < 12 THEN 'low_texture' WHEN event_id % 45 < 12 THEN 'insufficient_background' WHEN event_id % 30 < 8 THEN 'insufficient_background'
-  WHEN {s(3)} <= 0.5 AND {s(7)} * 2 <= 1 THEN 'static_camera' WHEN {s(11)} >= 0.65 AND (event_id % 3 = 0 OR {s(13)} * 3 <= 1.5 OR {s(17)} < 0.5) THEN 'rotation_dominant' WHEN {s(17)} >= 0.5 THEN 'general_se3' ELSE 'degenerate_geometry' END AS regime FROM events""")
+  WHEN {so(3)} <= 0.5 AND {so(7)} * 2 <= 1 THEN 'static_camera' WHEN {so(11)} >= 0.65 AND (event_id % 3 = 0 OR {so(13)} IS NULL OR {so(13)} * 3 <= 1.5 OR {so(17)} < 0.5) THEN 'rotation_dominant' WHEN {so(17)} >= 0.5 THEN 'general_se3' ELSE 'degenerate_geometry' END AS regime FROM events""")
 def motion_regime(spark, sf):
-    rows = _e(spark, sf).select("event_id", (K() % 41 == 0).alias("scene_cut"), (K() % 60).alias("candidates"), (K() % 45).alias("background"), (K() % 30).alias("matched"), m(3).alias("flow"), (m(7) * 2).alias("flow_p90"), m(11).alias("homography"), m(17).alias("essential"), F.when(K() % 3 != 0, m(13) * 3).alias("parallax"))
+    rows = _e(spark, sf).select("event_id", (K() % 41 == 0).alias("scene_cut"), (K() % 60).alias("candidates"), (K() % 45).alias("background"), (K() % 30).alias("matched"), mo(3).alias("flow"), (mo(7) * 2).alias("flow_p90"), mo(11).alias("homography"), mo(17).alias("essential"), F.when(K() % 3 != 0, mo(13) * 3).alias("parallax"))
     return gates.motion_regime(rows).select("event_id", "regime")
 
 
-OBS = f"""WITH o AS (SELECT event_id, event_id % 37 = 0 AS pf, event_id % 41 = 0 AS cut, {s(3)} * 2 AS q, CASE WHEN event_id % 6 <> 0 THEN {s(7)} * 4 END AS b, CASE WHEN event_id % 9 <> 0 THEN {s(11)} * 4 END AS o FROM events),
+OBS = f"""WITH o AS (SELECT event_id, event_id % 37 = 0 AS pf, event_id % 41 = 0 AS cut, {so(3)} * 2 AS q, CASE WHEN event_id % 6 <> 0 THEN {so(7)} * 4 END AS b, CASE WHEN event_id % 9 <> 0 THEN {so(11)} * 4 END AS o FROM events),
   c AS (SELECT *, CASE WHEN pf OR cut OR q < 0.5 OR b IS NULL AND o IS NULL THEN 'motion_unreliable' WHEN b <= 0.5 AND o <= 0.5 THEN 'static' WHEN coalesce(b, 0) <= 1.5 AND coalesce(o, 0) <= 1.5 THEN 'low_motion'
     WHEN coalesce(b, 0) <= 1.5 AND coalesce(o, 0) >= 2 THEN 'object_motion' WHEN coalesce(b, 0) >= 2 AND coalesce(o, 0) < 2 THEN 'camera_motion' WHEN coalesce(b, 0) >= 2 AND coalesce(o, 0) >= 2 THEN 'mixed_motion' ELSE 'low_motion' END AS mode FROM o)
 """
 
 
 def _modes(spark, sf):
-    rows = _e(spark, sf).select("event_id", (K() % 37 == 0).alias("provider_failed"), (K() % 41 == 0).alias("scene_cut"), (m(3) * 2).alias("quality"), F.when(K() % 6 != 0, m(7) * 4).alias("background_motion"), F.when(K() % 9 != 0, m(11) * 4).alias("object_motion"), (K() % 3 != 0).alias("has_pose"), (K() % 4 == 0).alias("event"))
+    rows = _e(spark, sf).select("event_id", (K() % 37 == 0).alias("provider_failed"), (K() % 41 == 0).alias("scene_cut"), (mo(3) * 2).alias("quality"), F.when(K() % 6 != 0, mo(7) * 4).alias("background_motion"), F.when(K() % 9 != 0, mo(11) * 4).alias("object_motion"), (K() % 3 != 0).alias("has_pose"), (K() % 4 == 0).alias("event"))
     return gates.clip_observability(rows)
 
 

@@ -17,6 +17,14 @@ def r(expr: str) -> str:
     return f"round(({expr}) + 1e-9::DOUBLE, 6) + 0::DOUBLE"
 
 
+def odd(expr: str, key: str, sql: bool, infinite: bool = True) -> str:
+    """A number that is missing in some rows: NaN, infinity or NULL for Spark, NULL alone in the oracle, where missing is one thing."""
+    if sql:
+        return f"CASE WHEN {key} % 23 = 7 OR {key} % 31 = 3{f' OR {key} % 29 = 5' if infinite else ''} THEN NULL ELSE {expr} END"
+    endless = f" WHEN {key} % 29 = 5 THEN double('Infinity')" if infinite else ""
+    return f"CASE WHEN {key} % 23 = 7 THEN double('NaN'){endless} WHEN {key} % 31 = 3 THEN NULL ELSE {expr} END"
+
+
 def query(name: str, sql: str | None = None):
     def add(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

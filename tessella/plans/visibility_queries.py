@@ -1,7 +1,8 @@
 """Queries over visibility states, their explanations and occlusion events.
 
 A track is a video's objects by event type; its observations come from the event number.
-The oracles follow the track row by row (recursive), the operators by windows.
+The oracles follow the track row by row (recursive), the operators by windows. Some numbers
+are NaN, infinite or NULL.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tessella.operators import visibility
 
 from .adapters import EV, evidence
-from .registry import query, r
+from .registry import odd, query, r
 
 _VIS = {
     "scene_cut": "ord % 41 = 0",
@@ -51,13 +52,21 @@ _OCC = {
 }
 
 
+#: Each of these is missing in rows of its own.
+_ODD = {"quality": "(ord + 1)", "visible_ratio": "(ord + 2)", "overlap": "(ord + 3)", "in_frame_ratio": "(ord + 4)", "predicted_area": "(ord + 5)", "covered_area": "(ord + 6)", "prediction_quality": "(ord + 8)", "observed_area": "(ord + 9)", "observed_confidence": "(ord + 10)", "detector_confidence": "(ord + 11)"}
+
+
+def _with_gaps(columns, sql):
+    return {name: odd(x, _ODD[name], sql) if name in _ODD else x for name, x in columns.items()}
+
+
 def _rows(spark, sf, columns):
     e = evidence(spark, sf).select("video_id", "event_type", "row_idx", "ord")
-    return e.select("video_id", F.col("event_type").alias("object_id"), F.col("row_idx").alias("frame_index"), *[F.expr(x).alias(name) for name, x in columns.items()])
+    return e.select("video_id", F.col("event_type").alias("object_id"), F.col("row_idx").alias("frame_index"), *[F.expr(x).alias(name) for name, x in _with_gaps(columns, False).items()])
 
 
 def _sql(columns):
-    fields = ", ".join(f"{x} AS {name}" for name, x in columns.items())
+    fields = ", ".join(f"{x} AS {name}" for name, x in _with_gaps(columns, True).items())
     return EV.replace("WITH ev0", "WITH RECURSIVE ev0") + f""", v AS (SELECT video_id, event_type AS object_id, row_idx AS frame_index, row_number() OVER (PARTITION BY video_id, event_type ORDER BY row_idx) AS n, {fields} FROM ev)
 """
 
@@ -111,7 +120,7 @@ def _event(previous: str) -> str:
     WHEN detector_attempted AND detector_reliable AND confirmed_absent AND occluders = 0 AND absence >= 2 THEN 'true_disappearance' WHEN detector_attempted AND NOT detector_reliable AND d2_supported AND in_frame_ratio > 0.2 THEN 'detector_miss' ELSE 'unknown' END"""
 
 
-@query("occlusion_events", _sql(_OCC) + f""", b AS (SELECT *, CASE WHEN provider_failed THEN 'event_provider_failed' WHEN scene_cut THEN 'scene_cut_breaks_event_history' WHEN NOT has_history THEN 'history_prediction_unavailable' WHEN quality < 0.5 THEN 'track_prediction_quality_insufficient' ELSE '' END AS blocked,
+@query("occlusion_events", _sql(_OCC) + f""", b AS (SELECT *, CASE WHEN provider_failed THEN 'event_provider_failed' WHEN scene_cut THEN 'scene_cut_breaks_event_history' WHEN NOT has_history THEN 'history_prediction_unavailable' WHEN quality IS NULL OR quality < 0.5 THEN 'track_prediction_quality_insufficient' ELSE '' END AS blocked,
    n - coalesce(max(CASE WHEN seen THEN n END) OVER (PARTITION BY video_id, object_id ORDER BY n), 0) AS absence FROM v),
  e AS (SELECT video_id, object_id, n, {_event("'unknown'")} AS event FROM b WHERE n = 1 UNION ALL SELECT b.video_id, b.object_id, b.n, {_event('e.event')} FROM e JOIN b ON b.video_id = e.video_id AND b.object_id = e.object_id AND b.n = e.n + 1),
  f AS (SELECT *, CASE WHEN event <> 'unknown' THEN '' WHEN blocked <> '' THEN blocked WHEN seen THEN 'not_applicable_no_event' ELSE 'event_observation_unresolved' END AS reason FROM b JOIN e USING (video_id, object_id, n))
