@@ -3,7 +3,7 @@
 Texts fall into words as the tokenizer's pattern cuts them: contractions, and runs of letters, digits or other signs, each with
 at most one blank before it; white space before a word keeps its last character apart. Here this is done for all
 characters of a slice at once, from their classes. The words of all documents are counted, the most frequent ones
-(``WORDS``, of at most ``WORD_BYTES`` bytes) are encoded once and compiled into a minimal acyclic transducer (``lexicon``) whose file
+(up to ``WORDS``, of at most ``WORD_BYTES`` bytes) are encoded once and compiled into a minimal acyclic transducer (``lexicon``) whose file
 goes to every executor and is mapped into memory. Words that it doesn't know are merged exactly: in rounds, each merging a word's
 pair of least rank everywhere, for many words at once; very long ones by a heap. Which words
 are in the lexicon changes the speed, never the ids.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, compile_lexicon
-from .storage import document_batches, lean, own_folder
+from .storage import discard, document_batches, lean, materialize, own_folder
 from .textkernel import WEIGHT, as_bytes, mix, powers
 
 WORDS = 1 << 16
@@ -359,9 +359,18 @@ def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, path: str, words: int = WORDS) -> np.ndarray:
-    """The lexicon's file content: the ``words`` most frequent words of all texts with their ids."""
-    top = [bytes(r["word"]) for r in word_counts(docs, path).orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
-    top.sort()
+    """The lexicon's file content: the most frequent words of all texts with their ids, as many as reach a count that ``words`` at most do.
+    The count is found by eighths of powers of two, so the driver sees some hundred rows and then the words themselves."""
+    counts = materialize(word_counts(docs, path), "words")
+    tally = {int(r["step"]): int(r["words"]) for r in counts.groupBy(F.floor(8 * F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()}
+    total, least = 0, None
+    for step in sorted(tally, reverse=True):
+        total += tally[step]
+        if total > words:
+            break
+        least = step
+    top = [] if least is None else sorted(bytes(r["word"]) for r in counts.where(F.floor(8 * F.log2("n")) >= least).select("word").collect())
+    discard(counts)
     v = vocabulary(path)
     return compile_lexicon(list(zip(top, (ids.tolist() for ids in v.merge(top)), strict=True)), v.size)
 
