@@ -46,17 +46,20 @@ def held_out(doc_id="doc_id"):
 
 
 def letters(text: bytes) -> str:
-    """Lower-case letters of a text, one blank between their runs, a word that repeats only once."""
+    """Lower-case letters of a text with their marks, one blank between their runs, a word that repeats only once; marks alone are no text."""
     import regex
 
-    global _OTHER
+    global _OTHER, _LETTER
     if _OTHER is None:
-        _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
-    words = _OTHER.split(text.decode("utf-8", "replace").lower())
+        _OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
+    text = text.decode("utf-8", "replace").lower()
+    if not _LETTER.search(text):
+        return ""
+    words = _OTHER.split(text)
     return " ".join(w for w, before in zip(words, ["", *words], strict=False) if w and w != before)
 
 
-_OTHER = None
+_OTHER = _LETTER = None
 
 
 def build_dictionaries(samples: dict[str, list[str]], size: int = DICTIONARY) -> dict[str, bytes]:

@@ -3,15 +3,16 @@
 Source s has size S_s (characters), weight w_s and the corpus a target of T
 characters: a document of s is repeated Poisson(r_s) times, r_s = T w_s / S_s.
 The count inverts the distribution function at a uniform number that MD5 draws from
-(seed, doc_id, MD5 of the text): the same document has the same count in every run, task and retry, and
-rows that share a doc_id, or have none, draw each for themselves.
+(seed, doc_id, MD5 of the text, rank among rows equal in both): the same document has the same count in every run, task and retry, and
+rows that share a doc_id, or have none, draw each for themselves, equal ones too. Only rows that may have an equal one are ranked: a bitmap
+tells the others, and ranks are numbers inside blocks of ``RANK_ROWS`` rows plus those of earlier blocks, so no text gathers in one task.
 A rate above ``PIECE`` is a sum of equal rates below it, each with a draw of its
 own, so no term of a distribution function underflows. Copies then go to the
-partition and place that MD5 of (seed, doc_id, MD5 of the text, copy) names: a shuffle of all rows.
+partition and place that MD5 of the same and the copy names: a shuffle of all rows.
 
 Cases: a null source is a source; a null or empty text has size 0, and a source of
-size 0 gets rate 0 (it can't change the mix), or 1 if the whole corpus is empty. Rows equal in doc_id and
-text share counts and places; all null doc_ids count as equal, as do a null and an empty text. A source that ``weights`` doesn't name gets weight 0. Further columns pass
+size 0 gets rate 0 (it can't change the mix), or 1 if the whole corpus is empty. All null doc_ids count as equal, as do a null and an
+empty text; equal rows are ranked in the order in which the table is read. A source that ``weights`` doesn't name gets weight 0. Further columns pass
 through; columns named mix_rate, mix_copy or mix_order give way to ours, but for :func:`mix_documents`,
 which returns the input's columns only. An empty table stays empty.
 """
@@ -22,7 +23,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .reducer import bits_of, maybe
 from .storage import materialize
 
 SEED = 20240607
@@ -31,6 +34,8 @@ PIECE = 16.0
 #: Sources beyond this many are joined by shuffle, salted, instead of broadcast.
 BROADCAST_SOURCES = 10_000
 SALTS = 64
+#: Rows of one block in which equal rows are numbered.
+RANK_ROWS = 1024
 
 
 def uniform(*parts: Column) -> Column:
@@ -73,11 +78,28 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
 OURS = ("mix_rate", "mix_copy", "mix_order")
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` with the rank behind the ``_key`` of those that equal an earlier row."""
+    hashed = rows.withColumn("_hash", F.xxhash64("_key"))
+    again = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = bits_of(again, "_hash")
+    some = materialize(maybe(hashed, "_hash", bits).withColumn("_at", F.monotonically_increasing_id()), "mix-equal")
+    some = some.withColumn("_cut", F.floor(F.col("_at") / RANK_ROWS))
+    sizes = some.groupBy("_key", "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = some.withColumn("_i", F.row_number().over(Window.partitionBy("_key", "_cut").orderBy("_at")) - 1)
+    rank = F.col("_i") + F.col("_base")
+    placed = inside.join(base, ["_key", "_cut"]).withColumn("_key", F.when(rank > 0, F.concat_ws("#", "_key", rank.cast("string"))).otherwise(F.col("_key")))
+    return maybe(hashed, "_hash", bits, member=False).select(rows.columns).unionByName(placed.select(rows.columns))
+
+
 def _copies(docs: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
     """Every document once for each copy: its row as a struct, its id and source, our columns."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), key.alias("_key"))
+    rows = _ranked(rows)
     held = rates.select(F.col("source").alias("_name"), F.col("rate").alias("mix_rate"), F.col("pieces").alias("_pieces"), F.col("cdf").alias("_cdf"))
     if rates.select("source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(held), F.col("_source").eqNullSafe(F.col("_name")))

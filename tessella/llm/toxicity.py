@@ -5,9 +5,9 @@ weights of its words' features); the document's is the noisy-or 1 - prod(1 - p).
 document labels train it: with S = sum softplus(z_s), the loss of a clean document
 is S and of a toxic one -log(1 - exp(-S)). The sentences with p >= 0.5 are the offending ones.
 
-In a score the sentences above a learned floor count each: the floor is the highest z of the
-clean sampled documents' sentences, 0 at most. Of the others only the highest counts, so
-what clean documents hold adds nothing by repetition; an offending sentence always counts.
+A bag is a set: sentences with the same evidence (the same features, as often) are one instance, in training
+and in scores alike, and so are all those without any. What a document repeats is no further evidence, and its
+length alone adds none.
 
 Features of a word, without signs at its ends and with A-Z lower-cased: itself and its
 first 4, 5 and 6 bytes. Of these the training keeps those in at least ``MIN_DOCS`` sampled
@@ -51,7 +51,6 @@ class Model:
     keys: np.ndarray
     weights: np.ndarray
     bias: float
-    floor: float = 0.0
 
 
 def sentences(scan: Scan) -> np.ndarray:
@@ -86,6 +85,15 @@ def _bags(texts: list[bytes]):
         yield lo, hi, scan, features(scan), sentences(scan)
 
 
+def distinct(bag: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """The first sentence of each kind of evidence in each bag."""
+    order = np.lexsort((evidence, bag))
+    b, e = bag[order], evidence[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (b[1:] != b[:-1]) | (e[1:] != e[:-1])
+    return np.sort(order[new])
+
+
 def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
     """Fit on (text, toxic) pairs; ``counts`` are the labels' true frequencies."""
     texts, y = as_bytes([t for t, _ in sample]), np.array([v for _, v in sample])
@@ -130,10 +138,19 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
         bag_of.append(lo + np.searchsorted(scan.first, begin, side="right") - 1)
         total += len(begin)
     owner, feature, bag_of = map(np.concatenate, (owner, feature, bag_of))
-    # Sentences without a kept feature all have z = b: only their number matters.
+    # Sentences without a kept feature all have z = b: one instance, where a bag has any.
     live, owner = np.unique(owner, return_inverse=True)
-    plain = np.bincount(bag_of, minlength=len(y)) - np.bincount(bag_of[live], minlength=len(y))
+    plain = (np.bincount(bag_of, minlength=len(y)) > np.bincount(bag_of[live], minlength=len(y))).astype(float)
     bag_of = bag_of[live]
+    order = np.argsort(owner, kind="stable")
+    owner, feature = owner[order], feature[order]
+    with np.errstate(over="ignore"):
+        evidence = np.add.reduceat(mix(keys[feature]), np.flatnonzero(np.diff(owner, prepend=-1))) if len(owner) else np.zeros(0, np.uint64)
+    once = distinct(bag_of, evidence)
+    number = np.full(len(live), -1)
+    number[once] = np.arange(len(once))
+    kept = number[owner] >= 0
+    live, owner, feature, bag_of = live[once], number[owner[kept]], feature[kept], bag_of[once]
     weight = np.where(y == 1, counts[1] / na, counts[0] / nb)
     weight /= weight.mean()
     w, bias = np.zeros(len(keys)), -5.0
@@ -149,33 +166,32 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Model:
         m[1] = 0.99 * m[1] + 0.01 * g * g
         step = 0.1 * (m[0] / (1 - 0.9**epoch)) / (np.sqrt(m[1] / (1 - 0.99**epoch)) + 1e-8)
         w, bias = np.maximum(w - step[:-1], 0.0), min(bias - step[-1], -3.0)
-    clean = y[bag_of] == 0
-    z = bias + np.bincount(owner, w[feature], len(live))
-    floor = max(bias, z[clean].max()) if clean.any() else bias
-    return Model(keys, w, float(bias), float(min(floor, 0.0)))
+    return Model(keys, w, float(bias))
 
 
 def sentence_scores(model: Model, texts: list[bytes]):
-    """For slices of texts: first text, scan, sentence begins, texts of the sentences, z scores."""
+    """For slices of texts: first text, scan, sentence begins, texts of the sentences, z scores, hashes of their evidence."""
     for lo, _, scan, rows, begin in _bags(texts):
-        total = np.zeros(rows.shape[1] + 1)
+        total, evidence = np.zeros(rows.shape[1]), np.zeros(rows.shape[1], np.uint64)
         if len(model.keys):
             for row in rows:
                 at = np.minimum(np.searchsorted(model.keys, row), len(model.keys) - 1)
-                total[:-1] += np.where(model.keys[at] == row, model.weights[at], 0.0)
-        z = model.bias + (np.add.reduceat(total[:-1], begin) if len(begin) else np.zeros(0))
-        yield lo, scan, begin, np.searchsorted(scan.first, begin, side="right") - 1, z
+                hit = np.flatnonzero(model.keys[at] == row)
+                total[hit] += model.weights[at[hit]]
+                with np.errstate(over="ignore"):
+                    evidence[hit] += mix(row[hit])
+        with np.errstate(over="ignore"):
+            z, evidence = (np.add.reduceat(v, begin) if len(begin) else v[:0] for v in (total, evidence))
+        yield lo, scan, begin, np.searchsorted(scan.first, begin, side="right") - 1, model.bias + z, evidence
 
 
 def score(model: Model, texts: list[bytes], spans: bool = True):
     """Each text's score and its offending sentences (start, end in characters, score)."""
     out, found = np.zeros(len(texts)), [[] for _ in texts]
-    for lo, scan, begin, owner, z in sentence_scores(model, texts):
+    for lo, scan, begin, owner, z, evidence in sentence_scores(model, texts):
         docs = len(scan.first) - 1
-        soft, above = np.logaddexp(0, z), (z > model.floor) | (z >= 0)
-        weak = np.zeros(docs)
-        np.maximum.at(weak, owner[~above], soft[~above])
-        s = np.bincount(owner, np.where(above, soft, 0.0), docs) + weak
+        once = distinct(owner, evidence)
+        s = np.bincount(owner[once], np.logaddexp(0, z[once]), docs)
         out[lo : lo + docs] = -np.expm1(-s) if len(model.keys) else 0.0
         hits = np.flatnonzero(z >= 0) if spans else ()
         if len(hits):

@@ -78,6 +78,29 @@ def test_op2_null_and_repeated_ids(spark):
     assert len({r["count"] for r in counts}) > 1
 
 
+def test_op2_equal_rows_without_id(spark):
+    """Rows that are equal in all draw each for themselves: their counts follow the Poisson distribution and their copies spread."""
+    docs = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one line that the whole crawl holds").alias("text"), F.lit("a").alias("source"), F.lit(1).alias("_at"), F.lit(2).alias("_cut"))
+    docs = docs.unionByName(spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("other "), F.col("id").cast("string")).alias("text"), F.lit("b").alias("source"), F.lit(1).alias("_at"), F.lit(2).alias("_cut")))
+    rates = mixing.source_rates(docs, {"a": 1.0, "b": 1.0}).collect()
+    rate = {r["source"]: r["rate"] for r in rates}["a"]
+    got = mixing.mix(docs, {"a": 1.0, "b": 1.0}).where("source = 'a'")
+    n = got.count()
+    assert n == pytest.approx(6000 * rate, rel=0.05)
+    assert got.select("mix_order").distinct().count() == n
+    first = got.where("mix_copy = 0").count() / 6000
+    assert first == pytest.approx(1 - np.exp(-rate), abs=0.03)
+    assert got.select(F.pmod(F.hash("mix_order"), F.lit(8)).alias("p")).distinct().count() == 8
+
+
+def test_op4_needs_a_letter(spark):
+    """Marks, digits and signs alone are no language, whatever marks a language uses; a letter with marks is."""
+    d = langid.learn(table(spark, "documents"))
+    texts = ["\u0301\u0300 12", "\u0301", "\u064e\u064f .", "1 2 3 \U0001f642", "_-!", "e\u0301", "日"]
+    got = [r["lang_pred"] for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), d).orderBy("doc_id").collect()]
+    assert got[:5] == ["und"] * 5 and "und" not in got[5:]
+
+
 def test_op4(spark):
     got = QUERIES["op4_language_id"](spark, SF).join(table(spark, "documents"), "doc_id").toPandas()
     held = got[got.held_out]
@@ -187,7 +210,7 @@ def test_toxicity_is_a_noisy_or():
     texts = [t for t, _ in sample[:60]] + ["", "\n \n", "x", "a b. c d!", "é badword, ü. w1 w2? damnit! (awful)"]
     got, spans = toxicity.score(model, [t.encode() for t in texts])
     for text, p, found in zip(texts, got, spans, strict=True):
-        total, weak, want = 0.0, 0.0, []
+        instances, want = {}, []
         # a sentence ends at a word that ends in . ! ?, and at a line break
         pieces, now = [], []
         for m in re.finditer(r"[^\x20\x09-\x0D]+|\n", text):
@@ -203,17 +226,12 @@ def test_toxicity_is_a_noisy_or():
         if now:
             pieces.append(now)
         for words in pieces:
-            z = model.bias
-            for m in words:
-                for key in toxicity.features(Scan([m.group().encode()])).ravel().tolist():
-                    z += weights.get(key, 0.0) if key else 0.0
-            if z > model.floor or z >= 0:
-                total += math.log1p(math.exp(z))
-            else:
-                weak = max(weak, math.log1p(math.exp(z)))
+            held = [k for m in words for k in toxicity.features(Scan([m.group().encode()])).ravel().tolist() if k in weights]
+            z = model.bias + sum(weights[k] for k in held)
+            instances[tuple(sorted(held))] = math.log1p(math.exp(z))
             if z >= 0:
                 want.append((words[0].start(), words[-1].end()))
-        assert p == pytest.approx(1 - math.exp(-total - weak), abs=1e-9)
+        assert p == pytest.approx(1 - math.exp(-sum(instances.values())), abs=1e-9)
         assert [x[:2] for x in found] == want
 
 
@@ -262,8 +280,8 @@ def test_toxicity_does_not_grow_with_length():
     assert p[0] < 0.5 < p[1]
 
 
-def test_toxicity_floor():
-    """A weakly weighted sentence that clean documents hold too adds nothing by repetition."""
+def test_toxicity_repeated_evidence():
+    """A weakly weighted sentence that clean documents hold too adds nothing by repetition, in training as in scores."""
     sample = [("All is well." + " Some mildly words." * (i % 4 == 0), 0) for i in range(80)] + [("All is well. Some mildly words. You awful badword!", 1) for _ in range(80)]
     model = toxicity.train(sample, {0: 80, 1: 80})
     p, _ = toxicity.score(model, [("Some mildly words. " * 20_000).encode(), b"All is well. You awful badword!"])
