@@ -1,158 +1,221 @@
 """Depth alignment: a robust map between two frames, and one scale and shift for every frame of a sequence.
 
-A group is the correspondences of two frames, or the edges of one video; groups spread over the cluster.
+Two frames' correspondences become one array, and the rounds of the robust fit fold over it inside one expression: what
+a round hands on is a line, the middle of its residuals and the reach around it, never a mask. A sequence's frames are
+nodes of a graph; how far each model reaches and how well it held out is an aggregate a model, the models are
+ranked by a window, and scales and shifts are potentials of the graph's Laplacian, found by conjugate gradients over its edges.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-#: The models of an edge, the simplest first among equals.
+#: The models of an edge, the simplest first among equals, and the reasons of missing alignments.
 MODES = ("scale_only", "affine_depth", "affine_inverse_depth", "provider_shared_scale")
 GRAPH_MODES = MODES[:3]
+FEW, FAILED, APART = "insufficient_background_depth_support", "robust_depth_alignment_failed", "depth_alignment_graph_disconnected"
+
+ENDLESS = float("inf")
+
+
+def _total(points: Column, of) -> Column:
+    return F.aggregate(points, F.lit(0.0), lambda s, p: s + of(p))
 
 
-def _solve(x: np.ndarray, y: np.ndarray, mode: str) -> tuple[float, float] | None:
-    """Least-squares (scale, shift), or None for degenerate support."""
+def _middle(numbers: Column) -> Column:
+    s = F.array_sort(numbers)
+    n = F.size(s)
+    at = lambda i: F.get(s, F.floor(i).cast("int"))
+    return (at((n - 1) / 2) + at(n / 2)) / 2
+
+
+def _line(points: Column, mode: str) -> Column:
+    """struct(a, b) of the least-squares line, NULL where the points don't carry one."""
+    n, xx = F.size(points), _total(points, lambda p: p["x"] * p["x"])
     if mode == "scale_only":
-        energy = float(x @ x)
-        return (float(x @ y) / energy, 0.0) if energy > 1e-12 else None
-    mx, my = x.mean(), y.mean()
-    spread = float(((x - mx) ** 2).sum())
-    if spread <= 1e-12 * max(1.0, float(x @ x)):
-        return None
-    scale = float(((x - mx) * (y - my)).sum()) / spread
-    return scale, float(my - scale * mx)
-
-
-def robust_line(source: np.ndarray, target: np.ndarray, mode: str, least: int = 12, rounds: int = 8, cut: float = 3.5) -> dict:
-    """The map target = scale x source + shift of positive depths: fit, then keep what lies within ``cut`` robust
-    deviations of the median residual, until nothing changes. The inverse model fits reciprocals."""
-    ok = np.isfinite(source) & np.isfinite(target) & (source > 0) & (target > 0)
-    x, y = source[ok], target[ok]
-    out = {"scale": None, "shift": None, "support": int(len(x)), "inlier_ratio": None, "error": None, "quality": 0.0, "reason": ""}
-    if len(x) < least:
-        return out | {"reason": "insufficient_background_depth_support"}
-    if mode == "affine_inverse_depth":
-        x, y = 1 / x, 1 / y
-    if mode == "provider_shared_scale":
-        error = float(np.sqrt(((y - x) ** 2).mean()))
-        return out | {"scale": 1.0, "shift": 0.0, "inlier_ratio": 1.0, "error": error, "quality": 1 / (1 + error / max(float(np.median(np.abs(y))), 1e-12))}
-    inside, line = np.ones(len(x), bool), None
-    for _ in range(rounds):
-        fitted = _solve(x[inside], y[inside], mode) if inside.sum() >= least else None
-        if fitted is None:
-            break
-        line = fitted
-        off = y - line[0] * x - line[1]
-        middle = np.median(off[inside])
-        spread = 1.4826 * np.median(np.abs(off[inside] - middle))
-        reach = max(1e-8, 1e-4 * float(np.median(np.abs(y[inside]))), cut * float(spread))
-        new = np.abs(off - middle) <= reach
-        if (new == inside).all():
-            break
-        inside = new
-    n = int(inside.sum())
-    if line is None or n < least or not all(map(math.isfinite, line)) or line[0] <= 0:
-        return out | {"reason": "robust_depth_alignment_failed"}
-    error = float(np.sqrt(((y - line[0] * x - line[1])[inside] ** 2).mean()))
-    share = n / len(x)
-    quality = share / (1 + error / max(float(np.median(np.abs(y[inside]))), 1e-12))
-    return out | {"scale": line[0], "shift": line[1], "inlier_ratio": share, "error": error, "quality": min(1.0, quality)}
+        return F.when(xx > 1e-12, F.struct((_total(points, lambda p: p["x"] * p["y"]) / xx).alias("a"), F.lit(0.0).alias("b")))
+    centre = F.struct((_total(points, lambda p: p["x"]) / n).alias("x"), (_total(points, lambda p: p["y"]) / n).alias("y"))
+    # One element, so that the centre is computed once.
+    return F.get(
+        F.transform(
+            F.array(F.struct(centre.alias("c"), xx.alias("xx"))),
+            lambda m: F.get(
+                F.transform(
+                    F.array(F.struct(_total(points, lambda p: (p["x"] - m["c"]["x"]) * (p["x"] - m["c"]["x"])).alias("s"), _total(points, lambda p: (p["x"] - m["c"]["x"]) * (p["y"] - m["c"]["y"])).alias("t"))),
+                    lambda q: F.when(q["s"] > 1e-12 * F.greatest(F.lit(1.0), m["xx"]), F.struct((q["t"] / q["s"]).alias("a"), (m["c"]["y"] - q["t"] / q["s"] * m["c"]["x"]).alias("b"))),
+                ),
+                F.lit(0),
+            ),
+        ),
+        F.lit(0),
+    )
+
+
+def _off(p: Column, s: Column) -> Column:
+    return p["y"] - s["a"] * p["x"] - s["b"]
+
+
+def _inside(p: Column, s: Column) -> Column:
+    return F.abs(_off(p, s) - s["m"]) <= s["reach"]
+
+
+def _state(a, b, m, reach, fitted: bool, done) -> Column:
+    double = lambda v, name: v.cast("double").alias(name)
+    return F.struct(double(a, "a"), double(b, "b"), double(m, "m"), double(reach, "reach"), F.lit(fitted).alias("fitted"), done.alias("done"))
+
+
+def _round(points: Column, state: Column, mode: str, least: int, cut: float) -> Column:
+    """The state after one more round: done where the line can't be fitted or the points inside stay the same."""
+    held = F.filter(points, lambda p: _inside(p, state))
+    line = F.when(F.size(held) >= least, _line(held, mode))
+
+    def judged(new: Column) -> Column:
+        off = F.transform(held, lambda p: _off(p, new))
+        return F.get(F.transform(F.array(_middle(off)), lambda m: F.struct(m.alias("m"), _middle(F.transform(off, lambda o: F.abs(o - m))).alias("mad"))), F.lit(0))
+
+    def reached(new: Column) -> Column:
+        scale = _middle(F.transform(held, lambda p: F.abs(p["y"])))
+        found = F.transform(
+            F.array(judged(new)),
+            lambda j: F.struct(new["a"].alias("a"), new["b"].alias("b"), j["m"].alias("m"), F.greatest(F.lit(1e-8), F.lit(1e-4) * scale, F.lit(cut * 1.4826) * j["mad"]).alias("reach")),
+        )
+        return F.get(F.transform(found, lambda s: _state(s["a"], s["b"], s["m"], s["reach"], True, ~F.exists(points, lambda p: _inside(p, s) != _inside(p, state)))), F.lit(0))
+
+    stop = F.struct(*[state[k].alias(k) for k in ("a", "b", "m", "reach", "fitted")], F.lit(True).alias("done"))
+    return F.when(state["done"], state).otherwise(F.get(F.transform(F.array(line), lambda new: F.when(new.isNull(), stop).otherwise(reached(new))), F.lit(0)))
 
 
 def align_depth(pairs: DataFrame, mode: str, least: int = 12, rounds: int = 8, cut: float = 3.5) -> DataFrame:
-    """scale, shift, support, inlier_ratio, error (RMS), quality, reason of every pair. Pairs: pair_id, source, target."""
+    """scale, shift, support, inlier_ratio, error (RMS), quality, reason of every pair. Pairs: pair_id, source, target.
+
+    target = scale x source + shift over positive, finite depths: a least-squares line, of which the points within ``cut`` robust deviations
+    (1.4826 MAD) of the median residual are kept for the next, until nothing changes. The inverse model fits reciprocals,
+    the shared scale states a scale of 1. All points of a pair are one row's array.
+    """
     if mode not in MODES:
         raise ValueError(f"unsupported depth alignment mode: {mode}")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = robust_line(pdf["source"].to_numpy(float), pdf["target"].to_numpy(float), mode, least, rounds, cut)
-        return pd.DataFrame([{"pair_id": pdf["pair_id"].iloc[0], **found}]).astype({k: "Float64" for k in ("scale", "shift", "inlier_ratio", "error")})
-
-    kind = dict(pairs.dtypes)["pair_id"]
-    return pairs.groupBy("pair_id").applyInPandas(run, f"pair_id {kind}, scale double, shift double, support long, inlier_ratio double, error double, quality double, reason string")
-
-
-def _reached(start: int, edges: pd.DataFrame) -> set[int]:
-    near: dict[int, list[int]] = {}
-    for a, b in zip(edges["source"].tolist(), edges["target"].tolist(), strict=True):
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    seen, todo = {start}, [start]
-    while todo:
-        for b in near.get(todo.pop(), ()):
-            if b not in seen:
-                seen.add(b)
-                todo.append(b)
-    return seen
-
-
-def _potentials(frames: list[int], reference: int, a: np.ndarray, b: np.ndarray, gain: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Values of the frames (0 at the reference) whose differences b - a fit the gains best."""
-    at = {f: i for i, f in enumerate(frames)}
-    matrix = np.zeros((len(a), len(frames)))
-    rows = np.arange(len(a))
-    matrix[rows, [at[x] for x in b]] += 1
-    matrix[rows, [at[x] for x in a]] -= 1
-    free = [i for i, f in enumerate(frames) if f != reference]
-    w = np.sqrt(weight)[:, None]
-    out = np.zeros(len(frames))
-    out[free] = np.linalg.lstsq(matrix[:, free] * w, gain * w[:, 0], rcond=None)[0]
-    return out
-
-
-def sequence_parameters(edges: pd.DataFrame, frames: list[int], reference: int, least_quality: float = 0.20) -> tuple[str, dict[int, tuple[float, float, float]], float]:
-    """(model, {frame: (scale, shift, quality)}, inconsistency) of the frames that the model's edges join to the reference."""
-    rated = []
-    for i, mode in enumerate(GRAPH_MODES):
-        own = edges[(edges["mode"] == mode) & edges["scale"].notna() & (edges["quality"] >= least_quality)]
-        seen = _reached(reference, own)
-        own = own[own["source"].isin(seen) & own["target"].isin(seen)]
-        holdout = own["holdout"].dropna()
-        rated.append((mode, own, seen & set(frames), float(holdout.mean()) if len(holdout) else math.inf, min(i, 1)))
-    widest = max(len(r[2]) for r in rated)
-    rated = [r for r in rated if len(r[2]) == widest]
-    best = min(r[3] for r in rated)
-    rated = [r for r in rated if math.isinf(best) or r[3] <= best * 1.05 + 1e-12]
-    mode, own, seen, _, _ = min(rated, key=lambda r: (r[4], r[3], -float(r[1]["quality"].sum())))
-    if not len(own):
-        return mode, {reference: (1.0, 0.0, 1.0)}, 0.0 if len(frames) == 1 else math.nan
-    order = sorted(seen | {reference})
-    a, b = own["source"].to_numpy(), own["target"].to_numpy()
-    weight = np.maximum(own["quality"].to_numpy(float), 1e-3)
-    scale, shift = own["scale"].to_numpy(float), own["shift"].to_numpy(float)
-    logs = _potentials(order, reference, a, b, -np.log(scale), weight)
-    at = {f: i for i, f in enumerate(order)}
-    ia, ib = np.array([at[x] for x in a]), np.array([at[x] for x in b])
-    shifts = _potentials(order, reference, a, b, -np.exp(logs[ia]) * shift / scale, weight)
-    rest = logs[ib] - logs[ia] + np.log(scale)
-    total, count = np.zeros(len(order)), np.zeros(len(order))
-    for side in (ia, ib):
-        np.add.at(total, side, own["quality"].to_numpy(float))
-        np.add.at(count, side, 1)
-    return mode, {f: (float(np.exp(logs[i])), float(shifts[i]), float(total[i] / count[i]) if count[i] else 1.0) for f, i in at.items()}, float(np.sqrt((rest**2).mean()))
+    c = F.col
+    good = lambda x: ~F.isnan(x) & (F.col(x) > 0) & (F.col(x) < ENDLESS)
+    of = (lambda x: 1 / c(x)) if mode == "affine_inverse_depth" else c
+    point = F.when(good("source") & good("target"), F.struct(of("source").cast("double").alias("x"), of("target").cast("double").alias("y")))
+    rows = pairs.groupBy("pair_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    rows = rows.withColumn("support", F.size("points").cast("long"))
+    if mode == "provider_shared_scale":
+        given = _state(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(ENDLESS), True, F.lit(True))
+    else:
+        start = _state(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(ENDLESS), False, F.lit(False))
+        given = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, i: _round(c("points"), s, mode, least, cut))
+    rows = rows.withColumn("s", F.when(c("support") >= least, given))
+    rows = rows.withColumn("kept", F.when(c("s.fitted"), F.filter("points", lambda p: _inside(p, c("s")))))
+    sound = c("s.fitted") & (F.size("kept") >= least) & (c("s.a") > 0) & (c("s.a") < ENDLESS) & (F.abs(c("s.b")) < ENDLESS)
+    rows = rows.withColumn("ok", F.coalesce(sound, F.lit(False)))
+    error = F.sqrt(_total(c("kept"), lambda p: F.pow(_off(p, c("s")), F.lit(2.0))) / F.size("kept"))
+    rows = rows.withColumn("error", F.when(c("ok"), error)).withColumn("inlier_ratio", F.when(c("ok"), F.size("kept") / c("support")))
+    level = F.greatest(_middle(F.transform("kept", lambda p: F.abs(p["y"]))), F.lit(1e-12))
+    quality = F.when(c("ok"), F.least(F.lit(1.0), c("inlier_ratio") / (1 + c("error") / level))).otherwise(F.lit(0.0))
+    reason = F.when(c("support") < least, FEW).when(~c("ok"), FAILED).otherwise("")
+    return rows.select("pair_id", F.when(c("ok"), c("s.a")).alias("scale"), F.when(c("ok"), c("s.b")).alias("shift"), "support", "inlier_ratio", "error", quality.alias("quality"), reason.alias("reason"))
+
+
+def _joined(a: np.ndarray, b: np.ndarray, n: int, start: int) -> np.ndarray:
+    """Nodes that edges a - b join to ``start``: labels sink to the smaller end and jump to their label's label."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, label[side], low)
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            return label == label[start]
+        label = new
+
+
+def potentials(a: np.ndarray, b: np.ndarray, gain: np.ndarray, weight: np.ndarray, n: int, fixed: int, tolerance: float = 1e-13) -> np.ndarray:
+    """Values of n connected nodes, 0 at ``fixed``, whose differences b - a fit the gains best by weight: the Laplacian's
+    normal equations by conjugate gradients, preconditioned by the degrees. Memory and a step's work are linear in the edges."""
+    spread = lambda flow: np.bincount(b, flow, n) - np.bincount(a, flow, n)
+    degree = np.maximum(np.bincount(a, weight, n) + np.bincount(b, weight, n), 1e-300)
+    x, r = np.zeros(n), spread(weight * gain)
+    r[fixed] = 0
+    z = r / degree
+    p, rz = z.copy(), float(r @ z)
+    first = rz
+    for _ in range(8 * n + 64):
+        if rz <= tolerance**2 * first or rz == 0:
+            break
+        q = spread(weight * (p[b] - p[a]))
+        q[fixed] = 0
+        step = rz / float(p @ q)
+        x, r = x + step * p, r - step * q
+        z = r / degree
+        rz, before = float(r @ z), rz
+        p = z + rz / before * p
+    return x
+
+
+def _model_graph(pdf: pd.DataFrame, reference: int | None, least_quality: float) -> pd.DataFrame:
+    """Of one video and model: scale, shift and quality of the frames that usable edges join to the reference, with what ranks the model."""
+    first = int(min(pdf["source"].min(), pdf["target"].min(), pdf["first"].min())) if reference is None else reference
+    own = pdf[pdf["scale"].notna() & (pdf["quality"] >= least_quality)]
+    names, at = np.unique(np.concatenate([own["source"], own["target"], [first]]), return_inverse=True)
+    a, b, root = at[: len(own)], at[len(own) : -1], int(at[-1])
+    seen = _joined(a, b, len(names), root)
+    live = seen[a]
+    a, b = a[live], b[live]
+    scale, shift, quality, holdout = (own[k].to_numpy(float)[live] for k in ("scale", "shift", "quality", "holdout"))
+    weight = np.maximum(quality, 1e-3)
+    # Only the joined nodes take part.
+    number = np.cumsum(seen) - 1
+    a, b, root, frames = number[a], number[b], int(number[root]), names[seen]
+    n = len(frames)
+    logs = potentials(a, b, -np.log(scale), weight, n, root)
+    shifts = potentials(a, b, -np.exp(logs[a]) * shift / scale, weight, n, root)
+    ends = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    mean = (np.bincount(a, quality, n) + np.bincount(b, quality, n)) / np.maximum(ends, 1)
+    rest = logs[b] - logs[a] + np.log(scale)
+    known = holdout[~np.isnan(holdout)]
+    return pd.DataFrame(
+        {
+            "video_id": pdf["video_id"].iloc[0], "mode": pdf["mode"].iloc[0], "frame_index": frames.astype(np.int64), "scale": np.exp(logs), "shift": shifts, "quality": np.where(ends > 0, mean, 1.0),
+            "edges": len(a), "inconsistency": float(np.sqrt((rest**2).mean())) if len(a) else np.nan, "holdout": float(known.mean()) if len(known) else np.inf, "strength": float(quality.sum()),
+        }
+    )
 
 
 def align_sequence(edges: DataFrame, reference: int | None = None, least_quality: float = 0.20) -> DataFrame:
     """mode, scale, shift, quality, inconsistency, reason of every frame of a video, mapping its depth into the reference frame's.
 
-    Edges: video_id, source, target, mode, scale, shift, quality, holdout. The model joins the most frames to the reference, then has
+    Edges: video_id, source, target, mode, scale, shift, quality, holdout. The model joins the most of the video's frames to the reference, then has
     about the least holdout error (5 %), then is the simplest. Log scales, then shifts, fit all its edges at once by
-    weighted least squares. The reference is the video's first frame. Work is dense in the frames of one video.
+    weighted least squares. The reference is the video's first frame. A task holds one video's edges of one model.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames = sorted({*pdf["source"].tolist(), *pdf["target"].tolist()})
-        first = frames[0] if reference is None else reference
-        mode, found, rest = sequence_parameters(pdf, frames, first, least_quality)
-        lost = (None, None, 0.0)
-        rows = [(pdf["video_id"].iloc[0], f, mode, *found.get(f, lost), None if math.isnan(rest) else rest, "" if f in found else "depth_alignment_graph_disconnected") for f in frames]
-        return pd.DataFrame(rows, columns=["video_id", "frame_index", "mode", "scale", "shift", "quality", "inconsistency", "reason"]).astype({k: "Float64" for k in ("scale", "shift", "inconsistency")})
-
+    c = F.col
+    ends = edges.select("video_id", F.explode(F.array(c("source").cast("long"), c("target").cast("long"))).alias("frame_index"))
+    frames = ends.distinct()
+    first = frames.groupBy("video_id").agg(F.min("frame_index").alias("first"), F.count(F.lit(1)).alias("frames"))
+    # Every model judges every video, if only by the reference alone.
+    models = first.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in GRAPH_MODES])))
+    given = edges.select("video_id", "mode", *[c(k).cast("long") for k in ("source", "target")], *[c(k).cast("double") for k in ("scale", "shift", "quality", "holdout")])
+    rows = models.join(given, ["video_id", "mode"], "left").select("video_id", "mode", F.coalesce("source", "first").alias("source"), F.coalesce("target", "first").alias("target"), "scale", "shift", "quality", "holdout", "first")
     kind = dict(edges.dtypes)["video_id"]
-    return edges.groupBy("video_id").applyInPandas(run, f"video_id {kind}, frame_index long, mode string, scale double, shift double, quality double, inconsistency double, reason string")
+    schema = f"video_id {kind}, mode string, frame_index long, scale double, shift double, quality double, edges long, inconsistency double, holdout double, strength double"
+    solved = rows.groupBy("video_id", "mode").applyInPandas(lambda pdf: _model_graph(pdf, reference, least_quality), schema)
+    inner = solved.join(frames.withColumn("_in", F.lit(1)), ["video_id", "frame_index"], "left")
+    model = inner.groupBy("video_id", "mode").agg(F.count("_in").alias("reach"), F.first("holdout").alias("holdout"), F.first("strength").alias("strength"), F.first("edges").alias("edges"), F.first("inconsistency").alias("inconsistency"))
+    by = Window.partitionBy("video_id")
+    model = model.withColumn("_widest", F.max("reach").over(by)).where("reach = _widest")
+    model = model.withColumn("_best", F.min("holdout").over(by)).where("_best = double('Infinity') OR holdout <= _best * 1.05 + 1e-12")
+    plain = F.when(c("mode") == GRAPH_MODES[0], 0).otherwise(1)
+    place = F.row_number().over(by.orderBy(plain, "holdout", F.desc("strength"), "mode"))
+    chosen = model.withColumn("_place", place).where("_place = 1").join(first, "video_id")
+    rest = F.when(c("edges") > 0, c("inconsistency")).when(c("frames") == 1, F.lit(0.0))
+    chosen = chosen.select("video_id", "mode", rest.alias("inconsistency"))
+    known = solved.select("video_id", "mode", "frame_index", "scale", "shift", "quality")
+    out = frames.join(chosen, "video_id").join(known, ["video_id", "mode", "frame_index"], "left")
+    reason = F.when(c("scale").isNull(), APART).otherwise("")
+    return out.select("video_id", "frame_index", "mode", "scale", "shift", F.coalesce("quality", F.lit(0.0)).alias("quality"), "inconsistency", reason.alias("reason"))

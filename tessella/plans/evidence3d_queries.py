@@ -233,12 +233,41 @@ def _depth_pairs(spark, sf):
     return e.select("pair_id", "source", (2 * F.col("source") + 0.5 + noise).alias("target"))
 
 
-@query("depth_alignment")
+def _robust_sql(mode: str) -> str:
+    """The robust fit as a recursion over rounds, a list of points a pair."""
+    of = "1 / " if mode == "affine_inverse_depth" else ""
+    a, b, ok = ("t0 / xx", "0.0::DOUBLE", "xx > 1e-12") if mode == "scale_only" else ("t / s", "my - t / s * mx", "s > 1e-12 * greatest(1, xx)")
+    add = lambda e: f"list_sum(list_transform(h, lambda q: {e}))"
+    return f"""SELECT * FROM (WITH RECURSIVE p AS (SELECT label::BIGINT AS pair_id, abs(embedding[3]::DOUBLE) + 0.1::DOUBLE AS s, 2 * (abs(embedding[3]::DOUBLE) + 0.1::DOUBLE) + 0.5 + CASE WHEN vec_id % 10 = 0 THEN abs(embedding[6]::DOUBLE) * 5 ELSE embedding[6]::DOUBLE * 0.01::DOUBLE END AS t FROM embeddings WHERE label IS NOT NULL),
+ l AS MATERIALIZED (SELECT pair_id, list({{'x': {of}s, 'y': {of}t}} ORDER BY {of}s, {of}t) FILTER (s > 0 AND t > 0) AS pts FROM p GROUP BY pair_id),
+ st AS (SELECT pair_id, pts, 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS m, 'inf'::DOUBLE AS reach, false AS fitted, false AS done FROM l WHERE len(pts) >= 12
+  UNION ALL SELECT pair_id, pts, k + 1, CASE WHEN ok THEN na ELSE a END, CASE WHEN ok THEN nb ELSE b END, CASE WHEN ok THEN nm ELSE m END, CASE WHEN ok THEN nr ELSE reach END, fitted OR ok,
+    NOT ok OR len(list_filter(pts, lambda q: (abs(q.y - na * q.x - nb - nm) <= nr) <> (abs(q.y - a * q.x - b - m) <= reach))) = 0 FROM
+   (SELECT *, greatest(1e-8::DOUBLE, 1e-4::DOUBLE * list_median(list_transform(h, lambda q: abs(q.y))), 3.5::DOUBLE * 1.4826::DOUBLE * list_median(list_transform(off, lambda o: abs(o - nm)))) AS nr FROM
+   (SELECT *, list_median(off) AS nm FROM (SELECT *, list_transform(h, lambda q: q.y - na * q.x - nb) AS off FROM
+   (SELECT *, {a} AS na, {b} AS nb, coalesce(len(h) >= 12 AND {ok}, false) AS ok FROM
+   (SELECT *, {add('(q.x - mx) * (q.x - mx)')} AS s, {add('(q.x - mx) * (q.y - my)')} AS t FROM
+   (SELECT *, {add('q.x * q.x')} AS xx, {add('q.x * q.y')} AS t0, {add('q.x')} / len(h) AS mx, {add('q.y')} / len(h) AS my FROM
+   (SELECT *, list_filter(pts, lambda q: abs(q.y - a * q.x - b - m) <= reach) AS h FROM st WHERE NOT done AND k < 8)))))))),
+ f AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY k DESC) = 1),
+ g AS (SELECT l.pair_id, len(l.pts) AS n, f.a, f.b, fitted, list_filter(l.pts, lambda q: abs(q.y - f.a * q.x - f.b - f.m) <= f.reach) AS h FROM l LEFT JOIN f USING (pair_id)),
+ e AS (SELECT *, coalesce(fitted AND len(h) >= 12 AND a > 0, false) AS ok, sqrt({add('(q.y - a * q.x - b) * (q.y - a * q.x - b)')} / len(h)) AS err, greatest(list_median(list_transform(h, lambda q: abs(q.y))), 1e-12::DOUBLE) AS lvl FROM g)
+ SELECT pair_id, {r('CASE WHEN ok THEN a END')} AS scale, {r('CASE WHEN ok THEN b END')} AS shift, n::BIGINT AS support, {r('CASE WHEN ok THEN len(h) / n END')} AS inlier_ratio, {r('CASE WHEN ok THEN err END')} AS error, {r('CASE WHEN ok THEN least(1, len(h) / n / (1 + err / lvl)) ELSE 0 END')} AS quality,
+  CASE WHEN n < 12 THEN 'insufficient_background_depth_support' WHEN NOT ok THEN 'robust_depth_alignment_failed' ELSE '' END AS reason FROM e)"""
+
+
+@query("depth_alignment", _robust_sql("affine_depth"))
 def depth_alignment(spark, sf):
     return alignment.align_depth(_depth_pairs(spark, sf), "affine_depth")
 
 
-@query("depth_alignment_modes")
+def _shared_scale_sql() -> str:
+    return f"""WITH p AS (SELECT label::BIGINT AS pair_id, abs(embedding[3]::DOUBLE) + 0.1::DOUBLE AS s, 2 * (abs(embedding[3]::DOUBLE) + 0.1::DOUBLE) + 0.5 + CASE WHEN vec_id % 10 = 0 THEN abs(embedding[6]::DOUBLE) * 5 ELSE embedding[6]::DOUBLE * 0.01::DOUBLE END AS t FROM embeddings WHERE label IS NOT NULL),
+ a AS (SELECT pair_id, count(*) AS n, sqrt(avg(pow(t - s, 2))) AS e, greatest(median(abs(t)), 1e-12) AS ref FROM p WHERE s > 0 AND t > 0 GROUP BY ALL)
+ SELECT pair_id, CASE WHEN n >= 12 THEN 1.0 END::DOUBLE AS scale, CASE WHEN n >= 12 THEN 0.0 END::DOUBLE AS shift, n AS support, CASE WHEN n >= 12 THEN 1.0 END::DOUBLE AS inlier_ratio, {r('CASE WHEN n >= 12 THEN e END')} AS error, {r('CASE WHEN n >= 12 THEN 1 / (1 + e / ref) ELSE 0 END')} AS quality, CASE WHEN n >= 12 THEN '' ELSE 'insufficient_background_depth_support' END AS reason FROM a"""
+
+
+@query("depth_alignment_modes", " UNION ALL ".join(f"SELECT *, '{m}' AS mode FROM ({_robust_sql(m) if m != 'provider_shared_scale' else _shared_scale_sql()})" for m in alignment.MODES))
 def depth_alignment_modes(spark, sf):
     pairs, out = _depth_pairs(spark, sf), None
     for mode in alignment.MODES:
@@ -247,20 +276,16 @@ def depth_alignment_modes(spark, sf):
     return out
 
 
-def _shared_scale_sql() -> str:
-    return f"""WITH p AS (SELECT label::BIGINT AS pair_id, abs(embedding[3]::DOUBLE) + 0.1::DOUBLE AS s, 2 * (abs(embedding[3]::DOUBLE) + 0.1::DOUBLE) + 0.5 + CASE WHEN vec_id % 10 = 0 THEN abs(embedding[6]::DOUBLE) * 5 ELSE embedding[6]::DOUBLE * 0.01::DOUBLE END AS t FROM embeddings WHERE label IS NOT NULL),
- a AS (SELECT pair_id, count(*) AS n, sqrt(avg(pow(t - s, 2))) AS e, greatest(median(abs(t)), 1e-12) AS ref FROM p WHERE s > 0 AND t > 0 GROUP BY ALL)
- SELECT pair_id, CASE WHEN n >= 12 THEN 1.0 END::DOUBLE AS scale, CASE WHEN n >= 12 THEN 0.0 END::DOUBLE AS shift, n AS support, CASE WHEN n >= 12 THEN 1.0 END::DOUBLE AS inlier_ratio, {r('CASE WHEN n >= 12 THEN e END')} AS error, {r('CASE WHEN n >= 12 THEN 1 / (1 + e / ref) ELSE 0 END')} AS quality, CASE WHEN n >= 12 THEN '' ELSE 'insufficient_background_depth_support' END AS reason FROM a"""
-
-
 @query("depth_alignment_shared", _shared_scale_sql())
 def depth_alignment_shared(spark, sf):
     return alignment.align_depth(_depth_pairs(spark, sf), "provider_shared_scale")
 
 
-@query("depth_alignment_sequence")
+@query("depth_alignment_sequence", EV + f""", t AS (SELECT video_id, row_idx::BIGINT AS frame_index, 1 + (ord % 7) / 20.0::DOUBLE AS a, (ord % 5) / 50.0::DOUBLE AS b, count(*) OVER (PARTITION BY video_id) AS n FROM ev)
+ SELECT t.video_id, t.frame_index, 'affine_depth' AS mode, {r("CASE WHEN t.frame_index < 42 THEN t.a / o.a END")} AS scale, {r("CASE WHEN t.frame_index < 42 THEN (t.b - o.b) / o.a END")} AS shift, {r("CASE WHEN t.frame_index < 42 THEN 0.9 ELSE 0 END")} AS quality, {r("0")} AS inconsistency,
+  CASE WHEN t.frame_index < 42 THEN '' ELSE 'depth_alignment_graph_disconnected' END AS reason FROM t JOIN t o ON o.video_id = t.video_id AND o.frame_index = 0 WHERE t.n > 1""")
 def depth_alignment_sequence(spark, sf):
-    """Edges between frames one and two apart, from the true scale and shift of both with a little noise."""
+    """Edges between frames one and two apart, from the true scale and shift of both; poor ones from every thirteenth frame, and from two frames in a row, behind which nothing is joined."""
     n = F.col("row_idx")
     f = evidence(spark, sf).select("video_id", n.alias("frame_index"), (1 + (F.col("ord") % 7) / 20.0).alias("a"), ((F.col("ord") % 5) / 50.0).alias("b"))
     edges = None
@@ -269,7 +294,7 @@ def depth_alignment_sequence(spark, sf):
         one = f.select("video_id", F.col("frame_index").alias("source"), F.lead("frame_index", gap).over(by).alias("target"), "a", "b", F.lead("a", gap).over(by).alias("a2"), F.lead("b", gap).over(by).alias("b2")).where("target IS NOT NULL")
         edges = one if edges is None else edges.unionByName(one)
     # depth in the reference = a * depth in the frame + b, so target = (a * source + b - b2) / a2
-    edges = edges.select("video_id", "source", "target", F.lit("affine_depth").alias("mode"), (F.col("a") / F.col("a2")).alias("scale"), ((F.col("b") - F.col("b2")) / F.col("a2")).alias("shift"), F.when((F.col("source") % 13) == 0, 0.1).otherwise(0.9).alias("quality"), F.lit(0.01).alias("holdout"))
+    edges = edges.select("video_id", "source", "target", F.lit("affine_depth").alias("mode"), (F.col("a") / F.col("a2")).alias("scale"), ((F.col("b") - F.col("b2")) / F.col("a2")).alias("shift"), F.when((F.col("source") % 13 == 5) | F.col("source").isin(40, 41), 0.1).otherwise(0.9).alias("quality"), F.lit(0.01).alias("holdout"))
     return alignment.align_sequence(edges)
 
 

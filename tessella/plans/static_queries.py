@@ -103,7 +103,14 @@ def greedy_match(spark, sf):
     return static.greedy_match(pairs, "frame_id")
 
 
-@query("depth_alignment_holdout")
+@query("depth_alignment_holdout", f"""WITH x AS (SELECT label, vec_id, abs(embedding[3]::DOUBLE) + 0.1::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL),
+ p AS (SELECT label::VARCHAR AS pair_id, x, CASE label % 3 WHEN 0 THEN x + 1 WHEN 1 THEN 2 * x ELSE 3 * x + 0.7::DOUBLE END AS y, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 5 = 4 AS o FROM x),
+ f AS (SELECT pair_id, count(*) FILTER (NOT o) >= 8 AND count(*) FILTER (o) >= 2 AS enough, greatest(quantile_cont(y, 0.75) - quantile_cont(y, 0.25), 1e-12::DOUBLE) AS spread, median(y - x) FILTER (NOT o) AS sh, exp(median(ln(y / x)) FILTER (NOT o)) AS sc,
+   min(x) FILTER (NOT o) > 0 AND min(y) FILTER (NOT o) > 0 AS pos, regr_slope(y, x) FILTER (NOT o) AS a, regr_intercept(y, x) FILTER (NOT o) AS b FROM p GROUP BY ALL),
+ m AS (SELECT pair_id, spread, 0 AS k, 'shift' AS model, 1.0::DOUBLE AS scale, sh AS shift FROM f WHERE enough UNION ALL SELECT pair_id, spread, 1, 'scale', sc, 0 FROM f WHERE enough AND pos UNION ALL SELECT pair_id, spread, 2, 'line', a, b FROM f WHERE enough AND a > 0),
+ e AS (SELECT m.pair_id, k, model, scale, shift, median(abs(y - scale * x - shift)) / any_value(spread) AS err FROM m JOIN p ON p.pair_id = m.pair_id AND o GROUP BY ALL),
+ w AS (SELECT * FROM (SELECT *, min(err) OVER (PARTITION BY pair_id) AS best FROM e) WHERE err <= 1.05::DOUBLE * best + 1e-12 QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY k) = 1)
+ SELECT f.pair_id, CASE WHEN err <= 0.25 THEN model ELSE 'none' END AS model, {r('CASE WHEN err <= 0.25 THEN scale END')} AS scale, {r('CASE WHEN err <= 0.25 THEN shift END')} AS shift, {r('CASE WHEN err <= 0.25 THEN err END')} AS error FROM f LEFT JOIN w USING (pair_id)""")
 def depth_alignment_holdout(spark, sf):
     g = lambda i: F.get("embedding", F.lit(i)).cast("double")
     e = table(spark, sf, "embeddings").where("label IS NOT NULL")

@@ -172,6 +172,22 @@ def test_sequence_alignment(spark):
     assert got[7]["reason"] == "depth_alignment_graph_disconnected" and got[7]["scale"] is None
 
 
+def test_potentials_of_noisy_edges():
+    """Conjugate gradients against dense least squares, on a graph with cycles and parallel edges."""
+    rng = np.random.default_rng(11)
+    n, m = 60, 240
+    a, b = np.concatenate([np.arange(n - 1), rng.integers(0, n, m)]), np.concatenate([np.arange(1, n), rng.integers(0, n, m)])
+    a, b = a[a != b], b[a != b]
+    gain, weight = rng.normal(size=len(a)), rng.uniform(0.1, 1, len(a))
+    dense = np.zeros((len(a), n))
+    dense[np.arange(len(a)), b] += 1
+    dense[np.arange(len(a)), a] -= 1
+    free = np.arange(n) != 4
+    want = np.zeros(n)
+    want[free] = np.linalg.lstsq(dense[:, free] * np.sqrt(weight)[:, None], gain * np.sqrt(weight), rcond=None)[0]
+    assert alignment.potentials(a, b, gain, weight, n, 4) == pytest.approx(want, abs=1e-9)
+
+
 def test_broken_pose_breaks_all_later(spark):
     unit = [float(x) for x in (1, 0, 0, 1, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)]
     df = spark.createDataFrame([("v", 0, unit, 0.9), ("v", 1, unit, 0.5), ("v", 2, None, 0.9), ("v", 3, unit, 0.9)], "video_id string, frame_index int, pose array<double>, confidence double")
