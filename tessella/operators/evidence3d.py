@@ -212,25 +212,36 @@ def direction_evidence(tracks: DataFrame, neighbours: DataFrame, group: list[str
 
     Tracks: group (object), point_id, frame_index, p. Neighbours: point_id, neighbours (array of point_id). A step
     goes from a point's previous row to this one; others count if they have both of these frames. Rows from a point's third on.
+
+    The median without the point itself follows from its rank and the few steps in the middle of all, so no point meets all others;
+    neighbours meet by point, a row each.
     """
+    c = F.col
     by = Window.partitionBy(*group, "point_id").orderBy("frame_index")
     step = lambda a, b: F.struct(*[(a[x] - b[x]).alias(x) for x in "xyz"])
     own = tracks.select(*group, "point_id", "frame_index", "p", F.lag("p").over(by).alias("_1"), F.lag("p", 2).over(by).alias("_2"), F.lag("frame_index").over(by).alias("_f1")).where("_f1 IS NOT NULL")
-    own = own.withColumn("_step", step(F.col("p"), F.col("_1"))).withColumn("_before", F.when(F.col("_2").isNotNull(), step(F.col("_1"), F.col("_2"))))
+    own = own.withColumn("_step", step(c("p"), c("_1"))).withColumn("_before", F.when(c("_2").isNotNull(), step(c("_1"), c("_2"))))
     spans = own.select(*group, "frame_index", "_f1").distinct()
-    now = tracks.select(*group, "frame_index", F.col("point_id").alias("_q"), F.col("p").alias("_now"))
-    then = tracks.select(*group, F.col("frame_index").alias("_f1"), F.col("point_id").alias("_q"), F.col("p").alias("_then"))
-    moves = spans.join(now, [*group, "frame_index"]).join(then, [*group, "_f1", "_q"])
-    moves = moves.groupBy(*group, "frame_index", "_f1").agg(F.collect_list(F.struct(F.col("_q").alias("q"), step(F.col("_now"), F.col("_then")).alias("d"))).alias("_all"))
-    # A list holds the points of one object in one frame.
-    out = own.where("_2 IS NOT NULL").join(moves, [*group, "frame_index", "_f1"]).join(F.broadcast(neighbours), "point_id", "left")
-    part = lambda rows, x: F.transform(rows, lambda m: m["d"][x])
-    middle = lambda rows: F.struct(*[array_median(part(rows, x)).alias(x) for x in "xyz"])
-    others = F.filter("_all", lambda m: m["q"] != F.col("point_id"))
-    local = F.filter("_all", lambda m: F.array_contains("neighbours", m["q"]) & (m["q"] != F.col("point_id")))
-    out = out.withColumn("_others", others).withColumn("_local", F.coalesce(local, F.array().cast(dict(out.dtypes)["_all"])))
-    result = out.select(*group, "point_id", "frame_index", _turn(F.col("_step"), F.col("_before"), least).alias("own"), _turn(F.col("_step"), middle(F.col("_others")), least).alias("object_median"), _turn(F.col("_step"), middle(F.col("_local")), least).alias("neighbour"))
-    return result.withColumn("reason", F.when(F.col("own").isNull(), "direction_undefined_for_near_static_displacement").otherwise(""))
+    now = tracks.select(*group, "frame_index", c("point_id").alias("_q"), c("p").alias("_now"))
+    then = tracks.select(*group, c("frame_index").alias("_f1"), c("point_id").alias("_q"), c("p").alias("_then"))
+    span = [*group, "frame_index", "_f1"]
+    moves = spans.join(now, [*group, "frame_index"]).join(then, [*group, "_f1", "_q"]).select(*span, "_q", step(c("_now"), c("_then")).alias("_d"))
+    # Each coordinate's order, and the steps around the middle.
+    moves = moves.withColumns({f"_r{x}": F.row_number().over(Window.partitionBy(*span).orderBy(f"_d.{x}", "_q")) - 1 for x in "xyz"})
+    moves = moves.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*span)))
+    low, high = F.floor((c("_n") - 2) / 2), F.floor((c("_n") - 1) / 2)
+    at = lambda x, place: F.max(F.when(c(f"_r{x}") == place, c(f"_d.{x}")))
+    centre = moves.groupBy(*span).agg(*[at(x, place).alias(f"_{x}{name}") for x in "xyz" for name, place in (("a", low), ("b", low + 1), ("c", high), ("d", high + 1))])
+    ranked = moves.join(centre, span)
+    others = lambda x: F.when(c("_n") > 1, (F.when(low < c(f"_r{x}"), c(f"_{x}a")).otherwise(c(f"_{x}b")) + F.when(high < c(f"_r{x}"), c(f"_{x}c")).otherwise(c(f"_{x}d"))) / 2)
+    ranked = ranked.select(*span, c("_q").alias("point_id"), F.struct(*[others(x).alias(x) for x in "xyz"]).alias("_others"))
+    rows = own.where("_2 IS NOT NULL")
+    near = rows.select(*span, "point_id").join(neighbours.select("point_id", F.explode("neighbours").alias("_q")), "point_id").where(c("_q") != c("point_id"))
+    near = near.join(moves.select(*span, "_q", "_d"), [*span, "_q"])
+    near = near.groupBy(*span, "point_id").agg(F.struct(*[F.median(f"_d.{x}").alias(x) for x in "xyz"]).alias("_local"))
+    out = rows.join(ranked, [*span, "point_id"]).join(near, [*span, "point_id"], "left")
+    result = out.select(*group, "point_id", "frame_index", _turn(c("_step"), c("_before"), least).alias("own"), _turn(c("_step"), c("_others"), least).alias("object_median"), _turn(c("_step"), c("_local"), least).alias("neighbour"))
+    return result.withColumn("reason", F.when(c("own").isNull(), "direction_undefined_for_near_static_displacement").otherwise(""))
 
 
 def object_dynamics(rows: DataFrame, keys: list[str], trim: float = 0.10, top: int = 3) -> DataFrame:

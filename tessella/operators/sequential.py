@@ -169,7 +169,7 @@ def plan_split(groups: DataFrame, features: list[str], ratios: dict[str, float],
             yield pd.DataFrame({"group_id": pdf["group_id"], "split": out, "source": "group_aware_planner"})
 
     kind = dict(groups.dtypes)["group_id"]
-    free = keyed.where("official IS NULL").select("group_id", "order_key", *features).orderBy("order_key", "group_id").coalesce(1)
+    free = keyed.where("official IS NULL").select("group_id", "order_key", *features).repartition(1).sortWithinPartitions("order_key", "group_id")
     planned = free.drop("order_key").mapInPandas(run, f"group_id {kind}, split string, source string")
     kept = fixed.select("group_id", F.col("official").alias("split"), F.when(F.col("official") == "official_conflict", "official_split_conflict").otherwise("official").alias("source"))
     return planned.unionByName(kept)
