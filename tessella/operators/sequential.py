@@ -14,13 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _iou(a, b) -> float:
-    w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-    h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-    return w * h / union if union > 0 else 0.0
-
-
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Least-cost 1:1 assignment of rows to columns (inf: not allowed), by shortest augmenting paths."""
     n, m = cost.shape
@@ -60,6 +53,40 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((i, j) for i, j in pairs if np.isfinite(cost[i, j]))
 
 
+TRACK = ["track", "label", "x1", "y1", "x2", "y2", "frame"]
+SIDES = ["x1", "y1", "x2", "y2"]
+
+
+def track_costs(tracks: pd.DataFrame, boxes: pd.DataFrame) -> np.ndarray:
+    """What it costs each box to continue each track, infinite where it may not (see :func:`associate`)."""
+    a, b = tracks[SIDES].to_numpy(float)[None], boxes[SIDES].to_numpy(float)[:, None]
+    size = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
+    cross = np.maximum(0.0, np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])).prod(axis=-1)
+    sa, sb = size(a), size(b)
+    union = sa + sb - cross
+    with np.errstate(divide="ignore", invalid="ignore"):
+        over = np.where(union > 0, cross / union, 0.0)
+        far = np.hypot(*np.moveaxis((a[..., :2] + a[..., 2:] - b[..., :2] - b[..., 2:]) / 2, -1, 0)) / np.hypot(boxes["width"].to_numpy(float), boxes["height"].to_numpy(float))[:, None]
+        skew = np.log(sa / sb)
+        able = (tracks["label"].to_numpy()[None] == boxes["label"].to_numpy()[:, None]) & (sa > 0) & (sb > 0)
+        able &= (far <= 0.25) & (np.maximum(sa / sb, sb / sa) <= 3) & ((over >= 0.1) | (far <= 0.125))
+        return np.where(able, (1 - over) + far + 0.2 * np.abs(skew), np.inf)
+
+
+def continue_tracks(tracks: pd.DataFrame, boxes: pd.DataFrame, frame: int, following: int, max_gap: int) -> tuple[np.ndarray, pd.DataFrame, int]:
+    """One frame's step: (each box's track, the tracks that may still go on, the next free id). ``tracks`` has the columns ``TRACK``."""
+    live = tracks[(frame - tracks["frame"] > 0) & (frame - tracks["frame"] <= max_gap)]
+    found = np.full(len(boxes), -1, np.int64)
+    if len(live) and len(boxes):
+        for i, j in assign(track_costs(live, boxes)):
+            found[i] = live["track"].iloc[j]
+    new = found < 0
+    found[new] = following + np.arange(int(new.sum()))
+    now = boxes[["label", *SIDES]].assign(track=found, frame=frame)[TRACK]
+    kept = pd.concat([live[~live["track"].isin(found)], now]) if len(live) else now
+    return found, kept.sort_values("track"), following + int(new.sum())
+
+
 def associate(boxes: DataFrame, max_gap: int = 2) -> DataFrame:
     """Track ids of detected boxes, carried from frame to frame.
 
@@ -67,41 +94,16 @@ def associate(boxes: DataFrame, max_gap: int = 2) -> DataFrame:
     may continue a track of its label last seen at most ``max_gap`` frames ago, with
     centres within a quarter diagonal, areas within three times, and an IoU of 0.1
     or centres within an eighth; cost (1 - IoU) + distance + 0.2 |ln area ratio|, least in sum.
+    ``tessella.streaming.tracks`` gives the same tracks for a stream.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_index", "box_id"])
-        tracks: list[dict] = []
-        out = np.zeros(len(pdf), np.int64)
-        at = 0
+        tracks, following, out = pd.DataFrame(columns=TRACK), 0, []
         for frame, rows in pdf.groupby("frame_index", sort=True):
-            live = [t for t in tracks if 0 < frame - t["frame"] <= max_gap]
-            items = list(rows.itertuples(index=False))
-            cost = np.full((len(items), len(live)), np.inf)
-            for i, r in enumerate(items):
-                b = (r.x1, r.y1, r.x2, r.y2)
-                for j, t in enumerate(live):
-                    if t["label"] != r.label:
-                        continue
-                    a = t["box"]
-                    far = math.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2) / math.hypot(r.width, r.height)
-                    sa, sb = (a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1])
-                    if sa <= 0 or sb <= 0:
-                        continue
-                    ratio, over = max(sa / sb, sb / sa), _iou(a, b)
-                    if far <= 0.25 and ratio <= 3 and (over >= 0.1 or far <= 0.125):
-                        cost[i, j] = (1 - over) + far + 0.2 * abs(math.log(sa / sb))
-            chosen = dict(assign(cost))
-            for i, r in enumerate(items):
-                if i in chosen:
-                    t = live[chosen[i]]
-                else:
-                    t = {"id": len(tracks), "label": r.label}
-                    tracks.append(t)
-                t["box"], t["frame"] = (r.x1, r.y1, r.x2, r.y2), frame
-                out[at] = t["id"]
-                at += 1
-        return pd.DataFrame({"video_id": pdf["video_id"], "frame_index": pdf["frame_index"], "box_id": pdf["box_id"], "track": out})
+            found, tracks, following = continue_tracks(tracks, rows, frame, following, max_gap)
+            out.append(found)
+        return pdf[["video_id", "frame_index", "box_id"]].assign(track=np.concatenate(out))
 
     kinds = dict(boxes.dtypes)
     return boxes.groupBy("video_id").applyInPandas(run, f"video_id {kinds['video_id']}, frame_index {kinds['frame_index']}, box_id {kinds['box_id']}, track long")

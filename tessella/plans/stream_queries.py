@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tessella.operators import fusion
 from tessella.session import new_folder
+from tessella.streaming import tracks
 from tessella.streaming import windows as streaming
 
 from .adapters import evidence, table
 from .registry import query, r
+from .table_queries import video_boxes
 
 
 def _stream(spark, sf):
@@ -40,6 +42,43 @@ def stream_dedup(spark, sf):
     return streaming.run_once(spark, out, f"{path}/table", f"{path}/state")
 
 
+def unique_boxes(spark, sf):
+    """The first box of each id in a frame: a stream takes a box that comes twice once."""
+    rest = ["label", "x1", "y1", "x2", "y2", "width", "height"]
+    keys = ["video_id", F.col("frame_index").cast("long").alias("frame_index"), F.col("box_id").cast("long").alias("box_id")]
+    return video_boxes(spark, sf).groupBy(*keys).agg(F.min(F.struct(*rest)).alias("b")).select("video_id", "frame_index", "box_id", "b.*")
+
+
+def _track_stream(spark, sf, path):
+    """The boxes as a stream of files out of order by up to three frames, and a last row that moves the watermark past them."""
+    boxes = unique_boxes(spark, sf)
+    late = F.pmod(F.xxhash64("video_id", "frame_index", "box_id"), F.lit(4))
+    dealt = boxes.withColumn("_file", F.floor((F.col("frame_index") + late) / 9))
+    for i in range(4):  # 32 frames, four files' folders in order of time
+        dealt.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(f"{path}/source")
+    last = boxes.limit(1).withColumn("video_id", F.lit(-1).cast("long")).withColumn("frame_index", F.lit(10**6).cast("long"))
+    last.coalesce(1).write.mode("append").parquet(f"{path}/source")
+    return spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
+
+
+@query("stream_tracks")
+def stream_tracks(spark, sf):
+    """Tracks of a stream of boxes: what ``sequential.associate`` gives for them, with state for each video."""
+    path = new_folder(spark, "stream-tracks")
+    tracks.rocks(spark)
+    stream = _track_stream(spark, sf, path)
+    return streaming.run_once(spark, tracks.track_boxes(stream, late=16), f"{path}/table", f"{path}/state").where("video_id >= 0")
+
+
+@query("stream_track_spans")
+def stream_track_spans(spark, sf):
+    """Each track's first and last frame and boxes, once it has ended."""
+    path = new_folder(spark, "stream-track-spans")
+    tracks.rocks(spark)
+    stream = _track_stream(spark, sf, path)
+    return streaming.run_once(spark, tracks.track_spans(stream, late=16), f"{path}/table", f"{path}/state").where("video_id >= 0")
+
+
 @query("risk_head")
 def risk_head(spark, sf):
     """Logistic head on pooled channels; a video is risky if its owner's balance is below zero."""

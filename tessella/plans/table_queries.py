@@ -293,11 +293,15 @@ def bind_points(spark, sf):
     return relations.bind_points(points, boxes)
 
 
+def video_boxes(spark, sf):
+    """Orders as frames, 32 a video, and their lines as boxes."""
+    b = _boxes(spark, sf)
+    return b.select((F.col("frame_id") / 32).cast("long").alias("video_id"), (F.col("frame_id") % 32).cast("int").alias("frame_index"), "box_id", (F.col("box_id") % 2).cast("string").alias("label"), "x1", "y1", "x2", "y2", F.lit(160.0).alias("width"), F.lit(90.0).alias("height"))
+
+
 @query("associate_objects")
 def associate_objects(spark, sf):
-    b = _boxes(spark, sf)
-    rows = b.select((F.col("frame_id") / 32).cast("long").alias("video_id"), (F.col("frame_id") % 32).cast("int").alias("frame_index"), "box_id", (F.col("box_id") % 2).cast("string").alias("label"), "x1", "y1", "x2", "y2", F.lit(160.0).alias("width"), F.lit(90.0).alias("height"))
-    return sequential.associate(rows)
+    return sequential.associate(video_boxes(spark, sf))
 
 
 # --- records -------------------------------------------------------------------------------------

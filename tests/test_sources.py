@@ -1,13 +1,15 @@
 """Configuration, cache, outputs, streams and single-frame operators."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import gates, lineage, pooling, static
+from tessella.operators import gates, lineage, pooling, sequential, static
 from tessella.sources import cache, config, manifest, outputs, records
+from tessella.streaming import tracks
 from tessella.streaming import windows as streaming
 
 
@@ -213,3 +215,40 @@ def test_curves_in_ranges(spark, monkeypatch):
         assert ("a", t, sum(r[2] for r in hit), sum(1 - r[2] for r in hit)) in {r[:4] for r in want} or t not in {r[1] for r in rows if r[0] == "a"}
     monkeypatch.setattr(metrics, "RANGES", 3)
     assert sorted((r["g"] or "", r["threshold"] or -1.0, r["tp"], r["fp"], r["tn"], r["fn"]) for r in metrics.roc_curve(df, ["g"]).collect()) == want
+
+
+BOXES = "video_id long, frame_index long, box_id long, label string, x1 double, y1 double, x2 double, y2 double, width double, height double"
+
+
+def test_stream_of_tracks_is_the_batch_operator(spark, tmp_path):
+    """Boxes out of order in micro-batches, one restart in between: the tracks are the batch operator's, and every track ends once."""
+    rng = random.Random(3)
+    rows = []
+    for v in range(4):
+        for f in range(30):
+            for b in range(rng.randrange(0, 4)):
+                x, y = rng.randrange(100) + f / 3, rng.randrange(50)
+                rows.append((v, f, b, rng.choice("ab"), float(x), float(y), float(x + rng.randrange(5, 40)), float(y + rng.randrange(5, 30)), 160.0, 90.0))
+    files: dict[int, list] = {}
+    for r in rows:
+        files.setdefault((r[1] + rng.randrange(4)) // 8, []).append(r)
+    source = str(tmp_path / "source")
+    feed = lambda part: spark.createDataFrame(part, BOXES).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(BOXES).option("maxFilesPerTrigger", 1).parquet(source)
+    run = lambda build, name: streaming.run_once(spark, build(stream(), 12), str(tmp_path / name), str(tmp_path / f"{name}-state"))
+    tracks.rocks(spark)
+    keys = sorted(files)
+    for k in keys[:2]:
+        feed(files[k])
+    run(tracks.track_boxes, "boxes")
+    for k in keys[2:]:
+        feed(files[k])
+    feed([(-1, 10**6, 0, "end", 0.0, 0.0, 1.0, 1.0, 160.0, 90.0)])  # moves the watermark past all
+    got = {(r["video_id"], r["frame_index"], r["box_id"]): r["track"] for r in run(tracks.track_boxes, "boxes").where("video_id >= 0").collect()}
+    want = {(r["video_id"], r["frame_index"], r["box_id"]): r["track"] for r in sequential.associate(spark.createDataFrame(rows, BOXES)).collect()}
+    assert got == want
+    spans: dict[tuple, list] = {}
+    for (v, f, _), t in want.items():
+        spans.setdefault((v, t), []).append(f)
+    ended = sorted(tuple(r) for r in run(tracks.track_spans, "spans").where("video_id >= 0").collect())
+    assert ended == sorted((v, t, min(x), max(x), len(x)) for (v, t), x in spans.items())
