@@ -148,12 +148,19 @@ def occlusion_pairs(supports: DataFrame, key: list[str]) -> DataFrame:
 
 
 def chamfer(left: DataFrame, right: DataFrame, key: list[str], diagonal: float) -> DataFrame:
-    """Symmetric mean nearest distance of two boundaries in diagonals. Both: key, x, y."""
-    l, r = (d.select(*key, F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}")) for d, s in ((left, 0), (right, 1)))
-    pairs = l.join(r, key).withColumn("d", F.sqrt((F.col("x0") - F.col("x1")) ** 2 + (F.col("y0") - F.col("y1")) ** 2))
-    one = pairs.groupBy(*key, "x0", "y0").agg(F.min("d").alias("d")).groupBy(*key).agg(F.avg("d").alias("a"))
-    two = pairs.groupBy(*key, "x1", "y1").agg(F.min("d").alias("d")).groupBy(*key).agg(F.avg("d").alias("b"))
-    return one.join(two, key).select(*key, ((F.col("a") + F.col("b")) / 2 / diagonal).alias("distance"))
+    """Symmetric mean nearest distance of two boundaries in diagonals. Both: key, x, y.
+
+    Each boundary is one array (contours are sampled to some hundred points), so pairs are only ever looked at inside an expression.
+    """
+    side = lambda d, name: d.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("x", "y"))).alias(name))
+    both = side(left, "_l").join(side(right, "_r"), key)
+
+    def nearest(one: str, other: str):
+        square = lambda p, q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])
+        least = F.transform(one, lambda p: F.sqrt(F.array_min(F.transform(other, lambda q: square(p, q)))))
+        return F.aggregate(least, F.lit(0.0), lambda s, d: s + d) / F.size(one)
+
+    return both.select(*key, ((nearest("_l", "_r") + nearest("_r", "_l")) / 2 / diagonal).alias("distance"))
 
 
 def metric_size(rows: DataFrame) -> DataFrame:
