@@ -237,17 +237,16 @@ def frame_hash(frames: DataFrame, key: list[str], width: int, height: int, size:
         first, last = F.floor(a).cast("int"), F.least(F.lit(cells - 1), F.ceil(b).cast("int") - 1)
         return F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.struct(i.alias("i"), (F.least(b, i + 1) - F.greatest(a, i)).alias("w")))
 
-    spread = frames.select(*key, "gray", F.explode(share("row", size, height)).alias("r"), share("col", size + 1, width).alias("_c")).select(*key, "gray", "r", F.explode("_c").alias("k"))
-    cells = spread.groupBy(*key, c("r.i").alias("i"), c("k.i").alias("j")).agg(F.sum(c("gray") * c("r.w") * c("k.w")).alias("v"))
+    spread = frames.select(*key, "gray", F.explode(share("row", size, height)).alias("_r"), share("col", size + 1, width).alias("_c")).select(*key, "gray", "_r", F.explode("_c").alias("_k"))
+    cells = spread.groupBy(*key, c("_r.i").alias("_i"), c("_k.i").alias("_j")).agg(F.sum(c("gray") * c("_r.w") * c("_k.w")).alias("_v"))
     # Sums of the same parts in another order differ in their last bits.
-    value = F.round("v", 9)
-    rows = cells.groupBy(*key, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", value.alias("v")))).alias("m"))
-    at = lambda j: F.coalesce(F.try_element_at("m", F.lit(j)), F.lit(0.0))
+    rows = cells.groupBy(*key, "_i").agg(F.map_from_entries(F.collect_list(F.struct("_j", F.round("_v", 9).alias("v")))).alias("_m"))
+    at = lambda j: F.coalesce(F.try_element_at("_m", F.lit(j)), F.lit(0.0))
     bits = F.lit(0).cast("long")
     for j in range(size):
         bits = bits * 2 + F.when(at(j + 1) > at(j), F.lit(1)).otherwise(F.lit(0))
     # Cells of a row are one byte; bytes stand side by side, the first row highest.
     shifted = F.lit(0).cast("long")
     for i in range(size):
-        shifted = F.when(c("i") == i, F.expr(f"shiftleft(_b, {size * (size - 1 - i)})")).otherwise(shifted)
+        shifted = F.when(c("_i") == i, F.expr(f"shiftleft(_b, {size * (size - 1 - i)})")).otherwise(shifted)
     return rows.withColumn("_b", bits).groupBy(*key).agg(F.bit_or(shifted).alias("hash"))

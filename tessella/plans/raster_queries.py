@@ -128,3 +128,34 @@ def frame_hash(spark, sf):
     frames = line.groupBy(F.col("l_suppkey").alias("object_id"), (F.col("l_partkey") % SIDE).cast("int").alias("row"), (F.col("l_orderkey") % 20).cast("int").alias("col")).agg(F.max("l_quantity").cast("double").alias("gray"))
     out = raster.frame_hash(frames, KEY, 20, SIDE)
     return out.select("object_id", F.lpad(F.bin("hash"), 64, "0").alias("bits"))
+
+
+# --- robust models -------------------------------------------------------------------------------
+
+_H = ["1 + (k % 5) / 50.0D", "(k % 3) / 40.0D", "5.0D + k % 7", "-(k % 4) / 50.0D", "1 - (k % 6) / 60.0D", "k % 9 - 4.0D", "(k % 3) / 20000.0D", "-(k % 5) / 30000.0D"]
+_HS = [h.replace("D", "::DOUBLE") for h in _H]
+
+
+@query("robust_homography", f"""WITH l AS (SELECT (l_suppkey % 20)::BIGINT AS k, (l_partkey % 640)::DOUBLE AS x, (l_orderkey % 480)::DOUBLE AS y, (l_orderkey + l_linenumber) % 5 < 2 AS bad, (l_orderkey * 7919 % 640)::DOUBLE AS ru, (l_partkey * 104729 % 480)::DOUBLE AS rv FROM lineitem),
+ h AS (SELECT *, {', '.join(f'{h} AS h{i}' for i, h in enumerate(_HS))} FROM l), t AS (SELECT *, (h0 * x + h1 * y + h2) / (h6 * x + h7 * y + 1) AS u, (h3 * x + h4 * y + h5) / (h6 * x + h7 * y + 1) AS v FROM h),
+ d AS (SELECT *, CASE WHEN bad THEN sqrt((u - ru) * (u - ru) + (v - rv) * (v - rv)) ELSE 0 END AS d FROM t),
+ g AS (SELECT k, count(*) AS support, count(*) FILTER (NOT bad) AS planted, {', '.join(f'any_value(h{i}) AS h{i}' for i in range(8))} FROM d GROUP BY k)
+ SELECT k, {', '.join(f"{r(f'round(h{i}, 5)')} AS h{i}" for i in range(8))}, support, true AS enough, true AS precise, '' AS reason FROM g""")
+def robust_homography(spark, sf):
+    """Planted motions of twenty pairs, two fifths of the points astray: the model to five decimals, inliers at least as many as planted (within the strays that happen to fit)."""
+    from tessella.operators import ransac
+
+    c = F.col
+    line = table(spark, sf, "lineitem").select(
+        (c("l_suppkey") % 20).cast("long").alias("k"), (c("l_partkey") % 640).cast("double").alias("x"), (c("l_orderkey") % 480).cast("double").alias("y"), ((c("l_orderkey") + c("l_linenumber")) % 5 < 2).alias("bad"),
+        (c("l_orderkey") * 7919 % 640).cast("double").alias("ru"), (c("l_partkey") * 104729 % 480).cast("double").alias("rv"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("point_id"),
+    )
+    h = [F.expr(x) for x in _H]
+    w = h[6] * c("x") + h[7] * c("y") + 1
+    u, v = (h[0] * c("x") + h[1] * c("y") + h[2]) / w, (h[3] * c("x") + h[4] * c("y") + h[5]) / w
+    points = line.select(c("k").alias("pair_id"), "point_id", "bad", c("x").alias("x0"), c("y").alias("y0"), F.when(c("bad"), c("ru")).otherwise(u).alias("x1"), F.when(c("bad"), c("rv")).otherwise(v).alias("y1"))
+    found = ransac.robust_models(points, "homography", 0.01)
+    planted = points.groupBy("pair_id").agg(F.count_if(~c("bad")).alias("planted"))
+    out = found.join(planted, "pair_id")
+    strays = (c("inliers") - c("planted")) / c("support")
+    return out.select(c("pair_id").alias("k"), *[F.round(F.get("model", F.lit(i)), 5).alias(f"h{i}") for i in range(8)], "support", strays.between(0, 0.01).alias("enough"), (c("error") < 0.01).alias("precise"), "reason")
