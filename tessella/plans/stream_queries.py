@@ -1,10 +1,10 @@
-"""Streaming mirrors run to the end of the files, and the risk head."""
+"""Streaming mirrors run to the end of the files, and the recurrent head."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import fusion
+from tessella.operators import fusion, recurrent
 from tessella.session import new_folder
 from tessella.streaming import tracks
 from tessella.streaming import windows as streaming
@@ -79,18 +79,20 @@ def stream_track_spans(spark, sf):
     return streaming.run_once(spark, tracks.track_spans(stream, late=16), f"{path}/table", f"{path}/state").where("video_id >= 0")
 
 
+def _risk_sequences(spark, sf):
+    """A video's clips as steps of twelve channels; it is risky if an above-average share of its events are errors, which its channels only show by what is missing."""
+    rows = evidence(spark, sf)
+    steps = fusion.channel_matrix(rows).withColumn("step", F.substring("clip_id", 2, 10).cast("int")).withColumnRenamed("video_id", "sequence_id")
+    mean = rows.agg(F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0))).first()[0] or 0.0
+    labels = rows.groupBy("video_id").agg((F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)) > mean).cast("int").alias("label")).withColumnRenamed("video_id", "sequence_id")
+    part = F.pmod(F.xxhash64("sequence_id"), F.lit(10))
+    fold = F.when(part < 6, "train").when(part < 8, "validation").otherwise("test")
+    return steps.join(labels, "sequence_id").withColumn("fold", fold)
+
+
 @query("risk_head")
 def risk_head(spark, sf):
-    """Logistic head on pooled channels; a video is risky if its owner's balance is below zero."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    m = fusion.channel_matrix(evidence(spark, sf))
-    pooled = m.groupBy("video_id").agg(*[F.coalesce(f(f"{c}_value"), F.lit(0.0)).alias(f"{c}_{f.__name__}") for c in fusion.CHANNELS for f in (F.avg, F.max)])
-    owners = table(spark, sf, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("video_id"), (F.col("c_acctbal") < 0).cast("double").alias("label"))
-    pooled = pooled.join(owners, "video_id", "left").na.fill(0.0, ["label"])
-    names = [c for c in pooled.columns if c not in ("video_id", "label")]
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(pooled)
-    model = LogisticRegression(maxIter=20, regParam=0.1).fit(data)
-    return model.transform(data).select("video_id", vector_to_array("probability")[1].alias("probability"))
+    """The recurrent head: trained on one fold of the videos, its epoch chosen on another, probabilities of all."""
+    packed = recurrent.pack_sequences(_risk_sequences(spark, sf), fusion.CHANNELS, {"value": "_value", "confidence": "_confidence"})
+    head = recurrent.train(packed, recurrent.Shape(len(fusion.CHANNELS), 16), new_folder(spark, "risk-head"), epochs=12, rate=0.03)
+    return recurrent.score(packed, head).select(F.col("sequence_id").alias("video_id"), "fold", "label", "probability", "predicted")
