@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import fusion
 from tessella.session import new_folder
-from tessella.sources import cache, manifest, outputs, records
+from tessella.sources import archives, cache, manifest, outputs, records
 
 from .adapters import EV, RE, evidence, table
 from .adapters import records as samples
@@ -221,3 +221,35 @@ def analysis_output(spark, sf):
     scores = [fusion.entity_scores(e, k) for k in ("object_id", "track_id")]
     outputs.write_analysis(root, clips, fusion.fuse_videos(clips), clips.where("risk_score > 0.5").select("video_id", "start_frame", "end_frame"), *scores, heat=heat)
     return spark.read.parquet(f"{root}/clips").select("video_id", "clip_id", "start_frame", "end_frame", "rows", "confidence")
+
+
+@query("zip_directory", "SELECT doc_id, octet_length(encode(text)) AS size, true AS crc_equal, '' AS reason FROM documents WHERE text IS NOT NULL")
+def zip_directory(spark, sf):
+    """Texts written to archives, sixteen folders of members, and the archives' directories read back: sizes, and whether checksums are the texts'."""
+    path = new_folder(spark, "archives")
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int").alias("archive"))
+
+    def write(pdf):
+        import io
+        import zipfile
+
+        from pyarrow import fs
+
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                z.writestr(f"texts/{doc_id}.txt", text.encode())
+        name = f"{path}/{pdf['archive'].iloc[0]}.zip"
+        system, inner = fs.FileSystem.from_uri(name)
+        system.create_dir(inner.rsplit("/", 1)[0])
+        with system.open_output_stream(inner) as f:
+            f.write(held.getvalue())
+        return pdf[["archive"]].head(1).assign(path=name)
+
+    written = docs.groupBy("archive").applyInPandas(write, "archive int, path string")
+    paths = sorted(r["path"] for r in written.collect())  # sixteen
+    spark.dataSource.register(archives.ZipDirectory)
+    found = spark.read.format("zip_directory").option("paths", "\n".join(paths)).load()
+    doc_id = F.regexp_extract("member", r"(\d+)\.txt$", 1).cast("long")
+    found = found.select(doc_id.alias("doc_id"), "size", "crc32", "reason")
+    return found.join(docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("own")), "doc_id").select("doc_id", "size", (F.col("crc32") == F.col("own")).alias("crc_equal"), "reason")

@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import gates, lineage, pooling, sequential, static
-from tessella.sources import cache, config, manifest, outputs, records
+from tessella.sources import archives, cache, config, manifest, outputs, records
 from tessella.streaming import tracks
 from tessella.streaming import windows as streaming
 
@@ -252,3 +253,46 @@ def test_stream_of_tracks_is_the_batch_operator(spark, tmp_path):
         spans.setdefault((v, t), []).append(f)
     ended = sorted(tuple(r) for r in run(tracks.track_spans, "spans").where("video_id >= 0").collect())
     assert ended == sorted((v, t, min(x), max(x), len(x)) for (v, t), x in spans.items())
+
+
+def test_zip_directories(spark, tmp_path):
+    """Members, sizes and checksums as zipfile gives them, Zip64 and comments included; faults are rows with a reason."""
+    import zipfile
+
+    paths, want = [], {}
+    for k in range(4):
+        path = tmp_path / f"{k}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED) as z:
+            for i in range((0, 3, 700, 20)[k]):
+                if k == 3 and i % 5 == 0:
+                    with z.open(f"d/{i} é.txt", "w", force_zip64=True) as f:
+                        f.write(b"x" * i)
+                else:
+                    z.writestr(f"d/{i} é.txt" if i % 3 else f"dir{i}/", b"" if i % 3 == 0 else b"text %d" % i * i)
+        want[f"file://{path}"] = [(i.filename, i.is_dir(), i.file_size, i.compress_size, i.CRC, i.compress_type, i.header_offset) for i in zipfile.ZipFile(path).infolist()]
+        paths.append(f"file://{path}")
+    whole = (tmp_path / "2.zip").read_bytes()
+    # An archive whose end record points to 64-bit values.
+    small = (tmp_path / "1.zip").read_bytes()
+    at = small.rfind(b"PK\x05\x06")
+    note = b"PK\x05\x06 in a comment"
+    count, size, offset = struct.unpack_from("<HLL", small, at + 10)
+    end64 = struct.pack("<4sQ2H2L4Q", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, size, offset)
+    big = small[:at] + end64 + struct.pack("<4sLQL", b"PK\x06\x07", 0, at, 1) + struct.pack("<4s4H2LH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+    bad = {"big.zip": (big, None), "note.zip": (small[:-2] + struct.pack("<H", len(note)) + note, None), "cut.zip": (whole[: len(whole) // 2], "end_record_missing"), "text.zip": (b"plain", "not_a_zip_archive"), "mixed.zip": (whole.replace(b"PK\x01\x02", b"PK\x01\x03"), "unexpected_directory_signature")}
+    for name, (content, _) in bad.items():
+        (tmp_path / name).write_bytes(content)
+        paths.append(f"file://{tmp_path / name}")
+    paths.append(f"file://{tmp_path}/none.zip")
+    spark.dataSource.register(archives.ZipDirectory)
+    df = spark.read.format("zip_directory").option("paths", "\n".join(paths)).load()
+    assert df.rdd.getNumPartitions() == len(paths)
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["archive"], []).append(r)
+    for path, members in want.items():
+        assert [(r["member"], r["directory"], r["size"], r["compressed_size"], r["crc32"], r["method"], r["header_offset"]) for r in sorted(got.get(path, []), key=lambda r: r["position"])] == members
+    for name, (_, reason) in bad.items():
+        rows = got[f"file://{tmp_path / name}"]
+        assert reason is None and [r["member"] for r in rows] == [m[0] for m in want[paths[1]]] or [r["reason"] for r in rows] == [reason]
+    assert [r["reason"] for r in got[paths[-1]]] == ["archive_unavailable"]
