@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns a training manifest must have.
@@ -97,6 +97,88 @@ def prior_registry(spark: SparkSession, entries: list[Mapping], sources: DataFra
     return spark.createDataFrame(rows, "entry_id string, class_name string, label string, supported_dimension string, min_m double, max_m double, derivation_id string")
 
 
+#: The formal registry's schema, its sources' columns and what its entries may say.
+FORMAL = {"schema_version": "paper_core_scale_priors_v1", "unit": "meter"}
+SOURCE_FIELDS = ("derivation_id", "source_type", "source_title", "publisher", "source_identifier", "source_version", "accessed_at", "sample_count", "raw_measurements_or_range", "derivation_method", "review_status")
+APPROVED, TOO_BROAD = "APPROVED_SOURCE_BACKED", "CATEGORY_TOO_BROAD_WITHOUT_SUBTYPE"
+DIMENSIONS, CONFIDENCES, SCOPES = ("height", "width", "length"), ("low", "medium", "high"), ("dimension_definition", "applicable_scope", "excluded_scope")
+
+
+def _source_faults(sources: DataFrame) -> DataFrame:
+    """(derivation_id, fault) of sources that break a rule."""
+    c = F.col
+    blank = F.lit(False)
+    for f in SOURCE_FIELDS:
+        blank = blank | (F.trim(F.coalesce(c(f).cast("string"), F.lit(""))) == "")
+    again = F.count(F.lit(1)).over(Window.partitionBy("derivation_id")) > 1
+    fault = F.when(again | (F.coalesce("derivation_id", F.lit("")) == ""), "is empty or repeated").when(~c("review_status").eqNullSafe(F.lit(APPROVED)), "is not source-approved")
+    fault = fault.when(~F.coalesce(F.expr("try_cast(sample_count AS INT)") > 0, F.lit(False)), "has no source samples").when(blank, "has incomplete provenance")
+    return sources.select("derivation_id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def _labels(entry: Mapping) -> list[str]:
+    labels = [entry.get("class_name"), *entry.get("aliases", ())]
+    if any(not isinstance(x, str) or not x.strip() or x != x.strip() for x in labels):
+        raise ValueError(f"{entry.get('class_name')!r}: names must be non-empty exact text")
+    if len(labels) != len(set(labels)):
+        raise ValueError(f"{entry.get('class_name')!r} repeats a name")
+    return labels
+
+
+def formal_registry(spark: SparkSession, payload: Mapping, sources: DataFrame) -> DataFrame:
+    """Every name of a formal prior registry: its prior (entry_id, category, dimension, min_m, max_m, confidence, minimum_observability, scopes,
+    derivation_id), or why its class is ``unsupported``.
+
+    The registry is a configuration, the sources a table (``SOURCE_FIELDS``). Whatever breaks a rule is an error: another schema or unit, a source that is
+    unapproved, repeated, without samples or with an empty field, an entry without id, source, scope, a range 0 < min < max, a known dimension or
+    confidence, and a name that stands twice, among priors and unsupported classes together.
+    """
+    for name, value in FORMAL.items():
+        if payload.get(name) != value:
+            raise ValueError(f"{name} must be {value!r}")
+    lacking = set(SOURCE_FIELDS) - set(sources.columns)
+    if lacking:
+        raise ValueError(f"the source table lacks {sorted(lacking)}")
+    for r in _source_faults(sources).limit(1).collect():
+        raise ValueError(f"source {r['derivation_id']!r} {r['fault']}")
+    wanted = sorted({str(e.get("derivation_id", "")) for e in payload.get("priors", ())})
+    known = {r[0] for r in sources.where(F.col("derivation_id").isin(wanted)).select("derivation_id").collect()}  # at most the registry's entries
+    names: set[str] = set()
+    ids: set[str] = set()
+    rows = []
+
+    def claim(label: str) -> None:
+        if label in names:
+            raise ValueError(f"{label!r} stands for several entries")
+        names.add(label)
+
+    for e in payload.get("priors", ()):
+        labels, entry = _labels(e), str(e.get("entry_id", ""))
+        low, high, sight = float(e["min_m"]), float(e["max_m"]), float(e.get("minimum_observability", 0.0))
+        checks = {
+            "its id is empty or repeated": bool(entry) and entry not in ids,
+            "its source isn't approved": str(e.get("derivation_id", "")) in known,
+            "unsupported dimension": e.get("supported_dimension") in DIMENSIONS,
+            "the range must be 0 < min < max": 0 < low < high < math.inf,
+            "unknown confidence": e.get("confidence") in CONFIDENCES,
+            "incomplete scope": all(e.get(s) for s in SCOPES),
+        }
+        for fault, fine in checks.items():
+            if not fine:
+                raise ValueError(f"{entry!r}: {fault}")
+        ids.add(entry)
+        for label in labels:
+            claim(label)
+            rows.append((entry, labels[0], label, e["supported_dimension"], low, high, e["confidence"], sight, *(str(e[s]) for s in SCOPES), str(e["derivation_id"]), ""))
+    for e in payload.get("unsupported_classes", ()):
+        if e.get("reason") != TOO_BROAD:
+            raise ValueError(f"{e.get('class_name')!r}: no approved reason")
+        for label in _labels(e):
+            claim(label)
+            rows.append((None, None, label, *[None] * 9, TOO_BROAD))
+    return spark.createDataFrame(rows, "entry_id string, category string, label string, dimension string, min_m double, max_m double, confidence string, minimum_observability double, dimension_definition string, applicable_scope string, excluded_scope string, derivation_id string, unsupported string")
+
+
 def axis_registry(config: Mapping) -> dict[str, float]:
     """The thresholds of an axis configuration, frozen, blind to labels and without fallback; anything else is an error."""
     wanted = {"schema_version": "paper_core_canonical_axis_v1", "unit_system": "meter", "frozen_before_real_video_run": True, "post_result_threshold_tuning": False, "authenticity_label_used": False, "universal_fallback": False}

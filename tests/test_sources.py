@@ -296,3 +296,42 @@ def test_zip_directories(spark, tmp_path):
         rows = got[f"file://{tmp_path / name}"]
         assert reason is None and [r["member"] for r in rows] == [m[0] for m in want[paths[1]]] or [r["reason"] for r in rows] == [reason]
     assert [r["reason"] for r in got[paths[-1]]] == ["archive_unavailable"]
+
+
+def _registry(**changes):
+    entry = {"entry_id": "e", "class_name": "cup", "aliases": ["mug"], "supported_dimension": "height", "dimension_definition": "d", "applicable_scope": "a", "excluded_scope": "x", "min_m": 0.1, "max_m": 0.2, "confidence": "low", "derivation_id": "s"}
+    return {"schema_version": "paper_core_scale_priors_v1", "unit": "meter", "priors": [entry | changes], "unsupported_classes": [{"class_name": "thing", "reason": manifest.TOO_BROAD}]}
+
+
+def _sources(spark, **changes):
+    row = {f: "stated" for f in manifest.SOURCE_FIELDS} | {"derivation_id": "s", "sample_count": "3", "review_status": manifest.APPROVED} | changes
+    return spark.createDataFrame([tuple(row[f] for f in manifest.SOURCE_FIELDS)], ", ".join(f"{f} string" for f in manifest.SOURCE_FIELDS))
+
+
+def test_formal_registry(spark):
+    got = {r["label"]: r for r in manifest.formal_registry(spark, _registry(), _sources(spark)).collect()}
+    assert set(got) == {"cup", "mug", "thing"} and got["mug"]["category"] == "cup" and got["mug"]["min_m"] == 0.1 and got["thing"]["unsupported"] == manifest.TOO_BROAD
+
+
+@pytest.mark.parametrize(
+    "changes", [{"entry_id": ""}, {"derivation_id": "t"}, {"supported_dimension": "depth"}, {"min_m": 0.0}, {"max_m": float("inf")}, {"min_m": float("nan")}, {"confidence": "sure"}, {"excluded_scope": ""}, {"aliases": ["cup"]}, {"aliases": [" mug"]}, {"aliases": ["thing"]}, {"class_name": None}]
+)
+def test_formal_registry_rejects_entries(spark, changes):
+    with pytest.raises(ValueError):
+        manifest.formal_registry(spark, _registry(**changes), _sources(spark))
+
+
+@pytest.mark.parametrize("changes", [{"review_status": "approved"}, {"sample_count": "0"}, {"sample_count": "many"}, {"publisher": " "}, {"publisher": None}, {"derivation_id": ""}])
+def test_formal_registry_rejects_sources(spark, changes):
+    with pytest.raises(ValueError):
+        manifest.formal_registry(spark, _registry(), _sources(spark, **changes))
+
+
+def test_formal_registry_rejects_schemas(spark):
+    for changes in ({"unit": "cm"}, {"schema_version": "v2"}, {"unsupported_classes": [{"class_name": "thing", "reason": "because"}]}, {"unsupported_classes": [{"class_name": "mug", "reason": manifest.TOO_BROAD}]}):
+        with pytest.raises(ValueError):
+            manifest.formal_registry(spark, _registry() | changes, _sources(spark))
+    with pytest.raises(ValueError):
+        manifest.formal_registry(spark, _registry(), _sources(spark).drop("publisher"))
+    with pytest.raises(ValueError):
+        manifest.formal_registry(spark, _registry(), _sources(spark).unionByName(_sources(spark)))
