@@ -223,6 +223,62 @@ def warp(mask: DataFrame, key: list[str], matrix: str, width: int, height: int)
     return target.join(source, [*key, "_sr", "_sc"]).select(*key, "row", "col")
 
 
+#: How a support was predicted, and why it couldn't be.
+TRANSLATED, TURNED, UNTURNED, PROJECTED = "history_mask_constant_translation", "rotation_compensated_history_mask_warp", "rotation_mode_2d_history_motion_only", "full_se3_history_support_projection"
+
+
+def predict_supports(masks: DataFrame, frames: DataFrame, objects: DataFrame, projected: DataFrame, key: list[str], width: int, height: int) -> tuple[DataFrame, DataFrame]:
+    """Where objects should be in a later frame under each geometry mode: (one row an object, the predicted pixels).
+
+    Objects: key, target_frame, mode (unavailable, static_camera_3d, rotation_compensated, full_se3_3d), motion_u, motion_v (a motion prior in pixels between the
+    last two masks; NULL: their centres' shift), rotation (six numbers of an affine map of (col, row), or NULL), has_projection. Frames: key, frame_index,
+    confidence, legacy, for every valid mask. Masks: key, frame_index, row, col. Projected: key, row, col of a full projection.
+
+    The last mask before the target moves on at the speed of the last two, then turns with the camera where its rotation is known; a full projection is
+    taken as it is. Gives history (frames), method, predicted_area, support_area, in_frame_ratio, quality, reason. Nothing of the target frame is looked at.
+    """
+    c = F.col
+    past = frames.join(objects.select(*key, "target_frame"), key).where("frame_index < target_frame")
+    two = past.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("frame_index")))).where("_r <= 2")
+    centre = masks.groupBy(*key, "frame_index").agg(F.avg("col").alias("_u"), F.avg("row").alias("_v"), F.count(F.lit(1)).alias("_area"))
+    pick = lambda r, x: F.max(F.when(c("_r") == r, c(x)))
+    last = two.join(centre, [*key, "frame_index"]).groupBy(*key).agg(
+        F.count(F.lit(1)).cast("int").alias("history"), *[pick(r, x).alias(f"{x}{r}") for r in (1, 2) for x in ("frame_index", "_u", "_v", "_area")], F.min("confidence").alias("_q"), F.max(c("legacy").cast("int")).alias("_legacy")
+    )
+    whole = projected.groupBy(*key).agg(F.count_if(c("row").between(0, height - 1) & c("col").between(0, width - 1)).alias("_projected"))
+    o = objects.join(last, key, "left").join(whole, key, "left").na.fill(0, ["history", "_projected"])
+    ahead = (c("target_frame") - c("frame_index1")) / (c("frame_index1") - c("frame_index2"))
+    given = c("motion_u").isNotNull() & c("motion_v").isNotNull()
+    shift = lambda x: F.when(given, c(f"motion_{x}")).otherwise(c(f"_{x}1") - c(f"_{x}2"))
+    o = o.withColumn("_su", shift("u") * ahead).withColumn("_sv", shift("v") * ahead)
+    turning = (c("mode") == "rotation_compensated") & c("rotation").isNotNull()
+    r = lambda i: F.get("rotation", F.lit(i))
+    sane = (F.size("rotation") == 6) & F.forall("rotation", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    full = c("mode") == "full_se3_3d"
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(c(x)) < float("inf")), F.lit(False))
+    early = (
+        F.when(c("history") == 0, "missing_mask_history").when(c("mode") == "unavailable", "dynamic_geometry_unavailable").when(c("history") < 2, "insufficient_mask_history")
+        .when(full & ~c("has_projection"), "full_se3_support_projector_unavailable").when(full & (c("_projected") == 0), "invalid_full_se3_projected_support")
+        .when(~full & ~(finite("_su") & finite("_sv")), "invalid_object_motion_translation").when(turning & ~sane, "invalid_rotation_affine").otherwise("")
+    )
+    o = o.withColumn("_early", early)
+    plain = F.array(F.lit(1.0), F.lit(0.0), c("_su"), F.lit(0.0), F.lit(1.0), c("_sv"), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    turned = F.array(r(0), r(1), r(0) * c("_su") + r(1) * c("_sv") + r(2), r(3), r(4), r(3) * c("_su") + r(4) * c("_sv") + r(5), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    moving = o.where((c("_early") == "") & ~full).select(*key, c("frame_index1").alias("frame_index"), F.when(turning, turned).otherwise(plain).alias("_matrix"))
+    pixels = warp(masks.join(moving, [*key, "frame_index"]), key, "_matrix", width, height)
+    inside = projected.join(o.where((c("_early") == "") & full).select(*key), key).where(c("row").between(0, height - 1) & c("col").between(0, width - 1)).select(*key, "row", "col")
+    pixels = pixels.unionByName(inside)
+    found = pixels.groupBy(*key).agg(F.count(F.lit(1)).alias("support_area"))
+    out = o.join(found, key, "left").na.fill(0, ["support_area"])
+    out = out.withColumn("reason", F.when((c("_early") == "") & (c("support_area") == 0), "predicted_support_outside_frame").otherwise(c("_early")))
+    ok = c("reason") == ""
+    method = F.when(full, PROJECTED).when(turning, TURNED).when(c("mode") == "rotation_compensated", UNTURNED).otherwise(TRANSLATED)
+    quality = F.when(c("_legacy") == 1, F.least("_q", F.lit(0.25))).otherwise(c("_q"))
+    ratio = F.least(F.lit(1.0), c("support_area") / F.greatest("_area1", F.lit(1)))
+    out = out.select(*key, "history", F.when(ok, method).otherwise("").alias("method"), F.when(ok, c("_area1")).alias("predicted_area"), F.when(ok, c("support_area")).alias("support_area"), F.when(ok, ratio).alias("in_frame_ratio"), F.when(ok, quality).otherwise(F.lit(0.0)).alias("quality"), "reason")
+    return out, pixels
+
+
 def frame_hash(frames: DataFrame, key: list[str], width: int, height: int, size: int = 8) -> DataFrame:
     """``hash``: size x size bits of a frame, whether each cell of its area-averaged size x (size + 1) picture is darker than the next.
 

@@ -407,24 +407,34 @@ def array_medians(spark, sf):
 # --- lineage -----------------------------------------------------------------------------------------
 
 #: Stage and what it needs.
-STAGES = [("clips", "manifest"), ("frames", "clips"), ("objects", "frames"), ("masks", "objects"), ("keypoints", "objects"), ("depth", "frames"), ("camera", "frames"), ("tracks", "objects"), ("points", "masks"), ("points", "depth"), ("evidence", "points"), ("evidence", "tracks"), ("evidence", "camera"), ("report", "evidence")]
-ST = "WITH RECURSIVE e(stage, needs) AS (VALUES " + ", ".join(map(str, STAGES)) + "), c(stage, ancestor) AS (SELECT * FROM e UNION SELECT c.stage, e.needs FROM c JOIN e ON c.ancestor = e.stage)"
+#: A part's size is a stage that needs half and a third of it.
+ST = """WITH RECURSIVE e AS (SELECT DISTINCT 's' || p_size AS stage, 's' || (p_size // 2) AS needs FROM part WHERE p_size >= 2 UNION SELECT DISTINCT 's' || p_size, 's' || (p_size // 3) FROM part WHERE p_size >= 3),
+ c(stage, ancestor) AS (SELECT * FROM e UNION SELECT c.stage, e.needs FROM c JOIN e ON c.ancestor = e.stage)"""
+
+
+def _stage_edges(spark, sf):
+    n = F.col("p_size")
+    name = lambda x: F.concat(F.lit("s"), x.cast("int").cast("string"))
+    of = lambda k: table(spark, sf, "part").where(n >= k).select(name(n).alias("stage"), name(F.floor(n / k)).alias("needs"))
+    return of(2).unionByName(of(3)).distinct()
 
 
 @query("stage_closure", ST + " SELECT * FROM c")
 def stage_closure(spark, sf):
-    return lineage.closure(spark.createDataFrame(STAGES, "stage string, needs string"))
+    return lineage.closure(_stage_edges(spark, sf))
 
 
-@query("stage_descendants", ST + " SELECT stage FROM c WHERE ancestor = 'frames'")
+@query("stage_descendants", ST + " SELECT stage FROM c WHERE ancestor = 's5'")
 def stage_descendants(spark, sf):
-    return lineage.descendants(spark.createDataFrame(STAGES, "stage string, needs string"), "frames")
+    return lineage.descendants(_stage_edges(spark, sf), "s5")
 
 
-@query("stage_plan", ST + ", n AS (SELECT ancestor AS stage FROM c WHERE stage = 'points' UNION SELECT 'points') SELECT n.stage, count(c.ancestor) AS position FROM n LEFT JOIN c USING (stage) GROUP BY ALL")
+@query("stage_plan", ST + ", w AS (SELECT max_by(stage, length(stage) * 1000 + substr(stage, 2)::INT) AS w FROM e), n AS (SELECT ancestor AS stage FROM c, w WHERE stage = w UNION SELECT w FROM w) SELECT n.stage, count(c.ancestor) AS position FROM n LEFT JOIN c USING (stage) GROUP BY ALL")
 def stage_plan(spark, sf):
-    edges = spark.createDataFrame(STAGES, "stage string, needs string")
-    return lineage.execution_plan(edges, edges.select("stage").distinct(), "points")
+    """What the greatest stage needs."""
+    edges = _stage_edges(spark, sf)
+    greatest = edges.agg(F.max(F.struct(F.length("stage"), "stage")).alias("m")).first()["m"]
+    return lineage.execution_plan(edges, edges.select("stage").distinct(), greatest["stage"] if greatest else "")
 
 
 @query("protocol_leakage", RE + ", a AS (SELECT 'group_id' AS finding, group_id::VARCHAR AS value, split FROM re UNION ALL SELECT 'content_hash', content_hash, split FROM re) SELECT finding, value, count(DISTINCT split) AS splits, string_agg(DISTINCT split, ',' ORDER BY split) AS in_splits FROM a GROUP BY ALL HAVING count(DISTINCT split) > 1")

@@ -119,6 +119,42 @@ def mask_warp(spark, sf):
     return raster.warp(m, KEY, "matrix", SIDE, SIDE)
 
 
+_MODE = "list_extract(['static_camera_3d', 'rotation_compensated', 'full_se3_3d', 'unavailable', 'rotation_compensated'], ((video_id + object_id) % 5 + 1)::INT)"
+#: A turn whose pixels never fall between two.
+_R = (0.8196480178454795, -0.5728674601004813, 6.013, 0.5728674601004813, 0.8196480178454795, -2.017)
+SUPPORTS = f"""WITH m AS (SELECT DISTINCT l_suppkey AS video_id, l_linenumber AS object_id, (l_orderkey % 9)::INT AS frame_index, (l_partkey % 20)::INT AS "row", (l_quantity % 20)::INT AS col FROM lineitem),
+ ob AS (SELECT DISTINCT video_id, object_id, {_MODE} AS mode, CASE WHEN video_id % 7 = 3 THEN 1.5::DOUBLE END AS mu, CASE WHEN video_id % 7 = 3 THEN -0.5::DOUBLE END AS mv, (video_id + object_id) % 5 = 1 AS rot, video_id % 11 <> 5 AS has FROM m),
+ c AS (SELECT *, row_number() OVER (PARTITION BY video_id, object_id ORDER BY frame_index DESC) AS rn FROM (SELECT video_id, object_id, frame_index, avg(col) AS u, avg("row") AS v, count(*) AS area FROM m WHERE (video_id * 3 + object_id + frame_index) % 6 < 2 GROUP BY ALL)),
+ t AS (SELECT ob.*, coalesce(h.n, 0)::INT AS history, a.frame_index AS f1, a.area, coalesce(mu, a.u - b.u) * (10 - a.frame_index) / (a.frame_index - b.frame_index) AS su, coalesce(mv, a.v - b.v) * (10 - a.frame_index) / (a.frame_index - b.frame_index) AS sv,
+   least((a.frame_index * 7 % 10 + 1) / 10.0::DOUBLE, (b.frame_index * 7 % 10 + 1) / 10.0::DOUBLE) AS q, a.frame_index % 5 = 0 OR b.frame_index % 5 = 0 AS lg
+   FROM ob LEFT JOIN c a ON a.video_id = ob.video_id AND a.object_id = ob.object_id AND a.rn = 1 LEFT JOIN c b ON b.video_id = ob.video_id AND b.object_id = ob.object_id AND b.rn = 2 LEFT JOIN (SELECT video_id, object_id, least(2, count(*)) AS n FROM c GROUP BY ALL) h ON h.video_id = ob.video_id AND h.object_id = ob.object_id),
+ pj AS (SELECT video_id, object_id, count(*) AS n FROM m WHERE frame_index = 4 AND video_id % 3 > 0 GROUP BY ALL),
+ w AS (SELECT t.video_id, t.object_id, CASE WHEN rot THEN {_R[0]} * (x - {_R[2]}) + {_R[3]} * (y - {_R[5]}) ELSE x END - su AS sx, CASE WHEN rot THEN {_R[1]} * (x - {_R[2]}) + {_R[4]} * (y - {_R[5]}) ELSE y END - sv AS sy, f1 FROM t, (SELECT unnest(range(20))::DOUBLE AS x), (SELECT unnest(range(20))::DOUBLE AS y) WHERE history = 2 AND mode NOT IN ('unavailable', 'full_se3_3d')),
+ s AS (SELECT w.video_id, w.object_id, count(*) AS n FROM w JOIN m ON m.video_id = w.video_id AND m.object_id = w.object_id AND m.frame_index = f1 AND m.col = floor(sx + 0.5) AND m."row" = floor(sy + 0.5) GROUP BY ALL),
+ x AS (SELECT t.*, coalesce(CASE WHEN mode = 'full_se3_3d' THEN pj.n ELSE s.n END, 0) AS n,
+   CASE WHEN history = 0 THEN 'missing_mask_history' WHEN mode = 'unavailable' THEN 'dynamic_geometry_unavailable' WHEN history < 2 THEN 'insufficient_mask_history' WHEN mode = 'full_se3_3d' AND NOT has THEN 'full_se3_support_projector_unavailable' WHEN mode = 'full_se3_3d' AND pj.n IS NULL THEN 'invalid_full_se3_projected_support'
+    WHEN mode <> 'full_se3_3d' AND s.n IS NULL THEN 'predicted_support_outside_frame' ELSE '' END AS reason FROM t LEFT JOIN s USING (video_id, object_id) LEFT JOIN pj USING (video_id, object_id))
+ SELECT video_id, object_id, history, CASE WHEN reason <> '' THEN '' WHEN mode = 'full_se3_3d' THEN '{raster.PROJECTED}' WHEN rot THEN '{raster.TURNED}' WHEN mode = 'rotation_compensated' THEN '{raster.UNTURNED}' ELSE '{raster.TRANSLATED}' END AS method,
+  CASE WHEN reason = '' THEN area END AS predicted_area, CASE WHEN reason = '' THEN n END AS support_area, {r("CASE WHEN reason = '' THEN least(1, n / area) END")} AS in_frame_ratio, {r("CASE WHEN reason <> '' THEN 0 WHEN lg THEN least(q, 0.25) ELSE q END")} AS quality, reason FROM x"""
+
+
+@query("support_modes", SUPPORTS)
+def support_modes(spark, sf):
+    c = F.col
+    keys = ["video_id", "object_id"]
+    masks = table(spark, sf, "lineitem").select(c("l_suppkey").alias("video_id"), c("l_linenumber").alias("object_id"), (c("l_orderkey") % 9).cast("int").alias("frame_index"), (c("l_partkey") % 20).cast("int").alias("row"), (c("l_quantity") % 20).cast("int").alias("col")).distinct()
+    frames = masks.select(*keys, "frame_index").distinct().where((c("video_id") * 3 + c("object_id") + c("frame_index")) % 6 < 2)
+    frames = frames.withColumn("confidence", (c("frame_index") * 7 % 10 + 1) / 10.0).withColumn("legacy", c("frame_index") % 5 == 0)
+    names = F.array(*[F.lit(x) for x in ("static_camera_3d", "rotation_compensated", "full_se3_3d", "unavailable", "rotation_compensated")])
+    place = (c("video_id") + c("object_id")) % 5
+    prior = c("video_id") % 7 == 3
+    objects = masks.select(*keys).distinct().select(
+        *keys, F.lit(10).alias("target_frame"), F.get(names, place.cast("int")).alias("mode"), F.when(prior, F.lit(1.5)).alias("motion_u"), F.when(prior, F.lit(-0.5)).alias("motion_v"), F.when(place == 1, F.array(*[F.lit(x) for x in _R])).alias("rotation"), (c("video_id") % 11 != 5).alias("has_projection")
+    )
+    projected = masks.where("frame_index = 4 AND video_id % 3 > 0").select(*keys, "row", "col")
+    return raster.predict_supports(masks, frames, objects, projected, keys, 20, 20)[0]
+
+
 @query("frame_hash", f"""WITH p AS (SELECT l_suppkey AS object_id, l_partkey % {SIDE} AS "row", l_orderkey % 20 AS col, max(l_quantity) AS gray FROM lineitem GROUP BY ALL),
  w AS (SELECT object_id, gray, i, j, greatest(0, least(("row" + 1) * 8 / {SIDE}::DOUBLE, i + 1) - greatest("row" * 8 / {SIDE}::DOUBLE, i)) * greatest(0, least((col + 1) * 9 / 20::DOUBLE, j + 1) - greatest(col * 9 / 20::DOUBLE, j)) AS w FROM p, range(8) a(i), range(9) b(j)),
  c AS (SELECT object_id, i, j, round(sum(gray * w), 9) AS v FROM w GROUP BY ALL), n AS (SELECT object_id, i, j, v, lead(v) OVER (PARTITION BY object_id, i ORDER BY j) AS nxt FROM c)
