@@ -31,14 +31,15 @@ def first_rule(*rules: tuple[Column, Column | str]) -> Column:
     return out
 
 
-def visibility_states(rows: DataFrame, keys: list[str]) -> DataFrame:
+def visibility_states(rows: DataFrame, keys: list[str], appearance_is_event: bool = False) -> DataFrame:
     """previous_state, state, ratios, quality, valid and reason of an object in every frame.
 
     Rows: keys, frame_index, scene_cut, geometry_available, supported (a predicted support exists),
     predicted_area, covered_area (support under nearer objects), occluders (how many), in_frame_ratio,
     prediction_quality, seen (a mask was observed), observed_area, observed_confidence,
-    legacy (the observation is a box only), detector_confidence, confirmed_absent. A row without a
-    predecessor has the previous state ``uncertain``.
+    legacy (the observation is a box only), detector_confidence, confirmed_absent, and, if there, predicted_legacy (the support was
+    predicted from boxes: never more than a diagnostic). A row without a
+    predecessor has the previous state ``uncertain``. With ``appearance_is_event`` a sighting without support reappears whatever came before.
 
     Only sightings look back, and only for ``fully_occluded`` and ``out_of_frame``, which
     rows without a sighting have whatever came before: one lag suffices.
@@ -55,7 +56,8 @@ def visibility_states(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
     before = F.lag("_hidden").over(Window.partitionBy(*keys).orderBy("frame_index"))
     out = rows.withColumn("_hidden", hidden).withColumn("_before", before)
-    back = F.coalesce(c("_before").isin("fully_occluded", "out_of_frame"), F.lit(False))
+    back = F.coalesce(c("_before").isin("fully_occluded", "out_of_frame"), F.lit(False)) | F.lit(appearance_is_event)
+    boxed = F.coalesce("predicted_legacy", F.lit(False)) if "predicted_legacy" in rows.columns else F.lit(False)
     occluded = F.coalesce(c("_before") == "fully_occluded", F.lit(False))
     state = first_rule(
         (c("scene_cut"), "scene_cut"),
@@ -80,6 +82,7 @@ def visibility_states(rows: DataFrame, keys: list[str]) -> DataFrame:
         (c("seen") & c("legacy"), legacy),
         ((c("state") == "detector_missing") & (c("detector_confidence") < DETECTOR), "low_detector_confidence"),
         (c("state") == "detector_missing", "missing_detection_is_not_occlusion"),
+        (boxed, legacy),
     ).otherwise("")
     out = out.withColumn("state", state).withColumn("reason", reason)
     bare = c("scene_cut") | ~c("geometry_available") | (~c("supported") & (c("state") != "reappeared"))

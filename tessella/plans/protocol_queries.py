@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import governance, protocol
+from tessella.operators import governance, protocol, sampling
 from tessella.sources import manifest
 
 from .adapters import EV, RE, evidence, records, table
@@ -97,3 +97,40 @@ def formal_priors(spark, sf):
     entry = lambda n: {"entry_id": f"e{n}", "class_name": f"class {n}", "aliases": [f"alias {n}"], "supported_dimension": "height", "dimension_definition": "standing", "applicable_scope": "adults", "excluded_scope": "toys", "min_m": n / 100, "max_m": n / 50, "confidence": ("low", "medium", "high")[n % 3], "derivation_id": f"d{n % 4}"}
     payload = {"schema_version": "paper_core_scale_priors_v1", "unit": "meter", "priors": [entry(n) for n in sizes], "unsupported_classes": [{"class_name": "thing", "reason": "CATEGORY_TOO_BROAD_WITHOUT_SUBTYPE"}]}
     return manifest.formal_registry(spark, payload, sources).select("entry_id", "category", "label", "dimension", "min_m", "max_m", "confidence", "derivation_id", "unsupported")
+
+
+# --- sampling and optional relations -------------------------------------------------------------
+
+_PLAN_LIMITS = {"train": 32, "validation": 16}
+PLAN = f"""WITH RECURSIVE rr AS (SELECT CASE WHEN o_custkey % 5 < 3 THEN 'train' WHEN o_custkey % 5 = 3 THEN 'validation' ELSE 'test' END AS split, o_custkey AS source_id, o_orderkey AS sample_id, o_orderkey % 4 = 0 AS is_real, CASE WHEN o_orderkey % 4 > 0 THEN 'g' || o_orderkey % 3 END AS generator, o_orderkey % 7 <> 2 AS located FROM orders),
+ k AS (SELECT * FROM rr WHERE split <> 'test' AND (is_real OR located)), re AS (SELECT split, source_id, min(sample_id) AS real FROM k WHERE is_real GROUP BY ALL), ok AS (SELECT re.* FROM re JOIN (SELECT DISTINCT split, source_id, sample_id FROM k WHERE is_real AND located) l ON l.split = re.split AND l.source_id = re.source_id AND l.sample_id = re.real),
+ fk AS (SELECT split, source_id, generator, min_by(sample_id, sha256('r1:' || split || ':' || sample_id)) AS sample_id, min(sha256('r1:' || split || ':' || sample_id)) AS tie FROM k WHERE NOT is_real GROUP BY ALL),
+ ch AS (SELECT ok.*, row_number() OVER (PARTITION BY split ORDER BY sha256('r1:' || split || ':' || source_id), source_id) - 1 AS position FROM ok WHERE EXISTS (SELECT 1 FROM fk WHERE fk.split = ok.split AND fk.source_id = ok.source_id)),
+ c AS MATERIALIZED (SELECT * FROM ch WHERE position < CASE split WHEN 'train' THEN 16 ELSE 8 END),
+ st AS (SELECT split, -1::BIGINT AS position, [0, 0, 0] AS used, NULL::VARCHAR AS generator, NULL::BIGINT AS fake FROM (SELECT DISTINCT split FROM c)
+  UNION ALL SELECT split, position, list_transform(used, lambda u, i: u + CASE WHEN 'g' || (i - 1) = generator THEN 1 ELSE 0 END), generator, fake FROM
+   (SELECT st.split, c.position, st.used, f.generator, f.sample_id AS fake, row_number() OVER (PARTITION BY st.split ORDER BY st.used[substr(f.generator, 2)::INT + 1], f.tie) AS pick FROM st JOIN c ON c.split = st.split AND c.position = st.position + 1 JOIN fk f ON f.split = c.split AND f.source_id = c.source_id) WHERE pick = 1)
+ SELECT c.split, c.source_id, c.position, x.sample_id, x.label, x.generator FROM c JOIN st ON st.split = c.split AND st.position = c.position, LATERAL (SELECT c.real AS sample_id, 0 AS label, NULL AS generator UNION ALL SELECT st.fake, 1, st.generator) x"""
+
+
+@query("pair_plan", PLAN)
+def pair_plan(spark, sf):
+    """Orders as samples, customers as sources: pairs of a real and a fake one, generators in turn."""
+    c = F.col
+    split = F.when(c("o_custkey") % 5 < 3, "train").when(c("o_custkey") % 5 == 3, "validation").otherwise("test")
+    real = c("o_orderkey") % 4 == 0
+    rows = table(spark, sf, "orders").select(split.alias("split"), c("o_custkey").alias("source_id"), c("o_orderkey").alias("sample_id"), real.alias("is_real"), F.when(~real, F.concat(F.lit("g"), (c("o_orderkey") % 3).cast("string"))).alias("generator"), (c("o_orderkey") % 7 != 2).alias("located"))
+    return sampling.pair_plan(rows, "r1", _PLAN_LIMITS)
+
+
+@query("optional_relations", """WITH n AS (SELECT l_orderkey AS frame_id, l_linenumber AS t, max({'c': (l_partkey % 10) / 10.0::DOUBLE, 'i': l_suppkey % 3 > 0, 'o': l_linenumber}) AS o FROM lineitem WHERE l_quantity > 5 GROUP BY ALL),
+ g AS (SELECT l_orderkey AS frame_id, least(l_linenumber, l_partkey % 7 + 1) AS a, greatest(l_linenumber, l_partkey % 7 + 1) AS b, CASE l_suppkey % 3 WHEN 0 THEN 'containment_overlap' WHEN 1 THEN 'support_contact' ELSE 'other' END AS k, min({'a': l_discount::DOUBLE, 'b': l_tax::DOUBLE}) AS v FROM lineitem WHERE l_linenumber <> l_partkey % 7 + 1 AND l_orderkey % 29 <> 3 GROUP BY ALL)
+ SELECT g.frame_id, k || ':' || a || ':' || b AS relation_id, k AS relation_type, v.a AS value_a, v.b AS value_b, least(x.o.c, y.o.c) AS confidence, x.o.i AND y.o.i AS identity_reliable FROM g JOIN n x ON x.frame_id = g.frame_id AND x.t = a JOIN n y ON y.frame_id = g.frame_id AND y.t = b WHERE k <> 'other'""")
+def optional_relations(spark, sf):
+    c = F.col
+    line = table(spark, sf, "lineitem")
+    nodes = line.where("l_quantity > 5").select(c("l_orderkey").alias("frame_id"), c("l_linenumber").alias("track_id"), c("l_linenumber").alias("object_id"), (c("l_partkey") % 10 / 10.0).alias("confidence"), (c("l_suppkey") % 3 > 0).alias("identity_reliable"), F.lit("object").alias("node_type"))
+    kind = F.when(c("l_suppkey") % 3 == 0, "containment_overlap").when(c("l_suppkey") % 3 == 1, "support_contact").otherwise("other")
+    odd = F.when(c("l_orderkey") % 29 == 3, F.lit(float("nan"))).otherwise(c("l_discount").cast("double"))
+    given = line.select(c("l_orderkey").alias("frame_id"), c("l_linenumber").alias("source"), (c("l_partkey") % 7 + 1).alias("target"), kind.alias("relation_type"), odd.alias("value_a"), c("l_tax").cast("double").alias("value_b"))
+    return sampling.optional_relations(nodes, given, ["frame_id"])

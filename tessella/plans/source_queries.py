@@ -11,7 +11,8 @@ from tessella.sources import archives, cache, manifest, outputs, records
 from .adapters import EV, RE, evidence, table
 from .adapters import records as samples
 from .evidence_queries import SUSPICIOUS, _clip_spans
-from .registry import query, r
+from .gate_queries import HEAT
+from .registry import ORACLES, query, r
 
 
 @query("manifest_csv", RE + """, m AS (SELECT 's' || sample_id AS sample_id, CASE WHEN sample_id % 7 = 0 THEN 'val' ELSE split END AS split, CASE WHEN sample_id % 11 = 0 THEN 2 ELSE label END AS label FROM re)
@@ -211,16 +212,40 @@ def video_report(spark, sf):
     return report.select("video_id", "risk_score", "clips", text.alias("intervals"), ids("objects").alias("objects"), ids("tracks").alias("tracks"))
 
 
-@query("analysis_output", EV + f"SELECT video_id, clip_id, min(row_idx) AS start_frame, max(row_idx) AS end_frame, count(*) AS rows, {r('avg(confidence)')} AS confidence FROM ev GROUP BY ALL")
-def analysis_output(spark, sf):
-    """The whole set of output tables, of which the clips are read back."""
+def _analysis(spark, sf) -> str:
+    """The folder of a whole analysis: clips, timeline, intervals, scores, result and heat maps."""
     e = evidence(spark, sf)
     clips = e.groupBy("video_id", "clip_id").agg(F.min("row_idx").alias("start_frame"), F.max("row_idx").alias("end_frame"), F.count(F.lit(1)).alias("rows"), F.avg("confidence").alias("confidence"), F.max("normalized_value").alias("risk_score"), F.avg(F.col("valid").cast("double")).alias("coverage"))
     root = new_folder(spark, "analysis")
     heat = fusion.heatmap(e.where("valid").select("video_id", F.col("clip_no").alias("frame"), (F.col("raw_value") * 3).alias("x"), (F.col("row_idx") / 2).alias("y"), F.col("normalized_value").alias("value")))
     scores = [fusion.entity_scores(e, k) for k in ("object_id", "track_id")]
     outputs.write_analysis(root, clips, fusion.fuse_videos(clips), clips.where("risk_score > 0.5").select("video_id", "start_frame", "end_frame"), *scores, heat=heat)
-    return spark.read.parquet(f"{root}/clips").select("video_id", "clip_id", "start_frame", "end_frame", "rows", "confidence")
+    return root
+
+
+@query("analysis_output", EV + f"SELECT video_id, clip_id, min(row_idx) AS start_frame, max(row_idx) AS end_frame, count(*) AS rows, {r('avg(confidence)')} AS confidence FROM ev GROUP BY ALL")
+def analysis_output(spark, sf):
+    """The clips of an analysis, read back."""
+    return spark.read.parquet(f"{_analysis(spark, sf)}/clips").select("video_id", "clip_id", "start_frame", "end_frame", "rows", "confidence")
+
+
+_COUNTS = {"object_scores": ORACLES["object_scores"], "track_scores": ORACLES["track_scores"], "heatmaps": HEAT + 'SELECT video_id, frame, "row", col FROM h'}
+
+
+@query("analysis_tables", EV + f""", c AS (SELECT video_id, clip_id, min(row_idx) AS a, max(row_idx) AS b, avg(confidence) AS confidence, max(normalized_value) AS risk FROM ev GROUP BY ALL)
+ SELECT 'clips' AS name, count(*) AS rows, {r('sum(confidence)')} AS total FROM c UNION ALL SELECT 'timeline', count(*), {r('sum(risk)')} FROM c UNION ALL SELECT 'suspicious', count(*), {r('sum(b - a)')} FROM c WHERE risk > 0.5 UNION ALL SELECT 'result', count(DISTINCT video_id), NULL FROM c
+ UNION ALL """ + " UNION ALL ".join(f"SELECT '{name}', count(*), NULL FROM ({sql})" for name, sql in _COUNTS.items()))
+def analysis_tables(spark, sf):
+    """All seven tables of an analysis, read back in their own formats."""
+    root = _analysis(spark, sf)
+    csv = lambda name: spark.read.option("header", True).csv(f"{root}/{name}")
+    total = {"clips": F.sum("confidence"), "timeline": F.sum(F.col("risk_score").cast("double")), "suspicious": F.sum(F.col("end_frame") - F.col("start_frame")).cast("double")}
+    tables = {"clips": spark.read.parquet(f"{root}/clips"), "timeline": csv("timeline"), "suspicious": spark.read.json(f"{root}/suspicious"), "result": spark.read.json(f"{root}/result"), "object_scores": csv("object_scores"), "track_scores": csv("track_scores"), "heatmaps": spark.read.parquet(f"{root}/heatmaps")}
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("rows"), total.get(name, F.lit(None).cast("double")).alias("total")).select(F.lit(name).alias("name"), "rows", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("zip_directory", "SELECT doc_id, octet_length(encode(text)) AS size, true AS crc_equal, '' AS reason FROM documents WHERE text IS NOT NULL")

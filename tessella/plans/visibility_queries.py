@@ -29,6 +29,7 @@ _VIS = {
     "legacy": "ord % 5 < 2 AND ord % 31 = 0",
     "detector_confidence": "CAST((ord * 23) % 100 AS DOUBLE) / 100",
     "confirmed_absent": "ord % 2 = 0",
+    "predicted_legacy": "ord % 17 = 4",
 }
 _OCC = {
     "provider_failed": "ord % 43 = 0",
@@ -85,8 +86,8 @@ st AS (SELECT video_id, object_id, n, 'uncertain' AS previous_state, CASE WHEN s
 ob AS (SELECT w.video_id, w.object_id, w.frame_index, previous_state, state, w.legacy,
     CASE WHEN scene_cut THEN 'scene_cut_breaks_visibility_history' WHEN NOT geometry_available THEN 'dynamic_geometry_unavailable'
       WHEN NOT supported THEN CASE WHEN NOT seen THEN 'missing_predicted_support' WHEN state <> 'reappeared' THEN 'insufficient_history_for_appearance_explanation' WHEN legacy THEN 'legacy_bbox_mask_visibility_diagnostic_only' ELSE '' END
-      WHEN seen THEN CASE WHEN legacy THEN 'legacy_bbox_mask_visibility_diagnostic_only' ELSE '' END
-      WHEN state = 'detector_missing' THEN CASE WHEN detector_confidence < 0.5 THEN 'low_detector_confidence' ELSE 'missing_detection_is_not_occlusion' END ELSE '' END AS reason,
+      WHEN seen THEN CASE WHEN legacy OR predicted_legacy THEN 'legacy_bbox_mask_visibility_diagnostic_only' ELSE '' END
+      WHEN state = 'detector_missing' THEN CASE WHEN detector_confidence < 0.5 THEN 'low_detector_confidence' ELSE 'missing_detection_is_not_occlusion' END WHEN predicted_legacy THEN 'legacy_bbox_mask_visibility_diagnostic_only' ELSE '' END AS reason,
     CASE WHEN scene_cut OR NOT geometry_available THEN 0 WHEN NOT supported THEN CASE WHEN state = 'reappeared' THEN observed_confidence ELSE 0 END WHEN seen THEN least(prediction_quality, observed_confidence)
       WHEN state = 'detector_missing' THEN 0 WHEN state = 'uncertain' THEN least(prediction_quality, detector_confidence) ELSE prediction_quality END::DOUBLE AS quality,
     CASE WHEN scene_cut OR NOT geometry_available THEN NULL WHEN NOT supported THEN CASE WHEN state = 'reappeared' THEN 1.0 END WHEN state = 'detector_missing' THEN NULL ELSE vr END::DOUBLE AS visible_ratio,
@@ -102,7 +103,17 @@ def visibility_state(spark, sf):
     return out.select("video_id", "object_id", "frame_index", "previous_state", "state", "valid", "reason", "quality", "visible_ratio")
 
 
-@query("visibility_explanation", STATE + """, ex AS (SELECT *, reason IN ('', 'legacy_bbox_mask_visibility_diagnostic_only') AS judged FROM ob),
+#: Every sighting without a predicted support reappears.
+APPEARED = STATE.replace("WHEN NOT geometry_available OR NOT supported THEN 'uncertain'", "WHEN NOT geometry_available THEN 'uncertain' WHEN NOT supported THEN CASE WHEN seen THEN 'reappeared' ELSE 'uncertain' END").replace("WHEN seen AND st.state IN ('fully_occluded', 'out_of_frame') THEN 'reappeared'", "WHEN seen THEN 'reappeared'")
+
+
+@query("visibility_appearance", APPEARED + f"SELECT video_id, object_id, frame_index, previous_state, state, reason = '' AS valid, reason, {r('quality')} AS quality, {r('visible_ratio')} AS visible_ratio FROM ob")
+def visibility_appearance(spark, sf):
+    out = visibility.visibility_states(_rows(spark, sf, _VIS), ["video_id", "object_id"], appearance_is_event=True)
+    return out.select("video_id", "object_id", "frame_index", "previous_state", "state", "valid", "reason", "quality", "visible_ratio")
+
+
+@query("visibility_explanation", STATE + """, ex AS (SELECT *, reason = '' OR legacy AND reason = 'legacy_bbox_mask_visibility_diagnostic_only' AS judged FROM ob),
  ey AS (SELECT *, CASE WHEN state = 'detector_missing' THEN 'detector_uncertain' WHEN NOT judged THEN 'no_visibility_event' WHEN state = 'fully_occluded' AND oc > 0 THEN 'explained_occlusion' WHEN state = 'out_of_frame' THEN 'explained_out_of_frame'
     WHEN state = 'reappeared' AND previous_state NOT IN ('fully_occluded', 'out_of_frame') THEN 'unexplained_appearance' WHEN state = 'uncertain' AND ifr > 0.5 AND oc = 0 THEN 'unexplained_disappearance' ELSE 'no_visibility_event' END AS explanation FROM ex)
  SELECT video_id, object_id, frame_index, explanation, CASE WHEN judged THEN CASE WHEN explanation LIKE 'unexplained%' THEN 1.0 ELSE 0.0 END END::DOUBLE AS diagnostic,
