@@ -123,10 +123,10 @@ def pair_plan(spark, sf):
     return sampling.pair_plan(rows, "r1", _PLAN_LIMITS)
 
 
-@query("optional_relations", """WITH n AS (SELECT l_orderkey AS frame_id, l_linenumber AS t, max({'c': (l_partkey % 10) / 10.0::DOUBLE, 'i': l_suppkey % 3 > 0, 'o': l_linenumber}) AS o FROM lineitem WHERE l_quantity > 5 GROUP BY ALL),
+@query("given_relations", """WITH n AS (SELECT l_orderkey AS frame_id, l_linenumber AS t, max({'c': (l_partkey % 10) / 10.0::DOUBLE, 'i': l_suppkey % 3 > 0, 'o': l_linenumber}) AS o FROM lineitem WHERE l_quantity > 5 GROUP BY ALL),
  g AS (SELECT l_orderkey AS frame_id, least(l_linenumber, l_partkey % 7 + 1) AS a, greatest(l_linenumber, l_partkey % 7 + 1) AS b, CASE l_suppkey % 3 WHEN 0 THEN 'containment_overlap' WHEN 1 THEN 'support_contact' ELSE 'other' END AS k, min({'a': l_discount::DOUBLE, 'b': l_tax::DOUBLE}) AS v FROM lineitem WHERE l_linenumber <> l_partkey % 7 + 1 AND l_orderkey % 29 <> 3 GROUP BY ALL)
  SELECT g.frame_id, k || ':' || a || ':' || b AS relation_id, k AS relation_type, v.a AS value_a, v.b AS value_b, least(x.o.c, y.o.c) AS confidence, x.o.i AND y.o.i AS identity_reliable FROM g JOIN n x ON x.frame_id = g.frame_id AND x.t = a JOIN n y ON y.frame_id = g.frame_id AND y.t = b WHERE k <> 'other'""")
-def optional_relations(spark, sf):
+def given_relations(spark, sf):
     c = F.col
     line = table(spark, sf, "lineitem")
     nodes = line.where("l_quantity > 5").select(c("l_orderkey").alias("frame_id"), c("l_linenumber").alias("track_id"), c("l_linenumber").alias("object_id"), (c("l_partkey") % 10 / 10.0).alias("confidence"), (c("l_suppkey") % 3 > 0).alias("identity_reliable"), F.lit("object").alias("node_type"))
