@@ -134,3 +134,35 @@ def given_relations(spark, sf):
     odd = F.when(c("l_orderkey") % 29 == 3, F.lit(float("nan"))).otherwise(c("l_discount").cast("double"))
     given = line.select(c("l_orderkey").alias("frame_id"), c("l_linenumber").alias("source"), (c("l_partkey") % 7 + 1).alias("target"), kind.alias("relation_type"), odd.alias("value_a"), c("l_tax").cast("double").alias("value_b"))
     return sampling.optional_relations(nodes, given, ["frame_id"])
+
+
+# --- training manifests --------------------------------------------------------------------------
+
+_TRAIN = {
+    "dataset_name": "CASE WHEN sample_id % 101 = 7 THEN ' ' ELSE dataset END", "split": "CASE WHEN sample_id % 211 = 9 THEN 'holdout' ELSE split END", "source_commit": "CASE sample_id % 89 WHEN 3 THEN 'c2' WHEN 4 THEN '' ELSE 'c1' END", "source_config_sha256": "CASE sample_id % 97 WHEN 3 THEN 'k2' WHEN 4 THEN NULL ELSE 'k1' END",
+    "authenticity_label_used": "sample_id % 149 = 8", "historical_csv_read": "sample_id % 151 = 8", "m6_to_a2_bridge_called": "CASE WHEN sample_id % 157 = 8 THEN NULL ELSE false END",
+}
+_STATUS = "CASE WHEN sample_id % 61 = 2 THEN 'malformed' WHEN sample_id % 67 = 2 THEN 'missing_file' WHEN sample_id % 13 = 2 THEN 'no_valid_residual' WHEN sample_id % 11 = 2 THEN 'partial_missing' ELSE 'eligible' END"
+TRAINING = RE + f""", t AS (SELECT sample_id, group_id, sample_id AS source_video_id, label, {', '.join(f'{x} AS {k}' for k, x in _TRAIN.items())} FROM re), a AS (SELECT sample_id, split, {_STATUS} AS status FROM t)
+"""
+
+
+def _training(spark, sf):
+    base = records(spark, sf)
+    rows = base.select("sample_id", "group_id", F.col("sample_id").alias("source_video_id"), "label", *[F.expr(x).alias(k) for k, x in _TRAIN.items()])
+    return rows, rows.select("sample_id", "split", F.expr(_STATUS).alias("status"))
+
+
+@query("training_faults", TRAINING + """, f AS (SELECT 'unsupported_split' AS rule, sample_id FROM t WHERE split = 'holdout' UNION ALL SELECT 'empty_identity', sample_id FROM t WHERE trim(dataset_name) = '' UNION ALL SELECT 'label_not_binary', sample_id FROM t WHERE label IS NULL
+  UNION ALL SELECT 'other_source_commit', sample_id FROM t WHERE source_commit = 'c2' UNION ALL SELECT 'other_source_config', sample_id FROM t WHERE source_config_sha256 = 'k2' UNION ALL SELECT 'forbidden_input', sample_id FROM t WHERE authenticity_label_used OR historical_csv_read OR coalesce(m6_to_a2_bridge_called, false)
+  UNION ALL SELECT 'fatal_sample', sample_id FROM a WHERE status IN ('malformed', 'missing_file') UNION ALL SELECT 'no_valid_residual', sample_id FROM a WHERE status = 'no_valid_residual'
+  UNION ALL SELECT 'repeated_sample', sample_id FROM (SELECT sample_id FROM t GROUP BY sample_id, split HAVING count(*) > 1))
+ SELECT rule, count(*) AS rows, min(sample_id) AS example FROM f GROUP BY rule""")
+def training_faults(spark, sf):
+    return manifest.training_faults(*_training(spark, sf), "c1", "k1")
+
+
+@query("training_rows", TRAINING + "SELECT t.sample_id, t.split, label, status = 'no_valid_residual' AS empty FROM t JOIN (SELECT DISTINCT * FROM a) a ON a.sample_id = t.sample_id AND a.split = t.split WHERE t.split IN ('train', 'validation') AND status IN ('eligible', 'partial_missing', 'no_valid_residual')")
+def training_rows(spark, sf):
+    rows, audit = _training(spark, sf)
+    return manifest.training_rows(rows, audit, ("train", "validation"), "keep_empty").select("sample_id", "split", "label", "empty")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,6 +97,66 @@ def prior_registry(spark: SparkSession, entries: list[Mapping], sources: DataFra
     return spark.createDataFrame(rows, "entry_id string, class_name string, label string, supported_dimension string, min_m double, max_m double, derivation_id string")
 
 
+#: Splits of a training set, what its audit may say, and inputs that must not have been used.
+TRAINING_SPLITS = ("train", "validation", "test")
+FATAL, EMPTY = ("missing_file", "malformed", "schema_error"), "no_valid_residual"
+FORBIDDEN = ("authenticity_label_used", "historical_csv_read", "m6_to_a2_bridge_called")
+POLICIES = ("error", "exclude", "keep_empty")
+
+
+def training_rows(rows: DataFrame, audit: DataFrame, load_splits: Sequence[str] = TRAINING_SPLITS, policy: str = "error") -> DataFrame:
+    """The rows of a training manifest that are loaded: those of the wanted splits whose sample is eligible, in part or whole; with the policy ``keep_empty``
+    also those without any valid residual (``empty``). Audit: sample_id, split, status."""
+    _known(load_splits, policy)
+    seen = audit.select("sample_id", "split", "status").dropDuplicates(["sample_id", "split"])
+    good = F.col("status").isin("eligible", "partial_missing") | (F.lit(policy == "keep_empty") & (F.col("status") == EMPTY))
+    return rows.where(F.col("split").isin(*load_splits)).join(seen, ["sample_id", "split"]).where(good).withColumn("empty", F.col("status") == EMPTY).drop("status")
+
+
+def _known(load_splits: Sequence[str], policy: str) -> None:
+    unknown = sorted(set(load_splits) - set(TRAINING_SPLITS))
+    if unknown or policy not in POLICIES:
+        raise ValueError(f"unknown splits {unknown} or policy {policy!r}")
+
+
+def training_faults(rows: DataFrame, audit: DataFrame, commit: str, config: str, load_splits: Sequence[str] = TRAINING_SPLITS, policy: str = "error") -> DataFrame:
+    """(rule, rows, example) of every rule that a training manifest breaks; the example is the smallest sample_id (NULL for a split).
+
+    Rows: sample_id, dataset_name, source_video_id, group_id, split, label, source_commit, source_config_sha256 (empty: not stated), and the flags ``FORBIDDEN`` of
+    the sample's result. Audit: sample_id, split, status. All of the manifest comes from one commit and one configuration.
+    """
+    _known(load_splits, policy)
+    c = F.col
+    text = lambda x: F.trim(F.coalesce(c(x).cast("string"), F.lit("")))
+    blank, bad_input = F.lit(False), F.lit(False)
+    for x in ("sample_id", "dataset_name", "source_video_id", "group_id"):
+        blank = blank | (text(x) == "")
+    for x in FORBIDDEN:
+        bad_input = bad_input | F.coalesce(c(x), F.lit(False))
+    rules = {
+        "unsupported_split": ~F.coalesce(text("split").isin(*TRAINING_SPLITS), F.lit(False)),
+        "empty_identity": blank,
+        "label_not_binary": ~F.coalesce(c("label").isin(0, 1), F.lit(False)),
+        "other_source_commit": ~text("source_commit").isin("", commit),
+        "other_source_config": ~text("source_config_sha256").isin("", config),
+        "forbidden_input": bad_input,
+    }
+    broken = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()])
+    found = rows.select("sample_id", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"), F.min("sample_id").alias("example"))
+    again = rows.groupBy("sample_id", "split").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    judged = {"fatal_sample": c("status").isin(*FATAL)} | ({"no_valid_residual": c("status") == EMPTY} if policy == "error" else {})
+    listed = audit.join(rows.select("sample_id", "split").distinct(), ["sample_id", "split"], "left_semi")
+    parts = [again.agg(F.lit("repeated_sample").alias("rule"), F.count(F.lit(1)).alias("rows"), F.min("sample_id").alias("example"))]
+    parts += [listed.where(cond).agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("rows"), F.min("sample_id").alias("example")) for name, cond in judged.items()]
+    if {"train", "validation"} <= set(load_splits):
+        loaded = training_rows(rows, audit, load_splits, policy)
+        lacking = F.lit(2) - F.count_distinct(F.when(c("split").isin("train", "validation"), c("split")))
+        parts.append(loaded.agg(F.lit("empty_train_or_validation").alias("rule"), lacking.cast("long").alias("rows"), F.min(F.when(F.lit(False), c("sample_id"))).alias("example")))
+    for one in parts:
+        found = found.unionByName(one.where("rows > 0"))
+    return found
+
+
 #: The formal registry's schema, its sources' columns and what its entries may say.
 FORMAL = {"schema_version": "paper_core_scale_priors_v1", "unit": "meter"}
 SOURCE_FIELDS = ("derivation_id", "source_type", "source_title", "publisher", "source_identifier", "source_version", "accessed_at", "sample_count", "raw_measurements_or_range", "derivation_method", "review_status")

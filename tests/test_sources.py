@@ -335,3 +335,19 @@ def test_formal_registry_rejects_schemas(spark):
         manifest.formal_registry(spark, _registry(), _sources(spark).drop("publisher"))
     with pytest.raises(ValueError):
         manifest.formal_registry(spark, _registry(), _sources(spark).unionByName(_sources(spark)))
+
+
+def test_training_manifest_policies(spark):
+    schema = "sample_id string, dataset_name string, source_video_id string, group_id string, split string, label int, source_commit string, source_config_sha256 string, authenticity_label_used boolean, historical_csv_read boolean, m6_to_a2_bridge_called boolean"
+    fine = [("a", "d", "v1", "g1", "train", 1, "c", "k", False, None, False), ("b", "d", "v2", "g2", "validation", 0, "", None, False, False, False), ("c", "d", "v3", "g3", "train", 0, "c", "k", False, False, False)]
+    rows = spark.createDataFrame(fine, schema)
+    audit = spark.createDataFrame([("a", "train", "eligible"), ("b", "validation", "partial_missing"), ("c", "train", "no_valid_residual")], "sample_id string, split string, status string")
+    faults = lambda r, a, **how: {x["rule"]: (x["rows"], x["example"]) for x in manifest.training_faults(r, a, "c", "k", **how).collect()}
+    assert faults(rows, audit) == {"no_valid_residual": (1, "c")} and faults(rows, audit, policy="exclude") == {}
+    load = lambda **how: sorted((r["sample_id"], r["empty"]) for r in manifest.training_rows(rows, audit, **how).collect())
+    assert load() == [("a", False), ("b", False)] and load(policy="keep_empty") == [("a", False), ("b", False), ("c", True)] and load(load_splits=("validation",)) == [("b", False)]
+    bad = rows.unionByName(spark.createDataFrame([("a", "d", "v1", "g1", "train", 2, "x", "y", True, False, False), (" ", "d", "v", "g", "other", 1, "c", "k", False, False, False)], schema))
+    assert faults(bad, audit.where("sample_id <> 'b'"), policy="exclude") == {"unsupported_split": (1, " "), "empty_identity": (1, " "), "label_not_binary": (1, "a"), "other_source_commit": (1, "a"), "other_source_config": (1, "a"), "forbidden_input": (1, "a"), "repeated_sample": (1, "a"), "empty_train_or_validation": (1, None)}
+    for how in ({"policy": "drop"}, {"load_splits": ("dev",)}):
+        with pytest.raises(ValueError):
+            manifest.training_rows(rows, audit, **how)
