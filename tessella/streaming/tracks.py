@@ -8,14 +8,17 @@ bounded by the delay and the gap, not by the video. A restarted query goes on fr
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessella.operators import sequential
 from tessella.operators.sequential import TRACK, continue_tracks
 
 BOX = ["label", "x1", "y1", "x2", "y2", "width", "height"]
@@ -89,7 +92,15 @@ def _stateful(boxes: DataFrame, late: int, max_gap: int, spans: bool, schema: st
     second = F.col("frame_index").cast("long") + 1
     timed = boxes.withColumn("ts", F.timestamp_seconds(second)).withColumn("ms", second * 1000).withWatermark("ts", f"{late} seconds")
     rows = timed.select("video_id", F.col("frame_index").cast("long").alias("frame_index"), F.col("box_id").cast("long").alias("box_id"), *BOX, "ms", "ts")
-    return rows.groupBy("video_id").transformWithStateInPandas(statefulProcessor=_Association(max_gap, spans), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    # Spark also loads the processor in a process beside the driver that knows neither its path nor the shipped package: its code travels with it.
+    modules = [sys.modules[__name__], sequential]
+    for m in modules:
+        cloudpickle.register_pickle_by_value(m)
+    try:
+        return rows.groupBy("video_id").transformWithStateInPandas(statefulProcessor=_Association(max_gap, spans), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    finally:
+        for m in modules:
+            cloudpickle.unregister_pickle_by_value(m)
 
 
 def track_boxes(boxes: DataFrame, late: int, max_gap: int = 2) -> DataFrame:
