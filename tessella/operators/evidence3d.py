@@ -148,14 +148,18 @@ def boundary_depth(pairs: DataFrame, depth: DataFrame, frame: list[str], keys: l
     a box. Objects without any pair don't appear; without any depth they get a reason.
     """
     good = depth.where((F.col("z") > 0) & (F.col("z") < float("inf")))
-    at = lambda r, c, z: good.select(*frame, F.col("row").alias(r), F.col("col").alias(c), F.col("z").alias(z))
+    # A depth map grows with its frames, though its size looks small where it is made by explode: it is never broadcast.
+    at = lambda r, c, z: good.select(*frame, F.col("row").alias(r), F.col("col").alias(c), F.col("z").alias(z)).hint("merge")
     rows = pairs.join(at("row", "col", "_in"), [*frame, "row", "col"], "left").join(at("outer_row", "outer_col", "_out"), [*frame, "outer_row", "outer_col"], "left")
     jump = (F.col("_out") - F.col("_in")) / F.greatest("_out", "_in", F.lit(1e-12))
     rows = rows.withColumn("_j", jump)
-    agg = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.count("_j").alias("valid_pairs"), F.median(F.abs("_j")).alias("median_jump"), F.avg(F.abs("_j")).alias("mean_jump"), F.signum(F.median(F.when(F.abs("_j") >= min_jump, F.col("_j")))).alias("direction"))
-    against = rows.join(agg.select(*keys, "direction"), keys).where((F.abs("_j") >= min_jump) & (F.signum("_j") != F.col("direction"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("_against"))
-    aligned = rows.groupBy(*keys).agg(F.count_if(F.abs("_j") >= min_jump).alias("_aligned"))
-    out = agg.join(aligned, keys).join(against, keys, "left")
+    large = F.abs("_j") >= min_jump
+    agg = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pairs"), F.count("_j").alias("valid_pairs"), F.median(F.abs("_j")).alias("median_jump"), F.avg(F.abs("_j")).alias("mean_jump"), F.signum(F.median(F.when(large, F.col("_j")))).alias("direction"),
+        F.count_if(large).alias("_aligned"), *[F.count_if(large & (F.signum("_j") != i)).alias(f"_not{i}") for i in (-1, 0, 1)],
+    )
+    against = F.when(F.col("direction") < 0, F.col("_not-1")).when(F.col("direction") > 0, F.col("_not1")).when(F.col("direction") == 0, F.col("_not0"))
+    out = agg.withColumn("_against", against)
     some = F.col("valid_pairs") > 0
     contrast = F.least(F.lit(1.0), F.col("median_jump") / max(min_jump, 1e-12))
     return out.select(

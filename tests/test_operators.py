@@ -250,3 +250,16 @@ def test_size_history_uses_the_last_five_of_the_axis(spark):
     got = residuals.size_history(spark.createDataFrame(rows, "video_id string, track_id string, frame_index int, size double, axis string, confidence double")).orderBy("frame_index").collect()
     assert got[0]["reason"] == "no_track_history" and got[3]["reason"] == "no_comparable_axis_history"
     assert got[7]["residual"] == pytest.approx(abs(math.log(8) - math.log(np.median([2, 3, 5, 6, 7]))))
+
+
+def test_depth_maps_are_not_broadcast(spark):
+    """A grid made by explode looks as small as its frames: its joins shuffle. Jumps against the prevailing direction count in one pass."""
+    from tessella.operators import evidence3d
+
+    axis = F.sequence(F.lit(0), F.lit(9))
+    depth = spark.range(3).select(F.col("id").alias("k"), F.explode(axis).alias("row")).select("k", "row", F.explode(axis).alias("col")).withColumn("z", F.when(F.col("col") == 5, 3.0 - 2.0 * F.col("k")).otherwise(2.0))
+    pairs = spark.createDataFrame([(k, r, 4, r, 5) for k in range(2) for r in range(4)] + [(0, 9, 5, 9, 4), (2, 0, 5, 0, 4)], "k long, row int, col int, outer_row int, outer_col int")
+    out = evidence3d.boundary_depth(pairs, depth, ["k"], ["k"])
+    got = {r["k"]: (r["pairs"], r["valid_pairs"], r["residual"], r["aligned"], r["direction"]) for r in out.collect()}
+    assert got == {0: (5, 5, 0.2, 1.0, 1.0), 1: (4, 4, 0.0, 1.0, -1.0), 2: (1, 0, None, None, None)}
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
