@@ -131,7 +131,7 @@ def boundary_pairs(mask: DataFrame, keys: list[str], height: int, width: int, mo
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for i, (dr, dc) in enumerate((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc)])
     near = mask.withColumn("_n", F.explode(around)).select(*keys, "row", "col", F.col("_n.i").alias("_i"), (F.col("row") + F.col("_n.dr")).alias("outer_row"), (F.col("col") + F.col("_n.dc")).alias("outer_col"))
     near = near.where(F.col("outer_row").between(0, height - 1) & F.col("outer_col").between(0, width - 1))
-    inside = mask.select(*keys, F.col("row").alias("outer_row"), F.col("col").alias("outer_col"))
+    inside = mask.select(*keys, F.col("row").alias("outer_row"), F.col("col").alias("outer_col")).hint("merge")  # masks grow with their frames
     outer = near.join(inside, [*keys, "outer_row", "outer_col"], "left_anti")
     first = outer.groupBy(*keys, "row", "col").agg(F.min_by(F.struct("outer_row", "outer_col"), "_i").alias("o"))
     by = Window.partitionBy(*keys)
