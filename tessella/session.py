@@ -27,11 +27,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below the shared folder and read again: what several later steps or rounds use, and lost executors don't repeat."""
+    """``df`` written once below the shared folder and read again: what several later steps or rounds use, and lost executors don't repeat.
+
+    Its files are far smaller than its rows in memory, so Spark must not choose by them to broadcast it: joins with it shuffle.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def ship(spark: SparkSession) -> None:
