@@ -41,12 +41,12 @@ def _items(spark, sf):
 
 @query("duplicates_near", RUNS + f""", i AS (SELECT doc_id AS item_id, sha256(text) AS content_hash, hashes, length(coalesce(text, ''))::DOUBLE AS duration, length(lang) AS width, length(source) AS height,
    length(regexp_replace(coalesce(text, ''), '[^aeiou]', '', 'g')) / greatest(length(coalesce(text, '')), 1) AS rate, source AS group_id, CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 6))::BIGINT % 10 < 8 THEN 'train' ELSE 'test' END AS split FROM documents LEFT JOIN rh USING (doc_id)),
- k AS (SELECT *, min(item_id) OVER (PARTITION BY content_hash, hashes, duration, width, height, rate) AS rep, CASE WHEN content_hash IS NOT NULL THEN min(item_id) OVER (PARTITION BY content_hash) END AS first FROM i),
+ k AS (SELECT *, min(item_id) OVER (PARTITION BY content_hash, hashes, duration, width, height, rate) AS rep FROM i),
  p AS (SELECT a.item_id AS a, b.item_id AS b, a.content_hash = b.content_hash AS exact, 1 - list_sum(list_transform(range(1, 6), lambda x: bit_count(xor(a.hashes[x], b.hashes[x])))) / 320.0::DOUBLE AS perceptual,
    (greatest(0, 1 - abs(a.duration - b.duration) / greatest(a.duration, b.duration, 1e-8::DOUBLE)) + CASE WHEN a.width = b.width AND a.height = b.height THEN 1 ELSE 0 END + greatest(0, 1 - abs(a.rate - b.rate) / greatest(a.rate, b.rate, 1e-8::DOUBLE))) / 3 AS metadata,
    a.group_id IS NOT DISTINCT FROM b.group_id AS same_group, a.split <> b.split AS split_conflict
    FROM k a JOIN k b ON a.item_id < b.item_id AND a.item_id = a.rep AND b.item_id = b.rep AND a.hashes IS NOT NULL AND b.hashes IS NOT NULL AND a.content_hash <> b.content_hash
-  UNION ALL SELECT a.item_id, b.item_id, true, 1, 1, a.group_id IS NOT DISTINCT FROM b.group_id, a.split <> b.split FROM k b JOIN k a ON b.first = a.item_id AND b.item_id <> b.first),
+  UNION ALL SELECT a.item_id, b.item_id, true, 1, 1, a.group_id IS NOT DISTINCT FROM b.group_id, a.split <> b.split FROM k a JOIN k b ON a.content_hash = b.content_hash AND a.item_id < b.item_id AND a.item_id = a.rep AND (b.item_id = b.rep OR b.rep = a.item_id)),
  s AS (SELECT *, CASE WHEN exact THEN 1 ELSE 0.75::DOUBLE * perceptual + 0.25::DOUBLE * metadata END AS score FROM p)
  SELECT a, b, exact, {r('perceptual')} AS perceptual, {r('metadata')} AS metadata, {r('score')} AS score, same_group, split_conflict, split_conflict OR NOT same_group AS review_required FROM s WHERE score >= 0.92""")
 def duplicates_near(spark, sf):

@@ -263,3 +263,14 @@ def test_depth_maps_are_not_broadcast(spark):
     got = {r["k"]: (r["pairs"], r["valid_pairs"], r["residual"], r["aligned"], r["direction"]) for r in out.collect()}
     assert got == {0: (5, 5, 0.2, 1.0, 1.0), 1: (4, 4, 0.0, 1.0, -1.0), 2: (1, 0, None, None, None)}
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_classes_of_equal_content_all_pair(spark):
+    """Equal contents with other metadata pair with each other, not only with the first; further copies pair with their class. Nothing is broadcast."""
+    h = [1, 2, 3, 4, 5]
+    items = [(1, "x", h, 9.0, 2, 3, 0.5, "g", "train"), (2, "x", h, 9.0, 4, 3, 0.5, "g", "train"), (3, "x", h, 9.0, 5, 3, 0.5, "g", "test"), (4, "x", h, 9.0, 5, 3, 0.5, "q", "test")]
+    items += [(5, "y", None, 1.0, 2, 3, 0.5, "g", "train"), (6, "y", None, 1.0, 4, 3, 0.5, "g", "train"), (7, "z", h, 9.0, 2, 3, 0.5, "g", "test"), (8, None, None, 0.0, 2, 3, 0.5, "g", "test"), (9, None, None, 0.0, 2, 3, 0.5, "g", "test")]
+    out = governance.media_duplicates(spark.createDataFrame(items, "item_id long, content_hash string, hashes array<long>, duration double, width int, height int, rate double, group_id string, split string"))
+    got = {(r["a"], r["b"]): (r["exact"], r["review_required"]) for r in out.collect()}
+    assert got == {(1, 2): (True, False), (1, 3): (True, True), (2, 3): (True, True), (3, 4): (True, True), (5, 6): (True, False), (1, 7): (False, True)}
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
