@@ -53,38 +53,79 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((i, j) for i, j in pairs if np.isfinite(cost[i, j]))
 
 
-TRACK = ["track", "label", "x1", "y1", "x2", "y2", "frame"]
 SIDES = ["x1", "y1", "x2", "y2"]
+#: Pairs of boxes whose costs are looked at in one step: it bounds memory, whatever a video's length.
+PAIRS = 1 << 18
 
 
-def track_costs(tracks: pd.DataFrame, boxes: pd.DataFrame) -> np.ndarray:
-    """What it costs each box to continue each track, infinite where it may not (see :func:`associate`)."""
-    a, b = tracks[SIDES].to_numpy(float)[None], boxes[SIDES].to_numpy(float)[:, None]
-    size = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
-    cross = np.maximum(0.0, np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2])).prod(axis=-1)
+def _costs(boxes: pd.DataFrame, label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """What it costs box ``j`` to continue the track that box ``i`` is the last of, infinite where it may not (see :func:`associate`)."""
+    at = boxes[SIDES].to_numpy(float)
+    a, b = at[i], at[j]
+    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    cross = np.maximum(0.0, np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2])).prod(axis=-1)
     sa, sb = size(a), size(b)
     union = sa + sb - cross
     with np.errstate(divide="ignore", invalid="ignore"):
         over = np.where(union > 0, cross / union, 0.0)
-        far = np.hypot(*np.moveaxis((a[..., :2] + a[..., 2:] - b[..., :2] - b[..., 2:]) / 2, -1, 0)) / np.hypot(boxes["width"].to_numpy(float), boxes["height"].to_numpy(float))[:, None]
-        skew = np.log(sa / sb)
-        able = (tracks["label"].to_numpy()[None] == boxes["label"].to_numpy()[:, None]) & (sa > 0) & (sb > 0)
-        able &= (far <= 0.25) & (np.maximum(sa / sb, sb / sa) <= 3) & ((over >= 0.1) | (far <= 0.125))
-        return np.where(able, (1 - over) + far + 0.2 * np.abs(skew), np.inf)
-
-
-def continue_tracks(tracks: pd.DataFrame, boxes: pd.DataFrame, frame: int, following: int, max_gap: int) -> tuple[np.ndarray, pd.DataFrame, int]:
-    """One frame's step: (each box's track, the tracks that may still go on, the next free id). ``tracks`` has the columns ``TRACK``."""
-    live = tracks[(frame - tracks["frame"] > 0) & (frame - tracks["frame"] <= max_gap)]
-    found = np.full(len(boxes), -1, np.int64)
-    if len(live) and len(boxes):
-        for i, j in assign(track_costs(live, boxes)):
-            found[i] = live["track"].iloc[j]
-    new = found < 0
-    found[new] = following + np.arange(int(new.sum()))
-    now = boxes[["label", *SIDES]].assign(track=found, frame=frame)[TRACK]
-    kept = pd.concat([live[~live["track"].isin(found)], now]) if len(live) else now
-    return found, kept.sort_values("track"), following + int(new.sum())
+        far = np.hypot(*((a[:, :2] + a[:, 2:] - b[:, :2] - b[:, 2:]) / 2).T) / np.hypot(boxes["width"].to_numpy(float), boxes["height"].to_numpy(float))[j]
+        able = (label[i] == label[j]) & (sa > 0) & (sb > 0) & (far <= 0.25) & (np.maximum(sa / sb, sb / sa) <= 3) & ((over >= 0.1) | (far <= 0.125))
+        return np.where(able, (1 - over) + far + 0.2 * np.abs(np.log(sa / sb)), np.inf)
+
+
+def _match(rows: list[tuple[int, int, float]], n: int, track: np.ndarray, live: list[int], start: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) for one frame's n boxes from their possible continuations (i, j, cost): box j is i's next. ``live``: last boxes of all live tracks."""
+    if len({i for i, _, _ in rows}) == len(rows):  # no two boxes want the same track: each takes its cheapest
+        best: dict[int, tuple] = {}
+        for i, j, cost in rows:
+            best[j] = min(best.get(j, (np.inf, 0, -1)), (cost, track[i], i))
+        return [(i, j) for j, (_, _, i) in best.items()]
+    live = sorted(live, key=lambda i: track[i])
+    place = {i: k for k, i in enumerate(live)}
+    cost = np.full((n, len(live)), np.inf)
+    for i, j, x in rows:
+        cost[j - start, place[i]] = x
+    return [(live[k], start + j) for j, k in assign(cost)]
+
+
+def carry_tracks(boxes: pd.DataFrame, held: int, track: np.ndarray, following: int, max_gap: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(each box's track, the box before it on its track or -1, the next free id) for boxes in order of frames.
+
+    The first ``held`` boxes are the last of tracks ``track`` that came before. Costs are computed for all pairs of near frames at once; frame by
+    frame only the assignment is left, and of that only what two boxes compete for.
+    """
+    n = len(boxes)
+    frame, label = boxes["frame_index"].to_numpy(), pd.factorize(boxes["label"])[0]
+    track = np.concatenate([np.asarray(track, np.int64), np.full(n - held, -1, np.int64)])
+    before, taken = np.full(n, -1, np.int64), np.zeros(n, bool)
+    first, end = np.searchsorted(frame, frame - max_gap), np.searchsorted(frame, frame)
+    sizes = end - first
+    sizes[:held] = 0
+    sums, at = np.cumsum(sizes), held
+    while at < n:
+        # Whole frames: as many as hold PAIRS pairs, one at least.
+        upto = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, side="right"))
+        upto = max(int(end[upto]) if upto < n else n, int(np.searchsorted(frame, frame[at], side="right")))
+        k = sizes[at:upto]
+        j = np.repeat(np.arange(at, upto), k)
+        i = np.arange(len(j)) - np.repeat(np.cumsum(k) - k, k) + first[j]
+        cost = _costs(boxes, label, i, j)
+        able = np.isfinite(cost)
+        i, j, cost = i[able], j[able], cost[able]
+        cuts = np.append(np.flatnonzero(np.diff(frame[at:upto])) + at + 1, upto).tolist()
+        edges = [0, *np.searchsorted(j, cuts).tolist()]
+        i, j, cost = i.tolist(), j.tolist(), cost.tolist()
+        for start, stop, lo, hi in zip([at, *cuts], cuts, edges, edges[1:], strict=False):
+            rows = [(i[e], j[e], cost[e]) for e in range(lo, hi) if not taken[i[e]]]
+            if rows:
+                live = [x for x in range(int(first[start]), int(end[start])) if not taken[x]]
+                for x, y in _match(rows, stop - start, track, live, start):
+                    track[y], before[y], taken[x] = track[x], x, True
+            for y in range(start, stop):
+                if track[y] < 0:
+                    track[y], following = following, following + 1
+        at = upto
+    return track, before, following
 
 
 def associate(boxes: DataFrame, max_gap: int = 2) -> DataFrame:
@@ -98,12 +139,9 @@ def associate(boxes: DataFrame, max_gap: int = 2) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_index", "box_id"])
-        tracks, following, out = pd.DataFrame(columns=TRACK), 0, []
-        for frame, rows in pdf.groupby("frame_index", sort=True):
-            found, tracks, following = continue_tracks(tracks, rows, frame, following, max_gap)
-            out.append(found)
-        return pdf[["video_id", "frame_index", "box_id"]].assign(track=np.concatenate(out))
+        pdf = pdf.sort_values(["frame_index", "box_id"], ignore_index=True)
+        track, _, _ = carry_tracks(pdf, 0, np.zeros(0, np.int64), 0, max_gap)
+        return pdf[["video_id", "frame_index", "box_id"]].assign(track=track)
 
     kinds = dict(boxes.dtypes)
     return boxes.groupBy("video_id").applyInPandas(run, f"video_id {kinds['video_id']}, frame_index {kinds['frame_index']}, box_id {kinds['box_id']}, track long")

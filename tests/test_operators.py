@@ -274,3 +274,22 @@ def test_classes_of_equal_content_all_pair(spark):
     got = {(r["a"], r["b"]): (r["exact"], r["review_required"]) for r in out.collect()}
     assert got == {(1, 2): (True, False), (1, 3): (True, True), (2, 3): (True, True), (3, 4): (True, True), (5, 6): (True, False), (1, 7): (False, True)}
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_frames_where_boxes_compete_are_assigned(monkeypatch):
+    """Lone continuations need no assignment, costs come for many frames at once, and pieces of any size give the same tracks."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    lone = pd.DataFrame([(f, b, "a", 60.0 * b + f % 3, 0.0, 60.0 * b + f % 3 + 20, 10.0) for f in range(500) for b in range(3)], columns=["frame_index", "box_id", "label", "x1", "y1", "x2", "y2"])
+    x, y = rng.integers(0, 9, 400) * 4.0, rng.integers(0, 6, 400) * 4.0
+    crowd = pd.DataFrame({"frame_index": np.sort(rng.integers(0, 60, 400)), "box_id": range(400), "label": rng.choice(["a", "b"], 400), "x1": x, "y1": y, "x2": x + 16, "y2": y + rng.integers(1, 3, 400) * 8.0})
+    calls, assign = [], sequential.assign
+    monkeypatch.setattr(sequential, "assign", lambda cost: calls.append(1) or assign(cost))
+    run = lambda d: sequential.carry_tracks(d.assign(width=160.0, height=90.0), 0, np.zeros(0, np.int64), 0, 2)
+    track, before, following = run(lone)
+    assert following == 3 and not calls and (track == lone["box_id"]).all() and (before == np.r_[[-1] * 3, np.arange(1497)]).all()
+    whole = run(crowd)
+    assert calls
+    monkeypatch.setattr(sequential, "PAIRS", 16)
+    assert all(np.array_equal(a, b) for a, b in zip(run(crowd), whole, strict=True))
