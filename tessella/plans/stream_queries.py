@@ -53,12 +53,14 @@ def _track_stream(spark, sf, path):
     """The boxes as a stream of files out of order by up to three frames, and a last row that moves the watermark past them."""
     boxes = unique_boxes(spark, sf)
     late = F.pmod(F.xxhash64("video_id", "frame_index", "box_id"), F.lit(4))
-    dealt = boxes.withColumn("_file", F.floor((F.col("frame_index") + late) / 9))
-    for i in range(4):  # 32 frames, four files' folders in order of time
-        dealt.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(f"{path}/source")
-    last = boxes.limit(1).withColumn("video_id", F.lit(-1).cast("long")).withColumn("frame_index", F.lit(10**6).cast("long"))
+    boxes.withColumn("_file", F.floor((F.col("frame_index") + late) / 9).cast("int")).write.partitionBy("_file").parquet(f"{path}/dealt")
+    files = spark.sparkContext.defaultParallelism
+    dealt = spark.read.schema(boxes.withColumn("_file", F.lit(0)).schema).parquet(f"{path}/dealt")
+    for i in range(4):  # 32 frames, four parts in order of time, each by all tasks: a micro-batch takes as many files as a part has
+        dealt.where(F.col("_file") == i).drop("_file").repartition(files).write.mode("append").parquet(f"{path}/source")
+    last = dealt.drop("_file").limit(1).withColumn("video_id", F.lit(-1).cast("long")).withColumn("frame_index", F.lit(10**6).cast("long"))
     last.coalesce(1).write.mode("append").parquet(f"{path}/source")
-    return spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
+    return spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/source")
 
 
 @query("stream_tracks")

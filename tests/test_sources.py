@@ -351,3 +351,49 @@ def test_training_manifest_policies(spark):
     for how in ({"policy": "drop"}, {"load_splits": ("dev",)}):
         with pytest.raises(ValueError):
             manifest.training_rows(rows, audit, **how)
+
+
+def test_a_video_takes_few_calls_of_its_state():
+    """Calls of the state store and timers don't grow with a video's boxes; a box that comes twice counts once."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):
+            def call(*a):
+                calls.append(name)
+                if name in ("get", "exists"):
+                    return list(self.held)
+                self.held = {"appendList": lambda: self.held + list(a[0]), "put": lambda: list(a[0]), "update": lambda: list(a[0]), "clear": list}[name]()
+
+            return call
+
+    class Handle:
+        def getListState(self, *a):
+            return State()
+
+        getValueState = getMapState = getListState
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    rows = [(f, b, "a", 60.0 * b, 0.0, 60.0 * b + 20, 10.0, 160.0, 90.0, (f + 1) * 1000) for f in range(200) for b in range(3)]
+    frame = pd.DataFrame(rows + rows[:5], columns=["frame_index", "box_id", *tracks.BOX, "ms"])
+    p = tracks._Association(2, False)
+    p.init(Handle())
+    assert not list(p.handleInputRows((1,), iter([frame]), Now(0)))
+    out = [*p.handleExpiredTimer((1,), Now(100_000), None), *p.handleExpiredTimer((1,), Now(10**9), None)]
+    got = pd.concat(out)
+    assert len(got) == 600 and (got["track"] == got["box_id"]).all()
+    assert len(calls) < 20
