@@ -7,6 +7,7 @@ pairs all pixels of a mask, and no mask has to fit into one task.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,12 +158,46 @@ def spaced_points(points: DataFrame, key: list[str], distance: float, most: int
     """The points that a greedy walk by (score descending, point_id) keeps, each at least ``distance`` from all kept before it,
     the first ``most`` of a key. Points: key, point_id, row, col, score.
 
-    Rounds: a point without a better live point nearby is kept, and those near it leave. Points meet those of
+    With ``most``, keys are sorted and walked as a stream: a task holds one batch of rows and the points kept of one key, and no pairs
+    are made. Without it, by rounds: a point without a better live point nearby is kept, and those near it leave. Points meet those of
     their own and the adjacent cells of a grid once; a round only moves ids. Rounds are as many as the longest chain of falling scores in which each is near the next.
     """
+    plain = points.select(*key, "point_id", *[F.col(x).cast("double").alias(x) for x in ("row", "col", "score")])
+    if most is None:
+        return _spaced_by_rounds(plain, key, distance)
+
+    def walk(batches):
+        now, kept, count = None, np.zeros((0, 2)), 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            at, ids = pdf[["row", "col"]].to_numpy(float), list(zip(*(pdf[k].tolist() for k in key), strict=True))
+            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
+            picks, places = [], []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if ids[lo] != now:
+                    now, kept, count = ids[lo], np.zeros((0, 2)), 0
+                free = np.ones(hi - lo, bool)
+                for row, col in kept:
+                    free &= ~((at[lo:hi, 0] - row) ** 2 + (at[lo:hi, 1] - col) ** 2 < distance * distance)
+                while count < most and free.any():
+                    i = lo + int(free.argmax())
+                    picks.append(i)
+                    places.append(count)
+                    kept, count = np.vstack([kept, at[i]]), count + 1
+                    free[i - lo] = False
+                    free &= ~((at[lo:hi, 0] - at[i, 0]) ** 2 + (at[lo:hi, 1] - at[i, 1]) ** 2 < distance * distance)
+            yield pdf.iloc[picks].assign(place=np.array(places, np.int32))
+
+    kinds = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
+    plain = plain.dropna(subset=[*key, "point_id"])  # a key or id that is missing names nothing
+    return plain.repartition(*key).sortWithinPartitions(*key, F.desc("score"), "point_id").mapInPandas(walk, f"{kinds}, place int")
+
+
+def _spaced_by_rounds(p: DataFrame, key: list[str], distance: float) -> DataFrame:
     c = F.col
     cell = lambda x: F.floor(c(x) / distance)
-    p = stored(points.select(*key, "point_id", c("row").cast("double").alias("row"), c("col").cast("double").alias("col"), c("score").cast("double").alias("score")), "points")
+    p = stored(p, "points")
     wide = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = p.select(*key, c("point_id").alias("a"), c("row").alias("_ra"), c("col").alias("_ca"), c("score").alias("_sa"), cell("row").alias("_i"), cell("col").alias("_j"))
     right = p.withColumn("_o", wide).select(*key, c("point_id").alias("b"), c("row").alias("_rb"), c("col").alias("_cb"), c("score").alias("_sb"), (cell("row") + c("_o.i")).alias("_i"), (cell("col") + c("_o.j")).alias("_j"))
@@ -182,8 +217,7 @@ def spaced_points(points: DataFrame, key: list[str], distance: float, most: int
         edges = stored(edges.join(drop, [*[edges[k] == drop[k] for k in key], edges["a"] == drop["_g"]], "left_anti").join(drop, [*[edges[k] == drop[k] for k in key], edges["b"] == drop["_g"]], "left_anti"), "conflicts")
     out = p.join(kept, [*key, "point_id"])
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "point_id"))
-    out = out.withColumn("place", (place - 1).cast("int"))
-    return out if most is None else out.where(c("place") < most)
+    return out.withColumn("place", (place - 1).cast("int"))
 
 
 # --- warps and hashes ----------------------------------------------------------------------------

@@ -120,6 +120,28 @@ def test_spaced_points_are_greedy(spark):
     assert got == want
 
 
+def test_first_spaced_points_make_no_pairs(spark, monkeypatch):
+    """The first points of a key are those of the whole walk, whatever batches its rows come in, without stored conflicts."""
+    rng = random.Random(4)
+    rows = [(k, i, float(rng.randrange(30)), float(rng.randrange(30)), float(rng.randrange(9))) for k in range(4) for i in range(300)]
+    points = spark.createDataFrame(rows + [(None, 1, 0.0, 0.0, 1.0)], "k int, point_id int, row double, col double, score double")
+    want = set()
+    for k in range(4):
+        kept = []
+        for _, i, y, x, _ in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[4], r[1])):
+            if len(kept) < 7 and all((y - a) ** 2 + (x - b) ** 2 >= 16 for a, b in kept):
+                want.add((k, i, len(kept)))
+                kept.append((y, x))
+    monkeypatch.setattr(raster, "stored", None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {(r["k"], r["point_id"], r["place"]) for r in raster.spaced_points(points, ["k"], 4.0, most=7).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == want
+
+
 def test_warp(spark, frame, shapes):
     for m in ([1, 0, 3, 0, 1, -2, 0, 0, 1], [0.5, -0.9, 9, 0.9, 0.5, -4, 0, 0, 1], [1, 0.13, 0.07, -0.11, 1, 1.03, 0.021, 0.013, 1], [1, 0, 0.013, 0, 1, 0.017, -0.1217, 0, 1]):
         got = {(x["k"], x["row"], x["col"]) for x in raster.warp(frame.withColumn("m", F.array(*[F.lit(float(x)) for x in m])), ["k"], "m", W, H).collect()}
