@@ -76,11 +76,11 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_observations(objects: DataFrame, path: str) -> None:
-    """Objects (clip_id, video_id, frame_index, width, height, object columns) as one JSON document a clip."""
+    """Objects (clip_id, video_id, frame_index, width, height, object columns) as one JSON document a clip, in gzip files: names repeat in every document."""
     item = F.struct("object_id", "label", "mask_area", "frame_area", "depth", "confidence", "bbox")
     frames = objects.groupBy("clip_id", "video_id", "frame_index").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.array_sort(F.collect_list(item)).alias("objects"))
     clips = frames.groupBy("clip_id", "video_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "width", "height", "objects"))).alias("frames"))
-    write_json(clips, path)
+    clips.write.option("ignoreNullFields", False).option("compression", "gzip").json(path)
 
 
 def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("mp4", "avi", "mov", "mkv")) -> DataFrame:

@@ -397,3 +397,13 @@ def test_a_video_takes_few_calls_of_its_state():
     got = pd.concat(out)
     assert len(got) == 600 and (got["track"] == got["box_id"]).all()
     assert len(calls) < 20
+
+
+def test_observations_are_written_small(spark, tmp_path):
+    """Documents go to compressed files and come back whole."""
+    rows = spark.range(3000).selectExpr("concat('c', id DIV 30) AS clip_id", "'v' AS video_id", "id % 5 AS frame_index", "1280 AS width", "720 AS height", "cast(id AS string) AS object_id", "'a' AS label", "1.0D AS mask_area", "2.0D AS frame_area", "3.0D AS depth", "0.9D AS confidence", "array(0.0D, 0.0D, 1.0D, 1.0D) AS bbox")
+    path = tmp_path / "observations"
+    records.write_observations(rows, str(path))
+    back = records.read_observations(spark, str(path)).where("_corrupt_record IS NULL").selectExpr("explode(frames) AS f").selectExpr("explode(f.objects) AS o")
+    assert {r["object_id"] for r in back.select("o.object_id").collect()} == {str(i) for i in range(3000)}
+    assert sum(f.stat().st_size for f in path.rglob("part-*")) < 60 * 3000
