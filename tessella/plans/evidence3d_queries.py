@@ -288,11 +288,9 @@ def depth_alignment_sequence(spark, sf):
     """Edges between frames one and two apart, from the true scale and shift of both; poor ones from every thirteenth frame, and from two frames in a row, behind which nothing is joined."""
     n = F.col("row_idx")
     f = evidence(spark, sf).select("video_id", n.alias("frame_index"), (1 + (F.col("ord") % 7) / 20.0).alias("a"), ((F.col("ord") % 5) / 50.0).alias("b"))
-    edges = None
-    for gap in (1, 2):
-        by = Window.partitionBy("video_id").orderBy("frame_index")
-        one = f.select("video_id", F.col("frame_index").alias("source"), F.lead("frame_index", gap).over(by).alias("target"), "a", "b", F.lead("a", gap).over(by).alias("a2"), F.lead("b", gap).over(by).alias("b2")).where("target IS NOT NULL")
-        edges = one if edges is None else edges.unionByName(one)
+    by = Window.partitionBy("video_id").orderBy("frame_index")
+    ahead = F.array(*[F.lead(F.struct(F.col("frame_index").alias("target"), F.col("a").alias("a2"), F.col("b").alias("b2")), gap).over(by) for gap in (1, 2)])
+    edges = f.select("video_id", F.col("frame_index").alias("source"), "a", "b", ahead.alias("ahead")).select("video_id", "source", "a", "b", F.explode("ahead").alias("to")).where("to IS NOT NULL").select("video_id", "source", "a", "b", "to.*")
     # depth in the reference = a * depth in the frame + b, so target = (a * source + b - b2) / a2
     edges = edges.select("video_id", "source", "target", F.lit("affine_depth").alias("mode"), (F.col("a") / F.col("a2")).alias("scale"), ((F.col("b") - F.col("b2")) / F.col("a2")).alias("shift"), F.when((F.col("source") % 13 == 5) | F.col("source").isin(40, 41), 0.1).otherwise(0.9).alias("quality"), F.lit(0.01).alias("holdout"))
     return alignment.align_sequence(edges)
