@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,39 +159,109 @@ def pose_graph(edges: DataFrame, reference: int = 0, least: float = 0.2) -> Data
     return edges.groupBy("video_id").applyInPandas(run, f"video_id {kind}, frame_index long, parent long, quality double")
 
 
+#: Segments that are linked side by side.
+TOGETHER = 1 << 17
+
+
+def _near(video: np.ndarray, start: np.ndarray, ends: np.ndarray, owner: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, start, end) of all starts and ends of the same video within reach: only ends in the nine cells around a start can be."""
+    si, ej = (np.flatnonzero(np.isfinite(p).all(axis=1)) for p in (start, ends))
+    if not len(si) or not len(ej):
+        return np.zeros(0), si[:0], ej[:0]
+    start, video, ends, owner = start[si], video[si], ends[ej], owner[ej]
+    cell = lambda p: np.floor(p / reach).astype(np.int64)
+    at, to = cell(ends), cell(start)
+    base = min(at.min(), to.min()) - 1
+    wide = max(at.max(), to.max()) - base + 2
+    rows, line = np.unique(np.concatenate([owner * wide + at[:, 0] - base, *(video * wide + to[:, 0] + dx - base for dx in (-1, 0, 1))]), return_inverse=True)
+    n, m = len(ends), len(start)
+    key = line[:n] * wide + at[:, 1] - base
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    found = []
+    for k in range(3):
+        # Three cells side by side are one range of keys.
+        middle = line[n + k * m : n + (k + 1) * m] * wide + to[:, 1] - base
+        lo, hi = np.searchsorted(key, middle - 1, "left"), np.searchsorted(key, middle + 1, "right")
+        size = hi - lo
+        i = np.repeat(np.arange(m), size)
+        j = order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)]
+        d = np.hypot(start[i, 0] - ends[j, 0], start[i, 1] - ends[j, 1])
+        ok = d <= reach
+        found.append((d[ok], i[ok], j[ok]))
+    d, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return d, si[i], ej[j]
+
+
+def _chains(pdf: pd.DataFrame, reach: float) -> np.ndarray:
+    """Chain numbers of whole videos' segments, sorted by video, frame and start."""
+    video, frame = pdf["video_id"].to_numpy(), pdf["frame_index"].to_numpy()
+    start, end = pdf[["u0", "v0"]].to_numpy(float), pdf[["u1", "v1"]].to_numpy(float)
+    n = len(pdf)
+    new = np.r_[True, video[1:] != video[:-1]]
+    of, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+    step = np.cumsum(np.r_[True, new[1:] | (frame[1:] != frame[:-1])])
+    step = step - step[heads][of]  # the place of the frame among its video's
+    chain, following = np.full(n, -1, np.int64), np.zeros(len(heads), np.int64)
+    levels = np.argsort(step, kind="stable")
+    cuts = np.searchsorted(step[levels], np.arange(step.max() + 2))
+    before = levels[:0]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        now = levels[lo:hi]
+        if len(before):
+            d, i, j = _near(of[now], start[now], end[before], of[before], reach)
+            # The best pair first: one that is the best of its start and of its end is taken, until none is left.
+            order = np.lexsort((chain[before][j], i, d))
+            i, j = i[order], j[order]
+            while len(i):
+                place = np.arange(len(i))
+                best_i, best_j = np.full(len(now), len(i)), np.full(len(before), len(i))
+                np.minimum.at(best_i, i, place)
+                np.minimum.at(best_j, j, place)
+                take = (best_i[i] == place) & (best_j[j] == place)
+                chain[now[i[take]]] = chain[before[j[take]]]
+                used_i, used_j = np.zeros(len(now), bool), np.zeros(len(before), bool)
+                used_i[i[take]] = used_j[j[take]] = True
+                left = ~(used_i[i] | used_j[j])
+                i, j = i[left], j[left]
+        fresh = now[chain[now] < 0]
+        # New chains of a video are numbered on, in the order of its rows.
+        v = of[fresh]
+        rank = np.arange(len(v)) - np.searchsorted(v, v, "left")
+        chain[fresh] = following[v] + rank
+        following += np.bincount(v, minlength=len(heads))
+        before = now
+    return chain
+
+
 def link_endpoints(segments: DataFrame, reach: float = 2.0) -> DataFrame:
     """Chain point pairs of consecutive frames: each end takes the nearest unused start within ``reach`` pixels, best first.
 
-    Segments: video_id, frame_index, u0, v0, u1, v1. Returns a chain number for every segment.
+    Segments: video_id, frame_index, u0, v0, u1, v1. Returns a chain number for every segment. Videos are sorted and read as a stream; the first
+    frames of a batch of videos are linked at once, then the second, and so on.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_index", "u0", "v0"]).reset_index(drop=True)
-        chain, number, ends = [None] * len(pdf), 0, {}
-        cell = lambda u, v: (math.floor(u / reach), math.floor(v / reach))
-        for _, rows in pdf.groupby("frame_index", sort=True):
-            # Only ends in the nine cells around a start can be within reach.
-            grid: dict[tuple[int, int], list[int]] = {}
-            for k, (u, v) in ends.items():
-                grid.setdefault(cell(u, v), []).append(k)
-            near = []
-            for i, r in zip(rows.index, rows.itertuples(index=False), strict=True):
-                x, y = cell(r.u0, r.v0)
-                for k in (k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in grid.get((x + dx, y + dy), ())):
-                    d = math.hypot(r.u0 - ends[k][0], r.v0 - ends[k][1])
-                    if d <= reach:
-                        near.append((d, i, k))
-            used = set()
-            for _, i, k in sorted(near):
-                if chain[i] is None and k not in used:
-                    chain[i] = k
-                    used.add(k)
-            ends = {}
-            for i, r in zip(rows.index, rows.itertuples(index=False), strict=True):
-                if chain[i] is None:
-                    chain[i], number = number, number + 1
-                ends[chain[i]] = (r.u1, r.v1)
-        return pd.DataFrame({"video_id": pdf["video_id"], "frame_index": pdf["frame_index"], "u0": pdf["u0"], "v0": pdf["v0"], "chain": chain})
-
     kind = dict(segments.dtypes)
-    return segments.groupBy("video_id").applyInPandas(run, f"video_id {kind['video_id']}, frame_index {kind['frame_index']}, u0 double, v0 double, chain long")
+    rows = segments.where("video_id IS NOT NULL AND frame_index IS NOT NULL").select("video_id", "frame_index", *[F.col(x).cast("double").alias(x) for x in ("u0", "v0", "u1", "v1")])
+    held = ["video_id", "frame_index", "u0", "v0"]
+
+    def run(batches):
+        waiting, count = [], 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            waiting.append(pdf)
+            count += len(pdf)
+            if count >= TOGETHER:
+                whole = pd.concat(waiting, ignore_index=True)
+                cut = int((whole["video_id"] != whole["video_id"].iloc[-1]).sum())  # the last video may go on
+                if cut:
+                    yield whole.iloc[:cut][held].assign(chain=_chains(whole.iloc[:cut], reach))
+                waiting = [whole.iloc[cut:]]
+                count = len(whole) - cut if cut else 0  # one that outgrows a batch waits for as much again
+        if waiting:
+            whole = pd.concat(waiting, ignore_index=True)
+            yield whole[held].assign(chain=_chains(whole, reach))
+
+    ordered = rows.repartition("video_id").sortWithinPartitions("video_id", "frame_index", "u0", "v0")
+    return ordered.mapInPandas(run, f"video_id {kind['video_id']}, frame_index {kind['frame_index']}, u0 double, v0 double, chain long")
