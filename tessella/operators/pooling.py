@@ -140,10 +140,17 @@ def funnel(rows: DataFrame, reasons: list[str]) -> DataFrame:
 
 
 def occlusion_pairs(supports: DataFrame, key: list[str]) -> DataFrame:
-    """Pairs of objects of a frame that share predicted pixels, the nearer one first. Supports: key, object_id, pixel, depth."""
-    a = supports.select(*key, "pixel", F.col("object_id").alias("front"), F.col("depth").alias("front_depth"))
-    b = supports.select(*key, "pixel", F.col("object_id").alias("back"), F.col("depth").alias("back_depth"))
-    both = a.join(b, [*key, "pixel"]).where("front_depth < back_depth OR (front_depth = back_depth AND front < back)")
+    """Pairs of objects of a frame that share predicted pixels, the nearer one first. Supports: key, object_id, pixel, depth.
+
+    The supports of a pixel are one row, in which they meet. Supports that are dealt by the key already are not shuffled at all.
+    """
+    c = F.col
+    rows = supports.select(*key, "pixel", F.struct("object_id", "depth").alias("_s")).dropna(subset=[*key, "pixel"])
+    pixels = rows.groupBy(*key, "pixel").agg(F.collect_list("_s").alias("_all")).where(F.size("_all") > 1)
+    front = pixels.select(*key, "_all", F.explode("_all").alias("_f"))
+    behind = lambda o: (c("_f.depth") < o["depth"]) | ((c("_f.depth") == o["depth"]) & (c("_f.object_id") < o["object_id"]))
+    both = front.select(*key, "_f", F.explode(F.filter("_all", behind)).alias("_b"))
+    both = both.select(*key, c("_f.object_id").alias("front"), c("_b.object_id").alias("back"), c("_f.depth").alias("front_depth"), c("_b.depth").alias("back_depth"))
     return both.groupBy(*key, "front", "back").agg(F.count(F.lit(1)).alias("overlap"), F.min("front_depth").alias("front_depth"), F.min("back_depth").alias("back_depth"))
 
 

@@ -8,6 +8,7 @@ from tessella.functions import geometry as G
 from tessella.functions.stats import array_median
 from tessella.operators import evidence3d, fusion, gates, governance, lineage, pooling
 from tessella.operators.branches import BRANCHES
+from tessella.session import parts
 from tessella.sources import records as sources
 
 from .adapters import EV, RE, evidence, records, table
@@ -359,7 +360,9 @@ SUP = "WITH su AS (SELECT DISTINCT l_orderkey, l_linenumber AS o, ((l_partkey +
 
 @query("occlusion_graph", SUP + " SELECT a.l_orderkey, a.o AS front, b.o AS back, count(*) AS overlap, min(a.depth) AS front_depth, min(b.depth) AS back_depth FROM su a JOIN su b ON a.l_orderkey = b.l_orderkey AND a.px = b.px AND (a.depth < b.depth OR a.depth = b.depth AND a.o < b.o) GROUP BY ALL")
 def occlusion_graph(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("object_id"), F.col("l_quantity").alias("depth"), "l_partkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    line = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("object_id"), F.col("l_quantity").alias("depth"), "l_partkey")
+    line = line.repartition(parts(spark, line.count(), 100_000), "l_orderkey")  # before the lines become pixels
+    rows = line.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
     rows = rows.select("l_orderkey", "object_id", ((F.col("l_partkey") + F.col("k")) % 40).cast("int").alias("pixel"), "depth").distinct()
     return pooling.occlusion_pairs(rows, ["l_orderkey"])
 

@@ -37,6 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
+def parts(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions for ``rows``, about ``each`` in one.
+
+    Spark merges shuffled partitions by their compressed bytes, which say little of rows that compress well or are multiplied afterwards: what a
+    task holds would grow with the input. A number that is given to ``repartition`` stays.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def ship(spark: SparkSession) -> None:
     """Executors import the package from wherever the driver runs it."""
     sc = spark.sparkContext
