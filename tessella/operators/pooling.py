@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import interval_distance
+from tessella.session import parts, stored
 
 
 def strict_aggregate(rows: DataFrame, keys: list[str], method: str = "mean", require_all: bool = True) -> DataFrame:
@@ -183,6 +184,9 @@ def smooth_heatmap(heat: DataFrame, radius: int = 2, sigma: float = 1.0) -> Data
     kernel = [(i, j, math.exp(-(i * i + j * j) / (2 * sigma * sigma))) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)]
     total = sum(w for *_, w in kernel)
     spread = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w / total).alias("w")) for i, j, w in kernel]))
-    out = heat.select("video_id", "frame", "row", "col", "value", spread.alias("k")).groupBy("video_id", "frame", (F.col("row") + F.col("k.i")).alias("row"), (F.col("col") + F.col("k.j")).alias("col")).agg(F.sum(F.col("value") * F.col("k.w")).alias("value"))
-    most = out.groupBy("video_id", "frame").agg(F.max("value").alias("_m"))
-    return out.join(most, ["video_id", "frame"]).withColumn("value", F.when(F.col("_m") > 0, F.col("value") / F.col("_m")).otherwise(F.lit(0.0))).drop("_m")
+    # Dealt by frames before the kernel multiplies the rows: neither their sums nor the maximum moves them again.
+    heat = stored(heat.select("video_id", "frame", "row", "col", "value"), "heat")
+    heat = heat.repartition(parts(heat.sparkSession, heat.count(), 1_000_000 // len(kernel)), "video_id", "frame")
+    out = heat.select("*", spread.alias("k")).groupBy("video_id", "frame", (F.col("row") + F.col("k.i")).alias("row"), (F.col("col") + F.col("k.j")).alias("col")).agg(F.sum(F.col("value") * F.col("k.w")).alias("value"))
+    most = F.max("value").over(Window.partitionBy("video_id", "frame"))
+    return out.withColumn("_m", most).withColumn("value", F.when(F.col("_m") > 0, F.col("value") / F.col("_m")).otherwise(F.lit(0.0))).drop("_m")
