@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
 from tessella.functions.stats import array_median, interval_distance
+from tessella.session import parts
 
 
 def _sides(objects: DataFrame, group: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -171,12 +172,20 @@ def bind_points(points: DataFrame, boxes: DataFrame, least: float = 0.6) -> Data
     """The one object whose boxes hold a point in most of its frames.
 
     Points: video_id, point_id, frame_index, u, v. Boxes: video_id, frame_index, object_id, x1, y1, x2, y2.
-    Several owners make the binding invalid, none means background.
+    Several owners make the binding invalid, none means background. Points and boxes are dealt by videos together, once; those of a frame meet in one row.
     """
-    inside = points.join(boxes, ["video_id", "frame_index"], "left").where("object_id IS NULL OR (u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2)")
-    owned = inside.where("object_id IS NOT NULL").groupBy("video_id", "point_id", "frame_index").agg(F.min("object_id").alias("object_id"))
-    hits = owned.groupBy("video_id", "point_id").agg(F.count_distinct("object_id").alias("owners"), F.min("object_id").alias("owner"), F.count(F.lit(1)).alias("owned"))
-    frames = points.groupBy("video_id", "point_id").agg(F.count(F.lit(1)).alias("frames"))
-    out = frames.join(hits, ["video_id", "point_id"], "left")
-    state = F.when(F.col("owners").isNull(), "background").when(F.col("owners") > 1, "object_assignment_switched").when(F.col("owned") / F.col("frames") < least, "inconsistent").otherwise("bound")
-    return out.withColumn("state", state).select("video_id", "point_id", F.when(F.col("state") == "bound", F.col("owner")).alias("object_id"), (F.coalesce("owned", F.lit(0)) / F.col("frames")).alias("consistency"), "state")
+    c = F.col
+    kinds = dict(points.dtypes)
+    none = lambda kind: F.lit(None).cast(kind)
+    box = F.struct("object_id", "x1", "y1", "x2", "y2").alias("_box")
+    boxes = boxes.where("video_id IS NOT NULL AND frame_index IS NOT NULL AND object_id IS NOT NULL").select("video_id", "frame_index", none("int").alias("_r"), none(kinds["point_id"]).alias("point_id"), none(kinds["u"]).alias("u"), none(kinds["v"]).alias("v"), box)
+    own = points.select("video_id", "frame_index", F.lit(1).alias("_r"), "point_id", "u", "v", none(dict(boxes.dtypes)["_box"]).alias("_box"))
+    rows = own.unionByName(boxes).repartition(parts(points.sparkSession, points.count(), 100_000), "video_id")
+    met = rows.groupBy("video_id", "frame_index").agg(F.collect_list("_box").alias("_boxes"), F.collect_list(F.when(c("_r") == 1, F.struct("point_id", "u", "v"))).alias("_points"))
+    met = met.select("video_id", "frame_index", "_boxes", F.explode("_points").alias("_p"))  # what has no name has no owner
+    holds = lambda b: c("_p.point_id").isNotNull() & c("_p.u").between(b["x1"], b["x2"]) & c("_p.v").between(b["y1"], b["y2"])
+    owner = F.array_min(F.transform(F.filter("_boxes", holds), lambda b: b["object_id"]))
+    frames = met.select("video_id", "frame_index", c("_p.point_id").alias("point_id"), owner.alias("object_id")).groupBy("video_id", "point_id", "frame_index").agg(F.min("object_id").alias("object_id"), F.count(F.lit(1)).alias("_n"))
+    out = frames.groupBy("video_id", "point_id").agg(F.min("object_id").alias("owner"), F.max("object_id").alias("_other"), F.count("object_id").alias("owned"), F.sum("_n").alias("frames"))
+    state = F.when(c("owner").isNull(), "background").when(c("owner") != c("_other"), "object_assignment_switched").when(c("owned") / c("frames") < least, "inconsistent").otherwise("bound")
+    return out.withColumn("state", state).select("video_id", "point_id", F.when(c("state") == "bound", c("owner")).alias("object_id"), (c("owned") / c("frames")).alias("consistency"), "state")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
 from tessella.operators import governance, metrics, relations, residuals, sequential, windows
+from tessella.session import parts, stored
 
 from .adapters import OB, PR, RE, TR, objects, predictions, records, table, tracks
 from .registry import query, r
@@ -286,8 +287,10 @@ def bind_points(spark, sf):
     from pyspark.sql import Window
 
     line = table(spark, sf, "lineitem")
+    line = line.repartition(parts(spark, line.count(), 100_000), "l_suppkey")
     by = Window.partitionBy("l_suppkey", F.col("l_partkey") % 6).orderBy("l_orderkey", "l_linenumber")
     points = line.select(F.col("l_suppkey").alias("video_id"), (F.col("l_partkey") % 6).cast("int").alias("point_id"), (F.row_number().over(by) - 1).cast("int").alias("frame_index"), (F.col("l_partkey") % 100).cast("double").alias("u"), (F.col("l_linenumber") * 10).cast("double").alias("v"))
+    points = stored(points, "points")
     shapes = F.array(*[F.struct(F.lit(f"o{o}").alias("object_id"), F.lit(o * 30.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(o * 30.0 + 40).alias("x2"), F.lit(60.0).alias("y2")) for o in range(3)])
     boxes = points.select("video_id", "frame_index").distinct().select("video_id", "frame_index", F.explode(shapes).alias("b")).select("video_id", "frame_index", "b.*")
     return relations.bind_points(points, boxes)
