@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import interval_distance, without_nan
+from tessella.session import parts
 
 from .gates import first_reason
 
@@ -119,16 +120,18 @@ def anchored_size(objects: DataFrame, targets: DataFrame, anchors: DataFrame, fr
     Objects: frame, object_id, valid, scale, scale_status, low, high (NULL: no prior), quality. Targets: frame, object_id, independent (whether its anchors are
     known to be). Anchors: frame, object_id, anchor_id; repeated ones count once. The scene's scale is the median of the anchors' expected middle sizes over their
     observed ones; anchors that are absent, invalid, not relative or without prior are passed over. A target never calibrates itself.
+    Partitions are as many as the objects' number asks for.
     """
     c = F.col
-    o = without_nan(objects, infinite=True)
-    pairs = anchors.select(*frame, "object_id", "anchor_id").distinct()
+    n = parts(objects.sparkSession, objects.count(), 50_000)
+    o = without_nan(objects, infinite=True).repartition(n, *frame, "object_id")
+    pairs = anchors.select(*frame, "object_id", "anchor_id").repartition(n, *frame, "anchor_id").distinct()
     other = o.select(*frame, c("object_id").alias("anchor_id"), *[c(x).alias(f"a_{x}") for x in ("valid", "scale", "scale_status", "low", "high", "quality")])
-    joined = pairs.join(other, [*frame, "anchor_id"], "left")
+    joined = pairs.join(other, [*frame, "anchor_id"], "left").repartition(n, *frame, "object_id")
     usable = F.coalesce(c("a_valid") & (c("a_scale") > 0) & (c("a_scale_status") == "relative_3d") & c("a_low").isNotNull() & c("a_high").isNotNull(), F.lit(False))
     factor = F.when(usable, 0.5 * (c("a_low") + c("a_high")) / c("a_scale"))
     of = joined.groupBy(*frame, "object_id").agg(F.count(F.lit(1)).alias("_given"), F.max((c("anchor_id") == c("object_id")).cast("int")).alias("_self"), F.median(factor).alias("scene_scale"), F.count(factor).alias("anchors"), F.avg(F.when(usable, c("a_quality"))).alias("_q"))
-    rows = targets.join(o, [*frame, "object_id"], "left").join(of, [*frame, "object_id"], "left").na.fill(0, ["_given", "anchors"])
+    rows = targets.repartition(n, *frame, "object_id").join(o, [*frame, "object_id"], "left").join(of, [*frame, "object_id"], "left").na.fill(0, ["_given", "anchors"])
     rules = [
         ("invalid_object_scale", ~F.coalesce(c("valid") & c("scale").isNotNull(), F.lit(False))),
         ("no_independent_scale_anchor", c("_given") == 0),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import scale
+from tessella.session import parts, stored
 
 from .adapters import OB, objects
 from .evidence3d_queries import MASK, _depth, _mask
@@ -95,6 +96,8 @@ def anchored_size(spark, sf):
     size = F.when((f + i) % 13 != 3, c("depth").cast("double") / 10.0)
     o = objects(spark, sf).groupBy("frame_id", "object_id").agg(F.max(size).alias("scale"))
     o = o.select("frame_id", "object_id", ((f + i) % 17 != 4).alias("valid"), F.coalesce("scale", F.lit(float("nan"))).alias("scale"), F.when((f + 2 * i) % 11 == 5, "metric_3d").otherwise("relative_3d").alias("scale_status"), F.when((f + 3 * i) % 7 != 2, (2.0 + i).cast("double")).alias("low"), (4.0 + i).cast("double").alias("high"), (((f * 3 + i) % 10 + 1) / 10.0).alias("quality"))
-    other = o.select("frame_id", i.alias("anchor_id"))
-    anchors = o.select("frame_id", "object_id").join(other, "frame_id").where((c("anchor_id") < i) | ((f % 9 == 1) & (c("anchor_id") == i)))
+    o = stored(o, "objects")
+    n = parts(spark, o.count(), 50_000)
+    other = o.select("frame_id", i.alias("anchor_id")).repartition(n, "frame_id")
+    anchors = o.select("frame_id", "object_id").repartition(n, "frame_id").join(other, "frame_id").where((c("anchor_id") < i) | ((f % 9 == 1) & (c("anchor_id") == i)))
     return scale.anchored_size(o, o.select("frame_id", "object_id", (f % 8 != 2).alias("independent")), anchors, ["frame_id"])
