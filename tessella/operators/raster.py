@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import stored
+from tessella.session import parts, stored
 
 
 def adaptive_erosion(area: Column, least: int = 1, most: int = 4) -> Column:
@@ -65,6 +65,10 @@ _SIDES = (((0, 0), (0, 1)), ((0, 1), (1, 1)), ((1, 1), (1, 0)), ((1, 0), (0, 0))
 _BEYOND = ((-1, 0), (0, 1), (1, 0), (0, -1))
 
 
+#: Pixels or edges of a mask in one partition, about.
+PIXELS = 100_000
+
+
 def contour_edges(mask: DataFrame, key: list[str]) -> DataFrame:
     """The mask's directed boundary edges: key, row, col, side, and the edge that follows (next_row, next_col, next_side).
 
@@ -72,10 +76,13 @@ def contour_edges(mask: DataFrame, key: list[str]) -> DataFrame:
     there count as joined (8-neighbours): the walk turns towards the other pixel.
     """
     c = F.col
-    pixels = mask.select(*key, "row", "col").distinct()
+    pixels = stored(mask.select(*key, "row", "col"), "contour-pixels")
+    n = parts(pixels.sparkSession, pixels.count(), PIXELS)
+    deal = lambda df: df.repartition(n, *key, "row", "col")
+    pixels = deal(pixels).distinct()
     around = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
     spread = pixels.withColumn("_o", F.explode(F.array(*[F.struct(F.lit(-dr).alias("r"), F.lit(-dc).alias("c"), F.lit(1 << i).alias("bit")) for i, (dr, dc) in enumerate(around)])))
-    near = spread.select(*key, (c("row") + c("_o.r")).alias("row"), (c("col") + c("_o.c")).alias("col"), c("_o.bit").alias("bit")).groupBy(*key, "row", "col").agg(F.sum("bit").alias("near"))
+    near = deal(spread.select(*key, (c("row") + c("_o.r")).alias("row"), (c("col") + c("_o.c")).alias("col"), c("_o.bit").alias("bit"))).groupBy(*key, "row", "col").agg(F.sum("bit").alias("near"))
     bit = {o: 1 << i for i, o in enumerate(around)}
     has = lambda o: c("near").bitwiseAND(F.lit(bit[o])) != 0
     rows = pixels.join(near, [*key, "row", "col"], "left").na.fill(0, ["near"])
@@ -95,24 +102,25 @@ def trace_contours(mask: DataFrame, key: list[str]) -> DataFrame:
     """Every boundary edge with its loop and place: key, row, col, side, loop (its least edge), place (from 0), length.
 
     Pointer doubling: after k rounds an edge knows the least of the 2^k edges from it on and how far that is, so
-    a loop of n edges takes log2(n) rounds of one join each, wherever its edges lie.
+    a loop of n edges takes log2(n) rounds of one join each, wherever its edges lie. Partitions are as many as the edges ask for.
     """
     c = F.col
     code = lambda r, k, s: (r.cast("long") * F.lit(1 << 31) + k.cast("long")) * 4 + s
     edges = contour_edges(mask, key).select(*key, code(c("row"), c("col"), c("side")).alias("e"), code(c("next_row"), c("next_col"), c("next_side")).alias("next"))
     now = stored(edges.withColumn("best", c("e")).withColumn("steps", F.lit(0).cast("long")), "contour-0")
+    n = parts(now.sparkSession, now.count(), PIXELS)
     longest = now.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     reach = 1
     while reach < longest:
-        ahead = now.select(*key, c("e").alias("next"), c("next").alias("_next"), c("best").alias("_best"), c("steps").alias("_steps"))
+        ahead = now.repartition(n, *key, "e").select(*key, c("e").alias("next"), c("next").alias("_next"), c("best").alias("_best"), c("steps").alias("_steps"))
         nearer = c("_best") < c("best")
         now = stored(
-            now.join(ahead, [*key, "next"]).select(*key, "e", c("_next").alias("next"), F.least("best", "_best").alias("best"), F.when(nearer, c("_steps") + reach).otherwise(c("steps")).alias("steps")),
+            now.repartition(n, *key, "next").join(ahead, [*key, "next"]).select(*key, "e", c("_next").alias("next"), F.least("best", "_best").alias("best"), F.when(nearer, c("_steps") + reach).otherwise(c("steps")).alias("steps")),
             f"contour-{reach}",
         )
         reach *= 2
     loop = Window.partitionBy(*key, "best")
-    out = now.withColumn("length", F.count(F.lit(1)).over(loop))
+    out = now.repartition(n, *key, "best").withColumn("length", F.count(F.lit(1)).over(loop))
     pixel = F.floor(c("e") / 4)
     return out.select(
         *key, F.floor(pixel / (1 << 31)).cast("int").alias("row"), (pixel % (1 << 31)).cast("int").alias("col"), (c("e") % 4).cast("int").alias("side"), c("best").alias("loop"), ((c("length") - c("steps")) % c("length")).alias("place"), "length"

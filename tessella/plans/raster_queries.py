@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import raster
+from tessella.session import parts, stored
 
 from .adapters import table
 from .evidence3d_queries import MASK, SIDE, _mask
@@ -21,12 +22,15 @@ BLOB = f"""WITH RECURSIVE s AS (SELECT DISTINCT l_suppkey AS object_id FROM line
 
 def blobs(spark, sf):
     line = table(spark, sf, "lineitem")
+    hole = F.when((F.col("l_linenumber") == 7) & (F.col("l_quantity") > 40), (F.col("l_partkey") % SIDE * SIDE + F.col("l_orderkey") % SIDE).cast("int"))
+    # One row a supplier, with its holes, until the disc is drawn.
+    own = stored(line.groupBy(F.col("l_suppkey").alias("object_id")).agg(F.collect_set(hole).alias("holes")).where("object_id IS NOT NULL"), "discs")
+    own = own.repartition(parts(spark, own.count(), 500), "object_id")
     side = F.sequence(F.lit(0), F.lit(SIDE - 1))
-    grid = line.select(F.col("l_suppkey").alias("object_id")).distinct().select("object_id", F.explode(side).alias("row")).select("object_id", "row", F.explode(side).alias("col"))
+    grid = own.select("*", F.explode(side).alias("row")).select("*", F.explode(side).alias("col"))
     radius, middle = F.col("object_id") % 7 + 5, 9 + F.col("object_id") % 5
     disc = grid.where((F.col("row") - 11) * (F.col("row") - 11) + (F.col("col") - middle) * (F.col("col") - middle) <= radius * radius)
-    holes = line.where("l_linenumber = 7 AND l_quantity > 40").select(F.col("l_suppkey").alias("object_id"), (F.col("l_partkey") % SIDE).cast("int").alias("row"), (F.col("l_orderkey") % SIDE).cast("int").alias("col")).distinct()
-    return disc.join(holes, ["object_id", "row", "col"], "left_anti")
+    return disc.where(~F.array_contains("holes", F.col("row") * SIDE + F.col("col"))).select("object_id", "row", "col")
 
 
 @query("mask_erosion", BLOB + f""", e AS (SELECT object_id, greatest(1, least(4, round_even(0.02::DOUBLE * sqrt(count(*)), 0)))::INT AS e FROM m GROUP BY ALL)
