@@ -133,7 +133,8 @@ def sample_contour(mask: DataFrame, key: list[str], most: int = 32, spacing: flo
     As many as ``most``, or as fit at ``spacing`` (at least one). Arc lengths are prefix sums along the loop; a segment gives the samples that fall on it.
     """
     c = F.col
-    edges = trace_contours(mask, key)
+    edges = stored(trace_contours(mask, key), "contours")
+    edges = edges.repartition(parts(edges.sparkSession, edges.count(), PIXELS), *key, "loop")
     by = Window.partitionBy(*key, "loop").orderBy("place")
     # A walk stays on a pixel for its sides in a row: one vertex each.
     before = F.struct(F.lag("row").over(by).alias("r"), F.lag("col").over(by).alias("c"))
