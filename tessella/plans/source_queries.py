@@ -254,24 +254,32 @@ def zip_directory(spark, sf):
     path = new_folder(spark, "archives")
     docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int").alias("archive"))
 
-    def write(pdf):
-        import io
+    def write(batches):
         import zipfile
 
+        import pandas as pd
         from pyarrow import fs
 
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        # Sorted by archive: texts pass one by one into the open one's stream, and none is held as a whole.
+        now, out, z = None, None, None
+        for pdf in batches:
+            for doc_id, text, archive in zip(pdf["doc_id"], pdf["text"], pdf["archive"], strict=True):
+                if archive != now:
+                    if z is not None:
+                        z.close()
+                        out.close()
+                    now, name = archive, f"{path}/{archive}.zip"
+                    system, inner = fs.FileSystem.from_uri(name)
+                    system.create_dir(inner.rsplit("/", 1)[0])
+                    out = system.open_output_stream(inner)
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                    yield pd.DataFrame({"archive": [archive], "path": [name]})
                 z.writestr(f"texts/{doc_id}.txt", text.encode())
-        name = f"{path}/{pdf['archive'].iloc[0]}.zip"
-        system, inner = fs.FileSystem.from_uri(name)
-        system.create_dir(inner.rsplit("/", 1)[0])
-        with system.open_output_stream(inner) as f:
-            f.write(held.getvalue())
-        return pdf[["archive"]].head(1).assign(path=name)
-
-    written = docs.groupBy("archive").applyInPandas(write, "archive int, path string")
+        if z is not None:
+            z.close()
+            out.close()
+
+    written = docs.repartition(16, "archive").sortWithinPartitions("archive").mapInPandas(write, "archive int, path string")
     paths = sorted(r["path"] for r in written.collect())  # sixteen
     spark.dataSource.register(archives.ZipDirectory)
     found = spark.read.format("zip_directory").option("paths", "\n".join(paths)).load()
