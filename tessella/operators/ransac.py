@@ -19,6 +19,8 @@ from tessella.session import stored
 SIZE = {"homography": 4, "essential": 8}
 #: Points of a pair that one task scores at a time.
 PART = 1 << 15
+#: Points that meet all models at once: their distances should stay in the processor's cache.
+CHUNK = 256
 _UPPER = np.triu_indices(9)
 _POINT = ["x0", "y0", "x1", "y1"]
 
@@ -49,12 +51,27 @@ def residuals(kind: str, models: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Distances (points, models): transfer error in the second view, or Sampson distance."""
     x, y, u, v = (p[:, i, None] for i in range(4))
     m = [models[None, :, i] for i in range(9)]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a, b, c = m[0] * x + m[1] * y + m[2], m[3] * x + m[4] * y + m[5], m[6] * x + m[7] * y + m[8]
+
+    def line(i, j, k, p, q):
+        """m[i] p + m[j] q + m[k], in one array."""
+        out = m[i] * p
+        out += m[j] * q
+        out += m[k]
+        return out
+
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        a, b, c = line(0, 1, 2, x, y), line(3, 4, 5, x, y), line(6, 7, 8, x, y)
         if kind == "homography":
-            out = np.hypot(a / c - u, b / c - v)
+            a /= c
+            a -= u
+            b /= c
+            b -= v
+            a *= a
+            b *= b
+            a += b
+            out = np.sqrt(a, out=a)
         else:
-            d, e = m[0] * u + m[3] * v + m[6], m[1] * u + m[4] * v + m[7]
+            d, e = line(0, 3, 6, u, v), line(1, 4, 7, u, v)
             out = np.abs(u * a + v * b + c) / np.sqrt(a * a + b * b + d * d + e * e)
     return np.where(np.isfinite(out), out, np.inf)
 
@@ -117,8 +134,8 @@ def robust_models(points: DataFrame, kind: str, threshold: float, draws: int = 2
         xy, reach = points[_POINT].to_numpy(), float(points["reach"].iloc[0])
         inliers, error = np.zeros(len(models), np.int64), np.zeros(len(models))
         held = np.stack(models["model"].to_numpy())
-        for lo in range(0, len(xy), 2048):
-            d = residuals(kind, held, xy[lo : lo + 2048])
+        for lo in range(0, len(xy), CHUNK):
+            d = residuals(kind, held, xy[lo : lo + CHUNK])
             inside = d <= reach
             inliers += inside.sum(axis=0)
             error += np.where(inside, d, 0.0).sum(axis=0)
