@@ -91,17 +91,25 @@ def _match(rows: list[tuple[int, int, float]], n: int, track: np.ndarray, live:
 def carry_tracks(boxes: pd.DataFrame, held: int, track: np.ndarray, following: int, max_gap: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(each box's track, the box before it on its track or -1, the next free id) for boxes in order of frames.
 
-    The first ``held`` boxes are the last of tracks ``track`` that came before. Costs are computed for all pairs of near frames at once; frame by
+    The first ``held`` boxes are the last of tracks ``track`` that came before.
+    """
+    track = np.concatenate([np.asarray(track, np.int64), np.full(len(boxes) - held, -1, np.int64)])
+    return carry_frames(boxes["frame_index"].to_numpy(), boxes, track, following, max_gap)
+
+
+def carry_frames(frame: np.ndarray, boxes: pd.DataFrame, track: np.ndarray, following: int, max_gap: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """What :func:`carry_tracks` gives for boxes in order of ``frame``, of which those with a ``track`` (others: -1) are the last of tracks that came before.
+
+    Videos may follow each other if their frames lie further apart than ``max_gap``. Costs are computed for all pairs of near frames at once; frame by
     frame only the assignment is left, and of that only what two boxes compete for.
     """
     n = len(boxes)
-    frame, label = boxes["frame_index"].to_numpy(), pd.factorize(boxes["label"])[0]
-    track = np.concatenate([np.asarray(track, np.int64), np.full(n - held, -1, np.int64)])
+    track, label = track.copy(), pd.factorize(boxes["label"])[0]
     before, taken = np.full(n, -1, np.int64), np.zeros(n, bool)
     first, end = np.searchsorted(frame, frame - max_gap), np.searchsorted(frame, frame)
     sizes = end - first
-    sizes[:held] = 0
-    sums, at = np.cumsum(sizes), held
+    sizes[track >= 0] = 0
+    sums, at = np.cumsum(sizes), 0
     while at < n:
         # Whole frames: as many as hold PAIRS pairs, one at least.
         upto = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, side="right"))
