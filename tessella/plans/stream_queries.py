@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import fusion, recurrent
-from tessella.session import new_folder
+from tessella.session import new_folder, parts
 from tessella.streaming import tracks
 from tessella.streaming import windows as streaming
 
@@ -49,8 +49,12 @@ def unique_boxes(spark, sf):
     return video_boxes(spark, sf).groupBy(*keys).agg(F.min(F.struct(*rest)).alias("b")).select("video_id", "frame_index", "box_id", "b.*")
 
 
+#: Boxes in a partition of a stream's state, and buckets of videos in one.
+STATE_ROWS, STATE_BUCKETS = 500_000, 16
+
+
 def _track_stream(spark, sf, path):
-    """The boxes as a stream of files out of order by up to three frames, and a last row that moves the watermark past them."""
+    """The boxes as a stream of files out of order by up to three frames, and a last row that moves the watermark past them; their number."""
     boxes = unique_boxes(spark, sf)
     late = F.pmod(F.xxhash64("video_id", "frame_index", "box_id"), F.lit(4))
     boxes.withColumn("_file", F.floor((F.col("frame_index") + late) / 9).cast("int")).write.partitionBy("_file").parquet(f"{path}/dealt")
@@ -60,25 +64,28 @@ def _track_stream(spark, sf, path):
         dealt.where(F.col("_file") == i).drop("_file").repartition(files).write.mode("append").parquet(f"{path}/source")
     last = dealt.drop("_file").limit(1).withColumn("video_id", F.lit(-1).cast("long")).withColumn("frame_index", F.lit(10**6).cast("long"))
     last.coalesce(1).write.mode("append").parquet(f"{path}/source")
-    return spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/source")
+    return spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/source"), dealt.count()
+
+
+def _tracked(spark, sf, name, build):
+    """``build`` run over the stream of boxes, with state in as many partitions and buckets as the boxes need."""
+    path = new_folder(spark, name)
+    tracks.rocks(spark)
+    stream, rows = _track_stream(spark, sf, path)
+    n = parts(spark, rows, STATE_ROWS)
+    return streaming.run_once(spark, build(stream, late=16, buckets=n * STATE_BUCKETS), f"{path}/table", f"{path}/state", partitions=n).where("video_id >= 0")
 
 
 @query("stream_tracks")
 def stream_tracks(spark, sf):
-    """Tracks of a stream of boxes: what ``sequential.associate`` gives for them, with state for each video."""
-    path = new_folder(spark, "stream-tracks")
-    tracks.rocks(spark)
-    stream = _track_stream(spark, sf, path)
-    return streaming.run_once(spark, tracks.track_boxes(stream, late=16), f"{path}/table", f"{path}/state").where("video_id >= 0")
+    """Tracks of a stream of boxes: what ``sequential.associate`` gives for them, with state for buckets of videos."""
+    return _tracked(spark, sf, "stream-tracks", tracks.track_boxes)
 
 
 @query("stream_track_spans")
 def stream_track_spans(spark, sf):
     """Each track's first and last frame and boxes, once it has ended."""
-    path = new_folder(spark, "stream-track-spans")
-    tracks.rocks(spark)
-    stream = _track_stream(spark, sf, path)
-    return streaming.run_once(spark, tracks.track_spans(stream, late=16), f"{path}/table", f"{path}/state").where("video_id >= 0")
+    return _tracked(spark, sf, "stream-track-spans", tracks.track_spans)
 
 
 def _risk_sequences(spark, sf):

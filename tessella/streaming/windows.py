@@ -38,9 +38,15 @@ def deduplicate(events: DataFrame, keys: list[str], late: str = "1 hour") -> Dat
     return _timed(events, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_once(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Write all that is there now (availableNow) with exactly-once files, and return the table."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def run_once(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> DataFrame:
+    """Write all that is there now (availableNow) with exactly-once files, and return the table. A new checkpoint's state has ``partitions``, or the session's."""
+    key = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, partitions or usual)
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, usual)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
